@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,14 @@ def point_array(points: list[tuple[float, float]]) -> Column:
 
 def double_array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns as a generated row.
+
+    Later filters on a projected column are pushed below it with the whole expression
+    copied in. They cannot pass a generator, so each expression runs once per row.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(row)))

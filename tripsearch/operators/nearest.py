@@ -36,36 +36,60 @@ def _same_day() -> Column:
     return F.col("qday").isNull() | (F.col("qday") == F.col("day"))
 
 
-def within_radius(points: DataFrame, query_points: DataFrame, radius: float) -> DataFrame:
-    """Pairs (query columns.., point columns.., d) with d <= radius on the query's day.
+def level_width(level: Column) -> Column:
+    return F.lit(BASE_CELL) * F.pow(F.lit(2.0), level)
 
-    Neither side is hinted: the query side is broadcast while it is small by its real size,
-    else the join shuffles on cells and skewed cells are split at run time.
+
+def level_for(radius: Column) -> Column:
+    """The finest level whose cells are at least ``radius`` wide."""
+    steps = F.ceil(F.log2(F.greatest(radius, F.lit(BASE_CELL)) / BASE_CELL) + 1e-9)
+    return F.least(steps, F.lit(LEVELS - 1)).cast("int")
+
+
+def meet(points: DataFrame, query_points: DataFrame) -> DataFrame:
+    """Pairs (query columns.., trip_id, seq, lng, lat, d) of points in the 3 x 3 cells around
+    each query point at the query point's own ``level``, on the query's day.
+
+    The query table is a written one: its levels and its bounding box are read first, the
+    box goes into the scan, and neither join side is hinted. The query side is broadcast
+    while it is small by its real size; beyond that the join shuffles on cells and skewed
+    cells are split at run time.
     """
-    box = query_points.agg(
-        F.min("qlng"), F.max("qlng"), F.min("qlat"), F.max("qlat"),
+    reach = level_width(F.col("level")) * 2
+    facts = query_points.agg(
+        F.collect_set("level"),
+        F.min(F.col("qlng") - reach), F.max(F.col("qlng") + reach),
+        F.min(F.col("qlat") - reach), F.max(F.col("qlat") + reach),
         F.min("day"), F.max("day"), F.count_if(F.col("day").isNull()),
     ).first()
-    if box[0] is None:
-        near = points.where(F.lit(False))
+    levels, dated = sorted(facts[0]), facts[7] == 0
+    if not levels:
+        levels, near = [0], points.where(F.lit(False))
     else:
-        near = points.where(
-            F.col("lng").between(box[0] - radius, box[1] + radius)
-            & F.col("lat").between(box[2] - radius, box[3] + radius)
-        )
-        if box[6] == 0:
-            near = near.where(F.col("day").between(box[4], box[5]))
-    cells = near.withColumn("cx", cell(F.col("lng"), radius)).withColumn("cy", cell(F.col("lat"), radius))
-    ring = _ring(query_points.withColumnRenamed("day", "qday"), radius)
-    away = geo.degrees_apart(F.col("lng"), F.col("lat"), F.col("qlng"), F.col("qlat"))
-    return (
-        cells.join(ring, ["cx", "cy"])
-        .where(_same_day())
-        .withColumn("d", away)
-        .where(F.col("d") <= radius)
-        .drop("cx", "cy")
-        .withColumnRenamed("qday", "query_day")
+        near = points.where(F.col("lng").between(facts[1], facts[2]) & F.col("lat").between(facts[3], facts[4]))
+        if dated:
+            near = near.where(F.col("day").between(facts[5], facts[6]))
+    level = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(i) for i in levels]))
+    width = level_width(F.col("level"))
+    cells = (
+        near.select("trip_id", "seq", "day", "lng", "lat", level.alias("level"))
+        .withColumn("cx", cell(F.col("lng"), width))
+        .withColumn("cy", cell(F.col("lat"), width))
     )
+    away = geo.degrees_apart(F.col("lng"), F.col("lat"), F.col("qlng"), F.col("qlat"))
+    ring = _ring(query_points, width)
+    if dated:
+        pairs = cells.join(ring, ["level", "cx", "cy", "day"])
+    else:
+        pairs = cells.join(ring.withColumnRenamed("day", "qday"), ["level", "cx", "cy"]).where(_same_day())
+        pairs = pairs.drop("qday")
+    return pairs.drop("cx", "cy", "level", "day").withColumn("d", away)
+
+
+def within_radius(points: DataFrame, query_points: DataFrame) -> DataFrame:
+    """Pairs of query points (.., radius) and trip points with d <= radius."""
+    leveled = query_points.withColumn("level", level_for(F.col("radius")))
+    return meet(points, leveled).where(F.col("d") <= F.col("radius"))
 
 
 def cell_counts(points: DataFrame) -> DataFrame:
@@ -76,13 +100,14 @@ def cell_counts(points: DataFrame) -> DataFrame:
 
 
 def search_levels(query_points: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add the grid level whose 3 x 3 cells around the query point hold ``lam`` points.
+    """Add ``level``: cells at which the 3 x 3 ring is sure to hold the ``lam`` nearest points.
 
-    Level l has cells of BASE_CELL * 2^l. The top level always qualifies, so a query point
-    with fewer than ``lam`` points in reach gets them all.
+    If the ring of a finer level holds lam points, the lam-th lies within 2 * sqrt(2) of its
+    cells, and cells two levels up are wider than that. The top level always qualifies, so a
+    query point with fewer than lam points in reach gets them all.
     """
     level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    shrink = F.pow(F.lit(2.0), F.col("level")).cast("bigint")
+    shrink = F.pow(F.lit(2.0), F.col("level"))
     by_level = (
         counts.withColumn("level", level)
         .groupBy("day", "level", F.floor(F.col("bx") / shrink).cast("bigint").alias("cx"),
@@ -90,15 +115,14 @@ def search_levels(query_points: DataFrame, counts: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     rings = _ring(
-        query_points.withColumnRenamed("day", "qday").withColumn("level", level),
-        F.lit(BASE_CELL) * F.pow(F.lit(2.0), F.col("level")),
+        query_points.withColumnRenamed("day", "qday").withColumn("level", level), level_width(F.col("level"))
     )
     enough = (
         rings.join(by_level, ["level", "cx", "cy"])
         .where(_same_day())
         .groupBy("qid", "qseq", "lam", "level").agg(F.sum("n").alias("n"))
         .where((F.col("n") >= F.col("lam")) | (F.col("level") == LEVELS - 1))
-        .groupBy("qid", "qseq").agg(F.min("level").alias("level"))
+        .groupBy("qid", "qseq").agg(F.least(F.min("level") + 2, F.lit(LEVELS - 1)).alias("level"))
     )
     return query_points.join(enough, ["qid", "qseq"])
 
@@ -106,35 +130,16 @@ def search_levels(query_points: DataFrame, counts: DataFrame) -> DataFrame:
 def nearest_points(points: DataFrame, query_points: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The ``lam`` nearest trip points of every query point (qid, qseq, qlng, qlat, day, lam).
 
-    Returns (qid, qseq, trip_id, seq, lng, lat, d, nn). A level whose 3 x 3 cells hold lam
-    points bounds the lam-th distance by 2 * sqrt(2) cell widths; cells two levels up are at
-    least that wide, so their 3 x 3 ring holds the exact answer.
+    Returns (qid, qseq, trip_id, seq, lng, lat, d, nn); equal distances go by trip and seq.
     """
     if counts is None:
-        counts = durable(cell_counts(points), "cell-counts")
+        counts = cell_counts(points)
     leveled = durable(search_levels(query_points, counts), "search-levels")
-    leveled = leveled.withColumn("level", F.least(F.col("level") + 2, F.lit(LEVELS - 1)))
-    facts = leveled.agg(F.collect_set("level"), F.max("lam")).first()
-    used, most = sorted(facts[0]), facts[1] or 0
-    width = F.lit(BASE_CELL) * F.pow(F.lit(2.0), F.col("level"))
-    ring = _ring(leveled.withColumnRenamed("day", "qday"), width).select(
-        "level", "cx", "cy", "qid", "qseq", "qlng", "qlat", "qday", "lam"
-    )
-    if used:
-        levels = F.explode(F.array(*[F.lit(i) for i in used]))
-    else:
-        levels, points = F.lit(0), points.where(F.lit(False))
-    cells = (
-        points.select("trip_id", "seq", "day", "lng", "lat", levels.alias("level"))
-        .withColumn("cx", cell(F.col("lng"), width))
-        .withColumn("cy", cell(F.col("lat"), width))
-    )
-    away = geo.degrees_apart(F.col("lng"), F.col("lat"), F.col("qlng"), F.col("qlat"))
+    most = leveled.agg(F.max("lam")).first()[0] or 0
     nearest = Window.partitionBy("qid", "qseq").orderBy("d", "trip_id", "seq")
     return (
-        cells.join(ring, ["level", "cx", "cy"])
-        .where(_same_day())
-        .select("qid", "qseq", "lam", "trip_id", "seq", "lng", "lat", F.round(away, 12).alias("d"))
+        meet(points, leveled)
+        .select("qid", "qseq", "lam", "trip_id", "seq", "lng", "lat", F.round("d", 12).alias("d"))
         .withColumn("nn", F.row_number().over(nearest))
         .where(F.col("nn") <= int(most))  # a constant bound lets each task keep only its own nearest
         .where(F.col("nn") <= F.col("lam"))

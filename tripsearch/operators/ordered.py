@@ -50,7 +50,7 @@ def _gain(measure: str, threshold: float, q: Column, p: Column) -> Column:
     return geo.closeness(geo.degrees_apart(p["lng"], p["lat"], q["lng"], q["lat"]))
 
 
-def _advance(measure: str, vector: Column, gains: Column, m: int) -> Column:
+def _advance(measure: str, vector: Column, gains: Column, m: Column) -> Column:
     """The vector after one more trip point; ``gains`` holds e_1 .. e_m."""
     keeps_zero = measure in ("ordered", "lcss")
     first = F.get(vector, F.lit(0)) if keeps_zero else F.lit(_NEVER)
@@ -66,7 +66,7 @@ def _advance(measure: str, vector: Column, gains: Column, m: int) -> Column:
         return F.greatest(left, above + gain)
 
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(m)), F.array(first), lambda done, j: F.concat(done, F.array(entry(done, j)))
+        F.sequence(F.lit(1), m), F.array(first), lambda done, j: F.concat(done, F.array(entry(done, j)))
     )
 
 
@@ -75,7 +75,7 @@ def _walk(measure: str, threshold: float, query, path: Column, start: Column) ->
 
     def step(vector: Column, p: Column) -> Column:
         gains = F.transform(point_array(query), lambda q: _gain(measure, threshold, q, p))
-        return let(gains, lambda g: _advance(measure, vector, g, m))
+        return let(gains, lambda g: _advance(measure, vector, g, F.lit(m)))
 
     return F.aggregate(path, start, step)
 
@@ -161,3 +161,36 @@ def ordered_scores(
     else:
         value = best
     return blocks.select("trip_id", "n", value.alias("value"))
+
+
+def ordered_bounds(nearest: DataFrame, query_points: DataFrame) -> DataFrame:
+    """(qid, trip_id, lb, ub) of the order-aware similarity of every candidate trip.
+
+    lb is the ``ordered`` measure on the trip points that are nearest neighbours of some
+    query point; ub adds exp(-r) for the query points that did not see the trip. The lower
+    bound always holds. The upper bound is the published estimate and can fall short when
+    the neighbours seen are in the wrong order, so searches prune with the order-free bound.
+    """
+    asked = query_points.select("qid", "qseq", "qlng", "qlat")
+    reached = nearest.select("qid", "trip_id", "seq", "lng", "lat").distinct()
+    gain = geo.closeness(geo.degrees_apart(F.col("lng"), F.col("lat"), F.col("qlng"), F.col("qlat")))
+    steps = (
+        reached.join(asked, "qid")
+        .groupBy("qid", "trip_id", "seq")
+        .agg(F.array_sort(F.collect_list(F.struct("qseq", gain.alias("gain")))).alias("gains"))
+    )
+    paths = steps.groupBy("qid", "trip_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", F.col("gains")["gain"].alias("gains")))).alias("path")
+    )
+    m = F.size(F.get("path", F.lit(0))["gains"])
+    start = F.concat(double_array([0.0]), F.array_repeat(F.lit(_NEVER), m))
+    best = F.aggregate("path", start, lambda v, p: _advance("ordered", v, p["gains"], F.size(p["gains"])))
+    low = paths.select("qid", "trip_id", F.get(best, m).alias("lb"))
+    seen = nearest.select("qid", "qseq", "trip_id").distinct()
+    tails = nearest.groupBy("qid", "qseq").agg(geo.closeness(F.max("d")).alias("tail"))
+    all_tails = tails.groupBy("qid").agg(F.sum("tail").alias("all_tails"))
+    seen_tails = seen.join(tails, ["qid", "qseq"]).groupBy("qid", "trip_id").agg(F.sum("tail").alias("seen_tails"))
+    return (
+        low.join(seen_tails, ["qid", "trip_id"]).join(all_tails, "qid")
+        .select("qid", "trip_id", "lb", (F.col("lb") + F.col("all_tails") - F.col("seen_tails")).alias("ub"))
+    )

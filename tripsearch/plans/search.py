@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,8 @@ from tripsearch.operators import similarity as S
 from tripsearch.storage import bounded_rows, durable
 
 WIDE_POINTS = 64
-FIRST_RADIUS = 0.01
+SEED_FACTOR = 4
+EVERYWHERE = 1000.0  # degrees; a radius that reaches every point
 
 
 def exact_scores(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -29,90 +28,109 @@ def exact_scores(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> Dat
     )
 
 
-def _reach(points: DataFrame, queries: DataFrame) -> float:
-    """A radius from which every query point sees every trip point."""
-    p = points.agg(F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat")).first()
-    q = queries.agg(F.min("qlng"), F.max("qlng"), F.min("qlat"), F.max("qlat")).first()
-    if p[0] is None or q[0] is None:
-        return 0.0
-    return math.hypot(
-        max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2])
-    ) + 1e-9
+def _looks(found: DataFrame, state: DataFrame) -> DataFrame:
+    """How far each query point has looked: (qid, qseq, r, returned, all_seen)."""
+    return (
+        B.look_radii(found).join(state.select("qid", "qseq", "lam"), ["qid", "qseq"])
+        .withColumn("all_seen", F.col("returned") < F.col("lam")).drop("lam")
+    )
+
 
+def seed_scores(points: DataFrame, queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(qid, tau): the k-th best similarity among trips passing close to the query points.
 
-def _close_queries(scanned, radii, active, batch, largest_k):
-    """Surviving candidates of the queries whose answer is settled, and the points of the others."""
-    limits = durable(B.similarity_bounds(scanned, radii), "bounds")
-    kth = B.kth_lower_bound(limits, batch, largest_k)
-    settled = durable(B.settled_queries(radii, kth), "settled")
-    survivors = B.refine_survivors(limits.join(settled.select("qid"), "qid", "left_semi"), settled)
-    looking = radii.select("qid").join(settled.select("qid"), "qid", "left_anti")
-    return durable(survivors, "survivors"), durable(active.join(looking, "qid", "left_semi"), "active")
+    Any k trips give a floor for the k-th best answer, and near trips give a high one. Few
+    nearest points may all lie on one trip, so queries short of k trips ask for more points
+    until they have k trips or have seen all there are; tau is 0 for the latter.
+    """
+    asked = queries.withColumn("lam", (F.col("k") * SEED_FACTOR).cast("int"))
+    batch = queries.select("qid", "k").distinct()
+    floors = None
+    while True:
+        found = durable(N.nearest_points(points, asked, counts), "seeds")
+        trips = found.groupBy("qid").agg(F.count_distinct("trip_id").alias("trips"))
+        full = _looks(found, asked).groupBy("qid").agg(F.bool_and("all_seen").alias("all_seen"))
+        short = durable(
+            trips.join(full, "qid").join(batch, "qid")
+            .where((F.col("trips") < F.col("k")) & ~F.col("all_seen")).select("qid"),
+            "seeds-short",
+        )
+        ready = found.join(short, "qid", "left_anti").select("qid", "trip_id").distinct()
+        scored = S.rank_within(exact_scores(points, ready, queries).join(batch, "qid"), ["qid"])
+        part = scored.groupBy("qid").agg(
+            F.coalesce(F.max(F.when(F.col("rank") == F.col("k"), F.col("sim"))), F.lit(0.0)).alias("tau")
+        )
+        floors = part if floors is None else floors.unionByName(part)
+        if short.isEmpty():
+            return floors
+        asked = durable(
+            asked.join(short, "qid", "left_semi").withColumn("lam", F.col("lam") * SEED_FACTOR), "seeds-more"
+        )
 
 
-def best_connected_pruned(
-    points: DataFrame, queries: DataFrame, first_radius: float = FIRST_RADIUS, growth: float = 2.0
-) -> DataFrame:
-    """Exact k best-connected trips of every query, looking in growing rings.
+def best_connected_pruned(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Exact k best-connected trips of every query, looking only near the query points.
 
-    Each round joins the open query points with the trip points inside the radius, bounds
-    the trips seen, and settles the queries whose k-th lower bound no unseen trip can beat.
-    The last radius sees every trip, so the loop ends with the exact answer for any k.
+    A floor tau of the k-th best similarity comes first. A trip as good as tau must pass
+    within ln(m / tau) of some query point, because its m terms add up to tau: that radius
+    finds every candidate in one equi-join on cells. Candidates whose upper bound stays
+    under tau are dropped, the rest are scored exactly.
     """
     queries = durable(queries, "queries")
-    batch = durable(queries.groupBy("qid").agg(F.first("k").alias("k")), "batch")
-    largest_k = batch.agg(F.max("k")).first()[0]
-    active, radius, kept = queries, first_radius, []
-    reach = _reach(points, queries)
-    while largest_k is not None:
-        everything = radius >= reach
-        scanned = durable(B.scanned_trips(N.within_radius(points, active, radius)), "scanned")
-        radii = active.select(
-            "qid", "qseq", F.lit(float(radius)).alias("r"), F.lit(everything).alias("all_seen")
-        )
-        survivors, active = _close_queries(scanned, radii, active, batch, largest_k)
-        kept.append(survivors)
-        if active.isEmpty():
-            break
-        radius *= growth
-    return _refined(points, queries, batch, kept)
+    if counts is None:
+        counts = durable(N.cell_counts(points), "cell-counts")
+    tau = F.col("tau") - 1e-8
+    radius = F.when(tau <= 0, F.lit(EVERYWHERE)).otherwise(F.log(F.col("m") / tau) + 1e-9)
+    sizes = queries.groupBy("qid", "k").agg(F.count("*").alias("m"))
+    floors = durable(
+        seed_scores(points, queries, counts).join(sizes, "qid").withColumn("radius", radius), "floors"
+    )
+    asked = durable(queries.drop("k").join(floors, "qid"), "asked")
+    scanned = B.scanned_trips(N.within_radius(points, asked))
+    radii = asked.select("qid", "qseq", F.col("radius").alias("r"))
+    limits = B.similarity_bounds(durable(scanned, "scanned"), radii)
+    survivors = (
+        limits.join(floors, "qid").where(F.col("ub") >= tau - 1e-9).select("qid", "trip_id")
+    )
+    return _ranked(points, survivors, queries)
 
 
-def best_connected_lambda(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same answer, growing the number of nearest points per query point instead.
+def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The same answer, growing the number of nearest points per query point round by round.
 
-    Every round fetches ``lam`` nearest points per query point; the next round's share of
-    each point follows from how its tail decays and how many trips it brought.
+    Every round fetches ``lam`` nearest points per query point and bounds the trips seen. A
+    query is settled when its k-th lower bound reaches what any unseen trip could have; the
+    others grow each point's share by how its tail decays and how much it brought.
     """
     queries = durable(queries, "queries")
-    batch = durable(queries.groupBy("qid").agg(F.first("k").alias("k")), "batch")
-    largest_k = batch.agg(F.max("k")).first()[0]
-    counts = durable(N.cell_counts(points), "cell-counts")
-    state = queries.select("qid", "qseq", "k", F.col("k").cast("int").alias("lam"), F.lit(0).alias("prev"))
-    active, kept, round_no = queries, [], 0
-    while largest_k is not None:
+    if counts is None:
+        counts = durable(N.cell_counts(points), "cell-counts")
+    batch = queries.select("qid", "k").distinct()
+    state = queries.withColumn("lam", F.col("k").cast("int")).withColumn("prev", F.lit(0))
+    kept, round_no = [], 0
+    while True:
         state = durable(state, "budgets")
-        asked = active.join(state.select("qid", "qseq", "lam"), ["qid", "qseq"])
-        found = durable(N.nearest_points(points, asked, counts), "nearest")
-        radii = durable(
-            B.look_radii(found).join(state.select("qid", "qseq", "lam"), ["qid", "qseq"])
-            .withColumn("all_seen", F.col("returned") < F.col("lam")).drop("lam"),
-            "radii",
-        )
-        survivors, active = _close_queries(B.scanned_trips(found), radii, active, batch, largest_k)
-        kept.append(survivors)
-        if active.isEmpty():
+        largest_k = state.agg(F.max("k")).first()[0]
+        if largest_k is None:
             break
+        found = durable(N.nearest_points(points, state, counts), "nearest")
+        looks = _looks(found, state)
+        limits = B.similarity_bounds(B.scanned_trips(found), looks)
+        kth = B.kth_lower_bound(limits, batch, largest_k)
+        settled = durable(B.settled_queries(looks, kth), "settled")
+        kept.append(B.refine_survivors(limits.join(settled.select("qid"), "qid", "left_semi"), settled))
         round_no += 1
-        state = B.next_budgets(state.join(active.select("qid", "qseq"), ["qid", "qseq"], "left_semi"), radii, round_no)
-    return _refined(points, queries, batch, kept)
+        open_state = state.join(settled, "qid", "left_anti")
+        grown = B.next_budgets(open_state, looks, round_no).select("qid", "qseq", "prev", "lam")
+        state = open_state.drop("prev", "lam").join(grown, ["qid", "qseq"])
+    pairs = queries.select("qid", F.lit("").alias("trip_id")).where(F.lit(False))
+    for more in kept:
+        pairs = pairs.unionByName(more)
+    return _ranked(points, durable(pairs, "survivors"), queries)
 
 
-def _refined(points, queries, batch, kept) -> DataFrame:
-    pairs = kept[0] if kept else queries.select("qid", F.lit("").alias("trip_id")).limit(0)
-    for more in kept[1:]:
-        pairs = pairs.unionByName(more)
-    scores = exact_scores(points, pairs, queries).join(batch, "qid")
+def _ranked(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    scores = exact_scores(points, pairs, queries).join(queries.select("qid", "k").distinct(), "qid")
     return S.rank_within(scores, ["qid"], limit=F.col("k")).select("qid", "rank", "trip_id", "sim")
 
 
@@ -123,9 +141,7 @@ def best_connected_batch(points: DataFrame, queries: DataFrame, wide_points: int
     through the ring search, which pairs points and queries only where they are near.
     """
     rows = bounded_rows(queries.orderBy("qid", "qseq"), wide_points)
-    if rows is None:
-        return best_connected_pruned(points, queries)
-    if not rows:
+    if not rows:  # too many, or none at all
         return best_connected_pruned(points, queries)
     scores = S.batch_similarity_wide(points, rows, ["qid"])
     largest_k = max(row["k"] for row in rows)

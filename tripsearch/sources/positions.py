@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripsearch.functions import geo
+from tripsearch.functions.folds import evaluate_once
 
 # Positions of the fields in a raw log line.
 RAW_FIELDS = {"obd_id": 2, "lng": 3, "lat": 4, "time": 8}
@@ -38,7 +39,8 @@ def read_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions_from_events(events: DataFrame) -> DataFrame:
-    kind = F.get_json_object("props", "$.k").cast("int")
+    events = evaluate_once(events, kind=F.get_json_object("props", "$.k").cast("int"))
+    kind = F.col("kind")
     user, event = F.col("user_id"), F.col("event_id")
     jitter = lambda factor: ((event * factor) % 1000) * F.lit(5e-5)
     return events.select(
