@@ -93,10 +93,20 @@ def within_radius(points: DataFrame, query_points: DataFrame) -> DataFrame:
 
 
 def cell_counts(points: DataFrame) -> DataFrame:
-    """Points per (day, base cell): the density table beside the point table."""
-    return points.groupBy(
+    """Points per (day, level, cell) for every level: the density table beside the point table.
+
+    Points are counted per base cell first; the coarser levels add up those counts.
+    """
+    base = points.groupBy(
         "day", cell(F.col("lng"), BASE_CELL).alias("bx"), cell(F.col("lat"), BASE_CELL).alias("by")
     ).agg(F.count("*").alias("n"))
+    shrink = F.pow(F.lit(2.0), F.col("level"))
+    return (
+        base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        .groupBy("day", "level", F.floor(F.col("bx") / shrink).cast("bigint").alias("cx"),
+                 F.floor(F.col("by") / shrink).cast("bigint").alias("cy"))
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def search_levels(query_points: DataFrame, counts: DataFrame) -> DataFrame:
@@ -106,25 +116,20 @@ def search_levels(query_points: DataFrame, counts: DataFrame) -> DataFrame:
     cells, and cells two levels up are wider than that. The top level always qualifies, so a
     query point with fewer than lam points in reach gets them all.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    shrink = F.pow(F.lit(2.0), F.col("level"))
-    by_level = (
-        counts.withColumn("level", level)
-        .groupBy("day", "level", F.floor(F.col("bx") / shrink).cast("bigint").alias("cx"),
-                 F.floor(F.col("by") / shrink).cast("bigint").alias("cy"))
-        .agg(F.sum("n").alias("n"))
-    )
     rings = _ring(
-        query_points.withColumnRenamed("day", "qday").withColumn("level", level), level_width(F.col("level"))
+        query_points.withColumnRenamed("day", "qday")
+        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))),
+        level_width(F.col("level")),
     )
-    enough = (
-        rings.join(by_level, ["level", "cx", "cy"])
+    return (
+        rings.join(counts, ["level", "cx", "cy"])
         .where(_same_day())
-        .groupBy("qid", "qseq", "lam", "level").agg(F.sum("n").alias("n"))
+        .withColumn("day", F.col("qday"))
+        .groupBy(*query_points.columns, "level").agg(F.sum("n").alias("n"))
         .where((F.col("n") >= F.col("lam")) | (F.col("level") == LEVELS - 1))
-        .groupBy("qid", "qseq").agg(F.least(F.min("level") + 2, F.lit(LEVELS - 1)).alias("level"))
+        .groupBy(*query_points.columns)
+        .agg(F.least(F.min("level") + 2, F.lit(LEVELS - 1)).alias("level"))
     )
-    return query_points.join(enough, ["qid", "qseq"])
 
 
 def nearest_points(points: DataFrame, query_points: DataFrame, counts: DataFrame | None = None) -> DataFrame:

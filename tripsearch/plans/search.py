@@ -48,20 +48,23 @@ def seed_scores(points: DataFrame, queries: DataFrame, counts: DataFrame) -> Dat
     floors = None
     while True:
         found = durable(N.nearest_points(points, asked, counts), "seeds")
-        trips = found.groupBy("qid").agg(F.count_distinct("trip_id").alias("trips"))
-        full = _looks(found, asked).groupBy("qid").agg(F.bool_and("all_seen").alias("all_seen"))
-        short = durable(
-            trips.join(full, "qid").join(batch, "qid")
-            .where((F.col("trips") < F.col("k")) & ~F.col("all_seen")).select("qid"),
-            "seeds-short",
+        seen = (
+            found.groupBy("qid").agg(F.count_distinct("trip_id").alias("trips"))
+            .join(_looks(found, asked).groupBy("qid").agg(F.bool_and("all_seen").alias("all_seen")), "qid")
+            .join(batch, "qid")
         )
-        ready = found.join(short, "qid", "left_anti").select("qid", "trip_id").distinct()
+        short = seen.where((F.col("trips") < F.col("k")) & ~F.col("all_seen")).select("qid")
+        more = not short.isEmpty()
+        ready = found.select("qid", "trip_id").distinct()
+        if more:
+            short = durable(short, "seeds-short")
+            ready = ready.join(short, "qid", "left_anti")
         scored = S.rank_within(exact_scores(points, ready, queries).join(batch, "qid"), ["qid"])
         part = scored.groupBy("qid").agg(
             F.coalesce(F.max(F.when(F.col("rank") == F.col("k"), F.col("sim"))), F.lit(0.0)).alias("tau")
         )
         floors = part if floors is None else floors.unionByName(part)
-        if short.isEmpty():
+        if not more:
             return floors
         asked = durable(
             asked.join(short, "qid", "left_semi").withColumn("lam", F.col("lam") * SEED_FACTOR), "seeds-more"
@@ -85,7 +88,7 @@ def best_connected_pruned(points: DataFrame, queries: DataFrame, counts: DataFra
     floors = durable(
         seed_scores(points, queries, counts).join(sizes, "qid").withColumn("radius", radius), "floors"
     )
-    asked = durable(queries.drop("k").join(floors, "qid"), "asked")
+    asked = queries.drop("k").join(floors, "qid")
     scanned = B.scanned_trips(N.within_radius(points, asked))
     radii = asked.select("qid", "qseq", F.col("radius").alias("r"))
     limits = B.similarity_bounds(durable(scanned, "scanned"), radii)
@@ -134,7 +137,9 @@ def _ranked(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFram
     return S.rank_within(scores, ["qid"], limit=F.col("k")).select("qid", "rank", "trip_id", "sim")
 
 
-def best_connected_batch(points: DataFrame, queries: DataFrame, wide_points: int = WIDE_POINTS) -> DataFrame:
+def best_connected_batch(
+    points: DataFrame, queries: DataFrame, wide_points: int = WIDE_POINTS, counts: DataFrame | None = None
+) -> DataFrame:
     """(qid, rank, trip_id, sim) for a table of queries, each with its own day and k.
 
     Up to ``wide_points`` query points ride along one scan as columns; a larger batch goes
@@ -142,7 +147,7 @@ def best_connected_batch(points: DataFrame, queries: DataFrame, wide_points: int
     """
     rows = bounded_rows(queries.orderBy("qid", "qseq"), wide_points)
     if not rows:  # too many, or none at all
-        return best_connected_pruned(points, queries)
+        return best_connected_pruned(points, queries, counts)
     scores = S.batch_similarity_wide(points, rows, ["qid"])
     largest_k = max(row["k"] for row in rows)
     return (

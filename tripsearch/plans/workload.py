@@ -36,14 +36,14 @@ def queries_from_sample(points: DataFrame, sample: DataFrame, per_length: int, k
     )
 
 
-def accuracy(points: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
+def accuracy(points: DataFrame, queries: DataFrame, ks: list[int], counts: DataFrame | None = None) -> DataFrame:
     """(m, k, queries, accuracy, mean_sim) averaged over the queries of m points.
 
     accuracy is the mean of sum(sim) / (m * returned); mean_sim leaves out m. One search for
     the largest k serves every k, since its first k rows are the smaller answer.
     """
     sizes = queries.groupBy("qid").agg(F.count("*").alias("m"))
-    answers = best_connected_batch(points, queries)
+    answers = best_connected_batch(points, queries, counts=counts)
     levels = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     per_query = (
         answers.select("qid", "rank", "sim", levels)

@@ -43,6 +43,11 @@ def _once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
 
 
 def kept_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean positions, written once: cutting trips reads them twice with different columns."""
+    return _once(spark, ("kept", sf_dir), lambda: durable(clean_points(spark, sf_dir), "kept"))
+
+
+def clean_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trip_ops.clean_positions(positions.read_events_log(spark, sf_dir))
 
 
@@ -98,7 +103,7 @@ def _scratch(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
 
 
 def gcj_clean(spark, sf_dir):
-    return kept_points(spark, sf_dir)
+    return clean_points(spark, sf_dir)
 
 
 def country_filter(spark, sf_dir):
@@ -373,7 +378,7 @@ def query_sample(spark, sf_dir):
 def kbct_accuracy(spark, sf_dir):
     points = trip_points(spark, sf_dir)
     queries = durable(workload.queries_from_sample(points, query_sample(spark, sf_dir), 10, 8), "workload")
-    found = workload.accuracy(points, queries, [3, 4, 5, 6, 7, 8])
+    found = workload.accuracy(points, queries, [3, 4, 5, 6, 7, 8], density(spark, sf_dir))
     return found.withColumn("accuracy", F.round("accuracy", 6)).withColumn("mean_sim", F.round("mean_sim", 6))
 
 
