@@ -401,6 +401,10 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             one as (select *, max(e1) {_RUN} as m1 from gains),
             two as (select *, max(e2 + m1) {_RUN} as m2 from one)
             select trip_id, round(max(e3 + m2), 9) as value from two group by trip_id""",
+        "ordered_topk": f"""{day}{_GAINS},
+            one as (select *, max(e1) {_RUN} as m1 from gains),
+            two as (select *, max(e2 + m1) {_RUN} as m2 from one)
+            select trip_id, round(max(e3 + m2), 9) as value from two group by trip_id order by 2 desc, 1 limit 20""",
         "sim_ordered_rec": f"""{day}{_GAINS},
             sums as (select *, sum(e1) {_RUN} as s1, sum(e2) {_RUN} as s2, sum(e3) {_RUN} as s3 from gains),
             first_turn as (select *, greatest(0, max(s1 - s2) {_RUN}) as t1 from sums),

@@ -11,7 +11,8 @@ from tripsearch.operators import nearest as N
 from tripsearch.operators import similarity as S
 from tripsearch.storage import bounded_rows, durable
 
-WIDE_POINTS = 64
+WIDE_POINTS = 96  # one min() column each, within what whole-stage code generation takes
+QUERY_SCHEMA = "qid int, qseq int, qlng double, qlat double, day string, k int"
 SEED_FACTOR = 4
 EVERYWHERE = 1000.0  # degrees; a radius that reaches every point
 
@@ -137,6 +138,17 @@ def _ranked(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFram
     return S.rank_within(scores, ["qid"], limit=F.col("k")).select("qid", "rank", "trip_id", "sim")
 
 
+def best_connected_points(
+    points: DataFrame, query: list[tuple[float, float]], k: int, day=None, counts: DataFrame | None = None
+) -> DataFrame:
+    """(trip_id, sim) of the k best trips for one list of points of any length."""
+    if len(query) <= WIDE_POINTS:
+        return S.best_connected(points, query, k, day)
+    rows = [(0, i, float(x), float(y), day, k) for i, (x, y) in enumerate(query)]
+    table = points.sparkSession.createDataFrame(rows, QUERY_SCHEMA).withColumn("day", F.col("day").cast("date"))
+    return best_connected_pruned(points, table, counts).orderBy("rank").select("trip_id", "sim")
+
+
 def best_connected_batch(
     points: DataFrame, queries: DataFrame, wide_points: int = WIDE_POINTS, counts: DataFrame | None = None
 ) -> DataFrame:

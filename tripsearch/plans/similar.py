@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.operators import edit, ordered, outline, similarity
-from tripsearch.storage import bounded_rows
+from tripsearch.plans import search
+from tripsearch.storage import bounded_rows, durable
 
 MEASURES = ("unordered", *ordered.MEASURES, "edwp")
 DISTANCES = ("lcss", "edwp")
 LONGEST_QUERY = 4096
+SEED_FACTOR = 4
 
 
 def query_points(trip: DataFrame, limit: int = LONGEST_QUERY) -> list[tuple[float, float]]:
@@ -30,15 +32,60 @@ def scores(points: DataFrame, query: list[tuple[float, float]], measure: str, lo
     return ordered.ordered_scores(points, query, measure, longest=longest).select("trip_id", "value")
 
 
-def top_by_measure(points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered", longest: int | None = None) -> DataFrame:
-    """The k best trips by a measure: nearest first for distances, most similar first otherwise."""
-    return similarity.top_trips(
-        scores(points, query, measure, longest), k, "value", largest=measure not in DISTANCES
-    )
+def best_possible(points: DataFrame, query: list[tuple[float, float]], measure: str) -> DataFrame:
+    """(trip_id, value) no worse than the trip's score, from one scan without ordering.
+
+    Dropping the order can only help: ``ordered`` is at most the order-free similarity, and
+    a common subsequence is no longer than the number of query points the trip passes.
+    """
+    if measure == "ordered":
+        return similarity.trip_similarity(points, query).withColumnRenamed("sim", "value")
+    near = ordered.LCSS_THRESHOLD
+    passed = [
+        F.max(((F.abs(F.col("lng") - x) <= near) & (F.abs(F.col("lat") - y) <= near)).cast("int")).alias(f"p{i}")
+        for i, (x, y) in enumerate(query)
+    ]
+    shorter = F.least(F.col("n"), F.lit(len(query)))
+    total = F.lit(0)
+    for i in range(len(query)):
+        total = total + F.col(f"p{i}")
+    either_single = (F.col("n") == 1) | F.lit(len(query) == 1)
+    value = F.when(either_single, 0.0).otherwise(1 - F.least(total, shorter) / shorter)
+    return points.groupBy("trip_id").agg(F.count("*").alias("n"), *passed).select("trip_id", value.alias("value"))
+
+
+def top_by_measure(
+    points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered", longest: int | None = None
+) -> DataFrame:
+    """The k best trips by a measure: nearest first for distances, most similar first otherwise.
+
+    For ``ordered`` and ``lcss`` the array walk is kept to trips that can still make it: the
+    k-th score among the most promising trips rules out every trip whose best possible score
+    is worse. Ties stay in, so the answer is exact.
+    """
+    largest = measure not in DISTANCES
+    if measure not in ("ordered", "lcss") or not query or len(query) > search.WIDE_POINTS:
+        return similarity.top_trips(scores(points, query, measure, longest), k, "value", largest)
+    hopes = durable(best_possible(points, query, measure), "best-possible")
+    first = durable(similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest), "promising")
+
+    def walked(trips: DataFrame) -> DataFrame:
+        return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure, longest)
+
+    floor = similarity.top_trips(walked(first), k, "value", largest).agg(
+        F.count("*").alias("n"), (F.min("value") if largest else F.max("value")).alias("value")
+    ).first()
+    if floor["n"] == k:
+        slack = 1e-8
+        keep = F.col("value") >= floor["value"] - slack if largest else F.col("value") <= floor["value"] + slack
+        hopes = hopes.where(keep)
+    return similarity.top_trips(walked(hopes), k, "value", largest)
 
 
-def best_connected_to_trip(points: DataFrame, trip_id: str, k: int = 3, day=None, longest: int | None = None) -> DataFrame:
+def best_connected_to_trip(
+    points: DataFrame, trip_id: str, k: int = 3, day=None, longest: int | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Outline a trip with a fine tolerance and search with the points that remain."""
     trip = points.where(F.col("trip_id") == trip_id)
     query = query_points(outline.outline_trips(trip, outline.SEARCH_EPSILON, longest=longest))
-    return similarity.best_connected(points, query, k, day)
+    return search.best_connected_points(points, query, k, day, counts)

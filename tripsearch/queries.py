@@ -13,7 +13,7 @@ from tripsearch.operators import trips as trip_ops
 from tripsearch.oracle import DAY_GAP, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import ingest, search, similar, workload
 from tripsearch.sources import positions, requests, tables
-from tripsearch.storage import durable, shared_folder
+from tripsearch.storage import durable, new_folder
 from tripsearch.streaming import live
 
 # Literal query batch: (qid, points, day, k).
@@ -93,7 +93,7 @@ def _scratch(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
     """Folder of files that a query first writes and then reads back."""
     key = (spark.sparkContext.applicationId, "files", name, sf_dir)
     if key not in _TABLES:
-        path = f"{shared_folder(spark)}/tripsearch/{name}-{abs(hash(key))}"
+        path = new_folder(spark, name)
         write(path)
         _TABLES[key] = path
     return _TABLES[key]
@@ -282,7 +282,9 @@ def kbct_split(spark, sf_dir):
 
 def kbct_by_trip(spark, sf_dir):
     points = trip_points(spark, sf_dir)
-    return similar.best_connected_to_trip(points, _top_trip(points), longest=longest_trip(spark, sf_dir))
+    return similar.best_connected_to_trip(
+        points, _top_trip(points), longest=longest_trip(spark, sf_dir), counts=density(spark, sf_dir)
+    )
 
 
 def _asked(spark, lam=None) -> DataFrame:
@@ -412,6 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sim_ordered_dp": _measure("ordered_dp"),
     "sim_ordered_par": _measure("ordered_all"),
     "lcss": _measure("lcss"),
+    "ordered_topk": _top("ordered"),
     "lcss_topk": _top("lcss"),
     "edwp": _measure("edwp"),
     "edwp_topk": _top("edwp"),

@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, grouped by application so it can be cleared as one."""
+    return f"{shared_folder(spark)}/tripsearch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -37,7 +42,7 @@ def durable(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = (
     Spark broadcasts the table only when it is in fact small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tripsearch/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +10,11 @@ from pyspark.sql import functions as F
 from tripsearch.operators.trips import GAP_SECONDS, clean_positions, continue_trips
 from tripsearch.sources import tables
 from tripsearch.sources.positions import positions_from_events
-from tripsearch.storage import shared_folder
+from tripsearch.storage import new_folder
 
 CARRY_SCHEMA = "obd_id string, last_us bigint, r int, n bigint"
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tripsearch/{name}-{uuid.uuid4().hex}"
-
-
 def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean positions from the ``events`` files as a stream."""
     path = f"{sf_dir}/events.parquet"
@@ -40,7 +35,11 @@ def table_stream(table: DataFrame) -> DataFrame:
 
 
 def trip_summaries(positions: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str = "1 hour") -> DataFrame:
-    """(obd_id, first_ts, last_ts, n) of each trip, sent out once no point can still join it."""
+    """(obd_id, first_ts, last_ts, n) of each trip, sent out once no point can still join it.
+
+    Sessions are merged inside each input task first, so a busy user sends few rows.
+    """
+    positions.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = positions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return (
         timed.groupBy("obd_id", F.session_window("ts", f"{gap_seconds} seconds").alias("span"))
@@ -52,7 +51,7 @@ def trip_summaries(positions: DataFrame, gap_seconds: int = GAP_SECONDS, delay:
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over the input there is now, append its rows to a table and read it."""
     spark = stream.sparkSession
-    folder = _new_folder(spark, name)
+    folder = new_folder(spark, name)
     (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
@@ -69,7 +68,7 @@ def number_points(positions: DataFrame, gap_seconds: int = GAP_SECONDS, folder:
     under the batch number: a batch that is run again overwrites its own files only.
     """
     spark = positions.sparkSession
-    folder = folder or _new_folder(spark, "numbering")
+    folder = folder or new_folder(spark, "numbering")
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -93,7 +92,7 @@ def number_points(positions: DataFrame, gap_seconds: int = GAP_SECONDS, folder:
 def append_index(points: DataFrame, folder: str | None = None, city: str = "shanghai", **trigger) -> str:
     """Append each micro-batch of trip points to the grid-ordered point index."""
     spark = points.sparkSession
-    folder = folder or _new_folder(spark, "live-index")
+    folder = folder or new_folder(spark, "live-index")
 
     def step(batch: DataFrame, number: int) -> None:
         tables.write_point_index(batch, f"{folder}/index/batch={number}", city)
