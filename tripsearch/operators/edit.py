@@ -7,154 +7,147 @@ pays for at most one more hop of the other list, then the walk ends.
 
 The walk is sequential by nature, and its state is one small row per trip. Trips are cut
 into blocks; each round feeds the next block of every unfinished trip, so no task holds
-more than one block of a trip, and trips within one block take one round.
+more than one block of a trip, and trips within one block take one round. Inside a task the
+trips of an Arrow batch step together as numpy vectors: as an array fold the branching step
+took 65 microseconds of a core, this way well under one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsearch.functions import geo
-from tripsearch.functions.folds import let, point_array
 from tripsearch.storage import durable
 
-BLOCK_POINTS = 4096
-
-
-def _point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("lng"), y.cast("double").alias("lat"))
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return geo.degrees_apart(a["lng"], a["lat"], b["lng"], b["lat"])
-
-
-def _same(a: Column, b: Column) -> Column:
-    return (a["lng"] == b["lng"]) & (a["lat"] == b["lat"])
-
-
-def _project(a: Column, b: Column, p: Column) -> Column:
-    """Foot of p on the line a-b; a when a = b."""
-    t = F.coalesce(
-        geo.foot_fraction(p["lng"], p["lat"], a["lng"], a["lat"], b["lng"], b["lat"]), F.lit(0.0)
-    )
-    return let(t, lambda t: _point(a["lng"] + t * (b["lng"] - a["lng"]), a["lat"] + t * (b["lat"] - a["lat"])))
-
-
-def _state(i, j, head_r, head_s, cost, done) -> Column:
-    return F.struct(
-        i.alias("i"), j.alias("j"), head_r.alias("r"), head_s.alias("s"), cost.alias("cost"), done.alias("done")
-    )
-
-
-def _move(hop: Column, foot: Column, other: Column) -> Column:
-    """Cost of matching hop.a .. foot against other.a .. other.b."""
-    ends = _apart(hop["a"], other["a"]) + _apart(foot, other["b"])
-    covered = _apart(hop["a"], foot) + _apart(other["a"], other["b"])
-    return ends * covered
-
-
-def _tail_cost(hop: Column, single: Column) -> Column:
-    return (_apart(hop["a"], single) + _apart(hop["b"], single)) * _apart(hop["a"], hop["b"])
-
-
-def _step(state: Column, path: Column, query: Column, m: int, more_blocks: Column) -> Column:
-    i, j, cost = state["i"], state["j"], state["cost"]
-    r_more, s_more = i < F.size(path), j < m
-    hop_r = F.struct(state["r"].alias("a"), F.get(path, i).alias("b"))
-    hop_s = F.struct(state["s"].alias("a"), F.get(query, j).alias("b"))
-
-    def finish(extra: Column) -> Column:
-        return _state(i, j, state["r"], state["s"], cost + extra, F.lit(True))
-
-    def both(hr: Column, hs: Column) -> Column:
-        def choose(c: Column) -> Column:
-            new_r = ~_same(c["pr"], hr["a"]) & ~_same(c["pr"], hr["b"])
-            new_s = ~_same(c["ps"], hs["a"]) & ~_same(c["ps"], hs["b"])
-            stop_on_r = _state(
-                F.when(new_r, i).otherwise(i + 1), j + 1,
-                F.when(new_r, c["pr"]).otherwise(hr["b"]), hs["b"], cost + c["cost_r"], F.lit(False),
+BLOCK_POINTS = 1024
+_STATE = "j int, rx double, ry double, sx double, sy double, cost double, done boolean"
+
+
+def _apart(a, b):
+    return np.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2)
+
+
+def _foot(a, b, p):
+    """Foot of p on the line a-b (rows of x and y); a where a = b."""
+    d = b - a
+    span = (d * d).sum(axis=0)
+    t = np.divide((d * (p - a)).sum(axis=0), span, out=np.zeros_like(span), where=span > 0)
+    return a + t * d
+
+
+def _between(foot, a, b):
+    """Whether the foot is a new point, at neither end of the hop."""
+    return (foot != a).any(axis=0) & (foot != b).any(axis=0)
+
+
+def _walk(path, i, end, more, query, j, r, s, cost, done) -> None:
+    """Advance every trip in place until it is done or waits for its next block.
+
+    ``path`` is the points of all trips end to end, i and end each trip's next point and
+    limit in it; r and s are the current heads of trip and query.
+    """
+    m = query.shape[1]
+    live = np.flatnonzero(~done & ((i < end) | ~more))
+    while live.size:
+        r_more, s_more = i[live] < end[live], j[live] < m
+        last = live[~(r_more & s_more)]
+        if last.size:
+            r_more, s_more = i[last] < end[last], j[last] < m
+            ahead = np.where(r_more, path[:, np.minimum(i[last], path.shape[1] - 1)], query[:, np.minimum(j[last], m - 1)])
+            head = np.where(r_more, r[:, last], s[:, last])
+            single = np.where(r_more, s[:, last], r[:, last])
+            tail = (_apart(head, single) + _apart(ahead, single)) * _apart(head, ahead)
+            cost[last] += np.where(r_more | s_more, tail, 0.0)
+            done[last] = True
+        live = live[~done[live]]
+        if not live.size:
+            return
+        a, b, c, d = r[:, live], path[:, i[live]], s[:, live], query[:, j[live]]
+        on_r, on_s = _foot(a, b, d), _foot(c, d, b)
+        heads = _apart(a, c)
+        stop_r = (heads + _apart(on_r, d)) * (_apart(a, on_r) + _apart(c, d))
+        stop_s = (heads + _apart(on_s, b)) * (_apart(c, on_s) + _apart(a, b))
+        by_r = stop_r < stop_s
+        cut_r, cut_s = by_r & _between(on_r, a, b), ~by_r & _between(on_s, c, d)
+        cost[live] += np.where(by_r, stop_r, stop_s)
+        r[:, live], s[:, live] = np.where(cut_r, on_r, b), np.where(cut_s, on_s, d)
+        i[live] += ~cut_r
+        j[live] += ~cut_s
+        live = live[(i[live] < end[live]) | ~more[live]]
+
+
+def _walk_batches(query: list[tuple[float, float]]):
+    points = np.array(query, dtype=float).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            xs = batch.column("xs")
+            ends = np.cumsum(np.diff(xs.offsets.to_numpy()))
+            path = np.stack([xs.flatten().to_numpy(), batch.column("ys").flatten().to_numpy()])
+            fresh = get("fresh").astype(bool)
+            begin = np.concatenate(([0], ends[:-1]))
+            r = np.where(fresh, path[:, begin], np.stack([get("rx"), get("ry")]))
+            s = np.stack([get("sx"), get("sy")]).copy()
+            j, cost, done = get("j").astype(np.int64), get("cost").copy(), np.zeros(len(ends), dtype=bool)
+            _walk(path, begin + fresh, ends, get("more").astype(bool), points, j, r, s, cost, done)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("trip_id"), pa.array(j, pa.int32()), *map(pa.array, (r[0], r[1], s[0], s[1], cost, done))],
+                ["trip_id", "j", "rx", "ry", "sx", "sy", "cost", "done"],
             )
-            stop_on_s = _state(
-                i + 1, F.when(new_s, j).otherwise(j + 1),
-                hr["b"], F.when(new_s, c["ps"]).otherwise(hs["b"]), cost + c["cost_s"], F.lit(False),
-            )
-            return F.when(c["cost_r"] < c["cost_s"], stop_on_r).otherwise(stop_on_s)
-
-        feet = F.struct(
-            _project(hr["a"], hr["b"], hs["b"]).alias("pr"), _project(hs["a"], hs["b"], hr["b"]).alias("ps")
-        )
-        return let(feet, lambda f: let(
-            F.struct(
-                f["pr"].alias("pr"), f["ps"].alias("ps"),
-                _move(hr, f["pr"], hs).alias("cost_r"), _move(hs, f["ps"], hr).alias("cost_s"),
-            ),
-            choose,
-        ))
-
-    waits = ~r_more & more_blocks
-    return F.when(state["done"] | waits, state).otherwise(
-        let(hop_r, lambda hr: let(hop_s, lambda hs: (
-            F.when(~r_more & ~s_more, finish(F.lit(0.0)))
-            .when(~s_more, finish(_tail_cost(hr, state["s"])))
-            .when(~r_more, finish(_tail_cost(hs, state["r"])))
-            .otherwise(both(hr, hs))
-        )))
-    )
 
-
-def _walk(path: Column, start: Column, query: list[tuple[float, float]], more_blocks: Column) -> Column:
-    m = len(query)
-    steps = F.sequence(F.lit(1), F.size(path) + m + 1)
-    points = point_array(query)
-    return F.aggregate(steps, start, lambda state, _: _step(state, path, points, m, more_blocks))
+    return run
 
 
 def edit_distances(
     points: DataFrame, query: list[tuple[float, float]], block_points: int = BLOCK_POINTS,
     longest: int | None = None,
 ) -> DataFrame:
-    """(trip_id, value): EDwP of every trip to the query trip."""
+    """(trip_id, value): EDwP of every trip to the query trip.
+
+    ``longest`` is the number of positions of the longest trip where the caller knows it;
+    it bounds the number of rounds.
+    """
     if not query:
         return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
     if longest is None:
         longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
     rounds = -(-longest // block_points)
     block = F.floor(F.col("seq") / block_points).cast("bigint")
-    # The trip's first point is the first head, so a block is walked from its second point on
-    # in round 0 and from its first point on later.
-    blocks = points.groupBy("trip_id", block.alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("path")
-    ).withColumn("path", F.transform("path", lambda p: _point(p["lng"], p["lat"])))
+    path = F.array_sort(F.collect_list(F.struct("seq", "lng", "lat")))
+    blocks = points.groupBy("trip_id", block.alias("block")).agg(path.alias("path")).select(
+        "trip_id", "block", F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys")
+    )
     if rounds > 1:
         blocks = durable(blocks, "edit-blocks")
         last = durable(blocks.groupBy("trip_id").agg(F.max("block").alias("last")), "edit-last")
-    head_s = _point(F.lit(query[0][0]), F.lit(query[0][1]))
-    start = _state(F.lit(1), F.lit(1), F.get("path", F.lit(0)), head_s, F.lit(0.0), F.lit(False))
-    current = blocks.where(F.col("block") == 0) if rounds > 1 else blocks
-    current = current.withColumn("start", start)
+    nothing, (sx, sy) = F.lit(0.0), query[0]
+    current = blocks.where(F.col("block") == 0).select(
+        "trip_id", "xs", "ys", F.lit(1).alias("j"), nothing.alias("rx"), nothing.alias("ry"),
+        F.lit(float(sx)).alias("sx"), F.lit(float(sy)).alias("sy"), nothing.alias("cost"), F.lit(True).alias("fresh"),
+    )
     finished = []
     for number in range(rounds):
-        more = F.lit(False)
         if rounds > 1:
-            current, more = current.join(last, "trip_id"), F.col("last") > number
-        state = current.select("trip_id", _walk(F.col("path"), F.col("start"), query, more).alias("state"))
+            current = current.join(last, "trip_id").withColumn("more", F.col("last") > number).drop("last")
+        else:
+            current = current.withColumn("more", F.lit(False))
+        state = current.mapInArrow(_walk_batches(query), f"trip_id string, {_STATE}")
         if number + 1 < rounds:
             state = durable(state, "edit-state")
-        finished.append(state.where(F.col("state.done")).select("trip_id", F.col("state.cost").alias("value")))
-        if number + 1 < rounds:
-            waiting = state.where(~F.col("state.done"))
-            if waiting.isEmpty():
-                break
-            start = _state(
-                F.lit(0), F.col("state.j"), F.col("state.r"), F.col("state.s"), F.col("state.cost"), F.lit(False)
-            )
-            current = (
-                blocks.where(F.col("block") == number + 1)
-                .join(waiting, "trip_id")
-                .select("trip_id", "block", "path", start.alias("start"))
-            )
+        finished.append(state.where("done").select("trip_id", F.col("cost").alias("value")))
+        waiting = state.where("not done").drop("done")
+        if number + 1 == rounds or waiting.isEmpty():
+            break
+        current = blocks.where(F.col("block") == number + 1).drop("block").join(waiting, "trip_id").withColumn(
+            "fresh", F.lit(False)
+        )
     result = finished[0]
     for part in finished[1:]:
         result = result.unionByName(part)

@@ -21,13 +21,24 @@ SEARCH_EPSILON = 1e-4
 
 def _farthest(path: Column, start: Column, end: Column) -> Column:
     """(index, distance) of the first farthest point strictly between two positions."""
-    a, b = F.get(path, start), F.get(path, end)
-    inner = F.slice(path, start + 2, F.greatest(end - start - 1, F.lit(0)))
-    away = F.transform(
-        inner, lambda p: geo.line_distance(p["lng"], p["lat"], a["lng"], a["lat"], b["lng"], b["lat"])
-    )
+
+    def ends(a: Column, b: Column) -> Column:
+        dx, dy = b["lng"] - a["lng"], b["lat"] - a["lat"]
+        return F.struct(
+            a["lng"].alias("x"), a["lat"].alias("y"), dx.alias("dx"), dy.alias("dy"),
+            F.sqrt(dx * dx + dy * dy).alias("length"),
+        )
+
+    def away(chord: Column) -> Column:
+        x, y, dx, dy, length = (chord[name] for name in ("x", "y", "dx", "dy", "length"))
+        inner = F.slice(path, start + 2, F.greatest(end - start - 1, F.lit(0)))
+        to_line = F.transform(inner, lambda p: F.abs(dx * (y - p["lat"]) - (x - p["lng"]) * dy) / length)
+        to_point = F.transform(inner, lambda p: geo.degrees_apart(p["lng"], p["lat"], x, y))
+        return F.when(length > 0, to_line).otherwise(to_point)
+
+    chord = let(F.get(path, start), lambda a: let(F.get(path, end), lambda b: ends(a, b)))
     return let(
-        away,
+        let(chord, away),
         lambda d: let(
             F.coalesce(F.array_max(d), F.lit(0.0)),
             lambda top: F.struct(
@@ -68,13 +79,16 @@ def outline_positions(path: Column, epsilon: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(2 * n - 3, F.lit(1))), start, step)["kept"]
 
 
-def _piece_outline(pieces: DataFrame, epsilon: float) -> DataFrame:
-    """Kept (trip_id, seq) of bounded pieces given as (trip_id, piece, seq, lng, lat)."""
-    paths = pieces.groupBy("trip_id", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("path")
+def _piece_outline(pieces: DataFrame, keys: list[str], epsilon: float) -> DataFrame:
+    """Kept rows of bounded pieces; whole rows travel in the piece's array, so nothing is joined back."""
+    others = [name for name in pieces.columns if name not in (*keys, "seq", "lng", "lat")]
+    paths = pieces.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", F.struct(*others).alias("rest")) if others
+                                    else F.struct("seq", "lng", "lat"))).alias("path")
     )
-    kept = F.transform(outline_positions(F.col("path"), epsilon), lambda i: F.get(F.col("path"), i)["seq"])
-    return paths.select("trip_id", F.explode(kept).alias("seq"))
+    kept = F.transform(outline_positions(F.col("path"), epsilon), lambda i: F.get(F.col("path"), i))
+    rows = paths.select(*keys, F.inline(kept))
+    return rows.select(*keys, "seq", "lng", "lat", "rest.*") if others else rows
 
 
 def _split_long(points: DataFrame, epsilon: float, piece_points: int):
@@ -127,15 +141,12 @@ def outline_trips(
     """
     if longest is None:
         longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
-    flat = points.select("trip_id", F.lit(0).cast("bigint").alias("piece"), "seq", "lng", "lat")
     if longest <= piece_points:
-        kept = _piece_outline(flat, epsilon)
-    else:
-        small, cuts = _split_long(points, epsilon, piece_points)
-        kept = _piece_outline(small[0], epsilon)
-        for pieces in small[1:]:
-            kept = kept.unionByName(_piece_outline(pieces, epsilon))
-        for ends in cuts:
-            kept = kept.unionByName(ends)
-        kept = kept.distinct()
-    return points.join(kept, ["trip_id", "seq"], "left_semi")
+        return _piece_outline(points, ["trip_id"], epsilon).select(*points.columns)
+    small, cuts = _split_long(points, epsilon, piece_points)
+    kept = cuts.pop() if cuts else points.select("trip_id", "seq").limit(0)
+    for ends in cuts:
+        kept = kept.unionByName(ends)
+    for pieces in small:
+        kept = kept.unionByName(_piece_outline(pieces, ["trip_id", "piece"], epsilon).select("trip_id", "seq"))
+    return points.join(kept.distinct(), ["trip_id", "seq"], "left_semi")
