@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import math
 import os
 import sys
 import time
@@ -30,7 +29,7 @@ def plain(value):
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return repr(value)  # doubles must agree to the last digit
     return value
 
 
@@ -39,9 +38,8 @@ def rows_of(columns, rows):
     return sorted(columns), sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> str | None:
+def compare(con, df, sql: str | None) -> str | None:
     """None when equal, else what differs."""
-    df = query(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
     if sql is None:
         return None
@@ -68,7 +66,7 @@ if __name__ == "__main__":
             continue
         began = time.time()
         try:
-            problem = compare(session, con, folder, name, query, sqls.get(name))
+            problem = compare(con, query(session, folder), sqls.get(name))
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         print(f"{name:22s} {time.time() - began:6.1f}s  {problem or 'ok'}", flush=True)

@@ -12,7 +12,7 @@ from tripsearch.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "tests")
+    return local_session("8", "tests", **{"spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture

@@ -13,8 +13,8 @@ PLAIN = {
 
 
 @pytest.mark.parametrize("measure", sorted(PLAIN))
-@pytest.mark.parametrize("block,fanout", [(2, 2), (3, 4), (512, 64)])
-@pytest.mark.parametrize("m", [1, 2, 4])
+@pytest.mark.parametrize("block,fanout", [(2, 3), (512, 64)])
+@pytest.mark.parametrize("m", [1, 4])
 def test_ordered_measures(make_points, measure, block, fanout, m):
     trips = plain.random_trips(14, 9, seed=4)
     got = {
@@ -28,7 +28,7 @@ def test_ordered_measures(make_points, measure, block, fanout, m):
         assert got[trip][1] == pytest.approx(PLAIN[measure](path, QUERY[:m]), abs=1e-9), (trip, len(path))
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
+@pytest.mark.parametrize("block", [3, 4096])
 @pytest.mark.parametrize("m", [1, 2, 4])
 def test_edit_distance(make_points, block, m):
     trips = plain.random_trips(20, 12, seed=8) | {"same": QUERY, "still": [QUERY[0]] * 4, "one": [(121.0, 31.0)]}

@@ -79,6 +79,16 @@ def test_batch_beyond_the_wide_limit(spark, world):
     assert ranks(got) == expected(trips, day, BATCH)
 
 
+def test_points_are_not_shuffled_to_meet_a_small_batch(spark, world):
+    _, _, points = world
+    df = search.best_connected_pruned(points, table(spark, BATCH))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    asked = durable(table(spark, BATCH).withColumn("radius", F.lit(0.1)))
+    plan = nearest.within_radius(points, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_growing_neighbours(spark, world):
     trips, day, points = world
     assert ranks(search.best_connected_lambda(points, table(spark, BATCH[:3]))) == expected(trips, day, BATCH[:3])
@@ -110,7 +120,7 @@ def neighbours(trips, day, q, d, lam):
     return near[:lam]
 
 
-@pytest.mark.parametrize("lam", [1, 7, 60, 1000])
+@pytest.mark.parametrize("lam", [1, 60, 1000])
 def test_nearest_points(spark, world, lam):
     trips, day, points = world
     got = nearest.nearest_points(points, durable(table(spark, BATCH).withColumn("lam", F.lit(lam)))).collect()
@@ -123,7 +133,7 @@ def test_nearest_points(spark, world, lam):
             assert found.get((qid, i), []) == want
 
 
-@pytest.mark.parametrize("radius", [0.0, 0.004, 0.03, 0.2, 90.0])
+@pytest.mark.parametrize("radius", [0.0, 0.03, 90.0])
 def test_within_radius(spark, world, radius):
     trips, day, points = world
     asked = durable(table(spark, BATCH).withColumn("radius", F.lit(radius)))

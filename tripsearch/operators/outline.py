@@ -8,6 +8,8 @@ task ever holds more than one bounded piece.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,10 +145,12 @@ def outline_trips(
         longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
     if longest <= piece_points:
         return _piece_outline(points, ["trip_id"], epsilon).select(*points.columns)
-    small, cuts = _split_long(points, epsilon, piece_points)
-    kept = cuts.pop() if cuts else points.select("trip_id", "seq").limit(0)
-    for ends in cuts:
-        kept = kept.unionByName(ends)
-    for pieces in small:
-        kept = kept.unionByName(_piece_outline(pieces, ["trip_id", "piece"], epsilon).select("trip_id", "seq"))
-    return points.join(kept.distinct(), ["trip_id", "seq"], "left_semi")
+    sizes = points.groupBy("trip_id").agg(F.count("*").alias("n"))
+    long_trips = durable(sizes.where(F.col("n") > piece_points).select("trip_id"), "outline-long")
+    long_points = points.join(long_trips, "trip_id", "left_semi")
+    small, cuts = _split_long(long_points, epsilon, piece_points)
+    kept = [ends.select("trip_id", "seq") for ends in cuts]
+    kept += [_piece_outline(pieces, ["trip_id", "piece"], epsilon).select("trip_id", "seq") for pieces in small]
+    long_kept = long_points.join(reduce(DataFrame.unionByName, kept).distinct(), ["trip_id", "seq"], "left_semi")
+    short_kept = _piece_outline(points.join(long_trips, "trip_id", "left_anti"), ["trip_id"], epsilon)
+    return short_kept.select(*points.columns).unionByName(long_kept.select(*points.columns))

@@ -122,7 +122,7 @@ def trip_catalog(points: DataFrame) -> DataFrame:
 
 def known_users(users: DataFrame, catalog: DataFrame) -> DataFrame:
     """Users that own at least one trip."""
-    return users.join(catalog.select("obd_id"), "obd_id", "left_semi")
+    return users.join(catalog.select("obd_id").distinct(), "obd_id", "left_semi")
 
 
 def trip_polyline(points: DataFrame, block: int = 1024) -> DataFrame:

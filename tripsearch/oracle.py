@@ -332,8 +332,8 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "path_length": f"""{day} select trip_id, count(*) as n, round(coalesce(sum(hop), 0), 4) as length_m from (
             select trip_id, {_haversine('lng', 'lat', 'lead(lng) over w', 'lead(lat) over w')} as hop
             from pts window w as (partition by trip_id order by seq)) group by trip_id""",
-        "headings": f"""{two_day}{_FEATURES} select trip_id, seq, chunk, round(heading, 6) as heading, round(nhc, 6) as nhc,
-            round(ahc, 6) as ahc, round(abs(nhc) + abs(ahc), 6) as hc, round(nd, 4) as nd from featured""",
+        "headings": f"""{two_day}{_FEATURES} select trip_id, seq, chunk, round(heading, 6) + 0e0 as heading, round(nhc, 6) + 0e0 as nhc,
+            round(ahc, 6) + 0e0 as ahc, round(abs(nhc) + abs(ahc), 6) as hc, round(nd, 4) as nd from featured""",
         "segment_weights": f"""{two_day}{_FEATURES} select trip_id, chunk, segment, round(seg_w, 9) as seg_w, headcount
             from budgeted""",
         "ts_simplify": f"{two_day}{_FEATURES} select trip_id, day, seq, lng, lat from simplified",

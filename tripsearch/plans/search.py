@@ -89,14 +89,16 @@ def best_connected_pruned(points: DataFrame, queries: DataFrame, counts: DataFra
     floors = durable(
         seed_scores(points, queries, counts).join(sizes, "qid").withColumn("radius", radius), "floors"
     )
-    asked = queries.drop("k").join(floors, "qid")
+    # Written tables carry their real size, so the joins with the points broadcast them when
+    # they are small; the size Spark guesses for a join of two small tables is their product.
+    asked = durable(queries.drop("k").join(floors, "qid"), "asked")
     scanned = B.scanned_trips(N.within_radius(points, asked))
     radii = asked.select("qid", "qseq", F.col("radius").alias("r"))
     limits = B.similarity_bounds(durable(scanned, "scanned"), radii)
     survivors = (
         limits.join(floors, "qid").where(F.col("ub") >= tau - 1e-9).select("qid", "trip_id")
     )
-    return _ranked(points, survivors, queries)
+    return _ranked(points, durable(survivors, "survivors"), queries)
 
 
 def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:

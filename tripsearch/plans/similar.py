@@ -78,7 +78,7 @@ def top_by_measure(
     if floor["n"] == k:
         slack = 1e-8
         keep = F.col("value") >= floor["value"] - slack if largest else F.col("value") <= floor["value"] + slack
-        hopes = hopes.where(keep)
+        hopes = durable(hopes.where(keep), "still-possible")
     return similarity.top_trips(walked(hopes), k, "value", largest)
 
 

@@ -385,7 +385,9 @@ def kbct_accuracy(spark, sf_dir):
 
 
 def stream_trip_summary(spark, sf_dir):
-    return live.run_to_table(live.trip_summaries(live.position_stream(spark, sf_dir)), "trip-summary")
+    found = live.run_to_table(live.trip_summaries(live.position_stream(spark, sf_dir)), "trip-summary")
+    naive = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("first_ts", "last_ts")]
+    return found.select("obd_id", *naive, "n")
 
 
 def stream_numbering(spark, sf_dir):
