@@ -17,7 +17,7 @@ def folder():
 
 
 def test_raw_log(spark, folder):
-    with open(f"{folder}/vehicle_gps_log_2015-04.txt", "w") as f:
+    with open(f"{folder}/log.txt", "w") as f:
         f.write("1,x,P1,121.40,31.20,0,0,0,2015-04-01 00:00:10,extra\n")
         f.write("2,x,P1,200.00,31.20,0,0,0,2015-04-01 00:00:20\n")  # outside the country
         f.write("3,x,P2,bad,31.20,0,0,0,2015-04-01 00:00:20\n")
