@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.llm import impact, urls, warc
+from tripsearch.llm import impact, kneser, toxic, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    labels = _table(spark, sf_dir, "labels").filter(~held_out)
+    return toxic.toxicity(_table(spark, sf_dir, "documents"), labels).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "flagged",
+    )
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return impact.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
@@ -29,8 +42,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return kneser.quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op5_topk": op5_topk,
     "op6_url_filters": op6_url_filters,
     "op7_warc": op7_warc,
+    "op10_quality": op10_quality,
 }
