@@ -2,7 +2,8 @@
 
 ``write_archives`` lets Spark's own text writer produce the archives, one gzip stream per file.
 ``normalise`` inflates each file once as a stream, rewrites every record as its own gzip member
-and returns the sidecar offset index. ``read_members`` reads records back through that index.
+and writes the offset index as a sidecar file (JSON lines) beside each archive. ``read_members`` reads
+records back through the sidecars.
 
 Defined results: a null payload is empty and a null URL is written as an empty target. Of records
 with equal payloads (same SHA-1 and length) the one with the largest id is the response; rows that
@@ -12,6 +13,7 @@ always responses. Extra columns are ignored. An empty table gives no records.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -143,9 +145,9 @@ def fields(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def normalise(spark: SparkSession, source: str, target: str, level: int = 6) -> DataFrame:
-    """Rewrite the archives under ``source`` into ``target``; the sidecar index, as written.
+    """Rewrite the archives under ``source`` into ``target``; the sidecar index, as a table.
 
-    Each task writes its file under its own attempt's name first, so a repeated attempt replaces
+    Each task writes its files under its own attempt's name first, so a repeated attempt replaces
     whole files only.
     """
     ship(spark)
@@ -156,34 +158,40 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 6) ->
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = os.path.basename(path).split(".")[0] + ".warc.gz"
-                rows, offset, draft = [], 0, f"{root}/.{name}.{attempt}"
-                with store.open_output_stream(draft, compression=None) as out:
+                name = os.path.basename(path).split(".")[0]
+                offset, count, draft = 0, 0, f"{root}/.{name}.{attempt}"
+                with store.open_output_stream(draft, compression=None) as out, store.open_output_stream(f"{draft}.index", compression=None) as side:
                     for record in records(inflated(content.as_py())):
                         packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = packer.compress(record) + packer.flush()
                         out.write(member)
                         at = fields(record)[0]
-                        rows.append((f"{target}/{name}", offset, len(member), at["warc-record-id"], at["warc-type"], at["warc-target-uri"], at["warc-payload-digest"]))
-                        offset += len(member)
-                store.move(draft, f"{root}/{name}")
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names) if rows else empty
+                        row = (f"{name}.warc.gz", offset, len(member), at["warc-record-id"], at["warc-type"], at["warc-target-uri"], at["warc-payload-digest"])
+                        side.write((json.dumps(dict(zip(names, row))) + "\n").encode())
+                        offset, count = offset + len(member), count + 1
+                store.move(draft, f"{root}/{name}.warc.gz")
+                store.move(f"{draft}.index", f"{root}/{name}.cdxj")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([count])], ["archive", "members"])
 
     names = [x.split()[0] for x in INDEX.split(", ")]
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64() if "long" in x else pa.string()) for x in INDEX.split(", ")], names)
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
-    return durable(archives.mapInArrow(rewrite, INDEX), "warc-index")
+    durable(archives.mapInArrow(rewrite, "archive string, members long"), "warc-files")
+    return spark.read.schema(INDEX).option("pathGlobFilter", "*.cdxj").json(target)
 
 
-def read_members(spark: SparkSession, index: DataFrame, target: str) -> DataFrame:
-    """Every indexed record, each inflated alone from its offset."""
+def read_members(spark: SparkSession, target: str) -> DataFrame:
+    """Every record that the sidecars list, each inflated alone from its offset."""
     ship(spark)
 
     def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(target)
         for batch in batches:
-            for content, members in zip(batch.column(0), batch.column(1)):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sidecar = f"{root}/{os.path.basename(path).split('.')[0]}.cdxj"
+                with store.open_input_stream(sidecar, compression=None) as side:
+                    members = [json.loads(line) for line in side.read().splitlines()]
                 data, rows, held = memoryview(content.as_py()), [], 0
-                for m in members.as_py():
+                for m in members:
                     record = zlib.decompress(data[m["member_offset"] : m["member_offset"] + m["member_length"]], 31)
                     at, block = fields(record)
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -203,15 +211,7 @@ def read_members(spark: SparkSession, index: DataFrame, target: str) -> DataFram
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in RECORDS.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target)
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    # an archive holds one write task's records, so its list of members is bounded like its file
-    members = index.groupBy(name(F.col("archive")).alias("file")).agg(
-        F.array_sort(F.collect_list(F.struct("member_offset", "member_length"))).alias("members")
-    )
-    return (
-        files.select(name(F.col("path")).alias("file"), "content").join(members, "file")
-        .select("content", "members").mapInArrow(open_members, RECORDS)
-    )
+    return files.select("path", "content").mapInArrow(open_members, RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -219,6 +219,6 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_archives(pages, f"{folder}/streams", least_bytes)
-    target = f"{folder}/members"
-    index = normalise(spark, f"{folder}/streams", target if "://" in target or target.startswith("file:") else f"file://{target}")
-    return read_members(spark, index, target)
+    target = f"{folder}/members" if ":/" in folder else f"file://{folder}/members"
+    normalise(spark, f"{folder}/streams", target)
+    return read_members(spark, target)
