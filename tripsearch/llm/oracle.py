@@ -57,5 +57,21 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
   case when page_id < max(page_id) over w then 'revisit' else 'response' end as record_type,
   case when page_id < max(page_id) over w then max(page_id) over w end as refers_to
 from r window w as (partition by payload)
+""",
+    "op9_decontamination": """
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents
+), i as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from benchmark
+), lengths as (select distinct least(len(w), 5) as m from i where len(w) > 0
+), item as (
+  select distinct item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: w[k:k + least(len(w), 5) - 1])) as s
+  from i where len(w) > 0
+), doc as (
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda k: w[k:k + m - 1])) as s
+  from d, lengths where len(w) >= m
+), n as (select item_id, count(*) as n_item from item group by 1)
+select doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
+from doc join item using (s) join n using (item_id) group by 1, 2, 3 having 100 * count(*) >= 75 * n_item
 """,
 }

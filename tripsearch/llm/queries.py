@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.llm import impact, kneser, toxic, urls, warc
+from tripsearch.llm import decontam, impact, kneser, raking, toxic, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     labels = _table(spark, sf_dir, "labels").filter(~held_out)
@@ -42,15 +46,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
     return kneser.quality(_table(spark, sf_dir, "documents"), trusted)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op5_topk": op5_topk,
     "op6_url_filters": op6_url_filters,
     "op7_warc": op7_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
