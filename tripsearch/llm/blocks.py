@@ -119,11 +119,12 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> tu
     long = np.repeat(counts >= size, made)
     out = np.zeros(len(first), np.uint64)
     out[long] = mix_full[first[long]]
-    for row in np.flatnonzero((counts > 0) & (counts < size)):
-        value = np.uint64(counts[row])
-        for j, h in enumerate(hashes[offsets[row] : offsets[row + 1]]):
-            value = value + h * np.uint64(pow(ROOT, 2 * j + 3, 2**64) | 1)
-        out[out_offsets[row]] = mix(np.array([value], np.uint64))[0]
+    for short in range(1, size):
+        rows = np.flatnonzero(counts == short)
+        value = np.full(len(rows), short, np.uint64)
+        for j in range(short):
+            value += hashes[offsets[rows] + j] * np.uint64(pow(ROOT, 2 * j + 3, 2**64) | 1)
+        out[out_offsets[rows]] = mix(value)
     return out, out_offsets
 
 

@@ -57,6 +57,26 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
   case when page_id < max(page_id) over w then 'revisit' else 'response' end as record_type,
   case when page_id < max(page_id) over w then max(page_id) over w end as refers_to
 from r window w as (partition by payload)
+""",
+    "op8_jaccard": """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+    else list_transform(range(1, len(w) - 3), lambda k: w[k:k + 4]) end) as s from d
+), n as (select doc_id, count(*) as n from s group by 1
+), rare as (select s from s group by s having count(*) > 1
+), kept as (select doc_id, s from s join rare using (s)
+), links as (
+  select a.doc_id as a, b.doc_id as b from kept a join kept b on a.s = b.s and a.doc_id <> b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by 1, 2, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), reach(doc_id, other) as (
+  select doc_id, doc_id from d union select reach.doc_id, links.b from reach join links on links.a = reach.other
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(other) as component_id
+from d join reach using (doc_id) left join n using (doc_id) group by 1, 2
 """,
     "op9_decontamination": """
 with d as (
