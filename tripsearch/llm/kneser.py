@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
+from tripsearch.llm.byids import semi
 from tripsearch.llm.ship import ship
 from tripsearch.storage import durable
 
@@ -158,7 +159,8 @@ def quality(
     """
     trusted = trusted.select(F.col(key).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    learnt = rows.join(trusted.filter(~is_held_out(F.col("doc_id"))), "doc_id", "left_semi")
+    trusted = durable(trusted, "trusted")
+    learnt = semi(rows, trusted.filter(~is_held_out(F.col("doc_id"))), "doc_id")
     counts = durable(count_grams(learnt), "gram-counts")
     scores = durable(perplexities(docs, log_model(counts), key), "perplexities")
     held = scores.join(trusted.filter(is_held_out(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity is not null")
