@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripsearch.llm.byids import semi
 from tripsearch.storage import durable
 
 SHINGLE = 5
@@ -91,9 +92,9 @@ def contained(
     candidates = durable(
         probes.join(sketch.select("shingle", "item_id"), "shingle").select(F.col("row_key").alias("doc_id"), "item_id").distinct(), "candidates"
     )
-    chosen = candidates.select(F.col("doc_id").alias(key)).distinct()
+    chosen = durable(candidates.select(F.col("doc_id").alias(key)).distinct(), "candidate-ids")
     every = reduce(lambda a, b: F.concat(a, b), [runs("words", m) for m in highest])
-    held = with_words(docs.select(key, text).join(chosen, key, "left_semi"), key, text)
+    held = with_words(semi(docs.select(key, text), chosen, key), key, text)
     sizes = sketch.select("item_id", F.col("n").alias("n_item"), "need").distinct()
     return (
         held.select(F.col("row_key").alias("doc_id"), F.explode(F.array_distinct(every)).alias("shingle"))
@@ -107,4 +108,4 @@ def contained(
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = LEAST, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no item; rows without an id stay."""
     found = durable(contained(docs, items, least, key).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return docs.join(found, key, "left_anti")
+    return semi(docs, found, key, "left_anti")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
+from tripsearch.llm.byids import semi
 from tripsearch.llm.links import components
 from tripsearch.llm.ship import ship
 from tripsearch.storage import durable
@@ -293,7 +294,7 @@ def token_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataF
                     ["doc_id", "tokens"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).join(chosen, "doc_id", "left_semi")
+    rows = semi(docs.select(F.col(key).cast("long").alias("doc_id"), text), chosen, "doc_id")
     return rows.mapInArrow(run, "doc_id long, tokens binary")
 
 
@@ -390,4 +391,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` that are the smallest id of their component; rows without an id stay."""
     found = join_classes(docs, key, text)
     gone = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "near-copies")
-    return docs.join(gone, key, "left_anti")
+    return semi(docs, gone, key, "left_anti")
