@@ -3,6 +3,21 @@
 from __future__ import annotations
 
 ORACLE_SQL = {
+    "op4_substring_words": """
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), win as (
+  select doc_id, unnest(range(1, len(w) - 48)) as i, unnest(list_transform(range(1, len(w) - 48), lambda k: sha256(array_to_string(w[k:k + 49], ' ')))) as h
+  from d where len(w) >= 50
+), least as (select h, min(doc_id) as m from win group by h having min(doc_id) <> max(doc_id)
+), gone as (select distinct win.doc_id, i + k as j from win join least using (h), range(0, 50) t(k) where win.doc_id > m
+), per as (select doc_id, list(j) as js, count(*) as n from gone group by 1
+)
+select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed,
+  sha256(coalesce(array_to_string(case when n is null then w
+    else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: not list_contains(js, p[2])), lambda p: p[1]) end, ' '), '')) as kept_sha256
+from d left join per using (doc_id)
+""",
     "op5_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
