@@ -78,7 +78,7 @@ def _powers(size: int, base: int) -> np.ndarray:
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    size = CHUNK_BYTES * 2
+    size = CHUNK_BYTES + (CHUNK_BYTES >> 3)
     while size < n:
         size *= 2
     return _powers(size, base)[:n]

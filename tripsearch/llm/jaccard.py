@@ -43,8 +43,10 @@ LEAST = 75
 #: Tokens of a block that more than so many of its documents hold count as common.
 COMMON = 2
 #: Signatures that one task of the index handles, and that one block packs.
-PER_TASK = 3_000_000
-PER_BLOCK = 1_500_000
+PER_TASK = 1_500_000
+PER_BLOCK = 500_000
+#: Bands of up to so many segments have the one-deletion neighbourhoods of all of them.
+SMALL = 40
 FINE = 5  # targets per task: evens out how rows are dealt
 
 
@@ -65,8 +67,8 @@ def bands(largest: int) -> np.ndarray:
 
 
 def segments_of(ends: np.ndarray, fineness: int) -> np.ndarray:
-    """Number of segments of every band."""
-    return (ends[1:] * 5 // 14 + 7) * fineness
+    """Number of segments of every band: enough that H + 1 of them nearly always hold tokens."""
+    return (ends[1:] * 5 // 14 + 12) * fineness
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -122,7 +124,8 @@ class Segmented:
         self.row_of = np.repeat(np.arange(len(self.rows)), parts)
         self.number = np.arange(before[-1]) - before[self.row_of]
         self.name = blocks.mix(salt[self.row_of] + self.number.astype(np.uint64))
-        self.designated = self.number < np.maximum(1, parts // 64)[self.row_of]
+        # all segments of small sets, where tokens may crowd; few of large ones, where they do not
+        self.designated = self.number < np.where(parts <= SMALL, parts, np.maximum(1, parts // 64))[self.row_of]
         self.keep = keep
 
     def signatures(self, places: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -150,7 +153,7 @@ class Segmented:
         row = self.row_of[places]
         good = weight[places] > 0
         n_good = np.bincount(row[good], minlength=rows)
-        twice = self.designated & (self.count > 1) & (weight > 0)
+        twice = self.designated & (self.count > 1)
         n_twice = np.bincount(self.row_of[twice], minlength=rows)
         scarce = n_good < need
         wanted = np.where(scarce, np.maximum(need - n_twice, n_good), need)
@@ -160,7 +163,8 @@ class Segmented:
         rank[order] = np.arange(len(places)) - first[row[order]]
         chosen = np.zeros(len(self.count), bool)
         chosen[places[rank < wanted[row]]] = True
-        return chosen, twice & scarce[self.row_of], np.bincount(row, minlength=rows) < wanted
+        twice &= scarce[self.row_of]
+        return chosen | twice, twice, np.bincount(row, minlength=rows) < wanted
 
 
 def rare_tokens(tokens: np.ndarray) -> np.ndarray:
@@ -220,7 +224,7 @@ def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: st
                 for places, signatures in (s.exact(), s.deletions()):
                     held.append((signatures, 2 * own[s.rows[s.row_of[places]]]))
                 size += sum(len(x[0]) for x in held[-4:])
-                if len(seen) > 2_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 if size >= PER_BLOCK:
                     yield pack(held)

@@ -29,7 +29,7 @@ from tripsearch.llm.ship import ship
 from tripsearch.storage import durable
 
 #: Pieces that one block packs, and bytes of text per task of the exchange.
-PER_BLOCK = 1_000_000
+PER_BLOCK = 400_000
 TEXT_PER_TASK = 24 << 20
 FINE = 5
 #: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows.
