@@ -85,7 +85,8 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 @lru_cache
-def _letters(seed: int, fold: bool) -> np.ndarray:
+def letter_values(seed: int, fold: bool = False) -> np.ndarray:
+    """A random number for every byte."""
     table = np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
     if fold:
         table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
@@ -96,7 +97,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """A 64-bit hash of each word, the same for equal words anywhere; ``fold`` lower-cases A-Z."""
     base = (ROOT * (2 * seed + 1)) % 2**64 | 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters(seed, fold)[data] * powers(len(data), base), out=sums[1:])
+    np.cumsum(letter_values(seed, fold)[data] * powers(len(data), base), out=sums[1:])
     back = powers(len(data) + 1, pow(base, -1, 2**64))
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(ROOT))
 

@@ -3,6 +3,25 @@
 from __future__ import annotations
 
 ORACLE_SQL = {
+    "op3_substring_bytes": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents
+), win as (
+  select doc_id, i, hash(substr(x, 2 * i + 1, 100)) as h, substr(x, 2 * i + 1, 100) as s from d, lateral unnest(range(0, n - 49)) t(i)
+), least as (select h, s, min(doc_id) as m from win group by h, s having min(doc_id) <> max(doc_id)
+), hits as (select win.doc_id, i from win join least using (h, s) where win.doc_id > m
+), gone as (select distinct doc_id, i + k as j from hits, range(0, 50) t(k)
+), spans as (
+  select doc_id, count(*) as n_removed, sum(case when prev is null or prev < j - 1 then 1 else 0 end) as n_spans
+  from (select doc_id, j, lag(j) over (partition by doc_id order by j) as prev from gone) group by 1
+), kept as (
+  select d.doc_id, string_agg(substr(x, 2 * i + 1, 2), '' order by i) as k
+  from d join spans using (doc_id), lateral unnest(range(0, n)) t(i)
+  where not exists (select 1 from gone where gone.doc_id = d.doc_id and gone.j = t.i) group by 1
+)
+select d.doc_id, cast(n as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when n_removed is null then x else coalesce(k, '') end)) as kept_sha256
+from d left join spans using (doc_id) left join kept using (doc_id)
+""",
     "op4_substring_words": """
 with d as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.llm import decontam, impact, jaccard, kneser, raking, recompress, toxic, urls, warc
+from tripsearch.llm import decontam, impact, jaccard, kneser, raking, recompress, suffix, toxic, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.deduplicate(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -66,6 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_bytes": op3_substring_bytes,
     "op4_substring_words": op4_substring_words,
     "op5_topk": op5_topk,
     "op6_url_filters": op6_url_filters,

@@ -113,14 +113,14 @@ def content(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) ->
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """row, anchor, print, first window, number of windows: runs of windows with one anchor."""
+    """row, anchor, print, first window, number of windows, sides (all alike): runs of windows with one anchor."""
     starts, ends, at = blocks.words(data, offsets)
     names = blocks.word_hashes(data, starts, ends)
     counts = np.maximum(np.diff(at) - window + 1, 0)
     row = np.repeat(np.arange(len(counts)), counts)
     none = np.zeros(0, np.int64)
     if not len(row):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
     begin = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(row))
     sums = prefix(names, BASE)
     parse = Parse(names, at)
@@ -146,7 +146,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple
     first = np.flatnonzero(new)
     number = np.diff(np.append(first, len(row)))
     prints = content(sums, BASE, begin[first], begin[first] + number + window - 1)
-    return row[first], anchor[first], prints, begin[first] - at[row[first]], number
+    return row[first], anchor[first], prints, begin[first] - at[row[first]], number, np.ones(len(first), np.uint64)
 
 
 def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:

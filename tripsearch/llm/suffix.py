@@ -1,56 +1,240 @@
 """Substring deduplication of bytes: shards of repeated text, sorted by external induced sorting.
 
 Windows of ``WINDOW`` bytes are dealt by content: the least hash of the ``GRAM``-byte strings inside a
-window anchors it, so equal windows meet in one shard. The pieces that the exchange cannot settle
-whole become the text of the shards. A shard's suffixes are sorted by induction from its S* suffixes
-(those that start an ascent after a descent), with common-prefix values carried along; suffixes
-whose common prefix reaches the window are equal windows.
+window anchors it, so equal windows meet in one shard. A piece whose content repeats whole is settled
+there. Of the others, a first piece stays open only if another one with its anchor agrees on what
+lies left or right of the anchor as far as one side of any common window must reach. The open
+pieces become the shards' text: their suffixes are sorted by external induced sorting
+(``induce``), and where the common prefix of neighbours reaches the window, the windows are equal.
+A byte is removed if a window that covers it also starts in a document with a smaller id, judged on the input.
+
+Defined results: null and empty texts have no bytes. Rows without an id keep everything and are compared
+with nothing. Rows that repeat an id are judged apart, and not against each other. What is left may
+not be UTF-8, so the kept text is binary. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tripsearch.llm import blocks
+from tripsearch.llm import blocks, induce, windows
+from tripsearch.llm.ship import ship
 
 WINDOW = 50
-GRAM = 16
+GRAM = 12
 CHUNK = 512 << 10
 BASE = blocks.ROOT * 5 % 2**64 | 1
-LETTERS_SEED = 3
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """row, anchor, print, first window, number of windows: runs of windows with one anchor."""
+    """row, anchor, print, first window, number of windows, sides: runs of windows with one anchor at one place."""
     none = np.zeros(0, np.int64)
     counts = np.maximum(np.diff(offsets) - window + 1, 0)
     n = len(data)
     if not counts.sum():
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(blocks._letters(LETTERS_SEED, False)[data] * blocks.powers(n, BASE), out=sums[1:])
+    np.cumsum(blocks.letter_values(3)[data] * blocks.powers(n, BASE), out=sums[1:])
     back = blocks.powers(n + 1, pow(BASE, -1, 2**64))
-    least = blocks.mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
+    grams = blocks.mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     # minima of 1, 2, 4, ... neighbours, then of all grams inside a window
-    wide, step = window - gram + 1, 1
+    wide, step, least = window - gram + 1, 1, grams
     while 2 * step <= wide:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
-    least = np.minimum(least[: n - window + 1], least[wide - step : wide - step + n - window + 1])
-    inside = np.zeros(n + 1, np.int64)
-    has = counts > 0
-    np.add.at(inside, offsets[:-1][has], 1)
-    np.add.at(inside, offsets[:-1][has] + counts[has], -1)
-    valid = np.cumsum(inside)[: n - window + 1] > 0
+    total = n - window + 1
+    least = np.minimum(least[:total], least[wide - step : wide - step + total])
+    valid = np.zeros(n + 1, np.int64)
+    has = np.flatnonzero(counts)
+    np.add.at(valid, offsets[has], 1)
+    np.add.at(valid, offsets[has] + counts[has], -1)
+    valid = np.cumsum(valid)[:total] > 0
     new = valid.copy()
     new[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
-    starts = offsets[:-1][has]
-    new[starts] = True
-    stop = np.flatnonzero(new | ~valid)
+    new[offsets[has]] = True
     first = np.flatnonzero(new)
-    after = np.append(stop, n - window + 1)
-    number = after[np.searchsorted(after, first, "right")] - first
+    stop = np.append(np.flatnonzero(new | ~valid), total)
+    end = stop[np.searchsorted(stop, first, "right")]
+    # a run ends where its anchor's place leaves the window; the next place of the same gram goes on
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(first):
+        place = first + (grams[first[:, None] + np.arange(wide)] == least[first][:, None]).argmax(axis=1)
+        cut = np.minimum(end, place + 1)
+        found.append((first, cut, place))
+        more = cut < end
+        first, end = cut[more], end[more]
+    first, end, place = (np.concatenate(x) for x in zip(*found))
     row = np.searchsorted(offsets, first, "right") - 1
-    end = first + number + window - 1
-    prints = blocks.mix((sums[end] - sums[first]) * back[first] + number.astype(np.uint64))
-    return row, least[first], prints, first - offsets[row], number
+    number = end - first
+
+    def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inside = (a >= offsets[row]) & (b <= offsets[row + 1])
+        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+        # 0 stands for a text that ends before: no common window reaches there
+        return np.where(inside, blocks.mix((sums[b] - sums[a]) * back[a]) % np.uint64(65535) + np.uint64(1), np.uint64(0))
+
+    reach = (window - gram) // 2
+    sides = code(place - reach, place) | code(place + gram, place + gram + reach) << np.uint64(16)
+    stop = first + number + window - 1
+    prints = blocks.mix((sums[stop] - sums[first]) * back[first] + number.astype(np.uint64))
+    return row, least[first], prints, first - offsets[row], number, sides
+
+
+def cut_pieces(texts: DataFrame, window: int) -> DataFrame:
+    """anchor, doc_id, tag, first, piece of every open run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = blocks.text_bytes(batch.column(2))
+            runs = batch.column(3)
+            flat, row = runs.flatten(), np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+            first, number = flat.field("first").to_numpy(), flat.field("number").to_numpy()
+            start, raw = offsets[row] + first, memoryview(data.tobytes())
+            size = number + window - 1
+            for a in range(0, len(row), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        flat.field("anchor").slice(a, 100_000), pa.array(ids[row[part]]), pa.array(tags[row[part]]), pa.array(first[part]),
+                        pa.array([raw[x : x + y] for x, y in zip(start[part].tolist(), size[part].tolist())], pa.binary()),
+                    ],
+                    ["anchor", "doc_id", "tag", "first", "piece"],
+                )
+
+    return texts.mapInArrow(run, "anchor long, doc_id long, tag long, first long, piece binary")
+
+
+def repeated_windows(pieces: np.ndarray, offsets: np.ndarray, doc: np.ndarray, window: int, memory: int = induce.MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, window in it) of every window that also starts in a piece of a smaller document.
+
+    ``pieces`` holds the letters (bytes + 1) of all pieces, a 0 after each; ``offsets`` has their starts and the end.
+    """
+    size = np.diff(offsets) - 1
+    piece_of = induce.vector(len(pieces), np.int32, memory)
+    for a in range(0, len(size), induce.BATCH):
+        b = min(len(size), a + induce.BATCH)
+        piece_of[offsets[a] : offsets[b]] = np.repeat(np.arange(a, b, dtype=np.int32), size[a:b] + 1)
+    out_piece, out_first = [], []
+
+    def settle(at: np.ndarray, same: np.ndarray) -> None:
+        group = np.cumsum(~same) - 1
+        owner = piece_of[at]
+        starts = np.flatnonzero(~same)
+        least = np.minimum.reduceat(doc[owner], starts)
+        hit = doc[owner] > least[group]
+        out_piece.append(owner[hit])
+        out_first.append(at[hit] - offsets[owner[hit]])
+
+    def agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether the common prefix reaches the window, compared a stretch at a time."""
+        left = np.arange(len(one))
+        for step in range(0, window, 10):
+            span = np.arange(step, min(window, step + 10))
+            same = (pieces[one[left][:, None] + span] == pieces[two[left][:, None] + span]).all(axis=1)
+            left = left[same]
+        out = np.zeros(len(one), bool)
+        out[left] = True
+        return out
+
+    rest = np.zeros(0, np.int64)
+    for batch in induce.sorted_suffixes(pieces, window, memory):
+        owner = piece_of[batch]
+        whole = batch - offsets[owner] + window <= size[owner]
+        at = np.concatenate([rest, batch[whole]])
+        if not len(at):
+            continue
+        same = np.concatenate([[False], agree(at[1:], at[:-1])])
+        # the last group may go on in the next batch; of a long one its smallest document is enough
+        last = int(np.flatnonzero(~same)[-1])
+        settle(at[:last], same[:last]) if last else None
+        rest = at[last:]
+        if len(rest) > induce.BATCH:
+            settle(rest, np.concatenate([[False], np.ones(len(rest) - 1, bool)]))
+            owners = piece_of[rest]
+            rest = rest[[int(np.argmin(doc[owners]))]]
+    if len(rest):
+        settle(rest, np.concatenate([[False], np.ones(len(rest) - 1, bool)]))
+    if not out_piece:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_piece), np.concatenate(out_first)
+
+
+def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
+    """The open windows that also start in a smaller document, by the suffix order of their shard."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, parts = [], []
+        for batch in batches:
+            columns.append([c.to_numpy() for c in batch.columns[1:4]])
+            data, offsets = blocks.text_bytes(batch.column(4))
+            count = len(offsets) - 1
+            letters = np.zeros(len(data) + count, np.uint16)
+            letters[np.arange(len(data)) + np.repeat(np.arange(count), np.diff(offsets))] = data.astype(np.uint16) + 1
+            parts.append((letters, np.diff(offsets) + 1))
+        if not parts:
+            return
+        doc, tag, first = (np.concatenate(x) for x in zip(*columns))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+        shard = induce.vector(int(offsets[-1]), np.uint16, induce.MEMORY)
+        at = 0
+        for letters, _ in parts:
+            shard[at : at + len(letters)] = letters
+            at += len(letters)
+        del parts
+        piece, inside = repeated_windows(shard, offsets, doc, window)
+        # neighbouring windows of a piece leave as one run
+        order = np.lexsort((inside, piece))
+        piece, inside = piece[order], inside[order]
+        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1)]) if len(piece) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[piece[starts]]), pa.array(tag[piece[starts]]), pa.array(first[piece[starts]] + inside[starts]), pa.array(np.diff(np.append(starts, len(piece))))],
+            ["doc_id", "tag", "first", "number"],
+        )
+
+    shards = cut_pieces(texts, window).repartition(tasks, "anchor")
+    return shards.mapInArrow(sort, "doc_id long, tag long, first long, number long")
+
+
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, tag, text) and, for those that lose bytes, their removed runs of windows."""
+    if window < 2 * GRAM:
+        raise ValueError(f"windows of at least {2 * GRAM} bytes")
+    rows = windows.tagged(docs, key, text)
+    return rows, windows.removed_runs(rows, partial(pieces, window=window), CHUNK, partial(settle, window=window))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, kept (bytes), n_bytes, n_removed, n_spans, spans (start, end), kept_sha256 of every row."""
+    ship(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, data, offsets in blocks.chunks(batch.column(2)):
+                kept, lost, spans = [], [], []
+                for i, hit in enumerate(windows.coverage(batch.column(3).slice(begin, end - begin), np.diff(offsets), window)):
+                    own = data[offsets[i] : offsets[i + 1]]
+                    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+                    spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
+                    lost.append(int(hit.sum()))
+                    kept.append(own[~hit].tobytes() if lost[-1] else own.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(begin, end - begin), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(lost, pa.int64()),
+                        pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                    ],
+                    ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"],
+                )
+
+    rows, gone = removed(docs, key, text, window)
+    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
+    return windows.with_runs(rows, gone).mapInArrow(cut, schema)

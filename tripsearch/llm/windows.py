@@ -6,7 +6,9 @@ pieces meet by anchor, packed, one binary row per block and target. Where they m
 
 - a piece whose content also occurs in a document with a smaller id is removed whole;
 - the first piece of each content stays *open* if its anchor comes with several contents: some of its
-  windows may still occur in a smaller document. Only these windows are compared one by one.
+  windows may still occur in a smaller document. Only these windows are compared one by one. A kernel
+  may give *sides*, two codes of 16 bits: pieces of one anchor that agree on neither share no
+  window and do not stay open for each other; code 0 agrees with none.
 
 A content that one task meets many times is sent on once, from its smallest document; the others are
 settled where they are found, so no target gathers a hot passage.
@@ -32,8 +34,8 @@ from tripsearch.storage import durable
 PER_BLOCK = 400_000
 TEXT_PER_TASK = 24 << 20
 FINE = 5
-#: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows.
-PLANES = (5, 6, 8, 4, 4, 4)
+#: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows, sides.
+PLANES = (5, 6, 8, 4, 4, 4, 4)
 RUNS = "doc_id long, tag long, first long, number long, anchor long, open boolean"
 
 
@@ -62,16 +64,16 @@ def unpacked(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
 def emit(rows: DataFrame, kernel: Kernel, targets: int, chunk: int) -> DataFrame:
-    """(target, settled, pieces) of every text. ``kernel``: (bytes, offsets) to row, anchor, print, first, number."""
+    """(target, settled, pieces) of every text. ``kernel``: (bytes, offsets) to row, anchor, print, first, number, sides."""
 
     def pack(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        anchor, content, doc, tag, first, number = (np.concatenate(x) for x in zip(*held))
+        anchor, content, doc, tag, first, number, sides = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((doc, content, anchor))
-        anchor, content, doc, tag, first, number = (x[order] for x in (anchor, content, doc, tag, first, number))
+        anchor, content, doc, tag, first, number, sides = (x[order] for x in (anchor, content, doc, tag, first, number, sides))
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
         least = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         settled = doc > doc[least]
@@ -83,7 +85,7 @@ def emit(rows: DataFrame, kernel: Kernel, targets: int, chunk: int) -> DataFrame
             target = ((by >> np.uint64(40)) % np.uint64(targets)).astype(np.uint32)
             order = np.lexsort((doc[use], target))
             use, target = use[order], target[order]
-            table = planes(anchor[use], content[use], doc[use], tag[use], first[use], number[use])
+            table = planes(anchor[use], content[use], doc[use], tag[use], first[use], number[use], sides[use])
             cuts = np.flatnonzero(np.diff(target.astype(np.int64), prepend=-1))
             ends = np.append(cuts, len(use))
             yield pa.RecordBatch.from_arrays(
@@ -99,8 +101,8 @@ def emit(rows: DataFrame, kernel: Kernel, targets: int, chunk: int) -> DataFrame
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for begin, _, data, offsets in blocks.chunks(batch.column(2), chunk):
-                row, anchor, content, first, number = kernel(data, offsets)
-                held.append((anchor, content, ids[begin + row].astype(np.int64), tags[begin + row].astype(np.int64), first, number))
+                row, anchor, content, first, number, sides = kernel(data, offsets)
+                held.append((anchor, content, ids[begin + row].astype(np.int64), tags[begin + row].astype(np.int64), first, number, sides))
                 size += len(row)
                 if size >= PER_BLOCK:
                     yield from pack(held)
@@ -118,25 +120,26 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
         held = []
         for batch in batches:
             for target, settled, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                anchor, content, doc, tag, first, number = unpacked(raw.as_py())
+                anchor, content, doc, tag, first, number, sides = unpacked(raw.as_py())
                 if settled:
                     yield answer(doc, tag, first, number, anchor, np.zeros(len(doc), bool))
                 else:
                     # the target stands for the bits of the anchor that were not sent
-                    held.append((anchor | np.uint64(target << 40), content, doc, tag, first, number))
+                    held.append((anchor | np.uint64(target << 40), content, doc, tag, first, number, sides))
         if not held:
             return
-        anchor, content, doc, tag, first, number = (np.concatenate(x) for x in zip(*held))
+        anchor = np.concatenate([x[0] for x in held])
         order = np.argsort(anchor)
         ordered = anchor[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         size = np.diff(np.append(np.flatnonzero(new), len(new)))
         order = order[np.repeat(size > 1, size)]
-        anchor, content, doc, tag, first, number = (x[order] for x in (anchor, content, doc, tag, first, number))
+        anchor, content, doc, tag, first, number, sides = (np.concatenate(x)[order] for x in zip(*held))
+        del held
         if not len(anchor):
             return
         order = np.lexsort((doc, content, anchor))
-        anchor, content, doc, tag, first, number = (x[order] for x in (anchor, content, doc, tag, first, number))
+        anchor, content, doc, tag, first, number, sides = (x[order] for x in (anchor, content, doc, tag, first, number, sides))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_content = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
         at = np.arange(len(anchor))
@@ -145,7 +148,14 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(anchor)))
         several = np.repeat(np.add.reduceat(new_content.astype(np.int64), starts) > 1, sizes)
         several &= np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), sizes)
-        opened = ~removed & several
+        near = np.zeros(len(anchor), bool)
+        for code in (sides & np.uint64(0xFFFF), sides >> np.uint64(16)):
+            order = np.lexsort((code, anchor))
+            a, c = anchor[order], code[order]
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            two = np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts)
+            near[order] |= np.repeat(two, np.diff(np.append(starts, len(a)))) & (c > 0)
+        opened = ~removed & several & near
         use = removed | opened
         yield answer(doc[use], tag[use], first[use], number[use], anchor[use], opened[use])
 
