@@ -180,3 +180,17 @@ def quality(
         .select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), F.exp(steady).alias("steady_perplexity"))
         .withColumn("keep", F.when(F.col("perplexity").isNull(), False).otherwise(F.coalesce(F.col("steady_perplexity") <= F.col("threshold"), F.lit(True))))
     )
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps; of rows without an id those with text.
+
+    An id that repeats goes only if none of its rows is kept.
+    """
+    found = quality(docs, trusted, key, quantile)
+    gone = durable(
+        found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("not keep")
+        .select(F.col("doc_id").alias(key)), "rejected",
+    )
+    nameless = F.col(key).isNotNull() | (F.octet_length(F.col(text)) > 0)
+    return semi(docs.filter(nameless), gone, key, "left_anti")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks, induce, windows
+from tripsearch.llm.byids import semi
 from tripsearch.llm.ship import ship
 
 WINDOW = 50
@@ -238,3 +239,37 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     rows, gone = removed(docs, key, text, window)
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
     return windows.with_runs(rows, gone).mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``text`` less its removed bytes; bytes that are no UTF-8 without their neighbours go too.
+
+    Only rows that lose something are rewritten. ``n_chars``, if there is one, is counted again for them.
+    Rows are told apart by id and, where ids repeat, by text.
+    """
+    ship(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = blocks.text_bytes(batch.column(2))
+            kept = []
+            for i, hit in enumerate(windows.coverage(batch.column(3), np.diff(offsets), window)):
+                kept.append(data[offsets[i] : offsets[i + 1]][~hit].tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["doc_id", "tag", "kept"])
+
+    rows, gone = removed(docs, key, text, window)
+    gone = windows.durable(gone, "removed-runs")
+    ids = windows.durable(gone.select("doc_id").distinct(), "shortened-ids")
+    shorter = semi(rows, ids, "doc_id").join(gone, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
+    shorter = windows.durable(shorter.mapInArrow(cut, "doc_id long, tag long, kept string"), "shortened").dropDuplicates(["doc_id", "tag"])
+    shorter = shorter.select(F.col("doc_id").alias("short_of_id"), F.col("tag").alias("short_of_tag"), F.col("kept").alias("short_text"))
+    # most rows lose nothing: only the others meet the join
+    changed = semi(docs.withColumnRenamed(key, "short_of_id"), ids.withColumnRenamed("doc_id", "short_of_id"), "short_of_id").withColumn(
+        "short_of_tag", windows.tag_of(docs, key, text)
+    )
+    same = semi(docs, ids.withColumnRenamed("doc_id", key), key, "left_anti")
+    joined = changed.join(shorter, ["short_of_id", "short_of_tag"], "left").withColumn(text, F.coalesce("short_text", F.col(text)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        joined = joined.withColumn("n_chars", F.when(F.col("short_text").isNotNull(), F.length("short_text").cast(kind)).otherwise(F.col("n_chars")))
+    return same.unionByName(joined.withColumnRenamed("short_of_id", key).select(*docs.columns))

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
@@ -39,12 +39,16 @@ PLANES = (5, 6, 8, 4, 4, 4, 4)
 RUNS = "doc_id long, tag long, first long, number long, anchor long, open boolean"
 
 
+def tag_of(docs: DataFrame, key: str, text: str) -> Column:
+    """What tells rows with the same id apart: 0 unless ids repeat."""
+    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_of_key")).filter("n_of_key > 1").limit(1).count()
+    return F.pmod(F.xxhash64(text), F.lit(1 << 32)) if repeated else F.lit(0).cast("long")
+
+
 def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, tag, text; the tag is 0 unless ids repeat."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    repeated = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) if repeated else F.lit(0).cast("long")
-    return rows.select("doc_id", tag.alias("tag"), "text")
+    """doc_id, tag, text."""
+    tag = tag_of(docs, key, text)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), tag.alias("tag"), F.col(text).cast("string").alias("text"))
 
 
 def planes(*columns: np.ndarray) -> np.ndarray:
