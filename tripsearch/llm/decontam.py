@@ -75,6 +75,10 @@ def _need(n: Column, least: float) -> Column:
     return F.ceil(n * round(least * 10000) / 10000).cast("long")
 
 
+def _up_to(hashes: Column, top: int) -> Column:
+    return F.filter(hashes, lambda h: h <= F.lit(top))
+
+
 def contained(
     docs: DataFrame, items: DataFrame, least: float = LEAST, key: str = "doc_id", item_key: str = "item_id", text: str = "text"
 ) -> DataFrame:
@@ -87,7 +91,7 @@ def contained(
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
     words = with_words(docs, key, text)
     highest = {m: max(r["ceiling"] for r in ceilings if r["length"] == m) for m in {r["length"] for r in ceilings}}
-    sketched = reduce(lambda a, b: F.concat(a, b), [F.filter(runs("words", m), lambda h, top=top: h <= F.lit(top)) for m, top in highest.items()])
+    sketched = reduce(lambda a, b: F.concat(a, b), [_up_to(runs("words", m), top) for m, top in highest.items()])
     probes = words.select("row_key", F.explode(sketched).alias("shingle"))
     candidates = durable(
         probes.join(sketch.select("shingle", "item_id"), "shingle").select(F.col("row_key").alias("doc_id"), "item_id").distinct(), "candidates"
