@@ -104,7 +104,7 @@ def test_toxicity(labelled):
     assert hits[True, True] >= 0.9 * (hits[True, True] + hits[True, False])
     assert hits[False, False] >= 0.95 * (hits[False, True] + hits[False, False])
     same = [r.score for r in got if r.doc_id in (700, 701)]
-    assert same[0] == same[1]
+    assert abs(same[0] - same[1]) < 1e-6
 
 
 def test_toxicity_reads_nothing_but_text(labelled):
@@ -112,12 +112,13 @@ def test_toxicity_reads_nothing_but_text(labelled):
     network, _, _ = toxic.fit(docs, labels)
     a = toxic.score(docs, network).filter("doc_id >= 0").collect()
     b = toxic.score(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("y")), network).filter("doc_id >= 0").collect()
-    assert Counter((r.doc_id, r.score) for r in a) == Counter((r.doc_id, r.score) for r in b)
+    # the tables' batches differ, and with them the order of float sums
+    assert Counter((r.doc_id, round(r.score, 4)) for r in a) == Counter((r.doc_id, round(r.score, 4)) for r in b)
 
 
 def test_toxicity_with_one_kind_of_label(labelled):
     docs, labels = labelled
-    assert {r.score for r in toxic.toxicity(docs, labels.filter("toxic = 0")).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r.score < 1e-9 for r in toxic.toxicity(docs, labels.filter("toxic = 0")).collect())
 
 
 def test_windows_stay_in_their_document():
