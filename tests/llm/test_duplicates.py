@@ -38,8 +38,8 @@ def test_allocation_covers_every_set():
         tokens = np.sort(rng.integers(0, 2**63, n, np.uint64))
         s = jaccard.Segmented(tokens, np.array([0, n]), ends, 1, 0)
         for rare in (np.ones(n, bool), np.zeros(n, bool)):
-            chosen, twice, short = s.allocate(rare)
-            assert short[0] or chosen.sum() + (chosen & twice).sum() >= 2 * n // 7 + 1
+            chosen, twice, least = s.allocate(rare)
+            assert least[0] >= 1 and chosen.sum() + twice.sum() >= 2 * n // 7 + least[0]
 
 
 def test_one_of_each_keeps_rows_and_columns(odd_docs, odd_rows):

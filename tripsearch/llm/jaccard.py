@@ -10,11 +10,13 @@ when one token differs.
 Allocation by cost: a set indexes, of its segments, those with the most tokens that are rare
 around it; if these are too few it adds the one-deletion neighbourhoods of the band's designated
 segments, and only then segments of common tokens alone. Sets that cannot cover H + 1 make the
-segmentation of all bands finer; this ends, since segments of single tokens always cover it.
+segmentation of all bands finer; this ends, since segments of single tokens always cover it. A set
+that indexes ``MORE`` segments than it must shares that many more signatures with every partner: pairs
+with fewer are no candidates.
 
 Signatures travel packed, grouped by target, one binary row per block and target. Groups of sets that share
 one are deduplicated by their members. Equal sets are one class from the start. Every group is
-first linked as a star; what then lies in different components is compared pair by pair: no
+first linked as a star around its smallest id; what then lies in different components is compared pair by pair: no
 link between different texts is lost, and no pairs are formed within a component.
 
 Defined results: null and empty texts and texts without words have the empty set and link with
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
@@ -40,8 +43,10 @@ from tripsearch.storage import durable
 SHINGLE = 5
 #: 100 * intersection >= LEAST * union. The bound of 2 / 7 above follows from it.
 LEAST = 75
-#: Tokens of a block that more than so many of its documents hold count as common.
+#: Tokens that more than so many documents of a stretch of ``STRETCH`` tokens hold count as common.
 COMMON = 2
+STRETCH = 2_500_000
+MORE = 3
 #: Signatures that one task of the index handles, and that one block packs.
 PER_TASK = 1_500_000
 PER_BLOCK = 500_000
@@ -145,7 +150,10 @@ class Segmented:
         )
 
     def allocate(self, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which segments are indexed, which with their deletions, and which rows are short."""
+        """Which segments are indexed, which with their deletions; the signatures a partner shares at least.
+
+        That number is under 1 for sets that are short.
+        """
         weight = np.bincount(self.place, rare[self.keep].astype(np.float64), len(self.count))
         rows = len(self.rows)
         need = self.sizes * 2 // 7 + 1
@@ -156,7 +164,7 @@ class Segmented:
         twice = self.designated & (self.count > 1)
         n_twice = np.bincount(self.row_of[twice], minlength=rows)
         scarce = n_good < need
-        wanted = np.where(scarce, np.maximum(need - n_twice, n_good), need)
+        wanted = np.where(scarce, np.maximum(need - n_twice, n_good), np.minimum(n_good, need + MORE))
         order = np.lexsort((-weight[places], row))
         rank = np.empty(len(places), np.int64)
         first = np.searchsorted(row, np.arange(rows))  # places ascend by row
@@ -164,7 +172,9 @@ class Segmented:
         chosen = np.zeros(len(self.count), bool)
         chosen[places[rank < wanted[row]]] = True
         twice &= scarce[self.row_of]
-        return chosen | twice, twice, np.bincount(row, minlength=rows) < wanted
+        chosen |= twice
+        units = np.bincount(self.row_of[chosen], minlength=rows) + np.bincount(self.row_of[twice], minlength=rows)
+        return chosen, twice, np.minimum(units - need + 1, MORE + 1)
 
 
 def rare_tokens(tokens: np.ndarray) -> np.ndarray:
@@ -181,8 +191,8 @@ def rare_tokens(tokens: np.ndarray) -> np.ndarray:
 def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: str, text: str) -> DataFrame:
     """(target, signatures, members): packed signatures of every distinct set of a task.
 
-    A member is ``2 * doc_id + 1`` where the set indexes the signature, else ``2 * doc_id``. A set that is
-    short comes as a row with a null target.
+    A member is ``8 * doc_id`` plus, where the set indexes the signature, the number of signatures that a
+    partner shares with it. A set that is short comes as a row with a null target.
     """
 
     def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -205,27 +215,20 @@ def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen, n_short = [], 0, set(), 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, tokens, offsets in set_block(batch.column(1)):
-                # copies that the task has met need no signatures of their own: their class links them
-                prints = row_sums(blocks.mix(tokens ^ np.uint64(0xA5)), offsets), row_sums(blocks.mix(tokens ^ np.uint64(0x5A5A)), offsets)
-                new = np.array([p not in seen and not seen.add(p) for p in zip(prints[0].tolist(), prints[1].tolist())], bool)
-                sizes = np.diff(offsets)
-                tokens, offsets = tokens[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])])
-                own = ids[first:last][new].astype(np.int64)
-                rare = rare_tokens(tokens)
+        for stretch in stretches(batches, seen):
+            rare = rare_tokens(np.concatenate([x[1] for x in stretch]))
+            for own, tokens, offsets in stretch:
+                near, rare = rare[: len(tokens)], rare[len(tokens) :]
                 s = Segmented(tokens, offsets, ends, fineness, 0)
-                chosen, twice, short = s.allocate(rare)
-                n_short += int(short.sum())
+                chosen, twice, least = s.allocate(near)
+                n_short += int((least < 1).sum())
                 for part, flags in ((s.exact(), chosen), (s.deletions(), twice)):
-                    held.append((part[1], 2 * own[s.rows[s.row_of[part[0]]]] + flags[part[0]]))
+                    row = s.row_of[part[0]]
+                    held.append((part[1], 8 * own[s.rows[row]] + np.where(flags[part[0]], least[row], 0)))
                 s = Segmented(tokens, offsets, ends, fineness, 1)
                 for places, signatures in (s.exact(), s.deletions()):
-                    held.append((signatures, 2 * own[s.rows[s.row_of[places]]]))
+                    held.append((signatures, 8 * own[s.rows[s.row_of[places]]]))
                 size += sum(len(x[0]) for x in held[-4:])
-                if len(seen) > 100_000:
-                    seen.clear()
                 if size >= PER_BLOCK:
                     yield pack(held)
                     held, size = [], 0
@@ -234,12 +237,37 @@ def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: st
         if n_short:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], ["target", "signatures", "members"])
 
+    def stretches(batches: Iterator[pa.RecordBatch], seen: set) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Blocks of (ids, tokens, offsets) of sets that the task has not met, ``STRETCH`` tokens at a time."""
+        held, size = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, last, tokens, offsets in set_block(batch.column(1)):
+                # copies that the task has met need no signatures of their own: their class links them
+                prints = row_sums(blocks.mix(tokens ^ np.uint64(0xA5)), offsets), row_sums(blocks.mix(tokens ^ np.uint64(0x5A5A)), offsets)
+                new = np.array([p not in seen and not seen.add(p) for p in zip(prints[0].tolist(), prints[1].tolist())], bool)
+                sizes = np.diff(offsets)
+                tokens, offsets = tokens[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])])
+                own = ids[first:last][new].astype(np.int64)
+                held.append((own, tokens, offsets))
+                size += len(tokens)
+                if len(seen) > 100_000:
+                    seen.clear()
+                if size >= STRETCH:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).filter("doc_id is not null")
     return rows.mapInArrow(run, "target int, signatures binary, members binary")
 
 
 def groups(packed: DataFrame, tasks: int) -> DataFrame:
-    """g, doc_id, indexed: sets that share a signature which one of them indexes; equal groups once."""
+    """g, doc_id, least, times: sets that share ``times`` signatures which one of them indexes.
+
+    ``least`` is 0 for a member that does not index them, else what a partner shares with it at least.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures, members, short = [], [], False
@@ -254,7 +282,7 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
                 signatures.append(wide.view("<u8").ravel() | np.uint64(target << 40))
                 members.append(np.frombuffer(who.as_py(), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
         if short:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], names)
         if not signatures:
             return
         signatures, members = np.concatenate(signatures), np.concatenate(members)
@@ -266,24 +294,28 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
         # a set once per group, as indexed if it is so by any of its signatures
         order = np.lexsort((-members, signatures))
         signatures, members = signatures[order], members[order]
-        once = np.concatenate([[True], (signatures[1:] != signatures[:-1]) | (members[1:] >> 1 != members[:-1] >> 1)]) if len(members) else np.zeros(0, bool)
+        once = np.concatenate([[True], (signatures[1:] != signatures[:-1]) | (members[1:] >> 3 != members[:-1] >> 3)]) if len(members) else np.zeros(0, bool)
         signatures, members = signatures[once], members[once]
-        starts = np.flatnonzero(np.concatenate([[True], signatures[1:] != signatures[:-1]])) if len(members) else np.zeros(0, np.int64)
+        if not len(members):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], signatures[1:] != signatures[:-1]]))
         offsets = np.append(starts, len(members))
         size = np.diff(offsets)
-        indexed = row_sums(members & 1, offsets) if len(starts) else size
-        name = row_sums(blocks.mix(members.view(np.uint64)), offsets) + size.astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
-        use = (size > 1) & (indexed > 0)
-        first = np.zeros(len(name), bool)
-        first[np.unique(name, return_index=True)[1]] = True
-        use &= first
-        keep = np.repeat(use, size)
+        name = row_sums(blocks.mix(members.view(np.uint64)), offsets) + size.astype(np.uint64)
+        use = (size > 1) & (np.maximum.reduceat(members & 7, starts) > 0)
+        _, first, times = np.unique(np.where(use, name, np.uint64(0)), return_index=True, return_counts=True)
+        kept = np.zeros(len(name), np.int64)
+        kept[first] = times
+        kept[~use] = 0
+        keep = np.repeat(kept > 0, size)
+        # groups of different tasks stay apart: their signatures add up
+        task = blocks.mix(np.array([TaskContext.get().partitionId() + 1], np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(members[keep] >> 1), pa.array((members[keep] & 1).astype(bool))], names
+            [pa.array(np.repeat(name ^ task, size)[keep].view(np.int64)), pa.array(members[keep] >> 3), pa.array((members[keep] & 7).astype(np.int32)), pa.array(np.repeat(kept, size)[keep])], names
         )
 
-    names = ["g", "doc_id", "indexed"]
-    return packed.repartition(tasks, "target").mapInArrow(gather, "g long, doc_id long, indexed boolean")
+    names = ["g", "doc_id", "least", "times"]
+    return packed.repartition(tasks, "target").mapInArrow(gather, "g long, doc_id long, least int, times long")
 
 
 def token_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
@@ -346,39 +378,43 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     member = sets.filter("n_shingles > 0 and doc_id is not null").join(classes.filter("copies > 1"), ["n_shingles", "f1", "f2"])
     copies = durable(member.select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
     sizes = classes.select(F.col("rep").alias("of_rep"), F.col("n_shingles").alias("n")).groupBy("of_rep").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    # of a class, the members of a group count once; any of its documents' bounds holds
     rows = durable(
-        shared.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("node"), "indexed")
-        .groupBy("g", "node").agg(F.max("indexed").alias("indexed")), "groups",
+        shared.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("node"), "least", "times")
+        .groupBy("g", "node").agg(F.max("least").alias("least"), F.max("times").alias("times"))
+        .join(sizes, F.col("node") == F.col("of_rep")).drop("of_rep"), "groups",
     )
-    near = F.col("a_most") * 100 >= F.col("b_least") * least
-    near = near & (F.col("b_most") * 100 >= F.col("a_least") * least)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("of_rep").alias(side), F.col("n_least").alias(f"{side}_least"), F.col("n_most").alias(f"{side}_most")), side)
-        return pairs.filter(near)
+    def size_fits(x: str, y: str) -> Column:
+        """Whether ``y`` may be the smaller set of a linked pair."""
+        return (F.col(f"{x}_most") >= F.col(f"{y}_least")) & (F.col(f"{y}_most") * 100 >= F.col(f"{x}_least") * least)
+
+    def side(table: DataFrame, name: str, *more: str) -> DataFrame:
+        return table.select("g", F.col("node").alias(name), F.col("n_least").alias(f"{name}_least"), F.col("n_most").alias(f"{name}_most"), *more)
 
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    # first: every class with the hub of most of its groups
-    hubs = rows.groupBy("g").agg(F.min(F.struct(~F.col("indexed"), F.col("node"))).alias("h"), F.count("*").alias("n")).filter("n > 1").select("g", F.col("h.node").alias("hub"))
-    spokes = rows.join(hubs, "g").filter("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y"), *[c for c in ("g",)])
-    votes = sized(spokes.select("x", "y", *ordered).groupBy("x", "y", "a", "b").agg(F.count("*").alias("votes")))
-    best = votes.groupBy("x").agg(F.max(F.struct("votes", -F.col("y"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    tried = durable(best, "pairs")
+    # first: every class with the hub of most of its signatures
+    hubs = rows.groupBy("g").agg(F.min(F.struct("node", "n_least", "n_most")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("g", "h.*")
+    spokes = side(rows, "x", "times").join(side(hubs, "y"), "g").filter("x <> y").filter(size_fits("x", "y") | size_fits("y", "x"))
+    votes = spokes.groupBy("x", "y").agg(F.sum("times").alias("votes"))
+    best = votes.groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("back"))).alias("p")).select("x", (-F.col("p.back")).alias("y"))
+    tried = durable(best.select(*ordered).distinct(), "pairs")
     found = durable(verified(tried, docs, key, text, least), "found")
     # repeated ids tie their classes together
     same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = components(found.unionByName(same))
-    # then: whatever shares a group across components, but for pairs already compared
+    # then: what shares enough signatures across components, but for pairs already compared
     labelled = durable(
-        rows.join(label, "node", "left").select("g", "node", "indexed", F.coalesce("component", "node").alias("component")), "labelled"
+        rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
     )
     mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
     open_rows = durable(labelled.join(mixed, "g", "left_semi"), "open")
-    left = open_rows.filter("indexed").select("g", F.col("node").alias("x"), F.col("component").alias("cx"))
-    right = open_rows.select("g", F.col("node").alias("y"), F.col("component").alias("cy"))
-    pairs = left.join(right, "g").filter("cx <> cy").select(*ordered).distinct()
-    rest = durable(sized(pairs).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    left = side(open_rows.filter("least > 0"), "x", "least", "times", F.col("component").alias("cx"))
+    right = side(open_rows, "y", F.col("component").alias("cy"))
+    pairs = left.join(right, "g").filter((F.col("cx") != F.col("cy")) & size_fits("x", "y")).groupBy("x", "y").agg(
+        F.sum("times").alias("shared"), F.min("least").alias("least")
+    ).filter("shared >= least").select(*ordered).distinct()
+    rest = durable(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = found.unionByName(same)
     if rest.limit(1).count():
         links = links.unionByName(durable(verified(rest, docs, key, text, least), "found"))
