@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripsearch.llm.ship import ship
+from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 BLOCK = 4096

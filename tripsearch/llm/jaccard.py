@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tripsearch.llm import blocks
 from tripsearch.llm.byids import semi
 from tripsearch.llm.links import components
-from tripsearch.llm.ship import ship
+from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 SHINGLE = 5

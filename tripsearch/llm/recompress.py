@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks, windows
-from tripsearch.llm.ship import ship
+from tripsearch.ship import ship
 
 WINDOW = 50
 ROUNDS = 3

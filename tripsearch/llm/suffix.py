@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks, induce, windows
 from tripsearch.llm.byids import semi
-from tripsearch.llm.ship import ship
+from tripsearch.ship import ship
 
 WINDOW = 50
 GRAM = 12

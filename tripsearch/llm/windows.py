@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
 from tripsearch.llm.byids import semi
-from tripsearch.llm.ship import ship
+from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 #: Pieces that one block packs, and bytes of text per task of the exchange.
