@@ -17,8 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues of an induction hold in memory together.
-MEMORY = 8_000_000
-BATCH = 1_000_000
+MEMORY = 4_000_000
+BATCH = 500_000
 
 
 class Queues:
@@ -85,10 +85,10 @@ def vector(size: int, kind: type, memory: int) -> np.ndarray:
 
 def is_s(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last counts as smaller."""
-    step = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32)).astype(np.int8)
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    after = np.minimum.accumulate(at[::-1])[::-1]  # the next place where the letter changes
-    return np.append(np.append(step, 1)[after] > 0, True)
+    changes = np.flatnonzero(text[1:] != text[:-1])
+    # every letter is as the next place where the letter changes; the last run counts as smaller
+    rises = np.append(text[changes + 1] > text[changes], True)
+    return np.repeat(rises, np.diff(np.concatenate([[-1], changes, [len(text) - 1]])))
 
 
 def spread(queues: Queues, text: np.ndarray, before: np.ndarray) -> None:

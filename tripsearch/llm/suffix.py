@@ -31,6 +31,8 @@ from tripsearch.ship import ship
 WINDOW = 50
 GRAM = 12
 CHUNK = 512 << 10
+#: Shards per task of the exchange.
+SHARDS = 4
 BASE = blocks.ROOT * 5 % 2**64 | 1
 
 
@@ -201,7 +203,7 @@ def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
             ["doc_id", "tag", "first", "number"],
         )
 
-    shards = cut_pieces(texts, window).repartition(tasks, "anchor")
+    shards = cut_pieces(texts, window).repartition(tasks * SHARDS, "anchor")
     return shards.mapInArrow(sort, "doc_id long, tag long, first long, number long")
 
 
