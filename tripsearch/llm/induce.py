@@ -96,9 +96,12 @@ def spread(queues: Queues, text: np.ndarray, before: np.ndarray) -> None:
     letters = text[before]
     order = np.argsort(letters, kind="stable")
     ordered = before[order]
-    present, first = np.unique(letters[order], return_index=True)
-    for letter, a, b in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(ordered)]):
-        queues.put(letter, ordered[a:b])
+    letters = letters[order]
+    ends = np.append(np.flatnonzero(letters[1:] != letters[:-1]) + 1, len(letters)) if len(letters) else []
+    first = 0
+    for end in ends:
+        queues.put(int(letters[first]), ordered[first:end])
+        first = end
 
 
 def induce(text: np.ndarray, s_type: np.ndarray, seeds: Queues, memory: int, only_stars: bool) -> Iterator[np.ndarray]:
