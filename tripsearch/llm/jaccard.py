@@ -45,11 +45,11 @@ SHINGLE = 5
 LEAST = 75
 #: Tokens that more than so many documents of a stretch of ``STRETCH`` tokens hold count as common.
 COMMON = 2
-STRETCH = 2_500_000
+STRETCH = 1_500_000
 MORE = 3
 #: Signatures that one task of the index handles, and that one block packs.
 PER_TASK = 1_500_000
-PER_BLOCK = 500_000
+PER_BLOCK = 300_000
 #: Bands of up to so many segments have the one-deletion neighbourhoods of all of them.
 SMALL = 40
 FINE = 5  # targets per task: evens out how rows are dealt
