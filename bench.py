@@ -33,7 +33,6 @@ def main() -> None:
     def build():
         registry.trip_points(spark, SF_DIR)
         registry.density(spark, SF_DIR)
-        registry.longest_trip(spark, SF_DIR)
 
     times = {"build_tables": round(seconds(build), 3)}
     for name in [*SEARCHES, *JOBS]:

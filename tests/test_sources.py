@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import plain
-from tripsearch.operators import nearest
+from tripsearch.operators import edit, nearest, ordered
 from tripsearch.operators.trips import clean_positions, trip_polyline
 from tripsearch.plans import ingest, similar
 from tripsearch.sources import positions, requests, tables
@@ -116,3 +116,31 @@ def test_long_query_trip_is_not_put_in_columns(make_points):
     assert len(query) > 96
     want = plain.top({t: plain.similarity(p, query) for t, p in trips.items()}, 3)
     assert [r["trip_id"] for r in got] == [t for t, _ in want]
+
+
+def test_ingest_leaves_other_cities_and_months(spark, folder):
+    raw = positions.read_events_log(spark, "/root/testdata/sf0.001")
+    later = raw.withColumn("ts", F.expr("ts + interval 2 months"))
+    counts = lambda path: {(r["city"], r["month"]): r["n"] for r in spark.read.parquet(path).groupBy("city", "month").agg(F.count("*").alias("n")).collect()}
+    out = ingest.ingest(raw, f"{folder}/grown", 172800)
+    first, by_user, index = counts(out.kept), counts(out.by_user), spark.read.parquet(out.index).count()
+    ingest.ingest(raw, f"{folder}/grown", 172800, city_name="pudong")
+    ingest.ingest(later, f"{folder}/grown", 172800)
+    for _ in range(2):
+        ingest.ingest(raw, f"{folder}/grown", 172800, city_name="pudong")
+    after, after_by_user = counts(out.kept), counts(out.by_user)
+    assert {k: after[k] for k in first} == first and {k: after_by_user[k] for k in by_user} == by_user
+    assert sum(n for (city, _), n in after.items() if city == "shanghai") == 2 * sum(first.values())
+    assert sum(n for (city, _), n in after.items() if city == "pudong") == sum(first.values())
+    assert spark.read.parquet(out.index).count() == 3 * index
+
+
+def test_longer_trips_after_the_first_call(make_points):
+    short, long = plain.random_trips(6, 5, seed=1), plain.random_trips(3, 40, seed=5)
+    query = [(121.1, 31.1), (121.2, 31.3), (121.3, 31.2)]
+    for trips in (short, short | {f"L{t}": p for t, p in long.items()}):
+        points = make_points(trips)
+        got = {r["trip_id"]: r["value"] for r in edit.edit_distances(points, query, 4).collect()}
+        assert got == {r["trip_id"]: r["value"] for r in edit.edit_distances(points, query).collect()}
+        rows = ordered.ordered_scores(points, query, "ordered", block_points=4, fanout=2).collect()
+        assert len(rows) == len(trips) == len(got)

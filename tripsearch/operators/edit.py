@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 BLOCK_POINTS = 1024
+#: Rounds whose blocks lie in one folder.
+WAVE = 8
 _STATE = "j int, rx double, ry double, sx double, sy double, cost double, done boolean"
 
 
@@ -106,18 +109,16 @@ def _walk_batches(query: list[tuple[float, float]]):
 
 
 def edit_distances(
-    points: DataFrame, query: list[tuple[float, float]], block_points: int = BLOCK_POINTS,
-    longest: int | None = None,
+    points: DataFrame, query: list[tuple[float, float]], block_points: int = BLOCK_POINTS
 ) -> DataFrame:
     """(trip_id, value): EDwP of every trip to the query trip.
 
-    ``longest`` is the number of positions of the longest trip where the caller knows it;
-    it bounds the number of rounds.
+    Rounds go on until no trip waits for a block; a round reads only the files of its wave of blocks.
     """
     if not query:
         return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
-    if longest is None:
-        longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
+    ship(points.sparkSession)
+    longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
     rounds = -(-longest // block_points)
     block = F.floor(F.col("seq") / block_points).cast("bigint")
     path = F.array_sort(F.collect_list(F.struct("seq", "lng", "lat")))
@@ -125,7 +126,7 @@ def edit_distances(
         "trip_id", "block", F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys")
     )
     if rounds > 1:
-        blocks = durable(blocks, "edit-blocks")
+        blocks = durable(blocks.withColumn("wave", F.floor(F.col("block") / WAVE)), "edit-blocks", ("wave",))
         last = durable(blocks.groupBy("trip_id").agg(F.max("block").alias("last")), "edit-last")
     nothing, (sx, sy) = F.lit(0.0), query[0]
     current = blocks.where(F.col("block") == 0).select(
@@ -145,7 +146,8 @@ def edit_distances(
         waiting = state.where("not done").drop("done")
         if number + 1 == rounds or waiting.isEmpty():
             break
-        current = blocks.where(F.col("block") == number + 1).drop("block").join(waiting, "trip_id").withColumn(
+        following = blocks.where((F.col("wave") == (number + 1) // WAVE) & (F.col("block") == number + 1))
+        current = following.drop("block", "wave").join(waiting, "trip_id").withColumn(
             "fresh", F.lit(False)
         )
     result = finished[0]

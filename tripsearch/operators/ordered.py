@@ -133,20 +133,17 @@ def ordered_scores(
     threshold: float = LCSS_THRESHOLD,
     block_points: int = BLOCK_POINTS,
     fanout: int = FANOUT,
-    longest: int | None = None,
 ) -> DataFrame:
     """(trip_id, n, value) of every trip; for ``lcss`` the value is a distance.
 
-    ``longest`` is the number of positions of the longest trip where the caller knows it;
-    it only decides how many times blocks are merged.
+    Blocks are merged until the longest trip of ``points`` is one row.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     walked = query[1:] if measure == "ordered_dp" else query
     if not walked:
         return points.groupBy("trip_id").agg(F.count("*").alias("n")).withColumn("value", F.lit(0.0))
-    if longest is None:
-        longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
+    longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
     blocks = _block_matrices(points, walked, measure, threshold, block_points)
     count = -(-longest // block_points)
     while count > 1:

@@ -133,16 +133,12 @@ def _split_long(points: DataFrame, epsilon: float, piece_points: int):
         )
 
 
-def outline_trips(
-    points: DataFrame, epsilon: float = EPSILON, piece_points: int = 2048, longest: int | None = None
-) -> DataFrame:
+def outline_trips(points: DataFrame, epsilon: float = EPSILON, piece_points: int = 2048) -> DataFrame:
     """Rows of ``points`` that the outline keeps. Both ends of a trip always stay.
 
-    ``longest`` is the number of positions of the longest trip where the caller knows it;
-    otherwise one aggregate finds out whether any trip needs splitting.
+    One aggregate finds out whether any trip needs splitting.
     """
-    if longest is None:
-        longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
+    longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
     if longest <= piece_points:
         return _piece_outline(points, ["trip_id"], epsilon).select(*points.columns)
     sizes = points.groupBy("trip_id").agg(F.count("*").alias("n"))

@@ -340,6 +340,8 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "dp_simplify": f"{two_day}{_outline('pts', '1e-2')} select trip_id, seq, lng, lat from outlined join pts using (trip_id, seq)",
         "simplified_by_day": f"""{two_day}{_FEATURES} select 'shanghai' as city, day, count(*) as points,
             count(distinct trip_id) as trips from simplified group by day""",
+        "ingest_two_cities": f"""{two_day}{_FEATURES} select city, day, count(*) as points,
+            count(distinct trip_id) as trips from simplified, (values ('pudong'), ('shanghai')) c(city) group by city, day""",
         "point_index": f"""{day} select day, cast(floor(lng / 5e-3) as bigint) as cx, cast(floor(lat / 5e-3) as bigint) as cy,
             count(*) as n from pts group by all""",
         "kept_by_month": f"""with {_GCJ} select strftime(ts, '%Y-%m') as month, count(*) as points,

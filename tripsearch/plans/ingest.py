@@ -5,17 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tripsearch.operators.features import simplify_trips
 from tripsearch.operators.trips import GAP_SECONDS, SHANGHAI, clean_positions, cut_trips
 from tripsearch.sources import tables
 
 
-def trips_from_log(raw: DataFrame, gap_seconds: int = GAP_SECONDS, city=SHANGHAI) -> DataFrame:
-    """Clean, convert and cut a position log into numbered trip points."""
-    return cut_trips(clean_positions(raw, city), gap_seconds)
-
-
 @dataclass(frozen=True)
 class TripTables:
     """Where the tables of one ingested log live."""
@@ -42,13 +38,18 @@ class TripTables:
 def ingest(raw: DataFrame, folder: str, gap_seconds: int = GAP_SECONDS, city=SHANGHAI, city_name: str = "shanghai") -> TripTables:
     """Write every table of a log once; later steps read what the earlier ones wrote.
 
-    Each table is overwritten as a whole, so a run can be repeated after a failure.
+    A run replaces the city's partitions of the log's months and days and leaves all others, so it can be
+    repeated after a failure and other cities and months can be added.
     """
     spark, out = raw.sparkSession, TripTables(folder.rstrip("/"))
-    tables.write_kept_points(clean_positions(raw, city), out.kept)
-    kept = spark.read.parquet(out.kept).drop("month")
-    tables.write_trips_by_user(cut_trips(kept, gap_seconds), out.by_user)
-    trips = spark.read.parquet(out.by_user)
-    tables.write_trips_by_day(simplify_trips(trips), out.simplified, city_name)
-    tables.write_point_index(spark.read.parquet(out.simplified).drop("city"), out.index, city_name)
+    tables.write_kept_points(clean_positions(raw, city), out.kept, city_name)
+    months = raw.select(F.date_format("ts", "yyyy-MM").alias("month")).distinct()  # a calendar's worth
+
+    def written(path: str) -> DataFrame:
+        return spark.read.parquet(path).where(F.col("city") == city_name).join(months, "month", "left_semi").drop("city", "month")
+
+    tables.write_trips_by_user(cut_trips(written(out.kept), gap_seconds), out.by_user, city_name)
+    tables.write_trips_by_day(simplify_trips(written(out.by_user)), out.simplified, city_name)
+    fresh = tables.read_day(spark, out.simplified, city=city_name).withColumn("month", F.date_format("day", "yyyy-MM"))
+    tables.write_point_index(fresh.join(months, "month", "left_semi").drop("city", "month"), out.index, city_name)
     return out

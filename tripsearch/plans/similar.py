@@ -7,29 +7,20 @@ from pyspark.sql import functions as F
 
 from tripsearch.operators import edit, ordered, outline, similarity
 from tripsearch.plans import search
-from tripsearch.storage import bounded_rows, durable
+from tripsearch.storage import durable
 
 MEASURES = ("unordered", *ordered.MEASURES, "edwp")
 DISTANCES = ("lcss", "edwp")
-LONGEST_QUERY = 4096
 SEED_FACTOR = 4
 
 
-def query_points(trip: DataFrame, limit: int = LONGEST_QUERY) -> list[tuple[float, float]]:
-    """The points of one query trip, in order, as plain values; a query is bounded by contract."""
-    rows = bounded_rows(trip.select("seq", "lng", "lat").orderBy("seq"), limit)
-    if rows is None:
-        raise ValueError(f"the query trip has more than {limit} points; simplify it first")
-    return [(row["lng"], row["lat"]) for row in rows]
-
-
-def scores(points: DataFrame, query: list[tuple[float, float]], measure: str, longest: int | None = None) -> DataFrame:
+def scores(points: DataFrame, query: list[tuple[float, float]], measure: str) -> DataFrame:
     """(trip_id, value) of every trip by one of MEASURES."""
     if measure == "unordered":
         return similarity.trip_similarity(points, query).withColumnRenamed("sim", "value")
     if measure == "edwp":
-        return edit.edit_distances(points, query, longest=longest)
-    return ordered.ordered_scores(points, query, measure, longest=longest).select("trip_id", "value")
+        return edit.edit_distances(points, query)
+    return ordered.ordered_scores(points, query, measure).select("trip_id", "value")
 
 
 def best_possible(points: DataFrame, query: list[tuple[float, float]], measure: str) -> DataFrame:
@@ -55,7 +46,7 @@ def best_possible(points: DataFrame, query: list[tuple[float, float]], measure:
 
 
 def top_by_measure(
-    points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered", longest: int | None = None
+    points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered"
 ) -> DataFrame:
     """The k best trips by a measure: nearest first for distances, most similar first otherwise.
 
@@ -65,12 +56,12 @@ def top_by_measure(
     """
     largest = measure not in DISTANCES
     if measure not in ("ordered", "lcss") or not query or len(query) > search.WIDE_POINTS:
-        return similarity.top_trips(scores(points, query, measure, longest), k, "value", largest)
+        return similarity.top_trips(scores(points, query, measure), k, "value", largest)
     hopes = durable(best_possible(points, query, measure), "best-possible")
     first = durable(similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest), "promising")
 
     def walked(trips: DataFrame) -> DataFrame:
-        return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure, longest)
+        return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure)
 
     floor = similarity.top_trips(walked(first), k, "value", largest).agg(
         F.count("*").alias("n"), (F.min("value") if largest else F.max("value")).alias("value")
@@ -83,9 +74,17 @@ def top_by_measure(
 
 
 def best_connected_to_trip(
-    points: DataFrame, trip_id: str, k: int = 3, day=None, longest: int | None = None, counts: DataFrame | None = None
+    points: DataFrame, trip_id: str, k: int = 3, day=None, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Outline a trip with a fine tolerance and search with the points that remain."""
+    """Outline a trip with a fine tolerance and search with the points that remain.
+
+    The query stays a table, so a trip of any length can be one.
+    """
     trip = points.where(F.col("trip_id") == trip_id)
-    query = query_points(outline.outline_trips(trip, outline.SEARCH_EPSILON, longest=longest))
-    return search.best_connected_points(points, query, k, day, counts)
+    query = durable(
+        outline.outline_trips(trip, outline.SEARCH_EPSILON).select(
+            F.lit(0).alias("qid"), F.col("seq").cast("int").alias("qseq"), F.col("lng").alias("qlng"), F.col("lat").alias("qlat"),
+            F.lit(day).cast("date").alias("day"), F.lit(k).alias("k"),
+        ), "query-trip",
+    )
+    return search.best_connected_batch(points, query, counts=counts).orderBy("rank").select("trip_id", "sim")

@@ -60,13 +60,6 @@ def trip_points(spark: SparkSession, sf_dir: str, gap: int = DAY_GAP) -> DataFra
     ))
 
 
-def longest_trip(spark: SparkSession, sf_dir: str, gap: int = DAY_GAP) -> int:
-    """Number of positions of the longest trip, kept beside the table."""
-    stats = _once(spark, ("longest", sf_dir, gap), lambda: durable(
-        trip_points(spark, sf_dir, gap).agg(F.max("seq").alias("last")), "longest"))
-    return stats.first()["last"] + 1
-
-
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, ("density", sf_dir), lambda: durable(
         nearest.cell_counts(trip_points(spark, sf_dir)), "density"))
@@ -176,6 +169,21 @@ def simplified_by_day(spark, sf_dir):
     )
 
 
+def ingest_two_cities(spark, sf_dir):
+    """The log ingested for one city, then for a second one into the same folder."""
+    raw = positions.read_events_log(spark, sf_dir)
+
+    def write(path):
+        for city in ("shanghai", "pudong"):
+            ingest.ingest(raw, path, TWO_DAY_GAP, city_name=city)
+
+    folder = _scratch(spark, sf_dir, "ingest-cities", write)
+    points = spark.read.parquet(ingest.TripTables(folder).simplified)
+    return points.groupBy(F.col("city").cast("string").alias("city"), "day").agg(
+        F.count("*").alias("points"), F.count_distinct("trip_id").alias("trips")
+    )
+
+
 def point_index(spark, sf_dir):
     points = trip_points(spark, sf_dir).drop("event_id")
     path = _scratch(spark, sf_dir, "point-index", lambda p: tables.write_point_index(points, p))
@@ -239,7 +247,7 @@ def ts_simplify(spark, sf_dir):
 
 def dp_simplify(spark, sf_dir):
     points = trip_points(spark, sf_dir, TWO_DAY_GAP)
-    kept = outline.outline_trips(points, longest=longest_trip(spark, sf_dir, TWO_DAY_GAP))
+    kept = outline.outline_trips(points)
     return kept.select("trip_id", "seq", "lng", "lat")
 
 
@@ -283,7 +291,7 @@ def kbct_split(spark, sf_dir):
 def kbct_by_trip(spark, sf_dir):
     points = trip_points(spark, sf_dir)
     return similar.best_connected_to_trip(
-        points, _top_trip(points), longest=longest_trip(spark, sf_dir), counts=density(spark, sf_dir)
+        points, _top_trip(points), counts=density(spark, sf_dir)
     )
 
 
@@ -347,7 +355,7 @@ def lambda_budget(spark, sf_dir):
 def _measure(measure: str):
     def query(spark, sf_dir):
         found = similar.scores(
-            trip_points(spark, sf_dir), THREE_POINTS, measure, longest_trip(spark, sf_dir)
+            trip_points(spark, sf_dir), THREE_POINTS, measure
         )
         return found.select("trip_id", F.round("value", 9).alias("value"))
 
@@ -357,7 +365,7 @@ def _measure(measure: str):
 def _top(measure: str):
     def query(spark, sf_dir):
         return similar.top_by_measure(
-            trip_points(spark, sf_dir), THREE_POINTS, 20, measure, longest_trip(spark, sf_dir)
+            trip_points(spark, sf_dir), THREE_POINTS, 20, measure
         )
 
     return query
@@ -404,7 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gcj_clean, country_filter, trips, trips_short_gap, trip_catalog, trip_day, known_users, user_trips,
-        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, point_index, raw_csv_scan,
+        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, point_index, raw_csv_scan,
         request_decode, path_length, headings, segment_weights, ts_simplify, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,

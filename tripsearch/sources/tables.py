@@ -8,36 +8,36 @@ from pyspark.sql import functions as F
 from tripsearch.operators.nearest import BASE_CELL, cell
 
 
-def write_kept_points(points: DataFrame, path: str) -> None:
-    """Clean points by month, sorted by user and time inside each file.
+def _write(points: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
+    """Replace the partitions that ``points`` has rows in; other cities, months and days stay."""
+    points.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_kept_points(points: DataFrame, path: str, city: str = "shanghai") -> None:
+    """Clean points as ``city=../month=..``, sorted by user and time inside each file.
 
     Range partitioning on (month, user, time) splits a heavy user over many files.
     """
-    (
-        points.withColumn("month", F.date_format("ts", "yyyy-MM"))
-        .repartitionByRange("month", "obd_id", "ts")
-        .sortWithinPartitions("month", "obd_id", "ts", "event_id")
-        .write.mode("overwrite").partitionBy("month").parquet(path)
+    rows = points.withColumn("city", F.lit(city)).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    _write(
+        rows.repartitionByRange("month", "obd_id", "ts").sortWithinPartitions("month", "obd_id", "ts", "event_id"),
+        path, "city", "month",
     )
 
 
-def write_trips_by_user(points: DataFrame, path: str) -> None:
-    """Trip points clustered by user and trip; a heavy user or trip spans several files."""
-    (
-        points.repartitionByRange("obd_id", "r", "seq")
-        .sortWithinPartitions("obd_id", "r", "seq")
-        .write.mode("overwrite").parquet(path)
+def write_trips_by_user(points: DataFrame, path: str, city: str = "shanghai") -> None:
+    """Trip points as ``city=../month=..`` (of the trip's day), clustered by user and trip; a heavy one spans files."""
+    rows = points.withColumn("city", F.lit(city)).withColumn("month", F.date_format("day", "yyyy-MM"))
+    _write(
+        rows.repartitionByRange("month", "obd_id", "r", "seq").sortWithinPartitions("month", "obd_id", "r", "seq"),
+        path, "city", "month",
     )
 
 
 def write_trips_by_day(points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite") -> None:
     """Trip points as ``city=../day=..``; a busy day is split by trip into several files."""
-    (
-        points.withColumn("city", F.lit(city))
-        .repartitionByRange("day", "trip_id", "seq")
-        .sortWithinPartitions("day", "trip_id", "seq")
-        .write.mode(mode).partitionBy("city", "day").parquet(path)
-    )
+    rows = points.withColumn("city", F.lit(city)).repartitionByRange("day", "trip_id", "seq")
+    _write(rows.sortWithinPartitions("day", "trip_id", "seq"), path, "city", "day", mode=mode)
 
 
 def with_cells(points: DataFrame, width: float = BASE_CELL) -> DataFrame:
@@ -50,12 +50,8 @@ def write_point_index(points: DataFrame, path: str, city: str = "shanghai", mode
     Files cover narrow coordinate ranges, so a search box skips most row groups by their
     min/max statistics. The range keys end in the coordinates, so one busy cell splits too.
     """
-    (
-        with_cells(points).withColumn("city", F.lit(city))
-        .repartitionByRange("day", "cx", "cy", "lng", "lat")
-        .sortWithinPartitions("day", "cx", "cy")
-        .write.mode(mode).partitionBy("city", "day").parquet(path)
-    )
+    rows = with_cells(points).withColumn("city", F.lit(city)).repartitionByRange("day", "cx", "cy", "lng", "lat")
+    _write(rows.sortWithinPartitions("day", "cx", "cy"), path, "city", "day", mode=mode)
 
 
 def read_day(spark: SparkSession, path: str, day: str | None = None, city: str = "shanghai") -> DataFrame:
