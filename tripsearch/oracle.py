@@ -286,6 +286,15 @@ edwp as (
 edited as (select trip_id, cost as value from edwp where done)"""
 
 
+def _intended(features: str) -> str:
+    """The simplification with n / 15 points of chunks of 26 to 44, and heading changes within half a turn."""
+    change, turned = "heading - lag(heading) over c", "(heading - lag(heading) over c + 180e0) % 360e0"
+    wrapped = f"(case when {turned} < 0 then ({turned} + 360e0) % 360e0 else {turned} end) - 180e0"
+    rate = "when chunk_n <= 25 then chunk_n // 8"
+    assert f"else {change} end" in features and rate in features
+    return features.replace(f"else {change} end", f"else {wrapped} end").replace(rate, f"{rate} when chunk_n < 45 then chunk_n // 15")
+
+
 def oracle_sql(batch, split_batch) -> dict[str, str]:
     """SQL by query name; ``batch`` and ``split_batch`` are the literal query batches."""
     day, two_day = _base(DAY_GAP), _base(TWO_DAY_GAP)
@@ -337,6 +346,7 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "segment_weights": f"""{two_day}{_FEATURES} select trip_id, chunk, segment, round(seg_w, 9) as seg_w, headcount
             from budgeted""",
         "ts_simplify": f"{two_day}{_FEATURES} select trip_id, day, seq, lng, lat from simplified",
+        "ts_simplify_intended": f"{two_day}{_intended(_FEATURES)} select trip_id, day, seq, lng, lat from simplified",
         "dp_simplify": f"{two_day}{_outline('pts', '1e-2')} select trip_id, seq, lng, lat from outlined join pts using (trip_id, seq)",
         "simplified_by_day": f"""{two_day}{_FEATURES} select 'shanghai' as city, day, count(*) as points,
             count(distinct trip_id) as trips from simplified group by day""",
@@ -355,6 +365,7 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "kbct": f"{single} select trip_id, sim from scores order by sim desc, trip_id limit 5",
         "kbct_batch": f"{answers} select qid, rank, trip_id, sim from answers where rank <= k",
         "kbct_pruned": f"{answers} select qid, rank, trip_id, sim from answers where rank <= k",
+        "kbct_lambda": f"{answers} select qid, rank, trip_id, sim from answers where rank <= k",
         "kbct_raw_points": f"""{day}{_FEATURES}, {q},
             scores as (
               select trip_id, round(sum(exp(-d)), 9) as sim

@@ -245,6 +245,12 @@ def ts_simplify(spark, sf_dir):
     return kept.select("trip_id", "day", "seq", "lng", "lat")
 
 
+def ts_simplify_intended(spark, sf_dir):
+    """The rates as published, heading changes within half a turn."""
+    kept = features.simplify_trips(trip_points(spark, sf_dir, TWO_DAY_GAP), rate="intended", wrap=True)
+    return kept.select("trip_id", "day", "seq", "lng", "lat")
+
+
 def dp_simplify(spark, sf_dir):
     points = trip_points(spark, sf_dir, TWO_DAY_GAP)
     kept = outline.outline_trips(points)
@@ -277,6 +283,12 @@ def kbct_pruned(spark, sf_dir):
     )
 
 
+def kbct_lambda(spark, sf_dir):
+    return search.best_connected_lambda(
+        trip_points(spark, sf_dir), query_batch(spark, BATCH), density(spark, sf_dir)
+    )
+
+
 def kbct_raw_points(spark, sf_dir):
     points = trip_points(spark, sf_dir)
     simplified = _once(spark, ("simplified", sf_dir), lambda: durable(features.simplify_trips(points), "simplified"))
@@ -413,8 +425,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         gcj_clean, country_filter, trips, trips_short_gap, trip_catalog, trip_day, known_users, user_trips,
         trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, point_index, raw_csv_scan,
-        request_decode, path_length, headings, segment_weights, ts_simplify, dp_simplify, trip_length_hist,
-        trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
+        request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
+        trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,
         ordered_bounds, query_sample, kbct_accuracy, stream_trip_summary, stream_numbering, stream_index,
     )
