@@ -89,7 +89,7 @@ def next_budgets(state: DataFrame, looks: DataFrame, round_no: int) -> DataFrame
         .select(
             "qid", "qseq", "k", F.col("lam").alias("prev"),
             F.floor(F.col("lam") + F.col("grow") * (0.5 * share("decay") + 0.5 * share("ratio")))
-            .cast("int").alias("lam"),
+            .cast("bigint").alias("lam"),
         )
     )
 

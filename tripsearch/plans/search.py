@@ -14,9 +14,18 @@ from tripsearch.storage import bounded_rows, durable
 WIDE_POINTS = 96  # one min() column each, within what whole-stage code generation takes
 QUERY_SCHEMA = "qid int, qseq int, qlng double, qlat double, day string, k int"
 SEED_FACTOR = 4
+MOST_DAYS = 1000  # a filter of more days prunes little
 EVERYWHERE = 1000.0  # degrees; a radius that reaches every point
 
 
+def on_asked_days(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """The points of the days that the queries ask for, as a filter that the scan can use; all if one asks for any day."""
+    days = bounded_rows(queries.select("day").distinct(), MOST_DAYS)
+    if not days or any(row["day"] is None for row in days):
+        return points
+    return points.where(F.col("day").isin([row["day"] for row in days]))
+
+
 def exact_scores(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, trip_id, sim) of the listed (qid, trip_id) pairs only."""
     away = geo.squared_degrees(F.col("lng"), F.col("lat"), F.col("qlng"), F.col("qlat"))
@@ -44,7 +53,7 @@ def seed_scores(points: DataFrame, queries: DataFrame, counts: DataFrame) -> Dat
     nearest points may all lie on one trip, so queries short of k trips ask for more points
     until they have k trips or have seen all there are; tau is 0 for the latter.
     """
-    asked = queries.withColumn("lam", (F.col("k") * SEED_FACTOR).cast("int"))
+    asked = queries.withColumn("lam", (F.col("k") * SEED_FACTOR).cast("bigint"))
     batch = queries.select("qid", "k").distinct()
     floors = None
     while True:
@@ -83,6 +92,7 @@ def best_connected_pruned(points: DataFrame, queries: DataFrame, counts: DataFra
     queries = durable(queries, "queries")
     if counts is None:
         counts = durable(N.cell_counts(points), "cell-counts")
+    points = on_asked_days(points, queries)
     tau = F.col("tau") - 1e-8
     radius = F.when(tau <= 0, F.lit(EVERYWHERE)).otherwise(F.log(F.col("m") / tau) + 1e-9)
     sizes = queries.groupBy("qid", "k").agg(F.count("*").alias("m"))
@@ -111,8 +121,9 @@ def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFra
     queries = durable(queries, "queries")
     if counts is None:
         counts = durable(N.cell_counts(points), "cell-counts")
+    points = on_asked_days(points, queries)
     batch = queries.select("qid", "k").distinct()
-    state = queries.withColumn("lam", F.col("k").cast("int")).withColumn("prev", F.lit(0))
+    state = queries.withColumn("lam", F.col("k").cast("bigint")).withColumn("prev", F.lit(0).cast("bigint"))
     kept, round_no = [], 0
     while True:
         state = durable(state, "budgets")
@@ -137,7 +148,8 @@ def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFra
 
 def _ranked(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
     scores = exact_scores(points, pairs, queries).join(queries.select("qid", "k").distinct(), "qid")
-    return S.rank_within(scores, ["qid"], limit=F.col("k")).select("qid", "rank", "trip_id", "sim")
+    largest = queries.agg(F.max("k")).first()[0] or 0  # a constant limit: each task ranks no more than that
+    return S.rank_within(scores, ["qid"], limit=largest).where(F.col("rank") <= F.col("k")).select("qid", "rank", "trip_id", "sim")
 
 
 def best_connected_points(
