@@ -16,8 +16,9 @@ with fewer are no candidates.
 
 Signatures travel packed, grouped by target, one binary row per block and target. Groups of sets that share
 one are deduplicated by their members. Equal sets are one class from the start. Every group is
-first linked as a star around its smallest id; what then lies in different components is compared pair by pair: no
-link between different texts is lost, and no pairs are formed within a component.
+first linked as a star around its smallest id, then around other members while that joins what is
+apart; what still lies in different components is compared pair by pair: no link between different texts is
+lost, and no pairs are formed within a component.
 
 Defined results: null and empty texts and texts without words have the empty set and link with
 nothing. Rows without an id have no component and link with nothing. Rows that repeat an id are
@@ -46,7 +47,10 @@ LEAST = 75
 #: Tokens that more than so many documents of a stretch of ``STRETCH`` tokens hold count as common.
 COMMON = 2
 STRETCH = 1_500_000
-MORE = 3
+MORE = 60
+#: Pairs across components, per row of the groups, that are compared without more rounds of stars.
+FEW = 2
+HUBS = 4
 #: Signatures that one task of the index handles, and that one block packs.
 PER_TASK = 1_500_000
 PER_BLOCK = 300_000
@@ -174,7 +178,7 @@ class Segmented:
         twice &= scarce[self.row_of]
         chosen |= twice
         units = np.bincount(self.row_of[chosen], minlength=rows) + np.bincount(self.row_of[twice], minlength=rows)
-        return chosen, twice, np.minimum(units - need + 1, MORE + 1)
+        return chosen, twice, np.clip(units - need + 1, 0, 255)
 
 
 def rare_tokens(tokens: np.ndarray) -> np.ndarray:
@@ -191,18 +195,18 @@ def rare_tokens(tokens: np.ndarray) -> np.ndarray:
 def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: str, text: str) -> DataFrame:
     """(target, signatures, members): packed signatures of every distinct set of a task.
 
-    A member is ``8 * doc_id`` plus, where the set indexes the signature, the number of signatures that a
-    partner shares with it. A set that is short comes as a row with a null target.
+    A member is a doc_id and, where the set indexes the signature, the number of signatures that a partner
+    shares with it (else 0). A set that is short comes as a row with a null target.
     """
 
-    def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        signatures, members = (np.concatenate(x) for x in zip(*held))
+    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        signatures, members, least = (np.concatenate(x) for x in zip(*held))
         target = ((signatures >> np.uint64(40)) % np.uint64(targets)).astype(np.uint32)
         order = np.argsort(target, kind="stable")
         cuts = np.flatnonzero(np.diff(target[order], prepend=-1))
         parts = np.append(cuts, len(order))
         raw = signatures[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        who = members[order].astype("<i8").view(np.uint8).reshape(-1, 8)
+        who = np.concatenate([members[order].astype("<i8").view(np.uint8).reshape(-1, 8), least[order].astype(np.uint8)[:, None]], axis=1)
         # byte by byte: the upper bytes of ids are alike and compress to nothing
         return pa.RecordBatch.from_arrays(
             [
@@ -224,10 +228,10 @@ def emit(docs: DataFrame, ends: np.ndarray, fineness: int, targets: int, key: st
                 n_short += int((least < 1).sum())
                 for part, flags in ((s.exact(), chosen), (s.deletions(), twice)):
                     row = s.row_of[part[0]]
-                    held.append((part[1], 8 * own[s.rows[row]] + np.where(flags[part[0]], least[row], 0)))
+                    held.append((part[1], own[s.rows[row]], np.where(flags[part[0]], least[row], 0)))
                 s = Segmented(tokens, offsets, ends, fineness, 1)
                 for places, signatures in (s.exact(), s.deletions()):
-                    held.append((signatures, 8 * own[s.rows[s.row_of[places]]]))
+                    held.append((signatures, own[s.rows[s.row_of[places]]], np.zeros(len(places), np.int64)))
                 size += sum(len(x[0]) for x in held[-4:])
                 if size >= PER_BLOCK:
                     yield pack(held)
@@ -270,7 +274,7 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signatures, members, short = [], [], False
+        signatures, members, leasts, short = [], [], [], False
         for batch in batches:
             for target, raw, who in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if target is None:
@@ -280,29 +284,31 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
                 wide = np.zeros((low.shape[1], 8), np.uint8)
                 wide[:, :5] = low.T
                 signatures.append(wide.view("<u8").ravel() | np.uint64(target << 40))
-                members.append(np.frombuffer(who.as_py(), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
+                who = np.frombuffer(who.as_py(), np.uint8).reshape(9, -1)
+                members.append(who[:8].T.copy().view("<i8").ravel())
+                leasts.append(who[8])
         if short:
             yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], names)
         if not signatures:
             return
-        signatures, members = np.concatenate(signatures), np.concatenate(members)
+        signatures, members, leasts = np.concatenate(signatures), np.concatenate(members), np.concatenate(leasts)
         order = np.argsort(signatures)
-        signatures, members = signatures[order], members[order]
+        signatures, members, leasts = signatures[order], members[order], leasts[order]
         new = np.concatenate([[True], signatures[1:] != signatures[:-1]])
         shared = np.repeat(np.diff(np.append(np.flatnonzero(new), len(new))) > 1, np.diff(np.append(np.flatnonzero(new), len(new))))
-        signatures, members = signatures[shared], members[shared]
+        signatures, members, leasts = signatures[shared], members[shared], leasts[shared]
         # a set once per group, as indexed if it is so by any of its signatures
-        order = np.lexsort((-members, signatures))
-        signatures, members = signatures[order], members[order]
-        once = np.concatenate([[True], (signatures[1:] != signatures[:-1]) | (members[1:] >> 3 != members[:-1] >> 3)]) if len(members) else np.zeros(0, bool)
-        signatures, members = signatures[once], members[once]
+        order = np.lexsort((255 - leasts, members, signatures))
+        signatures, members, leasts = signatures[order], members[order], leasts[order]
+        once = np.concatenate([[True], (signatures[1:] != signatures[:-1]) | (members[1:] != members[:-1])]) if len(members) else np.zeros(0, bool)
+        signatures, members, leasts = signatures[once], members[once], leasts[once]
         if not len(members):
             return
         starts = np.flatnonzero(np.concatenate([[True], signatures[1:] != signatures[:-1]]))
         offsets = np.append(starts, len(members))
         size = np.diff(offsets)
-        name = row_sums(blocks.mix(members.view(np.uint64)), offsets) + size.astype(np.uint64)
-        use = (size > 1) & (np.maximum.reduceat(members & 7, starts) > 0)
+        name = row_sums(blocks.mix(blocks.mix(members.view(np.uint64)) + leasts), offsets) + size.astype(np.uint64)
+        use = (size > 1) & (np.maximum.reduceat(leasts, starts) > 0)
         _, first, times = np.unique(np.where(use, name, np.uint64(0)), return_index=True, return_counts=True)
         kept = np.zeros(len(name), np.int64)
         kept[first] = times
@@ -311,7 +317,7 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
         # groups of different tasks stay apart: their signatures add up
         task = blocks.mix(np.array([TaskContext.get().partitionId() + 1], np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(name ^ task, size)[keep].view(np.int64)), pa.array(members[keep] >> 3), pa.array((members[keep] & 7).astype(np.int32)), pa.array(np.repeat(kept, size)[keep])], names
+            [pa.array(np.repeat(name ^ task, size)[keep].view(np.int64)), pa.array(members[keep]), pa.array(leasts[keep].astype(np.int32)), pa.array(np.repeat(kept, size)[keep])], names
         )
 
     names = ["g", "doc_id", "least", "times"]
@@ -349,7 +355,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: int)
             keep = pa.array(hold, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
+    sides = [pairs.select(F.col(side).alias("doc_id")).distinct() for side in "ab"]
+    ids = durable(sides[0].unionByName(sides[1]).distinct(), "verify-ids")
     sets = durable(token_sets(docs, ids, key, text), "verify-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
@@ -403,12 +410,41 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     # repeated ids tie their classes together
     same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = components(found.unionByName(same))
+    number = 0
+    while True:
+        labelled = durable(rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        parts = labelled.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(
+            F.sum("c").alias("n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("across")
+        ).filter("across > 0")
+        parts = durable(parts, "mixed")
+        open_rows = durable(labelled.join(parts.select("g"), "g", "left_semi"), "open")
+        sums = parts.agg(F.sum("n").alias("n"), F.sum("across").alias("across")).first()
+        if not sums["n"] or sums["across"] <= FEW * sums["n"]:
+            break
+        # other hubs: of every group, the members that come first under a few hashes
+        firsts = [
+            F.min(F.struct(F.xxhash64("node", F.lit(number * HUBS + i)).alias("h"), "node", "n_least", "n_most", "component")).alias(f"h{i}")
+            for i in range(HUBS)
+        ]
+        some = open_rows.groupBy("g").agg(*firsts).select(
+            "g", F.inline(F.array(*[F.struct(F.lit(i).alias("salt"), F.col(f"h{i}.node"), F.col(f"h{i}.n_least"), F.col(f"h{i}.n_most"), F.col(f"h{i}.component")) for i in range(HUBS)]))
+        )
+        spokes = side(open_rows, "x", "times", F.col("component").alias("cx")).join(side(some, "y", "salt", F.col("component").alias("cy")), "g")
+        spokes = spokes.filter((F.col("cx") != F.col("cy")) & (size_fits("x", "y") | size_fits("y", "x")))
+        votes = spokes.groupBy("salt", "x", "y").agg(F.sum("times").alias("votes"))
+        best = votes.groupBy("salt", "x").agg(F.max(F.struct("votes", (-F.col("y")).alias("back"))).alias("p")).select("x", (-F.col("p.back")).alias("y"))
+        fresh = durable(best.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        joined = durable(verified(fresh, docs, key, text, least), "found")
+        tried, found, number = tried.unionByName(fresh), found.unionByName(joined), number + 1
+        gained, asked = joined.count(), fresh.count()
+        if gained:
+            label = components(found.unionByName(same))
+        if gained * 5 < asked or not asked:
+            labelled = durable(rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+            mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
+            open_rows = durable(labelled.join(mixed, "g", "left_semi"), "open")
+            break
     # then: what shares enough signatures across components, but for pairs already compared
-    labelled = durable(
-        rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
-    )
-    mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
-    open_rows = durable(labelled.join(mixed, "g", "left_semi"), "open")
     left = side(open_rows.filter("least > 0"), "x", "least", "times", F.col("component").alias("cx"))
     right = side(open_rows, "y", F.col("component").alias("cy"))
     pairs = left.join(right, "g").filter((F.col("cx") != F.col("cy")) & size_fits("x", "y")).groupBy("x", "y").agg(
