@@ -32,7 +32,7 @@ WINDOW = 50
 GRAM = 12
 CHUNK = 512 << 10
 #: Shards per task of the exchange.
-SHARDS = 4
+SHARDS = 2
 BASE = blocks.ROOT * 5 % 2**64 | 1
 
 

@@ -31,8 +31,8 @@ from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 #: Pieces that one block packs, and bytes of text per task of the exchange.
-PER_BLOCK = 400_000
-TEXT_PER_TASK = 24 << 20
+PER_BLOCK = 200_000
+TEXT_PER_TASK = 12 << 20
 FINE = 5
 #: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows, sides.
 PLANES = (5, 6, 8, 4, 4, 4, 4)
