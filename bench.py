@@ -14,7 +14,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 # Searches answered by one run of a query, for seconds per search.
 SEARCHES = {"kbct": 1, "kbct_batch": 4, "kbct_pruned": 4, "kbct_by_trip": 1, "kbct_accuracy": 90,
             "ordered_topk": 1, "lcss_topk": 1, "edwp_topk": 1}
-JOBS = ["trips_short_gap", "ts_simplify", "dp_simplify", "path_length", "knn_points"]
+JOBS = ["trips_short_gap", "ts_simplify", "dp_simplify", "path_length", "knn_points", "range_join", "kbct_raw_points"]
 
 
 def seconds(run) -> float:

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.check_oracle import compare, connect
+from tripsearch import queries as registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = dict(registry.QUERIES)
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
