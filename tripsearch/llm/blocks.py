@@ -6,6 +6,7 @@ text is a chunk of its own. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 ROOT = 0x9E3779B97F4A7C15
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows."""
     column = column.cast(pa.large_binary())
@@ -39,7 +50,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
-    pa.default_memory_pool().release_unused()  # idle workers hold what they do not give back
+    give_back()
 
 
 @lru_cache

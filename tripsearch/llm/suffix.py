@@ -202,6 +202,8 @@ def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
             [pa.array(doc[piece[starts]]), pa.array(tag[piece[starts]]), pa.array(first[piece[starts]] + inside[starts]), pa.array(np.diff(np.append(starts, len(piece))))],
             ["doc_id", "tag", "first", "number"],
         )
+        del shard, piece, inside, order, new
+        blocks.give_back()
 
     shards = cut_pieces(texts, window).repartition(tasks * SHARDS, "anchor")
     return shards.mapInArrow(sort, "doc_id long, tag long, first long, number long")

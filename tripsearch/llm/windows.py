@@ -162,6 +162,8 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
         opened = ~removed & several & near
         use = removed | opened
         yield answer(doc[use], tag[use], first[use], number[use], anchor[use], opened[use])
+        del anchor, content, doc, tag, first, number, sides, order
+        blocks.give_back()
 
     def answer(doc, tag, first, number, anchor, opened) -> pa.RecordBatch:
         signed = lambda x: pa.array(x.view(np.int64))
