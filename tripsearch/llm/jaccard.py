@@ -47,10 +47,10 @@ LEAST = 75
 #: Tokens that more than so many documents of a stretch of ``STRETCH`` tokens hold count as common.
 COMMON = 2
 STRETCH = 1_500_000
-MORE = 60
+MORE = 12
 #: Pairs across components, per row of the groups, that are compared without more rounds of stars.
-FEW = 2
-HUBS = 4
+FEW = 30
+HUBS = 3
 #: Signatures that one task of the index handles, and that one block packs.
 PER_TASK = 1_500_000
 PER_BLOCK = 300_000
@@ -319,6 +319,8 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(name ^ task, size)[keep].view(np.int64)), pa.array(members[keep]), pa.array(leasts[keep].astype(np.int32)), pa.array(np.repeat(kept, size)[keep])], names
         )
+        del signatures, members, leasts, order
+        blocks.give_back()
 
     names = ["g", "doc_id", "least", "times"]
     return packed.repartition(tasks, "target").mapInArrow(gather, "g long, doc_id long, least int, times long")
