@@ -102,11 +102,11 @@ def cut_pieces(texts: DataFrame, window: int) -> DataFrame:
             first, number = flat.field("first").to_numpy(), flat.field("number").to_numpy()
             start, raw = offsets[row] + first, memoryview(data.tobytes())
             size = number + window - 1
-            for a in range(0, len(row), 100_000):
-                part = slice(a, a + 100_000)
+            for a in range(0, len(row), 20_000):
+                part = slice(a, a + 20_000)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        flat.field("anchor").slice(a, 100_000), pa.array(ids[row[part]]), pa.array(tags[row[part]]), pa.array(first[part]),
+                        flat.field("anchor").slice(a, 20_000), pa.array(ids[row[part]]), pa.array(tags[row[part]]), pa.array(first[part]),
                         pa.array([raw[x : x + y] for x, y in zip(start[part].tolist(), size[part].tolist())], pa.binary()),
                     ],
                     ["anchor", "doc_id", "tag", "first", "piece"],
