@@ -113,6 +113,26 @@ def test_suffix_order(memory):
         assert set(zip(*(x.tolist() for x in suffix.repeated_windows(text, offsets, doc, depth, memory)))) == want
 
 
+@pytest.mark.parametrize("most", [0, 1, 7])
+def test_long_groups_settled_in_parts(monkeypatch, most):
+    """A window at several places of a document that a smaller document follows in a later batch."""
+    monkeypatch.setattr(induce, "BATCH", 4)  # with queues on disk: batches of a few suffixes
+    shared = [5, 6, 7, 8]
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        parts, doc = [], rng.permutation(np.repeat(np.arange(12), 3))
+        for _ in doc:
+            parts.append(np.concatenate([rng.integers(1, 10, 3), shared, rng.integers(1, 10, 3), shared, rng.integers(1, 10, 2)]))
+        text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint16)
+        offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+        windows = {(i, j): tuple(p[j : j + 4].tolist()) for i, p in enumerate(parts) for j in range(len(p) - 3)}
+        least = {}
+        for (i, _), w in windows.items():
+            least[w] = min(least.get(w, 99), doc[i])
+        found = list(zip(*(x.tolist() for x in suffix.repeated_windows(text, offsets, doc, 4, 3, most))))
+        assert len(found) == len(set(found)) and set(found) == {at for at, w in windows.items() if least[w] < doc[at[0]]}
+
+
 def test_contained(spark, odd_docs, odd_rows):
     items = [(1, " ".join(odd_rows[1][1].split()[20:60])), (2, "one two three"), (3, "ONE, two; three four (five) six!"), (4, None), (5, "  "), (6, "nowhere at all to be found here"), (None, "one"), (7, "one")]
     items += [(8, " ".join(odd_rows[0][1].split()[:30]) + " but then other words follow on"), (9, "again again again again again again again")]

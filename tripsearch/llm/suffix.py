@@ -115,10 +115,13 @@ def cut_pieces(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, doc_id long, tag long, first long, piece binary")
 
 
-def repeated_windows(pieces: np.ndarray, offsets: np.ndarray, doc: np.ndarray, window: int, memory: int = induce.MEMORY) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(
+    pieces: np.ndarray, offsets: np.ndarray, doc: np.ndarray, window: int, memory: int = induce.MEMORY, most: int = induce.BATCH
+) -> tuple[np.ndarray, np.ndarray]:
     """(piece, window in it) of every window that also starts in a piece of a smaller document.
 
     ``pieces`` holds the letters (bytes + 1) of all pieces, a 0 after each; ``offsets`` has their starts and the end.
+    Of equal windows that go on over batches, more than ``most`` places are settled in parts; that changes no result.
     """
     size = np.diff(offsets) - 1
     piece_of = induce.vector(len(pieces), np.int32, memory)
@@ -155,14 +158,15 @@ def repeated_windows(pieces: np.ndarray, offsets: np.ndarray, doc: np.ndarray, w
         if not len(at):
             continue
         same = np.concatenate([[False], agree(at[1:], at[:-1])])
-        # the last group may go on in the next batch; of a long one its smallest document is enough
+        # the last group may go on in the next batch; of a long one all places of its smallest document are
+        # carried, as a still smaller document may come
         last = int(np.flatnonzero(~same)[-1])
         settle(at[:last], same[:last]) if last else None
         rest = at[last:]
-        if len(rest) > induce.BATCH:
+        if len(rest) > most:
             settle(rest, np.concatenate([[False], np.ones(len(rest) - 1, bool)]))
-            owners = piece_of[rest]
-            rest = rest[[int(np.argmin(doc[owners]))]]
+            owners = doc[piece_of[rest]]
+            rest = rest[owners == owners.min()]
     if len(rest):
         settle(rest, np.concatenate([[False], np.ones(len(rest) - 1, bool)]))
     if not out_piece:
