@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,46 @@ def test_modified_kneser_ney_by_hand(spark):
         assert math.isclose(math.exp(model[code]), prob(g), rel_tol=1e-4)
 
 
+def tokens_of(text):
+    return re.findall(r" ?(?:[^\W_\u0800-\U0010ffff]+|[\u0800-\U0010ffff]|[^\w\s]+|_+)|\s", text)
+
+
+def test_word_grams_by_hand(spark):
+    """Perplexities by the recursive definition over tokens, for seen and new words, in scripts that letter classes fold."""
+    taught = ["the cat sat on the mat, the cat sat.\nthe dog sat on the cat", "кот сел на кота, кот сел", "天地玄黄 天地玄黄宇宙 天地"]
+    asked = ["the cat sat on the dog", "сел кот на кота", "天地宇宙", "dog the on sat cat the", "nothing seen 12", taught[1], taught[1]]
+    docs = make_docs(spark, list(enumerate(taught)))
+    spell = kneser.speller(kneser.log_model(kneser.count_grams(docs)))
+    seqs = [["<", "<", *tokens_of(t), ">"] for t in taught]
+    counts = {3: Counter(tuple(s[i : i + 3]) for s in seqs for i in range(len(s) - 2))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def cut(k):
+        n = [sum(1 for c in counts[k].values() if c == j) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        return [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5, 0.1), i - 0.1) for i in (1, 2, 3)]
+
+    def prob(g):
+        if not g[:1]:
+            return None
+        w = b"" if g[-1] == ">" else g[-1].encode()
+        d, same = cut(len(g)), [c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]]
+        lower = prob(g[1:]) if len(g) > 1 else math.exp(spell(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0])
+        if not same:
+            return lower
+        c = counts[len(g)].get(g, 0)
+        return (c - d[min(c, 3) - 1] if c else 0) / sum(same) + sum(d[min(x, 3) - 1] for x in same) / sum(same) * lower
+
+    want = {}
+    for i, t in enumerate(asked):
+        s = ["<", "<", *tokens_of(t), ">"]
+        want[i] = math.exp(-sum(math.log(prob(tuple(s[j : j + 3]))) for j in range(len(s) - 2)) / len(t.encode()))
+    got = {r.doc_id: r.perplexity for r in kneser.perplexities(make_docs(spark, list(enumerate(asked))), docs).collect()}
+    assert got == {i: pytest.approx(p, rel=1e-5) for i, p in want.items()}
+    assert got[0] < 0.7 * got[3]  # the same words out of order
+
+
 def test_quality(labelled):
     docs, labels = labelled
     got = kneser.quality(docs, labels.filter("quality = 1")).collect()

@@ -1,10 +1,10 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts one letter from the ``ORDER - 1`` before it. Letters are the classes of
-``letter_classes``: their number bounds the model (``CLASSES ** ORDER`` grams), which is what makes it
-safe to send to every task, whatever the size of the corpus. Counts come from every trusted text,
-added up per task and then per gram; discounted probabilities and back-off weights come from joins
-of the counts with their contexts' totals, sharded by context.
+The model is one of words and characters (``wordgrams``): all grams of up to three tokens of every trusted text, as
+tables. Tokens that no trusted text holds are spelt by a model of letters, which predicts one letter from the
+``ORDER - 1`` before it. Letters are the classes of ``letter_classes``: their number bounds this part
+(``CLASSES ** ORDER`` grams), which is what makes it safe to send to every task. Discounted probabilities
+and back-off weights come from joins of the counts with their contexts' totals, sharded by context.
 
 A quarter of the trusted documents (by a hash of their id) is held out of the counts. Their
 perplexities set the threshold of each language: the ``quantile`` of its held-out documents. A
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripsearch.llm import blocks
+from tripsearch.llm import blocks, wordgrams
 from tripsearch.llm.byids import semi
 from tripsearch.ship import ship
 from tripsearch.storage import durable
@@ -126,23 +126,30 @@ def log_model(counts: DataFrame) -> np.ndarray:
     return np.log(prob).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (null without bytes)."""
-    ship(docs.sparkSession)
+def speller(model: np.ndarray) -> wordgrams.Spelling:
+    """Log probability of the letters of every token and a space that ends it, each byte drawn evenly from its class."""
+    table = letter_classes()
+    even = np.log(np.bincount(table, minlength=CLASSES))[table]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in blocks.chunks(batch.column(2)):
-                sums = np.concatenate([[0.0], np.cumsum(model[grams(data, offsets)], dtype=np.float64)])
-                size = np.diff(offsets)
-                mean = np.diff(sums[offsets]) / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(size), pa.array(np.exp(-mean), mask=size == 0)],
-                    ["doc_id", "lang", "n_bytes", "perplexity"],
-                )
+    def spell(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        count = len(at) - 1
+        wide = np.full(len(data) + count, ord(" "), np.uint8)
+        wide[np.arange(len(data)) + np.repeat(np.arange(count), np.diff(at))] = data
+        at = at + np.arange(count + 1)
+        sums = np.concatenate([[0.0], np.cumsum(model[grams(wide, at)] - even[wide], dtype=np.float64)])
+        # rounded: sums of other letters before it must not show in a token's value
+        return np.round(np.diff(sums[at]), 6)
+
+    return spell
 
+
+def perplexities(docs: DataFrame, learnt: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity by byte (null without bytes), by the model of ``learnt`` (its column ``text``)."""
+    ship(docs.sparkSession)
+    spell = speller(log_model(durable(count_grams(learnt), "gram-counts")))
+    grams, log_spare = wordgrams.model(wordgrams.count_trigrams(learnt, spell), discounts)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
+    return wordgrams.perplexities(rows, grams, log_spare, spell)
 
 
 def is_held_out(key: Column) -> Column:
@@ -161,8 +168,7 @@ def quality(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     trusted = durable(trusted, "trusted")
     learnt = semi(rows, trusted.filter(~is_held_out(F.col("doc_id"))), "doc_id")
-    counts = durable(count_grams(learnt), "gram-counts")
-    scores = durable(perplexities(docs, log_model(counts), key), "perplexities")
+    scores = durable(perplexities(docs, learnt, key), "perplexities")
     held = scores.join(trusted.filter(is_held_out(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity is not null")
     log_p, letters = F.log("perplexity"), F.col("n_bytes")
     middle = lambda: F.percentile(F.round(log_p, 4), F.lit(0.5))
