@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import plain
@@ -113,6 +114,36 @@ def test_suffix_order(memory):
         assert set(zip(*(x.tolist() for x in suffix.repeated_windows(text, offsets, doc, depth, memory)))) == want
 
 
+def test_types_of_a_large_shard_are_mapped(monkeypatch):
+    """The types are found a stretch at a time and kept in a file, whatever the stretches."""
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(induce, "BATCH", 7)
+    for n in (1, 6, 7, 8, 14, 15, 200):
+        text = np.append(np.repeat(rng.integers(1, 4, n), rng.integers(1, 12, n)), 0).astype(np.uint16)
+        want = [True] * len(text)
+        for i in reversed(range(len(text) - 1)):
+            want[i] = bool(text[i] < text[i + 1] or (text[i] == text[i + 1] and want[i + 1]))
+        got = induce.is_s(text, 1)
+        assert got.tolist() == want and isinstance(got, np.memmap) == (len(text) > 4)
+
+
+def test_bytes_removed_with_shards_on_disk(monkeypatch):
+    """Pieces of a shard far larger than memory go to its file as they come."""
+    monkeypatch.setattr(induce, "MEMORY", 3)
+    texts = [b"x" * 9 + bytes(range(40, 80)), bytes(range(40, 80)) + b"y" * 9, b"z" + bytes(range(41, 75)) * 2]
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 0]), pa.array([4, 2, 3]), pa.array([0, 0, 0]), pa.array([5, 0, 1]), pa.array(texts, pa.binary())], ["anchor", "doc_id", "tag", "first", "piece"])
+    got = Counter()
+    for out in suffix.sort_shard(iter([rows.slice(0, 1), rows.slice(1, 0), rows.slice(1)]), 24):
+        for doc, _, first, number in zip(*(c.to_pylist() for c in out.columns)):
+            got.update((doc, first + i) for i in range(number))
+    least = {}
+    held = [(doc, base, t) for doc, base, t in zip([4, 2, 3], [5, 0, 1], texts)]
+    for doc, _, t in held:
+        for i in range(len(t) - 23):
+            least[t[i : i + 24]] = min(least.get(t[i : i + 24], 99), doc)
+    assert got == Counter((doc, base + i) for doc, base, t in held for i in range(len(t) - 23) if least[t[i : i + 24]] < doc)
+
+
 @pytest.mark.parametrize("most", [0, 1, 7])
 def test_long_groups_settled_in_parts(monkeypatch, most):
     """A window at several places of a document that a smaller document follows in a later batch."""

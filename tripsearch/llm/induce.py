@@ -6,7 +6,8 @@ names' own suffixes are ranked by doubling until they span the depth that matter
 induction then brings every suffix in order. An induction keeps one queue of suffix tuples per first
 letter; tuples are taken by ascending (L) or descending (S) letter, and each puts its predecessor
 in the queue of the letter before it. Queues beyond ``MEMORY`` tuples go to an unnamed file that
-ends with the task; the text and the ranks of a large shard are mapped from such files too.
+ends with the task; the text, the types and the owners of a large shard are mapped from such files too. The
+S* suffixes with their names and ranks (``star_order``) are in memory: they bound the shard a task can take.
 """
 
 from __future__ import annotations
@@ -83,12 +84,19 @@ def vector(size: int, kind: type, memory: int) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(size,))
 
 
-def is_s(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next one; the last counts as smaller."""
-    changes = np.flatnonzero(text[1:] != text[:-1])
-    # every letter is as the next place where the letter changes; the last run counts as smaller
-    rises = np.append(text[changes + 1] > text[changes], True)
-    return np.repeat(rises, np.diff(np.concatenate([[-1], changes, [len(text) - 1]])))
+def is_s(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
+    """Whether each suffix is smaller than the next one; the last counts as smaller. A stretch at a time, from the end."""
+    out = vector(len(text), bool, memory)
+    after = True  # of the first suffix of the stretch that follows
+    for a in reversed(range(0, len(text), BATCH)):
+        part = np.asarray(text[a : a + BATCH + 1])  # with the next stretch's first letter
+        own = min(BATCH, len(text) - a)
+        changes = np.flatnonzero(part[1:] != part[:-1])
+        # every letter is as the next place where the letter changes; the last run is as what follows
+        rises = np.append(part[changes + 1] > part[changes], after)
+        out[a : a + own] = np.repeat(rises, np.diff(np.concatenate([[-1], changes, [len(part) - 1]])))[:own]
+        after = bool(out[a])
+    return out
 
 
 def spread(queues: Queues, text: np.ndarray, before: np.ndarray) -> None:
@@ -156,11 +164,14 @@ def star_order(text: np.ndarray, s_type: np.ndarray, depth: int, memory: int) ->
     letters = int(text.max(initial=0)) + 1
     seeds = Queues(letters, memory)
     spread(seeds, text, stars)
-    found = list(induce(text, s_type, seeds, memory, only_stars=True))
+    order = vector(len(stars), np.int64, memory)
+    end = len(order)
+    for batch in induce(text, s_type, seeds, memory, only_stars=True):
+        order[end - len(batch) : end] = batch[::-1]
+        end -= len(batch)
     # the last sentinel is S*, but nothing follows that could induce it: it comes first
-    order = np.concatenate(found)[::-1] if found else stars[:0]
-    missing = np.setdiff1d(stars, order, assume_unique=True)
-    order = np.concatenate([missing, order])
+    if end:
+        order[:end] = np.setdiff1d(stars, order[end:], assume_unique=True)
     number = np.searchsorted(stars, order)
     length = np.diff(np.append(stars, len(text) - 1)) + 1
     length[-1] = max(1, len(text) - stars[-1])
@@ -181,7 +192,7 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Itera
     """Batches of suffixes in descending order of at least their first ``depth`` letters."""
     if not len(text):
         return
-    s_type = is_s(text)
+    s_type = is_s(text, memory)
     seeds = Queues(int(text.max()) + 1, memory)
     order = star_order(text, s_type, depth, memory)
     for a in range(0, len(order), BATCH):

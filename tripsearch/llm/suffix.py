@@ -16,6 +16,7 @@ not be UTF-8, so the kept text is binary. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import partial
 
@@ -174,43 +175,51 @@ def repeated_windows(
     return np.concatenate(out_piece), np.concatenate(out_first)
 
 
-def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
-    """The open windows that also start in a smaller document, by the suffix order of their shard."""
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, parts = [], []
-        for batch in batches:
-            columns.append([c.to_numpy() for c in batch.columns[1:4]])
-            data, offsets = blocks.text_bytes(batch.column(4))
+def sort_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, tag, first, number: the runs of windows of a shard's pieces that also start in a smaller document."""
+    # beyond what ``vector`` keeps in memory, letters go to a file as they come
+    most = 4 * induce.MEMORY
+    columns, sizes, file, total = [], [], tempfile.SpooledTemporaryFile(np.dtype(np.uint16).itemsize * most), 0
+    for batch in batches:
+        for begin, end, data, offsets in blocks.chunks(batch.column(4)):
+            columns.append([c.to_numpy()[begin:end].copy() for c in batch.columns[1:4]])  # a view would hold the batch
             count = len(offsets) - 1
             letters = np.zeros(len(data) + count, np.uint16)
             letters[np.arange(len(data)) + np.repeat(np.arange(count), np.diff(offsets))] = data.astype(np.uint16) + 1
-            parts.append((letters, np.diff(offsets) + 1))
-        if not parts:
-            return
-        doc, tag, first = (np.concatenate(x) for x in zip(*columns))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
-        shard = induce.vector(int(offsets[-1]), np.uint16, induce.MEMORY)
-        at = 0
-        for letters, _ in parts:
-            shard[at : at + len(letters)] = letters
-            at += len(letters)
-        del parts
-        piece, inside = repeated_windows(shard, offsets, doc, window)
-        # neighbouring windows of a piece leave as one run
-        order = np.lexsort((inside, piece))
-        piece, inside = piece[order], inside[order]
-        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1)]) if len(piece) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[piece[starts]]), pa.array(tag[piece[starts]]), pa.array(first[piece[starts]] + inside[starts]), pa.array(np.diff(np.append(starts, len(piece))))],
-            ["doc_id", "tag", "first", "number"],
-        )
-        del shard, piece, inside, order, new
-        blocks.give_back()
+            file.write(letters.data)
+            sizes.append(np.diff(offsets) + 1)
+            total += len(letters)
+    if not columns:
+        return
+    doc, tag, first = (np.concatenate(x) for x in zip(*columns))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    del columns, sizes
+    if total > most:
+        file.flush()
+        shard = np.memmap(file, np.uint16, "r", shape=(total,))
+    else:
+        file.seek(0)
+        shard = np.frombuffer(file.read(), np.uint16)
+    file.close()
+    piece, inside = repeated_windows(shard, offsets, doc, window, induce.MEMORY)
+    # neighbouring windows of a piece leave as one run
+    order = np.lexsort((inside, piece))
+    piece, inside = piece[order], inside[order]
+    new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1)]) if len(piece) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(doc[piece[starts]]), pa.array(tag[piece[starts]]), pa.array(first[piece[starts]] + inside[starts]), pa.array(np.diff(np.append(starts, len(piece))))],
+        ["doc_id", "tag", "first", "number"],
+    )
+    del shard, piece, inside, order, new
+    blocks.give_back()
+
+
+def settle(texts: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
+    """The open windows that also start in a smaller document, by the suffix order of their shard."""
 
     shards = cut_pieces(texts, window).repartition(tasks * SHARDS, "anchor")
-    return shards.mapInArrow(sort, "doc_id long, tag long, first long, number long")
+    return shards.mapInArrow(partial(sort_shard, window=window), "doc_id long, tag long, first long, number long")
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
