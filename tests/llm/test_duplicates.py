@@ -32,6 +32,17 @@ def test_random_small_sets_lose_no_link(spark):
     assert got == want
 
 
+def test_repeated_id_stands_for_a_class_of_its_own(spark):
+    """An id that is a copy by one text and the smallest of its class by another keeps the links of both."""
+    words = [f"b{i}" for i in range(100)]
+    near = " ".join([*words[:50], "other", *words[51:]])
+    rows = [(1, "one text that the others do not share at all"), (7, "one text that the others do not share at all"), (7, " ".join(words)), (9, near)]
+    want = plain.classes(rows)
+    assert want == {1: 1, 7: 1, 9: 1}
+    got = jaccard.join_classes(make_docs(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_allocation_covers_every_set():
     rng = np.random.default_rng(9)
     ends = jaccard.bands(3000)

@@ -386,10 +386,13 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     # copies: every id under its class's smallest id, so that groups are groups of classes
     member = sets.filter("n_shingles > 0 and doc_id is not null").join(classes.filter("copies > 1"), ["n_shingles", "f1", "f2"])
     copies = durable(member.select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
+    # an id that repeats may stand for a class of its own beside: its signatures count for that node too
+    own = copies.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = durable(copies.unionByName(own.select("doc_id", F.col("doc_id").alias("rep"))), "nodes")
     sizes = classes.select(F.col("rep").alias("of_rep"), F.col("n_shingles").alias("n")).groupBy("of_rep").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
     # of a class, the members of a group count once; any of its documents' bounds holds
     rows = durable(
-        shared.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("node"), "least", "times")
+        shared.join(nodes, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("node"), "least", "times")
         .groupBy("g", "node").agg(F.max("least").alias("least"), F.max("times").alias("times"))
         .join(sizes, F.col("node") == F.col("of_rep")).drop("of_rep"), "groups",
     )
