@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+
+def crc32(text: str) -> str:
+    """The unsigned checksum of an ASCII text that is not empty."""
+    byte = "list_reduce(list_prepend(xor(a, b), [0::bigint, 1, 2, 3, 4, 5, 6, 7]), lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384::bigint else 0::bigint end))"
+    letters = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
+    return f"cast(xor(list_reduce(list_prepend(4294967295::bigint, {letters}), lambda a, b: {byte}), 4294967295) as bigint)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 ORACLE_SQL = {
     "op3_substring_bytes": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents
@@ -127,5 +143,48 @@ with d as (
 ), n as (select item_id, count(*) as n_item from item group by 1)
 select doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
 from doc join item using (s) join n using (item_id) group by 1, 2, 3 having 100 * count(*) >= 75 * n_item
+""",
+    "op11_merkle": f"""
+with recursive leaves as (
+  select doc_id, source, {_leaf("text")} as leaf,
+    case when {crc32("doc_id::varchar")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as start
+  from documents
+), sources as (
+  select source, row_number() over (order by source nulls first) - 1 as tree, count(*) as n, count(*) over () as n_sources
+  from documents group by source
+), placed as (
+  select doc_id, leaf, start, tree, n, n_sources, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos
+  from leaves join sources on leaves.source is not distinct from sources.source
+), up(tree, level, pos, h, n) as (
+  select tree, 0, pos, leaf, n from placed
+  union all
+  select tree, level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), max((n + 2) // 3) from up where n > 1 group by tree, level, pos // 3
+), top(level, pos, h, n) as (
+  select 0, up.tree, up.h, n_sources from up join sources using (tree) where up.n = 1
+  union all
+  select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), max((n + 2) // 3) from top where n > 1 group by level, pos // 3
+), runs as (
+  select tree, level, pos // 3 as parent, list({{'pos': pos, 'h': h}} order by pos) as run from up where n > 1 group by all
+  union all
+  select -1, level, pos // 3, list({{'pos': pos, 'h': h}} order by pos) from top where n > 1 group by all
+), climb(home, place, tree, level, pos, h, proof) as (
+  select tree, pos, tree, 0, pos, start, '' from placed
+  union all
+  select home, place, c.tree, c.level + 1, c.pos // 3,
+    sha256(array_to_string(list_transform(run, lambda x: case when x.pos = c.pos then c.h else x.h end), '')),
+    proof || array_to_string(list_transform(list_filter(run, lambda x: x.pos <> c.pos), lambda x: x.h), '')
+  from climb c join runs on runs.tree = c.tree and runs.level = c.level and runs.parent = c.pos // 3
+), whole(home, place, level, pos, h, proof) as (
+  select home, place, 0, home, h, proof from climb where not exists (select 1 from runs where runs.tree = climb.tree and runs.level = climb.level)
+  union all
+  select home, place, c.level + 1, c.pos // 3,
+    sha256(array_to_string(list_transform(run, lambda x: case when x.pos = c.pos then c.h else x.h end), '')),
+    proof || array_to_string(list_transform(list_filter(run, lambda x: x.pos <> c.pos), lambda x: x.h), '')
+  from whole c join runs on runs.tree = -1 and runs.level = c.level and runs.parent = c.pos // 3
+)
+select doc_id, leaf, s.h as subroot, r.h as root, sha256(w.proof) as proof_sha256, w.h as folded_root, w.h = r.h as verified
+from placed p join (select tree, h from up where n = 1) s using (tree) cross join (select h from top where n = 1) r
+join whole w on w.home = p.tree and w.place = p.pos
+where not exists (select 1 from runs where runs.tree = -1 and runs.level = w.level)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.llm import decontam, impact, jaccard, kneser, raking, recompress, suffix, toxic, urls, warc
+from tripsearch.llm import decontam, impact, jaccard, kneser, merkle, raking, recompress, suffix, toxic, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.quality(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.without_newlines(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -78,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
 }
