@@ -186,5 +186,58 @@ select doc_id, leaf, s.h as subroot, r.h as root, sha256(w.proof) as proof_sha25
 from placed p join (select tree, h from up where n = 1) s using (tree) cross join (select h from top where n = 1) r
 join whole w on w.home = p.tree and w.place = p.pos
 where not exists (select 1 from runs where runs.tree = -1 and runs.level = w.level)
+""",
+    "op12_conversations": f"""
+with recursive hurt as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as hurt from conversations
+), rows as (
+  select conv_id, turn, case when hurt = 4 then 'user' else role end as role,
+    case hurt when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when hurt = 3 then 2 else 1 end)) from hurt where hurt <> 0
+), placed as (
+  select conv_id, turn, role, text, left(role, 1) as initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) as i from rows
+), told as (
+  select *, case when bare = '' then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(initial) over (partition by conv_id order by i) as before from placed
+), facts as (
+  select conv_id, count(*) as n_rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from told group by conv_id
+), inserts(a, b, n) as (
+  values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)
+), edits(b, initial, edit, c, price) as (
+  select b, '*', 'D', b, 2 from range(4) t(b) union all select b, '+', 'R', case b when 2 then 3 else 2 end, 1 from range(4) t(b)
+  union all values (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0)
+), best(conv_id, i, state, v) as (
+  select conv_id, 0::bigint, 0::bigint, {{'cost': 0::bigint, 'audit': ''}} from (select distinct conv_id from conversations)
+  union all
+  select p.conv_id, p.i + 1, e.c,
+    min({{'cost': v.cost + 5 * x.n + e.price + case when t.fault = 'truncated' and e.edit <> 'D' then 5 else 0 end, 'audit': v.audit || repeat('I', x.n) || e.edit}})
+  from best p join told t on t.conv_id is not distinct from p.conv_id and t.i = p.i + 1 join inserts x on x.a = p.state
+    join edits e on e.b = x.b and (e.initial = '*' or t.fault in ('', 'truncated') and e.initial in ('+', t.initial))
+  group by p.conv_id, p.i, e.c
+), chosen as (
+  select b.conv_id, min({{'cost': v.cost + 5 * w.n, 'audit': v.audit || repeat('I', w.n)}}) as v
+  from best b left join facts f on f.conv_id is not distinct from b.conv_id join (values (0, 0), (1, 2), (2, 1), (3, 0)) w(state, n) using (state)
+  where b.i = coalesce(f.n_rows, 0) group by b.conv_id
+), said(conv_id, audit, p, i, state, lines) as (
+  select conv_id, v.audit, 0, 0::bigint, 0::bigint, []::varchar[] from chosen
+  union all
+  select s.conv_id, s.audit, s.p + 1, i2, c2, case e when 'D' then lines else list_append(lines,
+      case when e = 'K' then t.role when c2 = 2 then 'user' else 'assistant' end || ':' || case e when 'I' then '' else t.text end) end
+  from (
+    select *, substr(audit, p + 1, 1) as e, i + case substr(audit, p + 1, 1) when 'I' then 0 else 1 end as i2 from said where p < length(audit)
+  ) s left join told t on t.conv_id is not distinct from s.conv_id and t.i = s.i2,
+  lateral (select case when e = 'D' then s.state when e = 'K' and t.initial = 's' then 1 when s.state = 2 then 3 else 2 end as c2)
+)
+select s.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, c.v.cost as cost, s.audit, sha256(array_to_string(lines, chr(10))) as repaired_sha256, coalesce(n_rows, 0) as n_rows
+from said s join chosen c on c.conv_id is not distinct from s.conv_id left join facts f on f.conv_id is not distinct from s.conv_id
+where s.p = length(s.audit)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.llm import decontam, hmm, impact, jaccard, kneser, merkle, raking, recompress, suffix, toxic, urls, warc
+from tripsearch.llm import decontam, hmm, impact, jaccard, kneser, merkle, raking, recompress, repair, suffix, toxic, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.without_newlines(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
     return hmm.language_model(_table(spark, sf_dir, "documents"), held_out)
@@ -88,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
+    "op12_conversations": op12_conversations,
     "op13_hmm": op13_hmm,
 }
