@@ -76,10 +76,17 @@ def shape(word):
     return 1 + hmm.OWN + int(hmm.blocks.mix(look)[0] % np.uint64(hmm.SHAPES))
 
 
-def plain(rows, model, own):
+def band(n):
+    return n if n <= 64 else math.floor(math.log2(n) * 64)
+
+
+def plain(rows, model, head):
     """(id, held out, tokens, known, N, base, score) by the definitions, with a fitted model."""
     c = Counter(w for key, text in rows if key is not None and not held(key) for w in words(text))
-    ranked = sorted((w for w in c if w is not None), key=lambda w: (-c[w], int(np.array([hash_of(w)], np.uint64).view(np.int64)[0])))[:own]
+    ranked = sorted((w for w in c if w is not None), key=lambda w: (-c[w], int(np.array([hash_of(w)], np.uint64).view(np.int64)[0])))
+    if len(ranked) > head:  # whole bands only
+        ranked = [w for w in ranked[:head] if band(c[w]) > band(c[ranked[head]])]
+    ranked = ranked[: hmm.OWN]
     klass = {w: 1 + i for i, w in enumerate(ranked)} | {None: 0}
     total, kinds = Counter(), Counter()
     for w in c:
@@ -114,7 +121,7 @@ def test_scores_by_definition(odd_docs, odd_rows, monkeypatch, head):
     got = hmm.language_model(odd_docs, is_held(), 2)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     exact = lambda rows: Counter(tuple(r)[:5] + (round(r[5], 6), round(r[6], 5)) for r in rows)
-    assert exact(got.collect()) == exact(plain(odd_rows, kept[0], min(head, hmm.OWN)))
+    assert exact(got.collect()) == exact(plain(odd_rows, kept[0], head))
 
 
 def test_every_pass_learns_and_states_follow_the_language(spark):

@@ -7,8 +7,9 @@ share being that of tokens never learnt. The states' steps, beginnings and emiss
 parameters; the table of token counts, which gives the shares and the unigram base, grows with the corpus.
 
 - Counts: one aggregation over all learnt texts by token (a 64-bit hash).
-- The ``HEAD`` most frequent tokens are sent to every task (8 MB); other tokens of texts meet the table of counts in a join. No
-  such token holds more than 1 / HEAD of all tokens, so no key of that join is hot.
+- The most frequent tokens, ``HEAD`` at most, are sent to every task (8 MB); other tokens of texts meet the table of counts in a join.
+  There are more than HEAD tokens about as frequent as any of these or more, so none holds much more than 1 / HEAD of all tokens and no
+  key of that join is hot.
 - Texts are written once as sequences of class numbers (2 bytes a token). Every pass of Baum-Welch reads the learnt
   ones; each task runs forward and backward over many texts at a time, and only its expected counts leave it.
 - Long texts: between windows of ``WINDOW`` tokens only the state distribution is kept, and windows are run again backward. No text is cut.
@@ -35,7 +36,7 @@ from tripsearch.storage import durable
 STATES = 8
 PASSES = 5
 ADDED = 0.1
-#: Tokens sent to every task beside the end; tokens that are classes of their own; classes of the others.
+#: Most tokens sent to every task beside the end; tokens that are classes of their own; classes of the others.
 HEAD = 1 << 19
 OWN = 4096
 SHAPES = 2048
@@ -101,10 +102,27 @@ class Lexicon:
         return np.log10(self.total + ADDED * (self.kinds + 1))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """At most HEAD of the most frequent rows: as many whole bands of counts (one count each up to 64, then 64 to a doubling) as fit.
+
+    The bands are a table of a few thousand rows at any size, so no task gathers candidates from all others.
+    """
+    band = F.when(F.col("c") <= 64, F.col("c")).otherwise(F.floor(F.log2("c") * 64)).cast("long")
+    banded = counts.withColumn("band", band)
+    sizes = sorted(((r.band, r.n) for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 40, 0
+    for value, n in sizes:
+        held += n
+        if held > HEAD:
+            break
+        least = value
+    return banded.filter(F.col("band") >= least).drop("band")
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
-    """``counts`` is a written table. HEAD rows and one per class reach the driver."""
+    """``counts`` is a written table. HEAD rows and one per class and band reach the driver."""
     end = int(END)
-    head = counts.filter(F.col("token") != end).orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
+    head = frequent(counts.filter(F.col("token") != end)).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
     ends = counts.filter(F.col("token") == end).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
     token, klass, count = (np.append(head.column(c).to_numpy(), x) for c, x in (("token", end), ("class", 0), ("c", ends)))
     own = np.arange(min(OWN, len(token) - 1))
