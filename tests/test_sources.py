@@ -88,15 +88,15 @@ def test_ingest_writes_every_table(spark, folder):
     raw = positions.read_events_log(spark, "/root/testdata/sf0.001")
     for _ in range(2):  # a second run replaces the first
         out = ingest.ingest(raw, f"{folder}/city", 172800)
-    kept = spark.read.parquet(out.kept)
-    trips = spark.read.parquet(out.by_user)
-    simplified = tables.read_day(spark, out.simplified)
+    kept = out.read_kept(spark)
+    trips = out.read_by_user(spark)
+    simplified = out.read_simplified(spark, "shanghai")
     assert kept.count() == trips.count() == clean_positions(raw).count()
     assert 0 < simplified.count() < trips.count()
     day = simplified.select("day").first()["day"].isoformat()
-    one_day = tables.read_day(spark, out.index, day)
+    one_day = out.read_index(spark, "shanghai").where(F.col("day") == F.lit(day).cast("date"))
     plan = one_day._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(city" in plan and "day" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert all(f"isnotnull({c}" in plan.split("PartitionFilters")[1] for c in ("city", "day")) and "run#" in plan.split("PartitionFilters")[1]
     assert one_day.count() == simplified.where(F.col("day") == F.lit(day).cast("date")).count()
     cells = one_day.where(
         (F.col("cx") != nearest.cell(F.col("lng"), nearest.BASE_CELL)) | (F.col("city") != "shanghai")
@@ -121,18 +121,18 @@ def test_long_query_trip_is_not_put_in_columns(make_points):
 def test_ingest_leaves_other_cities_and_months(spark, folder):
     raw = positions.read_events_log(spark, "/root/testdata/sf0.001")
     later = raw.withColumn("ts", F.expr("ts + interval 2 months"))
-    counts = lambda path: {(r["city"], r["month"]): r["n"] for r in spark.read.parquet(path).groupBy("city", "month").agg(F.count("*").alias("n")).collect()}
+    counts = lambda df: {(r["city"], r["month"]): r["n"] for r in df.groupBy("city", "month").agg(F.count("*").alias("n")).collect()}
     out = ingest.ingest(raw, f"{folder}/grown", 172800)
-    first, by_user, index = counts(out.kept), counts(out.by_user), spark.read.parquet(out.index).count()
+    first, by_user, index = counts(out.read_kept(spark)), counts(out.read_by_user(spark)), out.read_index(spark).count()
     ingest.ingest(raw, f"{folder}/grown", 172800, city_name="pudong")
     ingest.ingest(later, f"{folder}/grown", 172800)
     for _ in range(2):
         ingest.ingest(raw, f"{folder}/grown", 172800, city_name="pudong")
-    after, after_by_user = counts(out.kept), counts(out.by_user)
+    after, after_by_user = counts(out.read_kept(spark)), counts(out.read_by_user(spark))
     assert {k: after[k] for k in first} == first and {k: after_by_user[k] for k in by_user} == by_user
     assert sum(n for (city, _), n in after.items() if city == "shanghai") == 2 * sum(first.values())
     assert sum(n for (city, _), n in after.items() if city == "pudong") == sum(first.values())
-    assert spark.read.parquet(out.index).count() == 3 * index
+    assert out.read_index(spark).count() == 3 * index
 
 
 def test_longer_trips_after_the_first_call(make_points):

@@ -12,6 +12,9 @@ from tripsearch.functions.folds import evaluate_once
 SHANGHAI = (119.5, 123.5, 30.5, 32.5)
 GAP_SECONDS = 1500
 
+# What is known of each user's last trip: time of its last point, ordinal, number of points.
+CARRY_SCHEMA = "obd_id string, last_us bigint, r int, n bigint"
+
 # The datum shift is below 0.01 degrees here; the loose box lets a scan skip row groups.
 _SHIFT_MARGIN = 0.02
 
@@ -92,12 +95,12 @@ def cut_trips(points: DataFrame, gap_seconds: int = GAP_SECONDS, slot_seconds: i
     return _numbered(slotted, slots)
 
 
-def continue_trips(
+def extend_trips(
     points: DataFrame, carry: DataFrame, gap_seconds: int = GAP_SECONDS, slot_seconds: int = 600
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Number the next batch of points after ``carry`` (obd_id, last_us, r, n).
+    """Number the next points of every user after ``carry`` (obd_id, last_us, r, n), the users' last trips so far.
 
-    Returns the numbered points (without a day: the trip may go on), the new carry of every
+    Returns the numbered points (their day is that of the trip's last point so far), the new carry of every
     user, and the points that came too late, older than the user's last numbered point.
     """
     known = points.join(carry.select("obd_id", F.col("last_us").alias("seen_us")), "obd_id", "left")
@@ -105,7 +108,7 @@ def continue_trips(
     late = known.where(is_late).drop("seen_us")
     slotted = _slotted(known.where(~is_late).drop("seen_us"), gap_seconds, slot_seconds)
     slots = _trip_of_slot(slotted, gap_seconds, carry)
-    numbered = _numbered(slotted, slots.drop("n", "last_us")).drop("day")
+    numbered = _numbered(slotted, slots.drop("n", "last_us"))
     reached = slots.select("obd_id", "last_us", "r", (F.col("base") + F.col("n")).alias("n"))
     newest = (
         reached.unionByName(carry.select("obd_id", "last_us", "r", "n"))
@@ -115,6 +118,14 @@ def continue_trips(
     return numbered, newest, late
 
 
+def continue_trips(
+    points: DataFrame, carry: DataFrame, gap_seconds: int = GAP_SECONDS, slot_seconds: int = 600
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``extend_trips``, for live points: without a day, as the trip may go on."""
+    numbered, newest, late = extend_trips(points, carry, gap_seconds, slot_seconds)
+    return numbered.drop("day"), newest, late
+
+
 def trip_catalog(points: DataFrame) -> DataFrame:
     """One row per trip: (obd_id, r, trip_id, day, n)."""
     return points.groupBy("obd_id", "r", "trip_id", "day").agg(F.count("*").alias("n"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 DAY_GAP = 86400
 TWO_DAY_GAP = 172800
+# Days that move the log over the end of a month.
+MONTH_SHIFT = 16
 THREE_POINTS = [(121.3, 31.2), (121.4, 31.3), (121.35, 31.25)]
 
 
@@ -352,6 +354,16 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             count(distinct trip_id) as trips from simplified group by day""",
         "ingest_two_cities": f"""{two_day}{_FEATURES} select city, day, count(*) as points,
             count(distinct trip_id) as trips from simplified, (values ('pudong'), ('shanghai')) c(city) group by city, day""",
+        "ingest_two_months": f"""{two_day}{_FEATURES},
+            kept_of as (select trip_id, count(*) as kept from simplified group by trip_id),
+            whole as (select trip_id, obd_id, r, day, count(*) as points, max(seq) as last_seq from pts group by all)
+            select trip_id, obd_id, r, day + {MONTH_SHIFT} as day, points, last_seq, kept from whole left join kept_of using (trip_id)""",
+        "kbct_ingested": f"""{two_day}{_FEATURES}, {q},
+            scores as (
+              select trip_id, round(sum(exp(-d)), 9) as sim
+              from (select q.qseq, p.trip_id, min({_D}) as d from q cross join simplified p group by all) group by trip_id
+            )
+            select trip_id, sim from scores order by sim desc, trip_id limit 5""",
         "point_index": f"""{day} select day, cast(floor(lng / 5e-3) as bigint) as cx, cast(floor(lat / 5e-3) as bigint) as cy,
             count(*) as n from pts group by all""",
         "kept_by_month": f"""with {_GCJ} select strftime(ts, '%Y-%m') as month, count(*) as points,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripsearch.operators import bounds as B
 from tripsearch.operators import features, nearest, ordered, outline, similarity
 from tripsearch.operators import trips as trip_ops
-from tripsearch.oracle import DAY_GAP, THREE_POINTS, TWO_DAY_GAP
+from tripsearch.oracle import DAY_GAP, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import ingest, search, similar, workload
 from tripsearch.sources import positions, requests, tables
 from tripsearch.storage import durable, new_folder
@@ -156,15 +156,15 @@ def _ingested(spark, sf_dir, gap) -> ingest.TripTables:
 
 
 def kept_by_month(spark, sf_dir):
-    kept = spark.read.parquet(_ingested(spark, sf_dir, TWO_DAY_GAP).kept)
+    kept = _ingested(spark, sf_dir, TWO_DAY_GAP).read_kept(spark)
     return kept.groupBy(F.col("month").cast("string").alias("month")).agg(
         F.count("*").alias("points"), F.count_distinct("obd_id").alias("users")
     )
 
 
 def simplified_by_day(spark, sf_dir):
-    points = tables.read_day(spark, _ingested(spark, sf_dir, TWO_DAY_GAP).simplified)
-    return points.groupBy("city", "day").agg(
+    points = _ingested(spark, sf_dir, TWO_DAY_GAP).read_simplified(spark, "shanghai")
+    return points.groupBy(F.col("city").cast("string").alias("city"), "day").agg(
         F.count("*").alias("points"), F.count_distinct("trip_id").alias("trips")
     )
 
@@ -178,12 +178,36 @@ def ingest_two_cities(spark, sf_dir):
             ingest.ingest(raw, path, TWO_DAY_GAP, city_name=city)
 
     folder = _scratch(spark, sf_dir, "ingest-cities", write)
-    points = spark.read.parquet(ingest.TripTables(folder).simplified)
+    points = ingest.TripTables(folder).read_simplified(spark)
     return points.groupBy(F.col("city").cast("string").alias("city"), "day").agg(
         F.count("*").alias("points"), F.count_distinct("trip_id").alias("trips")
     )
 
 
+def _two_months(spark, sf_dir) -> ingest.TripTables:
+    """The log moved to lie over the end of a month, ingested month by month into one folder."""
+    raw = positions.read_events_log(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr(f"interval {MONTH_SHIFT} days"))
+
+    def write(path):
+        for month in raw.select(F.date_format("ts", "yyyy-MM").alias("month")).distinct().orderBy("month").collect():
+            ingest.ingest(raw.where(F.date_format("ts", "yyyy-MM") == month["month"]), path, TWO_DAY_GAP)
+
+    return ingest.TripTables(_scratch(spark, sf_dir, "ingest-months", write))
+
+
+def ingest_two_months(spark, sf_dir):
+    """Every trip of the two months: its day, its points, and how many of them simplification keeps."""
+    out = _two_months(spark, sf_dir)
+    whole = out.read_by_user(spark).groupBy("trip_id", "obd_id", "r", "day").agg(F.count("*").alias("points"), F.max("seq").alias("last_seq"))
+    kept = out.read_simplified(spark).groupBy("trip_id").agg(F.count("*").alias("kept"))
+    return whole.join(kept, "trip_id", "left")
+
+
+def kbct_ingested(spark, sf_dir):
+    """The best connected trips among the simplified trips of both months, read as searches read them."""
+    return similarity.best_connected(_two_months(spark, sf_dir).read_simplified(spark, "shanghai"), THREE_POINTS, 5)
+
+
 def point_index(spark, sf_dir):
     points = trip_points(spark, sf_dir).drop("event_id")
     path = _scratch(spark, sf_dir, "point-index", lambda p: tables.write_point_index(points, p))
@@ -425,7 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gcj_clean, country_filter, trips, trips_short_gap, trip_catalog, trip_day, known_users, user_trips,
-        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, point_index, raw_csv_scan,
+        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, ingest_two_months, kbct_ingested, point_index, raw_csv_scan,
         request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,

@@ -8,50 +8,54 @@ from pyspark.sql import functions as F
 from tripsearch.operators.nearest import BASE_CELL, cell
 
 
-def _write(points: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
-    """Replace the partitions that ``points`` has rows in; other cities, months and days stay."""
+def _write(points: DataFrame, path: str, *by: str, mode: str = "overwrite", run: str | None = None) -> None:
+    """Replace the partitions that ``points`` has rows in; other cities, runs, months and days stay."""
+    if run is not None:
+        points, by = points.withColumn("run", F.lit(run)), (by[0], "run", *by[1:])
     points.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_kept_points(points: DataFrame, path: str, city: str = "shanghai") -> None:
-    """Clean points as ``city=../month=..``, sorted by user and time inside each file.
+def write_kept_points(points: DataFrame, path: str, city: str = "shanghai", run: str | None = None) -> None:
+    """Clean points as ``city=../run=../month=..``, sorted by user and time inside each file.
 
     Range partitioning on (month, user, time) splits a heavy user over many files.
     """
     rows = points.withColumn("city", F.lit(city)).withColumn("month", F.date_format("ts", "yyyy-MM"))
     _write(
         rows.repartitionByRange("month", "obd_id", "ts").sortWithinPartitions("month", "obd_id", "ts", "event_id"),
-        path, "city", "month",
+        path, "city", "month", run=run,
     )
 
 
-def write_trips_by_user(points: DataFrame, path: str, city: str = "shanghai") -> None:
-    """Trip points as ``city=../month=..`` (of the trip's day), clustered by user and trip; a heavy one spans files."""
+def write_trips_by_user(points: DataFrame, path: str, city: str = "shanghai", run: str | None = None) -> None:
+    """Trip points as ``city=../run=../month=../day=..`` (of the trip), clustered by user and trip; a heavy one spans files."""
     rows = points.withColumn("city", F.lit(city)).withColumn("month", F.date_format("day", "yyyy-MM"))
     _write(
-        rows.repartitionByRange("month", "obd_id", "r", "seq").sortWithinPartitions("month", "obd_id", "r", "seq"),
-        path, "city", "month",
+        rows.repartitionByRange("month", "day", "obd_id", "r", "seq").sortWithinPartitions("month", "day", "obd_id", "r", "seq"),
+        path, "city", "month", "day", run=run,
     )
 
 
-def write_trips_by_day(points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite") -> None:
-    """Trip points as ``city=../day=..``; a busy day is split by trip into several files."""
+def write_trips_by_day(points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite", run: str | None = None) -> None:
+    """Trip points as ``city=../run=../day=..``; a busy day is split by trip into several files."""
     rows = points.withColumn("city", F.lit(city)).repartitionByRange("day", "trip_id", "seq")
-    _write(rows.sortWithinPartitions("day", "trip_id", "seq"), path, "city", "day", mode=mode)
+    _write(rows.sortWithinPartitions("day", "trip_id", "seq"), path, "city", "day", mode=mode, run=run)
 
 
 def with_cells(points: DataFrame, width: float = BASE_CELL) -> DataFrame:
     return points.withColumn("cx", cell(F.col("lng"), width)).withColumn("cy", cell(F.col("lat"), width))
 
 
-def write_point_index(points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite") -> None:
-    """Trip points as ``city=../day=..`` ordered by grid cell.
+def write_point_index(
+    points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite", run: str | None = None
+) -> None:
+    """Trip points as ``city=../run=../day=..`` ordered by grid cell.
 
     Files cover narrow coordinate ranges, so a search box skips most row groups by their
     min/max statistics. The range keys end in the coordinates, so one busy cell splits too.
     """
     rows = with_cells(points).withColumn("city", F.lit(city)).repartitionByRange("day", "cx", "cy", "lng", "lat")
-    _write(rows.sortWithinPartitions("day", "cx", "cy"), path, "city", "day", mode=mode)
+    _write(rows.sortWithinPartitions("day", "cx", "cy"), path, "city", "day", mode=mode, run=run)
 
 
 def read_day(spark: SparkSession, path: str, day: str | None = None, city: str = "shanghai") -> DataFrame:

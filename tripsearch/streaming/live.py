@@ -7,13 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.operators.trips import GAP_SECONDS, clean_positions, continue_trips
+from tripsearch.operators.trips import CARRY_SCHEMA, GAP_SECONDS, clean_positions, continue_trips
 from tripsearch.sources import tables
 from tripsearch.sources.positions import positions_from_events
 from tripsearch.storage import new_folder
 
-CARRY_SCHEMA = "obd_id string, last_us bigint, r int, n bigint"
-
 
 def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean positions from the ``events`` files as a stream."""
