@@ -1,7 +1,7 @@
 import pytest
 
 from tests import plain
-from tripsearch.operators import ordered
+from tripsearch.operators import edit, ordered
 from tripsearch.operators.edit import edit_distances
 from tripsearch.plans import similar
 
@@ -13,14 +13,14 @@ PLAIN = {
 
 
 @pytest.mark.parametrize("measure", sorted(PLAIN))
-@pytest.mark.parametrize("block,fanout", [(2, 3), (512, 64)])
+@pytest.mark.parametrize("block,wide", [(2, 3), (512, 512)])
 @pytest.mark.parametrize("m", [1, 4])
-def test_ordered_measures(make_points, measure, block, fanout, m):
+def test_ordered_measures(make_points, measure, block, wide, m):
     trips = plain.random_trips(14, 9, seed=4)
     got = {
         r["trip_id"]: (r["n"], r["value"])
         for r in ordered.ordered_scores(
-            make_points(trips), QUERY[:m], measure, block_points=block, fanout=fanout
+            make_points(trips), QUERY[:m], measure, block_points=block, query_block=wide
         ).collect()
     }
     for trip, path in trips.items():
@@ -63,3 +63,68 @@ def test_trip_as_query_finds_itself(make_points):
 def test_unknown_measure(make_points):
     with pytest.raises(ValueError):
         ordered.ordered_scores(make_points({"T": [(0, 0)]}), QUERY, "dtw")
+
+
+SPARSE = {"cut off": [0, 1, 2, 9, 10, 30], "tail": [17, 18, 40], "ends": [0, 4999]}
+
+
+def sparse_points(spark):
+    """Trips whose points leave blocks empty, at the start, inside and at the end."""
+    paths = plain.random_trips(len(SPARSE), 6, seed=31)
+    rows, trips = [], {}
+    for (trip, seqs), path in zip(SPARSE.items(), paths.values()):
+        path = (path * 6)[: len(seqs)]
+        trips[trip] = path
+        rows += [(trip, s, x, y) for s, (x, y) in zip(seqs, path)]
+    return spark.createDataFrame(rows, "trip_id string, seq bigint, lng double, lat double"), trips
+
+
+@pytest.mark.parametrize("measure", [*sorted(PLAIN), "edwp"])
+def test_trips_with_empty_blocks_are_all_scored(spark, measure):
+    points, trips = sparse_points(spark)
+    f = plain.edwp if measure == "edwp" else PLAIN[measure]
+    scored = edit_distances(points, QUERY, 4, 3) if measure == "edwp" else ordered.ordered_scores(points, QUERY, measure, block_points=4, query_block=3)
+    got = {r["trip_id"]: r["value"] for r in scored.collect()}
+    assert got == {t: pytest.approx(f(p, QUERY), abs=1e-9) for t, p in trips.items()}
+
+
+@pytest.mark.parametrize("measure", ["ordered", "lcss", "edwp"])
+def test_a_trip_is_the_query(spark, make_points, measure):
+    trips = plain.random_trips(12, 7, seed=21)
+    longest = max(trips, key=lambda t: (len(trips[t]), t))
+    f = plain.edwp if measure == "edwp" else PLAIN[measure]
+    want = plain.top({t: f(p, trips[longest]) for t, p in trips.items()}, 5, measure == "ordered")
+    got = [(r["trip_id"], r["value"]) for r in similar.top_by_trip(make_points(trips), longest, 5, measure).collect()]
+    assert [t for t, _ in got] == [t for t, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=2e-9)
+
+
+def test_edit_distance_over_blocks_of_trip_and_query(make_points):
+    trips = plain.random_trips(10, 30, seed=22)
+    query = plain.random_trips(1, 40, seed=70)["T000"]
+    points = make_points(trips)
+    want = {t: pytest.approx(plain.edwp(p, query), abs=1e-9) for t, p in trips.items()}
+    for trip_block, query_block in ((4, 1000), (1000, 5), (7, 3)):
+        assert {r["trip_id"]: r["value"] for r in edit_distances(points, query, trip_block, query_block).collect()} == want
+
+
+def test_walks_that_are_ended_early_never_belong_to_the_answer(make_points):
+    trips = plain.random_trips(40, 25, seed=23)
+    query = trips["T007"]
+    points = make_points(trips)
+    want = plain.top({t: plain.edwp(p, query) for t, p in trips.items()}, 3, False)
+    for trip_block, query_block in ((1024, 1024), (5, 4)):
+        got = [(r["trip_id"], r["value"]) for r in edit.nearest_by_edit(points, query, 3, trip_block, query_block).collect()]
+        assert [t for t, _ in got] == [t for t, _ in want]
+    # and some are in fact ended early
+    asked, wide, _ = ordered.query_blocks(ordered.query_table(points, query), 4)
+    blocks, most = ordered.trip_blocks(points, 5)
+    assert edit._distances(blocks, most, asked, wide, 3, want[-1][1] + 1e-8).count() < len(trips)
+
+
+def test_the_plan_does_not_grow_with_the_query(make_points):
+    points = make_points(plain.random_trips(5, 9, seed=24))
+    plans = [
+        ordered.ordered_scores(points, [(121 + i * 1e-4, 31.1) for i in range(m)], "lcss")._jdf.queryExecution().optimizedPlan().toString()
+        for m in (3, 300)
+    ]
+    assert abs(len(plans[0]) - len(plans[1])) < 20

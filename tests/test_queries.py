@@ -26,8 +26,8 @@ def test_query(spark, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for word in ("CartesianProduct", "NestedLoop", "ArrowEvalPython", "BatchEvalPython", "InPandas"):
         assert word not in plan, word
-    # only the greedy edit distance steps in numpy, one Arrow batch of trips at a time
-    assert ("MapInArrow" in plan) == name.startswith("edwp")
+    # only measures that fill a table cell by cell step in numpy, one Arrow batch of trips at a time
+    assert ("MapInArrow" in plan) == name.startswith(("edwp", "lcss", "sim_ordered", "ordered_topk", "ordered_by"))
     problem = compare(con, df, SQL[name])
     assert problem is None or problem == "empty on both sides"
 

@@ -142,5 +142,5 @@ def test_longer_trips_after_the_first_call(make_points):
         points = make_points(trips)
         got = {r["trip_id"]: r["value"] for r in edit.edit_distances(points, query, 4).collect()}
         assert got == {r["trip_id"]: r["value"] for r in edit.edit_distances(points, query).collect()}
-        rows = ordered.ordered_scores(points, query, "ordered", block_points=4, fanout=2).collect()
+        rows = ordered.ordered_scores(points, query, "ordered", block_points=4, query_block=2).collect()
         assert len(rows) == len(trips) == len(got)

@@ -5,29 +5,37 @@ the next point of one list on the current hop of the other and match up to there
 costs (distance between the matched ends) x (length covered). A list reduced to one point
 pays for at most one more hop of the other list, then the walk ends.
 
-The walk is sequential by nature, and its state is one small row per trip. Trips are cut
-into blocks; each round feeds the next block of every unfinished trip, so no task holds
-more than one block of a trip, and trips within one block take one round. Inside a task the
+The walk is sequential by nature, and its state is one small row per trip. Trips and the query are cut
+into blocks; each round feeds every unfinished trip the block it waits for, of its own points or of the query, so no
+task holds more than a block of either and trips and queries of one block take one round. Inside a task the
 trips of an Arrow batch step together as numpy vectors: as an array fold the branching step
 took 65 microseconds of a core, this way well under one.
+
+Costs only grow, so a search for the k nearest ends a walk as soon as its cost is above what k other trips
+have cost in full.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripsearch.functions import geo
+from tripsearch.operators.ordered import query_blocks, query_table, trip_blocks
+from tripsearch.operators.similarity import top_trips
 from tripsearch.ship import ship
 from tripsearch.storage import durable
 
 BLOCK_POINTS = 1024
-#: Rounds whose blocks lie in one folder.
-WAVE = 8
-_STATE = "j int, rx double, ry double, sx double, sy double, cost double, done boolean"
+#: Trips walked first, for each one asked for, to know a cost that others must not exceed.
+SEED_FACTOR = 4
+_STATE = "trip_id string, i bigint, j bigint, a int, b int, rx double, ry double, sx double, sy double, cost double, done boolean"
 
 
 def _apart(a, b):
@@ -47,20 +55,20 @@ def _between(foot, a, b):
     return (foot != a).any(axis=0) & (foot != b).any(axis=0)
 
 
-def _walk(path, i, end, more, query, j, r, s, cost, done) -> None:
-    """Advance every trip in place until it is done or waits for its next block.
+def _walk(path, i, end, more, query, j, qend, qmore, r, s, cost, done, ceiling) -> None:
+    """Advance every trip in place until it is done, waits for its next block or costs more than ``ceiling``.
 
-    ``path`` is the points of all trips end to end, i and end each trip's next point and
-    limit in it; r and s are the current heads of trip and query.
+    ``path`` and ``query`` are the points of all trips and of their query blocks end to end, i and j each trip's next points, end and qend
+    their limits; r and s are the current heads of trip and query.
     """
-    m = query.shape[1]
-    live = np.flatnonzero(~done & ((i < end) | ~more))
+    ready = lambda x: ((i[x] < end[x]) | ~more[x]) & ((j[x] < qend[x]) | ~qmore[x]) & (cost[x] <= ceiling)
+    live = np.flatnonzero(~done)
+    live = live[ready(live)]
     while live.size:
-        r_more, s_more = i[live] < end[live], j[live] < m
-        last = live[~(r_more & s_more)]
+        last = live[~((i[live] < end[live]) & (j[live] < qend[live]))]
         if last.size:
-            r_more, s_more = i[last] < end[last], j[last] < m
-            ahead = np.where(r_more, path[:, np.minimum(i[last], path.shape[1] - 1)], query[:, np.minimum(j[last], m - 1)])
+            r_more, s_more = i[last] < end[last], j[last] < qend[last]
+            ahead = np.where(r_more, path[:, np.minimum(i[last], path.shape[1] - 1)], query[:, np.minimum(j[last], query.shape[1] - 1)])
             head = np.where(r_more, r[:, last], s[:, last])
             single = np.where(r_more, s[:, last], r[:, last])
             tail = (_apart(head, single) + _apart(ahead, single)) * _apart(head, ahead)
@@ -80,77 +88,100 @@ def _walk(path, i, end, more, query, j, r, s, cost, done) -> None:
         r[:, live], s[:, live] = np.where(cut_r, on_r, b), np.where(cut_s, on_s, d)
         i[live] += ~cut_r
         j[live] += ~cut_s
-        live = live[(i[live] < end[live]) | ~more[live]]
-
+        live = live[ready(live)]
 
-def _walk_batches(query: list[tuple[float, float]]):
-    points = np.array(query, dtype=float).T
 
+def _walk_batches(wide: int, ceiling: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            xs = batch.column("xs")
-            ends = np.cumsum(np.diff(xs.offsets.to_numpy()))
-            path = np.stack([xs.flatten().to_numpy(), batch.column("ys").flatten().to_numpy()])
-            fresh = get("fresh").astype(bool)
-            begin = np.concatenate(([0], ends[:-1]))
+
+            def laid_out(x, y):
+                ends = np.cumsum(np.diff(batch.column(x).offsets.to_numpy()))
+                return np.stack([batch.column(x).flatten().to_numpy(), batch.column(y).flatten().to_numpy()]), np.concatenate(([0], ends[:-1])), ends
+
+            path, begin, end = laid_out("xs", "ys")
+            query, qbegin, qend = laid_out("qx", "qy")
+            i, j, fresh = get("i").copy(), get("j").copy(), get("a") < 0
             r = np.where(fresh, path[:, begin], np.stack([get("rx"), get("ry")]))
-            s = np.stack([get("sx"), get("sy")]).copy()
-            j, cost, done = get("j").astype(np.int64), get("cost").copy(), np.zeros(len(ends), dtype=bool)
-            _walk(path, begin + fresh, ends, get("more").astype(bool), points, j, r, s, cost, done)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("trip_id"), pa.array(j, pa.int32()), *map(pa.array, (r[0], r[1], s[0], s[1], cost, done))],
-                ["trip_id", "j", "rx", "ry", "sx", "sy", "cost", "done"],
+            s = np.where(fresh, query[:, qbegin], np.stack([get("sx"), get("sy")]))
+            a, b = begin + np.where(fresh, 1, get("a")), qbegin + np.where(fresh, 1, get("b"))
+            more, qmore = i + 1 < get("blocks"), j + 1 < wide
+            cost, done = get("cost").copy(), np.zeros(len(i), dtype=bool)
+            _walk(path, a, end, more, query, b, qend, qmore, r, s, cost, done, ceiling)
+            over, qover = (a == end) & more, (b == qend) & qmore
+            kept = pa.array(done | (cost <= ceiling))
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("trip_id"), pa.array(i + over), pa.array(j + qover), pa.array(np.where(over, 0, a - begin), pa.int32()),
+                 pa.array(np.where(qover, 0, b - qbegin), pa.int32()), *map(pa.array, (r[0], r[1], s[0], s[1], cost, done))],
+                [c.split()[0] for c in _STATE.split(", ")],
             )
+            yield out.filter(kept)
 
     return run
 
 
+def _least(values: DataFrame, k: int) -> float:
+    """The k-th least value, with room for the rounding of a ranking; without limit if there are fewer."""
+    found = [r["value"] for r in values.orderBy("value").limit(k).select("value").collect()]
+    return found[-1] + 1e-8 if len(found) == k else math.inf
+
+
+def _distances(blocks: DataFrame, most: int, asked: DataFrame, wide: int, k: int | None = None, ceiling: float = math.inf) -> DataFrame:
+    nothing = F.lit(0.0)
+    state = blocks.where("i = 0").select("trip_id").withColumns({
+        "i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "a": F.lit(-1), "b": F.lit(-1),
+        **{c: nothing for c in ("rx", "ry", "sx", "sy", "cost")},
+    })
+    finished: list[DataFrame] = []
+    while True:
+        # the first round reads the first blocks as they are; later ones join each trip with the block it waits for
+        held = blocks if finished else blocks.where("i = 0")
+        fed = state.join(held.drop("n"), ["trip_id", "i"]).join(asked, "j")
+        state = fed.mapInArrow(_walk_batches(wide, ceiling), _STATE)
+        if most > 1 or wide > 1:
+            state = durable(state, "edit-state")
+        finished.append(state.where("done").select("trip_id", F.col("cost").alias("value")))
+        if most <= 1 and wide <= 1:
+            break
+        state = state.where("not done").drop("done")
+        if k is not None:
+            ceiling = min(ceiling, _least(reduce(DataFrame.unionByName, finished), k))
+            state = state.where(F.col("cost") <= ceiling)
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, finished)
+
+
 def edit_distances(
-    points: DataFrame, query: list[tuple[float, float]], block_points: int = BLOCK_POINTS
+    points: DataFrame, query: list[tuple[float, float]] | DataFrame, block_points: int = BLOCK_POINTS, query_block: int = BLOCK_POINTS
 ) -> DataFrame:
-    """(trip_id, value): EDwP of every trip to the query trip.
+    """(trip_id, value): EDwP of every trip to the query, a list or a table (qseq, qlng, qlat) of any length."""
+    asked, wide, m = query_blocks(query_table(points, query), query_block)
+    if not m:
+        return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
+    ship(points.sparkSession)
+    blocks, most = trip_blocks(points, block_points)
+    return _distances(blocks, most, asked, wide)
+
+
+def nearest_by_edit(
+    points: DataFrame, query: list[tuple[float, float]] | DataFrame, k: int, block_points: int = BLOCK_POINTS, query_block: int = BLOCK_POINTS
+) -> DataFrame:
+    """(trip_id, value): the k trips nearest to the query by EDwP.
 
-    Rounds go on until no trip waits for a block; a round reads only the files of its wave of blocks.
+    The trips that begin nearest to the query are walked first; the k-th cost among them, and then the k-th of all that have
+    ended, is a ceiling that ends every dearer walk. Ties with the ceiling go on, so the answer is exact.
     """
-    if not query:
-        return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
+    asked, wide, m = query_blocks(query_table(points, query), query_block)
+    if not m or k <= 0:
+        return top_trips(points.select("trip_id").distinct().withColumn("value", F.lit(float("inf"))), max(k, 0), "value", False)
     ship(points.sparkSession)
-    longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
-    rounds = -(-longest // block_points)
-    block = F.floor(F.col("seq") / block_points).cast("bigint")
-    path = F.array_sort(F.collect_list(F.struct("seq", "lng", "lat")))
-    blocks = points.groupBy("trip_id", block.alias("block")).agg(path.alias("path")).select(
-        "trip_id", "block", F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys")
-    )
-    if rounds > 1:
-        blocks = durable(blocks.withColumn("wave", F.floor(F.col("block") / WAVE)), "edit-blocks", ("wave",))
-        last = durable(blocks.groupBy("trip_id").agg(F.max("block").alias("last")), "edit-last")
-    nothing, (sx, sy) = F.lit(0.0), query[0]
-    current = blocks.where(F.col("block") == 0).select(
-        "trip_id", "xs", "ys", F.lit(1).alias("j"), nothing.alias("rx"), nothing.alias("ry"),
-        F.lit(float(sx)).alias("sx"), F.lit(float(sy)).alias("sy"), nothing.alias("cost"), F.lit(True).alias("fresh"),
-    )
-    finished = []
-    for number in range(rounds):
-        if rounds > 1:
-            current = current.join(last, "trip_id").withColumn("more", F.col("last") > number).drop("last")
-        else:
-            current = current.withColumn("more", F.lit(False))
-        state = current.mapInArrow(_walk_batches(query), f"trip_id string, {_STATE}")
-        if number + 1 < rounds:
-            state = durable(state, "edit-state")
-        finished.append(state.where("done").select("trip_id", F.col("cost").alias("value")))
-        waiting = state.where("not done").drop("done")
-        if number + 1 == rounds or waiting.isEmpty():
-            break
-        following = blocks.where((F.col("wave") == (number + 1) // WAVE) & (F.col("block") == number + 1))
-        current = following.drop("block", "wave").join(waiting, "trip_id").withColumn(
-            "fresh", F.lit(False)
-        )
-    result = finished[0]
-    for part in finished[1:]:
-        result = result.unionByName(part)
-    return result
+    blocks, most = trip_blocks(points, block_points)
+    x, y = asked.where("j = 0").select(F.col("qx")[0], F.col("qy")[0]).first()
+    start = geo.degrees_apart(F.col("xs")[0], F.col("ys")[0], F.lit(x), F.lit(y))
+    first = durable(blocks.where("i = 0").select("trip_id", start.alias("d")).orderBy("d", "trip_id").limit(SEED_FACTOR * k).select("trip_id"), "edit-seeds")
+    ceiling = _least(_distances(blocks.join(first, "trip_id", "left_semi"), most, asked, wide), k)
+    return top_trips(_distances(blocks, most, asked, wide, k, ceiling), k, "value", False)

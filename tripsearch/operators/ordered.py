@@ -1,11 +1,11 @@
-"""Order-aware measures of a trip against a list of query points.
+"""Order-aware measures of a trip against a query, a list of points or a table of any length.
 
-All of these measures walk along the trip with a small vector of best values, one entry
-per query position, and one trip point maps the vector by (max, +). That makes a stretch of
-points a (max, +) matrix and lets stretches be solved apart and multiplied together. So
-trips are cut into blocks of consecutive points: the first block of a trip carries the
-vector itself, later blocks carry their matrix, and blocks are merged ``fanout`` at a time
-until each trip is one row. A trip of any length is worked on by many tasks.
+All of these measures fill a table of (trip point x query point) cells, each from its left, upper and upper left
+neighbour. The table is cut into tiles of (trip block x query block). A tile needs the last row of the tile above and the
+last column of the tile to the left, so tiles are solved in rounds along anti-diagonals and only border vectors are
+kept between rounds: no task holds more than a tile, and neither trips nor the query have a longest length. Trips and
+queries of one block each, the usual case, are one round. Inside a tile a row is a few numpy steps: with the sums of a
+row's gains taken off, the dependence on the left neighbour is a running maximum.
 
 measure        meaning of one step at trip point p, with e_j = exp(-d(q_j, p))
 ordered        each query point matched in order, trip points may serve several: the default
@@ -18,146 +18,188 @@ lcss           longest common subsequence within ``threshold`` on both axes, as
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripsearch.functions import geo
-from tripsearch.functions.folds import double_array, let, point_array
+from tripsearch.functions.folds import double_array
+from tripsearch.ship import ship
+from tripsearch.storage import durable
 
 # Fixed value: largest difference on either axis for two points to match.
 LCSS_THRESHOLD = 0.1
 BLOCK_POINTS = 512
-FANOUT = 64
 MEASURES = ("ordered", "ordered_reuse", "ordered_dp", "ordered_all", "lcss")
 _NEVER = -math.inf
+_BORDERS = "trip_id string, i bigint, j bigint, blocks bigint, n bigint, bottom array<double>, right array<double>, corner double"
+
+
+def query_table(points: DataFrame, query: list[tuple[float, float]] | DataFrame) -> DataFrame:
+    """The query as a table (qseq, qlng, qlat)."""
+    if isinstance(query, DataFrame):
+        return query.select(F.col("qseq").cast("bigint").alias("qseq"), "qlng", "qlat")
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(query)]
+    return points.sparkSession.createDataFrame(rows, "qseq bigint, qlng double, qlat double")
+
+
+def query_blocks(query: DataFrame, size: int, skip_first: bool = False) -> tuple[DataFrame, int, int]:
+    """(j, qx, qy): the query in blocks numbered without gaps, with the number of blocks and of points left."""
+    path = F.array_sort(F.collect_list(F.struct("qseq", "qlng", "qlat")))
+    if skip_first:
+        query = query.where(F.col("qseq") > F.lit(query.agg(F.min("qseq")).first()[0]))
+    blocks = query.groupBy(F.floor(F.col("qseq") / size).cast("bigint").alias("at")).agg(path.alias("path"))
+    numbered = blocks.withColumn("j", F.row_number().over(Window.orderBy("at")).cast("bigint") - 1)
+    held = durable(numbered.select("j", F.col("path")["qlng"].alias("qx"), F.col("path")["qlat"].alias("qy")), "query-blocks")
+    count, total = held.agg(F.count("*"), F.coalesce(F.sum(F.size("qx")), F.lit(0))).first()
+    return held, count, total
+
+
+def trip_blocks(points: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(trip_id, i, xs, ys, blocks, n): trips in blocks numbered without gaps, also where ``seq`` has gaps; and the most blocks of a trip."""
+    path = F.array_sort(F.collect_list(F.struct("seq", "lng", "lat")))
+    cut = points.groupBy("trip_id", F.floor(F.col("seq") / size).cast("bigint").alias("at")).agg(path.alias("path"))
+    held = durable(cut.select("trip_id", "at", F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys")), "trip-blocks")
+    most = held.groupBy("trip_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    if most <= 1:
+        return held.select("trip_id", F.lit(0).cast("bigint").alias("i"), "xs", "ys", F.lit(1).cast("bigint").alias("blocks"), F.size("xs").cast("bigint").alias("n")), most
+    # numbers are given to narrow rows: one per block
+    in_trip = Window.partitionBy("trip_id")
+    numbers = held.select("trip_id", "at", F.size("xs").alias("size")).select(
+        "trip_id", "at", (F.row_number().over(in_trip.orderBy("at")) - 1).cast("bigint").alias("i"),
+        F.count("*").over(in_trip).alias("blocks"), F.sum("size").over(in_trip).alias("n"),
+    )
+    joined = held.join(numbers, ["trip_id", "at"]).select("trip_id", "i", "xs", "ys", "blocks", "n")
+    return durable(joined, "numbered-blocks"), most
 
 
-def _start_vector(measure: str, m: int) -> list[float]:
+def _gains(measure: str, threshold: float, xs, ys, qx, qy) -> np.ndarray:
+    dx, dy = xs[:, None] - qx, ys[:, None] - qy
+    if measure == "lcss":
+        return ((np.abs(dx) <= threshold) & (np.abs(dy) <= threshold)).astype(float)
+    return np.exp(-np.sqrt(dx * dx + dy * dy))
+
+
+def _solve(measure: str, gains: np.ndarray, top: np.ndarray, left: np.ndarray, corner: float) -> tuple[np.ndarray, np.ndarray]:
+    """Last row and last column of a tile. ``top`` is the row above it, ``left`` the column before it, ``corner`` the cell above that."""
+    right = np.empty(len(gains))
+    run = np.empty(len(top) + 1)
+    sums = np.cumsum(gains, axis=1)
+    for t, gain in enumerate(gains):
+        run[0] = left[t]
+        if measure == "ordered":  # new[j] = max(top[j], new[j-1] + gain[j])
+            np.subtract(top, sums[t], out=run[1:])
+        elif measure == "ordered_all":  # new[j] = gain[j] + max(top[j], new[j-1])
+            np.subtract(top, sums[t] - gain, out=run[1:])
+        elif measure == "lcss":  # new[j] = max(top[j], new[j-1], top[j-1] + gain[j])
+            run[1:] = gain
+            run[1] += corner
+            run[2:] += top[:-1]
+            np.maximum(run[1:], top, out=run[1:])
+            corner = left[t]
+        else:  # new[j] = max(new[j-1], top[j] + gain[j])
+            np.add(top, gain, out=run[1:])
+        top = np.maximum.accumulate(run)[1:]
+        if measure in ("ordered", "ordered_all"):
+            top = top + sums[t]
+        right[t] = top[-1]
+    return top, right
+
+
+def _start(measure: str, j: int, width: int) -> np.ndarray:
+    """The row above a trip's first point."""
     if measure == "ordered":
-        return [0.0] + [_NEVER] * m
+        return np.full(width, _NEVER)
     if measure == "ordered_all":
-        return [_NEVER, 0.0] + [_NEVER] * (m - 1)
-    if measure == "lcss":
-        return [0.0] * (m + 1)
-    return [_NEVER] + [0.0] * m
-
-
-def _gain(measure: str, threshold: float, q: Column, p: Column) -> Column:
-    if measure == "lcss":
-        match = (F.abs(p["lng"] - q["lng"]) <= threshold) & (F.abs(p["lat"] - q["lat"]) <= threshold)
-        return F.when(match, 1.0).otherwise(0.0)
-    return geo.closeness(geo.degrees_apart(p["lng"], p["lat"], q["lng"], q["lat"]))
-
-
-def _advance(measure: str, vector: Column, gains: Column, m: Column) -> Column:
-    """The vector after one more trip point; ``gains`` holds e_1 .. e_m."""
-    keeps_zero = measure in ("ordered", "lcss")
-    first = F.get(vector, F.lit(0)) if keeps_zero else F.lit(_NEVER)
-
-    def entry(done: Column, j: Column) -> Column:
-        left, above, gain = F.get(done, j - 1), F.get(vector, j), F.get(gains, j - 1)
-        if measure == "ordered":
-            return F.greatest(above, left + gain)
-        if measure == "ordered_all":
-            return gain + F.greatest(above, left)
-        if measure == "lcss":
-            return F.greatest(above, left, F.get(vector, j - 1) + gain)
-        return F.greatest(left, above + gain)
-
-    return F.aggregate(
-        F.sequence(F.lit(1), m), F.array(first), lambda done, j: F.concat(done, F.array(entry(done, j)))
-    )
-
-
-def _walk(measure: str, threshold: float, query, path: Column, start: Column) -> Column:
-    m = len(query)
-
-    def step(vector: Column, p: Column) -> Column:
-        gains = F.transform(point_array(query), lambda q: _gain(measure, threshold, q, p))
-        return let(gains, lambda g: _advance(measure, vector, g, F.lit(m)))
-
-    return F.aggregate(path, start, step)
-
-
-def _units(size: int) -> Column:
-    """Start vectors that pick out each matrix row."""
-    return F.array(*[double_array([0.0 if i == j else _NEVER for j in range(size)]) for i in range(size)])
-
-
-def _times(vector: Column, matrix: Column, size: int) -> Column:
-    """(max, +) product of a row vector and a matrix given as rows."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda j: F.array_max(F.transform(vector, lambda v, i: v + F.get(F.get(matrix, i), j))),
-    )
-
-
-def _block_matrices(points: DataFrame, query, measure: str, threshold: float, block_points: int) -> DataFrame:
-    size = len(query) + 1
-    blocks = (
-        points.groupBy("trip_id", F.floor(F.col("seq") / block_points).cast("bigint").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("path"))
-        .withColumn("n", F.size("path").cast("bigint"))
-    )
-    if measure == "ordered_dp":
-        blocks = blocks.withColumn(
-            "path", F.when(F.col("block") == 0, F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))
-            .otherwise(F.col("path")),
-        )
-    starts = F.when(F.col("block") == 0, F.array(double_array(_start_vector(measure, len(query))))).otherwise(
-        _units(size)
-    )
-    rows = F.transform(starts, lambda start: _walk(measure, threshold, query, F.col("path"), start))
-    return blocks.select("trip_id", "block", "n", rows.alias("rows"))
-
-
-def _merge_blocks(blocks: DataFrame, size: int, fanout: int) -> DataFrame:
-    grouped = (
-        blocks.withColumn("wide", F.floor(F.col("block") / fanout).cast("bigint"))
-        .groupBy("trip_id", "wide")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "rows"))).alias("parts"), F.sum("n").alias("n"))
-    )
-    rest = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
-    rows = F.transform(
-        F.get("parts", F.lit(0))["rows"],
-        lambda row: F.aggregate(rest, row, lambda v, part: _times(v, part["rows"], size)),
-    )
-    return grouped.select("trip_id", F.col("wide").alias("block"), "n", rows.alias("rows"))
+        return np.array([0.0 if j == 0 and k == 0 else _NEVER for k in range(width)])
+    return np.zeros(width)
+
+
+def _tiles(measure: str, threshold: float, joined: bool):
+    before = 0.0 if measure in ("ordered", "lcss") else _NEVER
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {n: (batch.column(n).offsets.to_numpy(), batch.column(n).flatten().to_numpy()) for n in ("xs", "ys", "qx", "qy")}
+            part = lambda n, r: lists[n][1][lists[n][0][r] - lists[n][0][0] : lists[n][0][r + 1] - lists[n][0][0]]
+            i, j = batch.column("i").to_pylist(), batch.column("j").to_pylist()
+            tops, lefts, corners = (batch.column(n) if joined else None for n in ("top", "left", "corner"))
+            bottoms, rights, nexts = [], [], []
+            for r in range(batch.num_rows):
+                xs, ys, qx, qy = (part(n, r) for n in ("xs", "ys", "qx", "qy"))
+                if measure == "ordered_dp" and i[r] == 0:
+                    xs, ys = xs[1:], ys[1:]
+                top = _start(measure, j[r], len(qx)) if i[r] == 0 else tops[r].values.to_numpy()
+                left = np.full(len(xs), before) if j[r] == 0 else lefts[r].values.to_numpy()
+                corner = before if j[r] == 0 else corners[r].as_py()
+                bottom, right = _solve(measure, _gains(measure, threshold, xs, ys, qx, qy), top, left, corner)
+                bottoms.append(bottom)
+                rights.append(right)
+                nexts.append(top[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("trip_id", "i", "j", "blocks", "n")], pa.array(bottoms, pa.list_(pa.float64())),
+                 pa.array(rights, pa.list_(pa.float64())), pa.array(nexts, pa.float64())],
+                [c.split()[0] for c in _BORDERS.split(", ")],
+            )
+
+    return run
 
 
 def ordered_scores(
     points: DataFrame,
-    query: list[tuple[float, float]],
+    query: list[tuple[float, float]] | DataFrame,
     measure: str = "ordered",
     threshold: float = LCSS_THRESHOLD,
     block_points: int = BLOCK_POINTS,
-    fanout: int = FANOUT,
+    query_block: int = BLOCK_POINTS,
 ) -> DataFrame:
-    """(trip_id, n, value) of every trip; for ``lcss`` the value is a distance.
-
-    Blocks are merged until the longest trip of ``points`` is one row.
-    """
+    """(trip_id, n, value) of every trip; for ``lcss`` the value is a distance. ``query`` is a list or a table (qseq, qlng, qlat)."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
-    walked = query[1:] if measure == "ordered_dp" else query
-    if not walked:
+    asked, wide, m = query_blocks(query_table(points, query), query_block, measure == "ordered_dp")
+    if not m:
         return points.groupBy("trip_id").agg(F.count("*").alias("n")).withColumn("value", F.lit(0.0))
-    longest = (points.agg(F.max("seq")).first()[0] or 0) + 1
-    blocks = _block_matrices(points, walked, measure, threshold, block_points)
-    count = -(-longest // block_points)
-    while count > 1:
-        blocks = _merge_blocks(blocks, len(walked) + 1, fanout)
-        count = -(-count // fanout)
-    best = F.get(F.get("rows", F.lit(0)), F.lit(len(walked)))
+    ship(points.sparkSession)
+    blocks, most = trip_blocks(points, block_points)
+    # the first tile of every trip
+    state = blocks.where("i = 0").withColumn("j", F.lit(0).cast("bigint")).join(asked, "j")
+    state = state.mapInArrow(_tiles(measure, threshold, False), _BORDERS)
+
+    def ended(tiles: DataFrame) -> DataFrame:
+        last = tiles.where((F.col("j") == wide - 1) & (F.col("i") == F.col("blocks") - 1))
+        return last.select("trip_id", "n", F.element_at("bottom", -1).alias("best"))
+
+    done = []
+    for _ in range(1, most + wide - 1):
+        state = durable(state, "borders")
+        done.append(ended(state))
+        below = state.select("trip_id", (F.col("i") + 1).alias("i"), "j", F.col("bottom").alias("top"))
+        beside = state.select("trip_id", "i", (F.col("j") + 1).alias("j"), F.col("right").alias("left"), "corner")
+        borders = below.join(beside, ["trip_id", "i", "j"], "full")
+        state = blocks.join(borders, ["trip_id", "i"]).join(asked, "j").mapInArrow(_tiles(measure, threshold, True), _BORDERS)
+    done.append(ended(state))
+    best = reduce(DataFrame.unionByName, done)
     if measure == "ordered_dp":
-        value = best / F.col("n")
+        value = F.col("best") / F.col("n")
     elif measure == "lcss":
-        either_single = (F.col("n") == 1) | F.lit(len(query) == 1)
-        value = F.when(either_single, 0.0).otherwise(1 - best / F.least(F.col("n"), F.lit(len(query))))
+        either_single = (F.col("n") == 1) | F.lit(m == 1)
+        value = F.when(either_single, 0.0).otherwise(1 - F.col("best") / F.least(F.col("n"), F.lit(m)))
     else:
-        value = best
-    return blocks.select("trip_id", "n", value.alias("value"))
+        value = F.col("best")
+    return best.select("trip_id", "n", value.alias("value"))
+
+
+def _advance(vector: Column, gains: Column, m: Column) -> Column:
+    """The ``ordered`` vector (after 0 .. m query points) after one more trip point; ``gains`` holds e_1 .. e_m."""
+    first = F.array(F.get(vector, F.lit(0)))
+    return F.aggregate(
+        F.sequence(F.lit(1), m), first,
+        lambda done, j: F.concat(done, F.array(F.greatest(F.get(vector, j), F.get(done, j - 1) + F.get(gains, j - 1)))),
+    )
 
 
 def ordered_bounds(nearest: DataFrame, query_points: DataFrame) -> DataFrame:
@@ -181,7 +223,7 @@ def ordered_bounds(nearest: DataFrame, query_points: DataFrame) -> DataFrame:
     )
     m = F.size(F.get("path", F.lit(0))["gains"])
     start = F.concat(double_array([0.0]), F.array_repeat(F.lit(_NEVER), m))
-    best = F.aggregate("path", start, lambda v, p: _advance("ordered", v, p["gains"], F.size(p["gains"])))
+    best = F.aggregate("path", start, lambda v, p: _advance(v, p["gains"], F.size(p["gains"])))
     low = paths.select("qid", "trip_id", F.get(best, m).alias("lb"))
     seen = nearest.select("qid", "qseq", "trip_id").distinct()
     tails = nearest.groupBy("qid", "qseq").agg(geo.closeness(F.max("d")).alias("tail"))

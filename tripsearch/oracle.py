@@ -249,12 +249,47 @@ def _seg(a: str, b: str) -> str:
     return _apart(f"{a}x", f"{a}y", f"{b}x", f"{b}y")
 
 
+# The longest trip as the query; the tables of the measures row by row and column by column.
+_BY_TRIP = """,
+q as (
+  select seq as qseq, lng as qlng, lat as qlat from pts
+  where trip_id = (select trip_id from pts group by trip_id order by count(*) desc, trip_id limit 1)
+),
+len_of as (select trip_id, count(*) as n from pts group by trip_id)"""
+
+_LCSS_BY_TRIP = f"""{_BY_TRIP},
+rows_of as (
+  select p.trip_id, cast(-1 as bigint) as i, q.qseq as j, 0 as v from (select distinct trip_id from pts) p, q
+  union all
+  select trip_id, i, j, max(cell) over (partition by trip_id order by j rows unbounded preceding)
+  from (
+    select w.trip_id, w.i + 1 as i, w.j, greatest(w.v, lag(w.v, 1, 0) over (partition by w.trip_id order by w.j)
+      + (abs(p.lng - q.qlng) <= 1e-1 and abs(p.lat - q.qlat) <= 1e-1)::int) as cell
+    from rows_of w join pts p on p.trip_id = w.trip_id and p.seq = w.i + 1 join q on q.qseq = w.j
+  )
+)
+select trip_id, round(case when n = 1 then 0e0 else 1 - max(v) / least(n, (select count(*) from q)) end, 9) as value
+from rows_of join len_of using (trip_id) where i = n - 1 group by trip_id, n order by 2, 1 limit 20"""
+
+_ORDERED_BY_TRIP = f"""{_BY_TRIP},
+columns_of as (
+  select trip_id, seq, cast(-1 as bigint) as j, 0e0 as best from pts
+  union all
+  select trip_id, seq, j, max(total) over (partition by trip_id order by seq rows unbounded preceding)
+  from (
+    select c.trip_id, c.seq, c.j + 1 as j, c.best + exp(-{_apart('p.lng', 'p.lat', 'q.qlng', 'q.qlat')}) as total
+    from columns_of c join q on q.qseq = c.j + 1 join pts p on p.trip_id = c.trip_id and p.seq = c.seq
+  )
+)
+select trip_id, round(max(best), 9) as value from columns_of
+where j = (select max(qseq) from q) group by trip_id order by 2 desc, 1 limit 20"""
+
 # r = head of the trip, v = its next point; s = head of the query, t = its next point.
 _EDWP = f""",
 len as (select trip_id, count(*) as n from pts group by all),
 edwp as (
   select trip_id, cast(1 as bigint) as i, 1 as j, lng as rx, lat as ry,
-    {_e(THREE_POINTS[0][0])} as sx, {_e(THREE_POINTS[0][1])} as sy, 0e0 as cost, false as done
+    (select qlng from q where qseq = 0) as sx, (select qlat from q where qseq = 0) as sy, 0e0 as cost, false as done
   from pts where seq = 0
   union all
   select trip_id,
@@ -474,6 +509,9 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "lcss_topk": f"""{day}{_LCSS} select trip_id, round(value, 9) as value from lcss order by 2, 1 limit 20""",
         "edwp": f"{edge_day}{_EDWP} select trip_id, round(value, 9) as value from edited",
         "edwp_topk": f"{edge_day}{_EDWP} select trip_id, round(value, 9) as value from edited order by 2, 1 limit 20",
+        "ordered_by_trip": f"{day}{_ORDERED_BY_TRIP}",
+        "lcss_by_trip": f"{day}{_LCSS_BY_TRIP}",
+        "edwp_by_trip": f"{day}{_BY_TRIP}{_EDWP} select trip_id, round(value, 9) as value from edited order by 2, 1 limit 20",
         "query_sample": f"{day}{sample} select trip_id, day, n, pick from drawn",
         "kbct_accuracy": f"""{day}{sample},
             queries as (

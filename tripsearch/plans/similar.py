@@ -14,8 +14,11 @@ DISTANCES = ("lcss", "edwp")
 SEED_FACTOR = 4
 
 
-def scores(points: DataFrame, query: list[tuple[float, float]], measure: str) -> DataFrame:
-    """(trip_id, value) of every trip by one of MEASURES."""
+Query = list[tuple[float, float]] | DataFrame
+
+
+def scores(points: DataFrame, query: Query, measure: str) -> DataFrame:
+    """(trip_id, value) of every trip by one of MEASURES. A table (qseq, qlng, qlat) as the query may have any length; not for ``unordered``."""
     if measure == "unordered":
         return similarity.trip_similarity(points, query).withColumnRenamed("sim", "value")
     if measure == "edwp":
@@ -45,6 +48,20 @@ def best_possible(points: DataFrame, query: list[tuple[float, float]], measure:
     return points.groupBy("trip_id").agg(F.count("*").alias("n"), *passed).select("trip_id", value.alias("value"))
 
 
+def trip_as_query(points: DataFrame, trip_id: str) -> DataFrame:
+    """All points of a trip as a query, written once."""
+    own = points.where(F.col("trip_id") == trip_id)
+    return durable(own.select(F.col("seq").alias("qseq"), F.col("lng").alias("qlng"), F.col("lat").alias("qlat")), "query-trip")
+
+
+def top_by_trip(points: DataFrame, trip_id: str, k: int, measure: str = "ordered") -> DataFrame:
+    """The k best trips by an order-aware measure or a distance to a whole trip of any length."""
+    query = trip_as_query(points, trip_id)
+    if measure == "edwp":
+        return edit.nearest_by_edit(points, query, k)
+    return similarity.top_trips(scores(points, query, measure), k, "value", measure not in DISTANCES)
+
+
 def top_by_measure(
     points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered"
 ) -> DataFrame:
@@ -55,6 +72,8 @@ def top_by_measure(
     is worse. Ties stay in, so the answer is exact.
     """
     largest = measure not in DISTANCES
+    if measure == "edwp" and query:
+        return edit.nearest_by_edit(points, query, k)
     if measure not in ("ordered", "lcss") or not query or len(query) > search.WIDE_POINTS:
         return similarity.top_trips(scores(points, query, measure), k, "value", largest)
     hopes = durable(best_possible(points, query, measure), "best-possible")

@@ -408,6 +408,16 @@ def _top(measure: str):
     return query
 
 
+def _by_trip(measure: str):
+    """The trip with the most points as the query, whole."""
+
+    def query(spark, sf_dir):
+        points = trip_points(spark, sf_dir)
+        return similar.top_by_trip(points, _top_trip(points), 20, measure)
+
+    return query
+
+
 def ordered_bounds(spark, sf_dir):
     found = _near(spark, sf_dir)
     low_high = ordered.ordered_bounds(found, _asked(spark, NEIGHBOURS))
@@ -465,4 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lcss_topk": _top("lcss"),
     "edwp": _measure("edwp"),
     "edwp_topk": _top("edwp"),
+    "ordered_by_trip": _by_trip("ordered"),
+    "lcss_by_trip": _by_trip("lcss"),
+    "edwp_by_trip": _by_trip("edwp"),
 }
