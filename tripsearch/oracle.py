@@ -442,6 +442,9 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
         "knn_points": f"{asked} select qid, qseq, nn, trip_id, seq, round(d, 9) as d from close",
         "range_join": f"""{day}, {rows} select qid, qseq, trip_id, seq, round({_D}, 9) as d
             from queries q join pts p on (q.day is null or q.day = p.day) and {_D} <= 5e-2""",
+        "knn_indexed": f"{asked} select qid, qseq, nn, trip_id, seq, round(d, 9) as d from close",
+        "range_indexed": f"""{day}, {rows} select qid, qseq, trip_id, seq, round({_D}, 9) as d
+            from queries q join pts p on (q.day is null or q.day = p.day) and {_D} <= 5e-2""",
         "candidates": f"{asked} select distinct qid, trip_id from scanned",
         "lower_bound": f"{bounds} select qid, trip_id, seen, round(lb, 9) as lb from bounds",
         "upper_bound": f"{bounds} select qid, trip_id, round(ub, 9) as ub from bounds",

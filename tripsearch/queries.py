@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripsearch.operators import bounds as B
-from tripsearch.operators import features, nearest, ordered, outline, similarity
+from tripsearch.operators import curve, features, nearest, ordered, outline, pages, similarity
 from tripsearch.operators import trips as trip_ops
 from tripsearch.oracle import DAY_GAP, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import ingest, search, similar, workload
@@ -352,6 +352,23 @@ def range_join(spark, sf_dir):
     return pairs.select("qid", "qseq", "trip_id", "seq", F.round("d", 9).alias("d"))
 
 
+def range_indexed(spark, sf_dir):
+    """As ``range_join``, read from the table in Z-order."""
+    points = trip_points(spark, sf_dir).drop("event_id")
+    path = _scratch(spark, sf_dir, "curve-index", lambda p: tables.write_curve_index(points, p))
+    asked = query_batch(spark, BATCH).withColumn("radius", F.lit(5e-2))
+    pairs = curve.within_radius(tables.read_day(spark, path), asked)
+    return pairs.select("qid", "qseq", "trip_id", "seq", F.round("d", 9).alias("d"))
+
+
+def knn_indexed(spark, sf_dir):
+    """As ``knn_points``, read from packed pages through their directory."""
+    points = trip_points(spark, sf_dir).drop("event_id")
+    path = _scratch(spark, sf_dir, "page-index", lambda p: tables.write_page_index(points, p))
+    found = pages.nearest_points(*tables.read_page_index(spark, path), _asked(spark, NEIGHBOURS))
+    return found.select("qid", "qseq", "nn", "trip_id", "seq", F.round("d", 9).alias("d"))
+
+
 def candidates(spark, sf_dir):
     return B.candidates(B.scanned_trips(_near(spark, sf_dir)))
 
@@ -462,7 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, ingest_two_months, kbct_ingested, point_index, raw_csv_scan,
         request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
-        range_join, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,
+        range_join, range_indexed, knn_indexed, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,
         ordered_bounds, query_sample, kbct_accuracy, stream_trip_summary, stream_numbering, stream_index,
     )
 } | {

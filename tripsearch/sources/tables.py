@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripsearch.operators import curve, pages
 from tripsearch.operators.nearest import BASE_CELL, cell
 
+#: Rows of a data page of an index file: what a search reads at least of a column.
+INDEX_PAGE_ROWS = 4096
+
 
 def _write(points: DataFrame, path: str, *by: str, mode: str = "overwrite", run: str | None = None) -> None:
     """Replace the partitions that ``points`` has rows in; other cities, runs, months and days stay."""
@@ -58,6 +62,28 @@ def write_point_index(
     _write(rows.sortWithinPartitions("day", "cx", "cy"), path, "city", "day", mode=mode, run=run)
 
 
+def write_curve_index(points: DataFrame, path: str, city: str = "shanghai", mode: str = "overwrite", page_rows: int = INDEX_PAGE_ROWS) -> None:
+    """Trip points as ``city=../day=..`` in Z-order, for ``curve.within_radius``. A day of any size is split into many files."""
+    rows = curve.with_key(points).withColumn("city", F.lit(city)).repartitionByRange("day", "zkey", "lng", "lat")
+    sorted_rows = rows.sortWithinPartitions("day", "zkey")
+    writer = sorted_rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.page.row.count.limit", page_rows)
+    writer.partitionBy("city", "day").parquet(path)
+
+
+def write_page_index(points: DataFrame, path: str, city: str = "shanghai", page_bits: int = pages.PAGE_BITS, page_rows: int = INDEX_PAGE_ROWS) -> None:
+    """Trip points of a city in packed pages as ``points/city=../day=..`` and the directory of the pages as ``directory/city=..``."""
+    rows = pages.packed(points, page_bits).withColumn("city", F.lit(city))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.page.row.count.limit", page_rows)
+    writer.partitionBy("city", "day").parquet(f"{path}/points")
+    written = points.sparkSession.read.parquet(f"{path}/points").where(F.col("city") == city)
+    pages.write_directory(written, f"{path}/directory/city={city}")
+
+
+def read_page_index(spark: SparkSession, path: str, city: str = "shanghai") -> tuple[DataFrame, DataFrame]:
+    """A city's points in pages, and their directory."""
+    return spark.read.parquet(f"{path}/points").where(F.col("city") == city), pages.read_directory(spark, f"{path}/directory/city={city}")
+
+
 def read_day(spark: SparkSession, path: str, day: str | None = None, city: str = "shanghai") -> DataFrame:
     """A city's points of one day (partition pruning), or of every day."""
     points = spark.read.parquet(path).where(F.col("city") == city)
