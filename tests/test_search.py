@@ -193,3 +193,31 @@ def test_attach_points(world):
     best = similarity.best_connected(points, [(121.2, 31.2)], 2)
     got = search.attach_points(best, points)
     assert got.count() == sum(len(trips[r["trip_id"]]) for r in best.collect())
+
+
+def test_waves_read_the_points_of_fewer_trips_than_survive(spark, world, monkeypatch):
+    """With loose bounds many trips survive; waves end once the k-th score beats the next bound."""
+    trips, day, points = world
+    batch = table(spark, [(1, BATCH[0][1], None, 1), (2, BATCH[2][1], "2024-01-01", 2)])
+    monkeypatch.setattr(search, "WAVE", 1)
+    asked = durable(batch)
+    # order-free bounds of all trips, loosened for the worse ones
+    rows = []
+    for qid, q, d, k in [(1, BATCH[0][1], None, 1), (2, BATCH[2][1], "2024-01-01", 2)]:
+        for t, p in trips.items():
+            if d is None or day[t] == d:
+                rows.append((qid, t, k, plain.similarity(p, q) + (0.05 if t < "T020" else 1e-6)))
+    survivors = spark.createDataFrame(rows, "qid int, trip_id string, k int, ub double")
+    scored = search._refined(points, survivors, asked)
+    assert 0 < scored.count() < len(rows)
+    got = {(r["qid"], r["rank"], r["trip_id"]) for r in search._best(scored, asked).collect()}
+    assert got == set(expected(trips, day, [(1, BATCH[0][1], None, 1), (2, BATCH[2][1], "2024-01-01", 2)]))
+
+
+def test_every_answer_survives(spark, world):
+    trips, day, points = world
+    asked = durable(table(spark, BATCH))
+    survivors, complete = search.pruned_survivors(points, asked, nearest.cell_counts(points))
+    kept = {(r["qid"], r["trip_id"]) for part in (survivors, complete) for r in part.collect()}
+    assert {(q, t) for q, _, t in expected(trips, day, BATCH)} <= kept
+    assert {q for q, _ in kept} == {1, 2, 3, 4}  # query 3 asks for more trips than there are, query 5 for none

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.functions import geo
-from tripsearch.operators.ordered import query_blocks, query_table, trip_blocks
+from tripsearch.operators.ordered import query_blocks, trip_blocks
 from tripsearch.operators.similarity import top_trips
 from tripsearch.ship import ship
 from tripsearch.storage import durable
@@ -159,7 +159,7 @@ def edit_distances(
     points: DataFrame, query: list[tuple[float, float]] | DataFrame, block_points: int = BLOCK_POINTS, query_block: int = BLOCK_POINTS
 ) -> DataFrame:
     """(trip_id, value): EDwP of every trip to the query, a list or a table (qseq, qlng, qlat) of any length."""
-    asked, wide, m = query_blocks(query_table(points, query), query_block)
+    asked, wide, m = query_blocks(points, query, query_block)
     if not m:
         return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
     ship(points.sparkSession)
@@ -172,14 +172,16 @@ def nearest_by_edit(
 ) -> DataFrame:
     """(trip_id, value): the k trips nearest to the query by EDwP.
 
-    The trips that begin nearest to the query are walked first; the k-th cost among them, and then the k-th of all that have
+    Where walks take more than one round, the trips that begin nearest to the query are walked first; the k-th cost among them, and then the k-th of all that have
     ended, is a ceiling that ends every dearer walk. Ties with the ceiling go on, so the answer is exact.
     """
-    asked, wide, m = query_blocks(query_table(points, query), query_block)
+    asked, wide, m = query_blocks(points, query, query_block)
     if not m or k <= 0:
         return top_trips(points.select("trip_id").distinct().withColumn("value", F.lit(float("inf"))), max(k, 0), "value", False)
     ship(points.sparkSession)
     blocks, most = trip_blocks(points, block_points)
+    if most <= 1 and wide <= 1:  # one round: there is no later block to save
+        return top_trips(_distances(blocks, most, asked, wide), k, "value", False)
     x, y = asked.where("j = 0").select(F.col("qx")[0], F.col("qy")[0]).first()
     start = geo.degrees_apart(F.col("xs")[0], F.col("ys")[0], F.lit(x), F.lit(y))
     first = durable(blocks.where("i = 0").select("trip_id", start.alias("d")).orderBy("d", "trip_id").limit(SEED_FACTOR * k).select("trip_id"), "edit-seeds")

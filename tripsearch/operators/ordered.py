@@ -39,16 +39,19 @@ _NEVER = -math.inf
 _BORDERS = "trip_id string, i bigint, j bigint, blocks bigint, n bigint, bottom array<double>, right array<double>, corner double"
 
 
-def query_table(points: DataFrame, query: list[tuple[float, float]] | DataFrame) -> DataFrame:
-    """The query as a table (qseq, qlng, qlat)."""
-    if isinstance(query, DataFrame):
-        return query.select(F.col("qseq").cast("bigint").alias("qseq"), "qlng", "qlat")
-    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(query)]
-    return points.sparkSession.createDataFrame(rows, "qseq bigint, qlng double, qlat double")
-
-
-def query_blocks(query: DataFrame, size: int, skip_first: bool = False) -> tuple[DataFrame, int, int]:
+def query_blocks(
+    points: DataFrame, query: list[tuple[float, float]] | DataFrame, size: int, skip_first: bool = False
+) -> tuple[DataFrame, int, int]:
     """(j, qx, qy): the query in blocks numbered without gaps, with the number of blocks and of points left."""
+    if not isinstance(query, DataFrame):  # a list is at hand, so it is cut here
+        left = [(float(x), float(y)) for x, y in query][int(skip_first) :]
+        cut = [left[i : i + size] for i in range(0, len(left), size)]
+        columns = ([[p[axis] for p in part] for part in cut] for axis in (0, 1))
+        doubles = pa.list_(pa.float64())
+        # an Arrow table becomes a local relation, whose size Spark knows
+        held = pa.table([pa.array(range(len(cut)), pa.int64()), *[pa.array(c, doubles) for c in columns]], ["j", "qx", "qy"])
+        return points.sparkSession.createDataFrame(held), len(cut), len(left)
+    query = query.select(F.col("qseq").cast("bigint").alias("qseq"), "qlng", "qlat")
     path = F.array_sort(F.collect_list(F.struct("qseq", "qlng", "qlat")))
     if skip_first:
         query = query.where(F.col("qseq") > F.lit(query.agg(F.min("qseq")).first()[0]))
@@ -59,14 +62,22 @@ def query_blocks(query: DataFrame, size: int, skip_first: bool = False) -> tuple
     return held, count, total
 
 
-def trip_blocks(points: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(trip_id, i, xs, ys, blocks, n): trips in blocks numbered without gaps, also where ``seq`` has gaps; and the most blocks of a trip."""
+def trip_blocks(points: DataFrame, size: int, last: int | None = None) -> tuple[DataFrame, int]:
+    """(trip_id, i, xs, ys, blocks, n): trips in blocks numbered without gaps, also where ``seq`` has gaps; and the most blocks of a trip.
+
+    ``last`` is the largest ``seq``, if the caller has just read it. Where it lies in the first block, trips are single rows of
+    one aggregation; else blocks are written first.
+    """
     path = F.array_sort(F.collect_list(F.struct("seq", "lng", "lat")))
+    last = points.agg(F.max("seq")).first()[0] if last is None else last
+    if last is None or last < size:
+        paths = points.groupBy("trip_id").agg(path.alias("path"))
+        first = F.lit(0).cast("bigint").alias("i")
+        one, n = F.lit(1).cast("bigint").alias("blocks"), F.size("path").cast("bigint").alias("n")
+        return paths.select("trip_id", first, F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys"), one, n), 1
     cut = points.groupBy("trip_id", F.floor(F.col("seq") / size).cast("bigint").alias("at")).agg(path.alias("path"))
     held = durable(cut.select("trip_id", "at", F.col("path")["lng"].alias("xs"), F.col("path")["lat"].alias("ys")), "trip-blocks")
     most = held.groupBy("trip_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    if most <= 1:
-        return held.select("trip_id", F.lit(0).cast("bigint").alias("i"), "xs", "ys", F.lit(1).cast("bigint").alias("blocks"), F.size("xs").cast("bigint").alias("n")), most
     # numbers are given to narrow rows: one per block
     in_trip = Window.partitionBy("trip_id")
     numbers = held.select("trip_id", "at", F.size("xs").alias("size")).select(
@@ -156,15 +167,16 @@ def ordered_scores(
     threshold: float = LCSS_THRESHOLD,
     block_points: int = BLOCK_POINTS,
     query_block: int = BLOCK_POINTS,
+    last: int | None = None,
 ) -> DataFrame:
     """(trip_id, n, value) of every trip; for ``lcss`` the value is a distance. ``query`` is a list or a table (qseq, qlng, qlat)."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
-    asked, wide, m = query_blocks(query_table(points, query), query_block, measure == "ordered_dp")
+    asked, wide, m = query_blocks(points, query, query_block, measure == "ordered_dp")
     if not m:
         return points.groupBy("trip_id").agg(F.count("*").alias("n")).withColumn("value", F.lit(0.0))
     ship(points.sparkSession)
-    blocks, most = trip_blocks(points, block_points)
+    blocks, most = trip_blocks(points, block_points, last)
     # the first tile of every trip
     state = blocks.where("i = 0").withColumn("j", F.lit(0).cast("bigint")).join(asked, "j")
     state = state.mapInArrow(_tiles(measure, threshold, False), _BORDERS)

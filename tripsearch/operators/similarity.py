@@ -6,6 +6,8 @@ A query batch is a table (qid, qseq, qlng, qlat, day, k); a NULL day searches ev
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,30 @@ from tripsearch.functions import geo
 SIM_DIGITS = 9
 
 
-def trip_similarity(points: DataFrame, query: list[tuple[float, float]], day=None) -> DataFrame:
-    """(trip_id, sim) of every trip with one query: one scan, one partial aggregate.
+def _squared(x: float, y: float) -> str:
+    """Squared distance of a point to (x, y), as text: one expression, however many there are, is one call to the planner."""
+    dx, dy = f"(lng - {float(x)!r}D)", f"(lat - {float(y)!r}D)"
+    return f"({dx} * {dx} + {dy} * {dy})"
+
+
+def _total(names: list[str]) -> str:
+    """The similarity from the squared distances of all query points."""
+    return " + ".join(["0.0D", *[f"exp(-sqrt({name}))" for name in names]])
+
+
+def trip_similarity(points: DataFrame, query: list[tuple[float, float]], day=None, more: Sequence[Column] = ()) -> DataFrame:
+    """(trip_id, sim) of every trip with one query: one scan, one partial aggregate. ``more`` are named aggregates to add.
 
     Squared distances are minimised column by column, so no point is paired with the query
     in rows and only one small row per trip and task is shuffled.
     """
     if day is not None:
         points = points.where(F.col("day") == F.lit(day).cast("date"))
-    lng, lat = F.col("lng"), F.col("lat")
-    nearest = [
-        F.min(geo.squared_degrees(lng, lat, F.lit(float(x)), F.lit(float(y)))).alias(f"d{i}")
-        for i, (x, y) in enumerate(query)
-    ]
-    total = F.lit(0.0)
-    for i in range(len(query)):
-        total = total + geo.closeness(F.sqrt(f"d{i}"))
-    return points.groupBy("trip_id").agg(*nearest).select("trip_id", total.alias("sim"))
+    names = [f"d{i}" for i in range(len(query))]
+    nearest = [F.expr(f"min({_squared(x, y)}) as {name}") for name, (x, y) in zip(names, query)]
+    total = F.expr(_total(names))
+    scored = points.groupBy("trip_id").agg(*nearest, *more).withColumn("sim", total)
+    return scored.select("trip_id", "sim", *scored.columns[1 + len(query) : -1])
 
 
 def top_trips(scores: DataFrame, k: int, value: str = "sim", largest: bool = True) -> DataFrame:
@@ -59,22 +68,20 @@ def batch_similarity_wide(points: DataFrame, queries: list, keys: list[str]) ->
 
     Every query point is one min() column, NULL on other days; the caller bounds the batch.
     """
-    lng, lat = F.col("lng"), F.col("lat")
     grouped: dict[tuple, list] = {}
     for row in queries:
         grouped.setdefault(tuple(row[key] for key in keys), []).append(row)
     nearest, scores = [], []
     days = {row["day"] for row in queries}
     for g, (ids, rows) in enumerate(grouped.items()):
-        total = F.lit(0.0)
-        for i, row in enumerate(rows):
-            away = geo.squared_degrees(lng, lat, F.lit(row["qlng"]), F.lit(row["qlat"]))
+        names = [f"d{g}_{i}" for i in range(len(rows))]
+        for name, row in zip(names, rows):
+            away = _squared(row["qlng"], row["qlat"])
             if row["day"] is not None:
-                away = F.when(F.col("day") == F.lit(row["day"]), away)
-            nearest.append(F.min(away).alias(f"d{g}_{i}"))
-            total = total + geo.closeness(F.sqrt(f"d{g}_{i}"))
+                away = f"case when day = date'{row['day']}' then {away} end"
+            nearest.append(F.expr(f"min({away}) as {name}"))
         key_cols = [F.lit(v).alias(key) for key, v in zip(keys, ids)]
-        scores.append(F.struct(*key_cols, F.lit(rows[0]["k"]).cast("int").alias("k"), total.alias("sim")))
+        scores.append(F.struct(*key_cols, F.lit(rows[0]["k"]).cast("int").alias("k"), F.expr(_total(names)).alias("sim")))
     if None not in days:
         points = points.where(F.col("day").isin(sorted(days)))
     return (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripsearch.functions import geo
@@ -14,16 +16,15 @@ from tripsearch.storage import bounded_rows, durable
 WIDE_POINTS = 96  # one min() column each, within what whole-stage code generation takes
 QUERY_SCHEMA = "qid int, qseq int, qlng double, qlat double, day string, k int"
 SEED_FACTOR = 4
-MOST_DAYS = 1000  # a filter of more days prunes little
-EVERYWHERE = 1000.0  # degrees; a radius that reaches every point
+WAVE = 4096  # survivors of a query that are scored first; fewer cost no less
+SLACK = 1e-8  # sums differ in the last digits with the order of addition
 
 
 def on_asked_days(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """The points of the days that the queries ask for, as a filter that the scan can use; all if one asks for any day."""
-    days = bounded_rows(queries.select("day").distinct(), MOST_DAYS)
-    if not days or any(row["day"] is None for row in days):
+    """The points of the days that the queries ask for; all if one asks for any day. The days are a small table, so partitions are pruned at run time."""
+    if not queries.where(F.col("day").isNull()).isEmpty():
         return points
-    return points.where(F.col("day").isin([row["day"] for row in days]))
+    return points.join(durable(queries.select("day").distinct(), "days"), "day", "left_semi")
 
 
 def exact_scores(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -46,69 +47,92 @@ def _looks(found: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def seed_scores(points: DataFrame, queries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(qid, tau): the k-th best similarity among trips passing close to the query points.
+def _floors(points: DataFrame, queries: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, qseq, qlng, qlat, day, k, tau, radius) of the query points, and the (qid, trip_id) pairs of queries that have seen all there is.
+
+    tau is the k-th best similarity among trips passing close to the query points: any k trips give a floor for the k-th best answer, and
+    near trips give a high one. Query point i has a trip at distance d_i at the nearest, worth e_i = exp(-d_i). A trip
+    with similarity tau must earn the share tau / sum(e) of its best worth at some query point, so it comes within
+    d_i + ln(sum(e) / tau) of that one: the radius of each query point.
 
-    Any k trips give a floor for the k-th best answer, and near trips give a high one. Few
-    nearest points may all lie on one trip, so queries short of k trips ask for more points
-    until they have k trips or have seen all there are; tau is 0 for the latter.
+    Few nearest points may all lie on one trip, so queries short of k trips ask for more points until they have k
+    trips or have seen all points there are; then those trips are the answer, and radius is NULL.
     """
     asked = queries.withColumn("lam", (F.col("k") * SEED_FACTOR).cast("bigint"))
-    batch = queries.select("qid", "k").distinct()
-    floors = None
+    ready, complete = [], []
     while True:
         found = durable(N.nearest_points(points, asked, counts), "seeds")
-        seen = (
-            found.groupBy("qid").agg(F.count_distinct("trip_id").alias("trips"))
-            .join(_looks(found, asked).groupBy("qid").agg(F.bool_and("all_seen").alias("all_seen")), "qid")
-            .join(batch, "qid")
-        )
-        short = seen.where((F.col("trips") < F.col("k")) & ~F.col("all_seen")).select("qid")
-        more = not short.isEmpty()
-        ready = found.select("qid", "trip_id").distinct()
-        if more:
-            short = durable(short, "seeds-short")
-            ready = ready.join(short, "qid", "left_anti")
-        scored = S.rank_within(exact_scores(points, ready, queries).join(batch, "qid"), ["qid"])
-        part = scored.groupBy("qid").agg(
-            F.coalesce(F.max(F.when(F.col("rank") == F.col("k"), F.col("sim"))), F.lit(0.0)).alias("tau")
-        )
-        floors = part if floors is None else floors.unionByName(part)
-        if not more:
-            return floors
-        asked = durable(
-            asked.join(short, "qid", "left_semi").withColumn("lam", F.col("lam") * SEED_FACTOR), "seeds-more"
+        nearest = found.groupBy("qid", "qseq").agg(F.min("d").alias("nearest"), F.count("*").alias("returned"))
+        batch = queries.select("qid", "k").distinct()
+        sims = S.rank_within(exact_scores(points, found.select("qid", "trip_id").distinct(), queries).join(batch, "qid"), ["qid"])
+        tau = sims.groupBy("qid").agg(F.max(F.when(F.col("rank") == F.col("k"), F.col("sim"))).alias("tau"))
+        of_query = Window.partitionBy("qid")
+        near = F.sum(geo.closeness(F.col("nearest"))).over(of_query)
+        state = durable(
+            asked.join(nearest, ["qid", "qseq"], "left").join(tau, "qid", "left")
+            .withColumn("all_seen", F.min(F.coalesce(F.col("returned"), F.lit(0)) < F.col("lam")).over(of_query))
+            .withColumn("radius", F.col("nearest") + F.greatest(F.log(near / (F.col("tau") - SLACK)), F.lit(0.0)) + SLACK), "floors",
         )
+        ready.append(state.where(F.col("tau").isNotNull()).drop("lam", "nearest", "returned", "all_seen"))
+        whole = state.where(F.col("tau").isNull() & F.col("all_seen")).select("qid").distinct()
+        complete.append(found.select("qid", "trip_id").distinct().join(whole, "qid", "left_semi"))
+        short = state.where(F.col("tau").isNull() & ~F.col("all_seen"))
+        if short.isEmpty():
+            floors = ready[0] if len(ready) == 1 else durable(reduce(DataFrame.unionByName, ready), "asked")
+            return floors, reduce(DataFrame.unionByName, complete)
+        asked = durable(short.select(*queries.columns, (F.col("lam") * SEED_FACTOR).alias("lam")), "seeds-more")
+
+
+def _refined(points: DataFrame, survivors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, trip_id, sim) of the survivors (qid, trip_id, k, ub) that may be among the k best.
+
+    They are scored in waves of falling upper bound, each twice as long as the one before. A query is through when its k-th
+    score is no less than the next bound, so the points of the rest are never read.
+    """
+    by_bound = Window.partitionBy("qid").orderBy(F.desc("ub"), "trip_id")
+    pending = durable(survivors.withColumn("turn", F.row_number().over(by_bound)), "survivors")
+    longest, width = pending.agg(F.max("turn"), F.max("k")).first()
+    low, high = 0, max(WAVE, width or 0)
+    scored = []
+    while True:
+        wave = pending.where((F.col("turn") > low) & (F.col("turn") <= high)).select("qid", "trip_id")
+        scores = exact_scores(points, wave, queries)
+        if high >= (longest or 0):
+            scored.append(scores)
+            return reduce(DataFrame.unionByName, scored)
+        scored.append(durable(scores, "wave"))
+        so_far = reduce(DataFrame.unionByName, scored).join(pending.select("qid", "k").distinct(), "qid")
+        kth = S.rank_within(so_far, ["qid"], limit=width).where(F.col("rank") == F.col("k")).select("qid", F.col("sim").alias("kth"))
+        rest = pending.where(F.col("turn") > high).join(kth, "qid", "left")
+        pending = durable(rest.where(F.col("kth").isNull() | (F.col("ub") >= F.col("kth") - SLACK)).drop("kth"), "survivors")
+        longest = pending.agg(F.max("turn")).first()[0]
+        if longest is None:
+            return reduce(DataFrame.unionByName, scored)
+        low, high = high, 2 * high
+
+
+def pruned_survivors(points: DataFrame, queries: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, trip_id, k, ub) of every trip that may be among the k best, and (qid, trip_id) of queries whose answer is all they have seen."""
+    floors, complete = _floors(points, queries, counts)
+    scanned = B.scanned_trips(N.within_radius(points, floors.drop("k", "tau")))
+    limits = B.similarity_bounds(scanned, floors.select("qid", "qseq", F.col("radius").alias("r")))
+    taus = floors.select("qid", "k", "tau").distinct()
+    return limits.join(taus, "qid").where(F.col("ub") >= F.col("tau") - SLACK).select("qid", "trip_id", "k", "ub"), complete
 
 
 def best_connected_pruned(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Exact k best-connected trips of every query, looking only near the query points.
 
-    A floor tau of the k-th best similarity comes first. A trip as good as tau must pass
-    within ln(m / tau) of some query point, because its m terms add up to tau: that radius
-    finds every candidate in one equi-join on cells. Candidates whose upper bound stays
-    under tau are dropped, the rest are scored exactly.
+    A floor of the k-th best similarity gives every query point a radius that finds every candidate in one equi-join on
+    cells. Candidates whose upper bound stays under the floor are dropped, the rest are scored exactly in waves.
     """
     queries = durable(queries, "queries")
     if counts is None:
         counts = durable(N.cell_counts(points), "cell-counts")
     points = on_asked_days(points, queries)
-    tau = F.col("tau") - 1e-8
-    radius = F.when(tau <= 0, F.lit(EVERYWHERE)).otherwise(F.log(F.col("m") / tau) + 1e-9)
-    sizes = queries.groupBy("qid", "k").agg(F.count("*").alias("m"))
-    floors = durable(
-        seed_scores(points, queries, counts).join(sizes, "qid").withColumn("radius", radius), "floors"
-    )
-    # Written tables carry their real size, so the joins with the points broadcast them when
-    # they are small; the size Spark guesses for a join of two small tables is their product.
-    asked = durable(queries.drop("k").join(floors, "qid"), "asked")
-    scanned = B.scanned_trips(N.within_radius(points, asked))
-    radii = asked.select("qid", "qseq", F.col("radius").alias("r"))
-    limits = B.similarity_bounds(durable(scanned, "scanned"), radii)
-    survivors = (
-        limits.join(floors, "qid").where(F.col("ub") >= tau - 1e-9).select("qid", "trip_id")
-    )
-    return _ranked(points, durable(survivors, "survivors"), queries)
+    survivors, complete = pruned_survivors(points, queries, counts)
+    scores = _refined(points, survivors, queries).unionByName(exact_scores(points, complete, queries))
+    return _best(scores, queries)
 
 
 def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -147,7 +171,11 @@ def best_connected_lambda(points: DataFrame, queries: DataFrame, counts: DataFra
 
 
 def _ranked(points: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    scores = exact_scores(points, pairs, queries).join(queries.select("qid", "k").distinct(), "qid")
+    return _best(exact_scores(points, pairs, queries), queries)
+
+
+def _best(scores: DataFrame, queries: DataFrame) -> DataFrame:
+    scores = scores.join(queries.select("qid", "k").distinct(), "qid")
     largest = queries.agg(F.max("k")).first()[0] or 0  # a constant limit: each task ranks no more than that
     return S.rank_within(scores, ["qid"], limit=largest).where(F.col("rank") <= F.col("k")).select("qid", "rank", "trip_id", "sim")
 

@@ -17,23 +17,23 @@ SEED_FACTOR = 4
 Query = list[tuple[float, float]] | DataFrame
 
 
-def scores(points: DataFrame, query: Query, measure: str) -> DataFrame:
+def scores(points: DataFrame, query: Query, measure: str, last: int | None = None) -> DataFrame:
     """(trip_id, value) of every trip by one of MEASURES. A table (qseq, qlng, qlat) as the query may have any length; not for ``unordered``."""
     if measure == "unordered":
         return similarity.trip_similarity(points, query).withColumnRenamed("sim", "value")
     if measure == "edwp":
         return edit.edit_distances(points, query)
-    return ordered.ordered_scores(points, query, measure).select("trip_id", "value")
+    return ordered.ordered_scores(points, query, measure, last=last).select("trip_id", "value")
 
 
 def best_possible(points: DataFrame, query: list[tuple[float, float]], measure: str) -> DataFrame:
-    """(trip_id, value) no worse than the trip's score, from one scan without ordering.
+    """(trip_id, value, last) no worse than the trip's score, from one scan without ordering; ``last`` is the trip's largest ``seq``.
 
     Dropping the order can only help: ``ordered`` is at most the order-free similarity, and
     a common subsequence is no longer than the number of query points the trip passes.
     """
     if measure == "ordered":
-        return similarity.trip_similarity(points, query).withColumnRenamed("sim", "value")
+        return similarity.trip_similarity(points, query, more=[F.max("seq").alias("last")]).withColumnRenamed("sim", "value")
     near = ordered.LCSS_THRESHOLD
     passed = [
         F.max(((F.abs(F.col("lng") - x) <= near) & (F.abs(F.col("lat") - y) <= near)).cast("int")).alias(f"p{i}")
@@ -45,7 +45,8 @@ def best_possible(points: DataFrame, query: list[tuple[float, float]], measure:
         total = total + F.col(f"p{i}")
     either_single = (F.col("n") == 1) | F.lit(len(query) == 1)
     value = F.when(either_single, 0.0).otherwise(1 - F.least(total, shorter) / shorter)
-    return points.groupBy("trip_id").agg(F.count("*").alias("n"), *passed).select("trip_id", value.alias("value"))
+    held = points.groupBy("trip_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"), *passed)
+    return held.select("trip_id", value.alias("value"), "last")
 
 
 def trip_as_query(points: DataFrame, trip_id: str) -> DataFrame:
@@ -77,10 +78,11 @@ def top_by_measure(
     if measure not in ("ordered", "lcss") or not query or len(query) > search.WIDE_POINTS:
         return similarity.top_trips(scores(points, query, measure), k, "value", largest)
     hopes = durable(best_possible(points, query, measure), "best-possible")
-    first = durable(similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest), "promising")
+    last = hopes.agg(F.max("last")).first()[0]
+    first = similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest)
 
     def walked(trips: DataFrame) -> DataFrame:
-        return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure)
+        return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure, last)
 
     floor = similarity.top_trips(walked(first), k, "value", largest).agg(
         F.count("*").alias("n"), (F.min("value") if largest else F.max("value")).alias("value")
@@ -88,7 +90,7 @@ def top_by_measure(
     if floor["n"] == k:
         slack = 1e-8
         keep = F.col("value") >= floor["value"] - slack if largest else F.col("value") <= floor["value"] + slack
-        hopes = durable(hopes.where(keep), "still-possible")
+        hopes = hopes.where(keep)
     return similarity.top_trips(walked(hopes), k, "value", largest)
 
 
