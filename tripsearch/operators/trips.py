@@ -100,8 +100,8 @@ def extend_trips(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Number the next points of every user after ``carry`` (obd_id, last_us, r, n), the users' last trips so far.
 
-    Returns the numbered points (their day is that of the trip's last point so far), the new carry of every
-    user, and the points that came too late, older than the user's last numbered point.
+    Returns the numbered points (their day is that of the trip's last point so far), the new carry of the users
+    among them, and the points that came too late, older than the user's last numbered point.
     """
     known = points.join(carry.select("obd_id", F.col("last_us").alias("seen_us")), "obd_id", "left")
     is_late = F.col("seen_us").isNotNull() & (geo.epoch_micros(F.col("ts")) < F.col("seen_us"))
@@ -110,20 +110,21 @@ def extend_trips(
     slots = _trip_of_slot(slotted, gap_seconds, carry)
     numbered = _numbered(slotted, slots.drop("n", "last_us"))
     reached = slots.select("obd_id", "last_us", "r", (F.col("base") + F.col("n")).alias("n"))
-    newest = (
-        reached.unionByName(carry.select("obd_id", "last_us", "r", "n"))
-        .groupBy("obd_id").agg(F.max(F.struct("last_us", "r", "n")).alias("last"))
-        .select("obd_id", "last.*")
-    )
-    return numbered, newest, late
+    return numbered, newest_carry(reached), late
+
+
+def newest_carry(rows: DataFrame) -> DataFrame:
+    """The newest row of every user of several carries put together."""
+    last = rows.groupBy("obd_id").agg(F.max(F.struct("last_us", "r", "n")).alias("last"))
+    return last.select("obd_id", "last.*")
 
 
 def continue_trips(
     points: DataFrame, carry: DataFrame, gap_seconds: int = GAP_SECONDS, slot_seconds: int = 600
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As ``extend_trips``, for live points: without a day, as the trip may go on."""
-    numbered, newest, late = extend_trips(points, carry, gap_seconds, slot_seconds)
-    return numbered.drop("day"), newest, late
+    """As ``extend_trips``, for live points (without a day, as the trip may go on), with the carry of all users."""
+    numbered, reached, late = extend_trips(points, carry, gap_seconds, slot_seconds)
+    return numbered.drop("day"), newest_carry(reached.unionByName(carry.select(*reached.columns))), late
 
 
 def trip_catalog(points: DataFrame) -> DataFrame:

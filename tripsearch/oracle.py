@@ -6,6 +6,8 @@ DAY_GAP = 86400
 TWO_DAY_GAP = 172800
 # Days that move the log over the end of a month.
 MONTH_SHIFT = 16
+# Every such event is sent with the last file of the feed.
+DELAYED = 50
 THREE_POINTS = [(121.3, 31.2), (121.4, 31.3), (121.35, 31.25)]
 
 
@@ -530,9 +532,19 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             from means join sizes using (qid) group by all""",
         "stream_trip_summary": f"""{_base(1500)},
             spans as (select obd_id, r, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from pts group by all)
-            select obd_id, first_ts, last_ts, n from spans
-            where last_ts + interval 1500 second <= (select max(ts) from kept) - interval 1 hour""",
-        "stream_numbering": f"""{day} select obd_id, event_id, r, seq from pts""",
+            select obd_id, first_ts, last_ts, n from spans""",
+        "stream_numbering": f"""with {_GCJ},
+            sent as (select *, case when event_id % {DELAYED} = 0 then 3 else least((day(ts) - 1) // 8, 3) end as part from kept),
+            told as (select *, coalesce(part = 3 and ts < max(ts) filter (part < 3) over (partition by obd_id), false) as late from sent),
+            breaks as (
+              select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by obd_id order by ts, event_id) > {DAY_GAP}000000
+                then 1 else 0 end as opens from told where not late
+            ),
+            numbered as (
+              select *, cast(sum(opens) over (partition by obd_id order by ts, event_id rows unbounded preceding) as int) as r from breaks
+            )
+            select obd_id, event_id, r, row_number() over (partition by obd_id, r order by ts, event_id) - 1 as seq, late from numbered
+            union all select obd_id, event_id, null, null, late from told where late""",
         "stream_index": f"""{day} select day, cast(floor(lng / 5e-3) as bigint) as cx, cast(floor(lat / 5e-3) as bigint) as cy,
             count(*) as n from pts group by all""",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tripsearch.operators.features import simplify_trips
-from tripsearch.operators.trips import CARRY_SCHEMA, GAP_SECONDS, SHANGHAI, clean_positions, extend_trips
+from tripsearch.operators.trips import CARRY_SCHEMA, GAP_SECONDS, SHANGHAI, clean_positions, extend_trips, newest_carry
 from tripsearch.sources import runs, tables
 from tripsearch.storage import durable
 
@@ -103,8 +103,8 @@ def ingest(
     kept = clean_positions(raw, city)
     tables.write_kept_points(kept, out.kept, city_name, run)
     carry = registry(earlier[-1].run) if earlier else spark.createDataFrame([], CARRY_SCHEMA)
-    numbered, newest, late = extend_trips(part(out.kept, kept.schema), carry, gap_seconds)
-    newest.write.parquet(f"{out.registry}/city={city_name}/run={run}")
+    numbered, reached, late = extend_trips(part(out.kept, kept.schema), carry, gap_seconds)
+    newest_carry(reached.unionByName(carry)).write.parquet(f"{out.registry}/city={city_name}/run={run}")
     late.write.parquet(f"{out.late}/city={city_name}/run={run}")
     if later and _fingerprint(registry(run)) != _fingerprint(registry(old[0].run)):
         raise ValueError(f"{log} has changed; {', '.join(h.log for h in later)} were numbered after it and have to be ingested into a new folder")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripsearch.operators import bounds as B
 from tripsearch.operators import curve, features, nearest, ordered, outline, pages, similarity
 from tripsearch.operators import trips as trip_ops
-from tripsearch.oracle import DAY_GAP, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
+from tripsearch.oracle import DAY_GAP, DELAYED, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import ingest, search, similar, workload
 from tripsearch.sources import positions, requests, tables
 from tripsearch.storage import durable, new_folder
@@ -457,14 +457,32 @@ def kbct_accuracy(spark, sf_dir):
 
 
 def stream_trip_summary(spark, sf_dir):
-    found = live.run_to_table(live.trip_summaries(live.position_stream(spark, sf_dir)), "trip-summary")
+    """All trips of the feed: those that are closed and, from the stream's state, those still open."""
+    trips_now = live.summarize_trips(live.position_stream(spark, sf_dir))
+    found = trips_now.closed(spark).unionByName(trips_now.open(spark))
     naive = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("first_ts", "last_ts")]
     return found.select("obd_id", *naive, "n")
 
 
+def _feed(spark, sf_dir) -> str:
+    """The events as a feed of four files, eight days each; some points are sent with the last one only."""
+
+    def write(path):
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        part = F.when(F.col("event_id") % DELAYED == 0, 3).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)))
+        for i in range(4):
+            events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+
+    return _scratch(spark, sf_dir, "feed", write)
+
+
 def stream_numbering(spark, sf_dir):
-    path = live.number_points(live.position_stream(spark, sf_dir), DAY_GAP)
-    return spark.read.parquet(f"{path}/points").select("obd_id", "event_id", "r", "seq")
+    """Points of four micro-batches, numbered; points older than their user's last one come out as late."""
+    path = live.number_points(live.folder_stream(spark, _feed(spark, sf_dir)), DAY_GAP)
+    numbered = spark.read.parquet(f"{path}/points").select("obd_id", "event_id", "r", "seq", F.lit(False).alias("late"))
+    late = spark.read.parquet(f"{path}/late")
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("r", "int"), ("seq", "bigint"))]
+    return numbered.unionByName(late.select("obd_id", "event_id", *nothing, F.lit(True).alias("late")))
 
 
 def stream_index(spark, sf_dir):

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsearch.operators.trips import CARRY_SCHEMA, GAP_SECONDS, clean_positions, continue_trips
+from tripsearch.operators.trips import CARRY_SCHEMA, GAP_SECONDS, clean_positions, extend_trips, newest_carry
 from tripsearch.sources import tables
 from tripsearch.sources.positions import positions_from_events
 from tripsearch.storage import new_folder
 
 
+#: Batches between two carries of all users.
+FULL_EVERY = 16
+_LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+_SUMMARY = "obd_id string, first_ts timestamp, last_ts timestamp, n bigint"
+
+
+def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean positions from a folder of ``events`` files as a stream, file by file in the order they were written."""
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1)
+    return clean_positions(positions_from_events(reader.parquet(folder)))
+
+
 def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean positions from the ``events`` files as a stream."""
     path = f"{sf_dir}/events.parquet"
@@ -33,11 +46,7 @@ def table_stream(table: DataFrame) -> DataFrame:
 
 
 def trip_summaries(positions: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str = "1 hour") -> DataFrame:
-    """(obd_id, first_ts, last_ts, n) of each trip, sent out once no point can still join it.
-
-    Sessions are merged inside each input task first, so a busy user sends few rows.
-    """
-    positions.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """(obd_id, first_ts, last_ts, n) of each trip, sent out once no point can still join it."""
     timed = positions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return (
         timed.groupBy("obd_id", F.session_window("ts", f"{gap_seconds} seconds").alias("span"))
@@ -46,38 +55,70 @@ def trip_summaries(positions: DataFrame, gap_seconds: int = GAP_SECONDS, delay:
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over the input there is now, append its rows to a table and read it."""
-    spark = stream.sparkSession
-    folder = new_folder(spark, name)
-    (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+@dataclass(frozen=True)
+class LiveTrips:
+    """Where a stream of trip summaries stands. ``dropped`` counts rows that came after the delay in this run."""
+
+    folder: str
+    dropped: int
+
+    def closed(self, spark: SparkSession) -> DataFrame:
+        """Trips that no point can join any more."""
+        return spark.read.schema(_SUMMARY).parquet(f"{self.folder}/rows")
+
+    def open(self, spark: SparkSession) -> DataFrame:
+        """Trips that are still open, from the state that the stream has committed."""
+        state = spark.read.format("statestore").load(f"{self.folder}/checkpoint")
+        return state.select("key.obd_id", F.col("value.min").alias("first_ts"), F.col("value.max").alias("last_ts"), F.col("value.count").alias("n"))
+
+
+def summarize_trips(
+    positions: DataFrame, gap_seconds: int = GAP_SECONDS, delay: str = "1 hour", folder: str | None = None, **trigger
+) -> LiveTrips:
+    """Run ``trip_summaries`` over the input there is now. Sessions are merged inside each input task first, so a busy user sends few rows."""
+    spark = positions.sparkSession
+    folder = folder or new_folder(spark, "trip-summary")
+    before = spark.conf.get(_LOCAL_SESSIONS)
+    spark.conf.set(_LOCAL_SESSIONS, "true")
+    try:  # a query keeps the settings that it was started with
+        query = (
+            trip_summaries(positions, gap_seconds, delay).writeStream.format("parquet").outputMode("append")
+            .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        spark.conf.set(_LOCAL_SESSIONS, before)
+    query.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return LiveTrips(folder, dropped)
+
+
+def carry_before(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Every user's last trip before a batch: the last full carry and what the batches after it have touched."""
+    if not number:
+        return spark.createDataFrame([], CARRY_SCHEMA)
+    full = (number - 1) // FULL_EVERY * FULL_EVERY
+    return newest_carry(spark.read.schema(CARRY_SCHEMA).parquet(*[f"{folder}/carry/{i}" for i in range(full, number)]))
 
 
 def number_points(positions: DataFrame, gap_seconds: int = GAP_SECONDS, folder: str | None = None, **trigger) -> str:
     """Number live points trip by trip; returns the folder of the ``points`` and ``late`` tables.
 
     Every micro-batch is numbered like a whole log, slot by slot, starting from one carried
-    row per user, so a busy user is spread over many tasks. Carry and outputs are written
+    row per user, so a busy user is spread over many tasks. A batch writes the carry of the users it has touched,
+    every ``FULL_EVERY``-th that of all. Carry and outputs are written
     under the batch number: a batch that is run again overwrites its own files only.
     """
     spark = positions.sparkSession
     folder = folder or new_folder(spark, "numbering")
 
     def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        if number == 0:
-            carry = session.createDataFrame([], CARRY_SCHEMA)
-        else:
-            carry = session.read.schema(CARRY_SCHEMA).parquet(f"{folder}/carry/{number - 1}")
-        numbered, newest, late = continue_trips(batch, carry, gap_seconds)
-        numbered.write.mode("overwrite").parquet(f"{folder}/points/batch={number}")
+        carry = carry_before(batch.sparkSession, folder, number)
+        numbered, reached, late = extend_trips(batch, carry, gap_seconds)
+        numbered.drop("day").write.mode("overwrite").parquet(f"{folder}/points/batch={number}")
         late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
-        newest.write.mode("overwrite").parquet(f"{folder}/carry/{number}")
+        kept = reached if number % FULL_EVERY else newest_carry(reached.unionByName(carry))
+        kept.write.mode("overwrite").parquet(f"{folder}/carry/{number}")
 
     (
         positions.writeStream.foreachBatch(step)
