@@ -279,14 +279,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ids = windows.durable(gone.select("doc_id").distinct(), "shortened-ids")
     shorter = semi(rows, ids, "doc_id").join(gone, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
     shorter = windows.durable(shorter.mapInArrow(cut, "doc_id long, tag long, kept string"), "shortened").dropDuplicates(["doc_id", "tag"])
-    shorter = shorter.select(F.col("doc_id").alias("short_of_id"), F.col("tag").alias("short_of_tag"), F.col("kept").alias("short_text"))
+    taken = {c.lower() for c in docs.columns}
+    tag, short = (name + "_" * (1 + max(map(len, taken))) if name in taken else name for name in ("short_of_tag", "short_text"))
+    shorter = shorter.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("kept").alias(short))
     # most rows lose nothing: only the others meet the join
-    changed = semi(docs.withColumnRenamed(key, "short_of_id"), ids.withColumnRenamed("doc_id", "short_of_id"), "short_of_id").withColumn(
-        "short_of_tag", windows.tag_of(docs, key, text)
-    )
-    same = semi(docs, ids.withColumnRenamed("doc_id", key), key, "left_anti")
-    joined = changed.join(shorter, ["short_of_id", "short_of_tag"], "left").withColumn(text, F.coalesce("short_text", F.col(text)))
+    ids = ids.withColumnRenamed("doc_id", key)
+    changed = semi(docs, ids, key).withColumn(tag, windows.tag_of(docs, key, text))
+    same = semi(docs, ids, key, "left_anti")
+    joined = changed.join(shorter, [key, tag], "left").withColumn(text, F.coalesce(short, F.col(text)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("short_text").isNotNull(), F.length("short_text").cast(kind)).otherwise(F.col("n_chars")))
-    return same.unionByName(joined.withColumnRenamed("short_of_id", key).select(*docs.columns))
+        joined = joined.withColumn("n_chars", F.when(F.col(short).isNotNull(), F.length(short).cast(kind)).otherwise(F.col("n_chars")))
+    return same.unionByName(joined.select(*docs.columns))
