@@ -5,9 +5,9 @@
 3. ``repeated_passages``: bytes of passages that a document with a smaller id holds too are cut out of
    ``text``. Passages are ``PASSAGE`` bytes and more, so shorter phrases that clean documents share stay.
 4. ``benchmark_leaks``: documents that hold a benchmark item go.
-5. ``mixing``: token weights of source, language and topic; each document with its sampling decision.
+5. ``mixing``: token weights of source, language and topic; documents that the sampler rejects go.
 
-Stages 1 to 4 return the columns of ``documents``; stage 5 returns one row per document that is left.
+Stages 1 to 4 return the columns of ``documents``; stage 5 returns one row per sampled document, with its cell and weights.
 
 Defined results: rows without an id pass stages 2 to 4 and, as rows with null or empty texts do not
 pass stage 1, only when they hold text. Extra columns pass through. Empty tables give empty ones.
@@ -47,7 +47,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return raking.mix(docs)
+    return raking.mix(docs).where("sampled")
 
 
 STAGES = [
