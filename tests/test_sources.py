@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests import plain
 from tripsearch.operators import edit, nearest, ordered
 from tripsearch.operators.trips import clean_positions, trip_polyline
-from tripsearch.plans import ingest, similar
+from tripsearch.plans import answers, ingest, similar
 from tripsearch.sources import positions, requests, tables
 
 
@@ -84,6 +84,17 @@ def test_answers_as_json(make_points):
     ]
 
 
+def test_requests_are_answered_from_body_to_body(spark, make_points):
+    points = make_points({"A": [(1, 2), (3, 4)], "B": [(1, 2.5)], "C": [(9, 9)]})
+    sent = [("a", "p", '{"1":[3.0,4.0],"0":[1.0,2.0]}', None, 2), ("b", "t", "[[1.0,2.6]]", "2024-01-01", 1), ("c", "t", "not json", None, 2), ("d", "t", "[[9,9]]", "2020-01-01", 2)]
+    table = spark.createDataFrame(sent, "req_id string, kind string, body string, day string, k int").withColumn("day", F.col("day").cast("date"))
+    got = {(r["req_id"], r["rank"], r["block"], r["body"]) for r in answers.answer_requests(points, table).collect()}
+    assert got == {
+        ("a", 1, 0, '{"trip_id":"A","points":[[1.0,2.0],[3.0,4.0]]}'), ("a", 2, 0, '{"trip_id":"B","points":[[1.0,2.5]]}'),
+        ("b", 1, 0, '{"trip_id":"B","points":[[1.0,2.5]]}'), ("c", None, None, '{"error":"no points"}'),
+    }
+
+
 def test_ingest_writes_every_table(spark, folder):
     raw = positions.read_events_log(spark, "/root/testdata/sf0.001")
     for _ in range(2):  # a second run replaces the first

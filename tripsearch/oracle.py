@@ -530,6 +530,13 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             )
             select m, k, count(*) as queries, round(avg(mean_sim / m), 6) as accuracy, round(avg(mean_sim), 6) as mean_sim
             from means join sizes using (qid) group by all""",
+        "answer_requests": f"""{day}{sample},
+            queries as (
+              select trip_id as qid, p.seq as qseq, p.lng as qlng, p.lat as qlat, case when n % 2 = 1 then p.day end as day, 3 as k
+              from drawn join pts p using (trip_id) where n between 3 and 5 and pick <= 2
+            ){_BATCH},
+            lines as (select trip_id, count(*) as n, round(arg_min(lng, seq), 6) as first_lng from pts group by trip_id)
+            select qid as req_id, rank, trip_id, sim, n, first_lng from answers join lines using (trip_id) where rank <= k""",
         "stream_trip_summary": f"""{_base(1500)},
             spans as (select obd_id, r, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from pts group by all)
             select obd_id, first_ts, last_ts, n from spans""",

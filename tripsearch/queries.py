@@ -11,7 +11,7 @@ from tripsearch.operators import bounds as B
 from tripsearch.operators import curve, features, nearest, ordered, outline, pages, similarity
 from tripsearch.operators import trips as trip_ops
 from tripsearch.oracle import DAY_GAP, DELAYED, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
-from tripsearch.plans import ingest, search, similar, workload
+from tripsearch.plans import answers, ingest, search, similar, workload
 from tripsearch.sources import positions, requests, tables
 from tripsearch.storage import durable, new_folder
 from tripsearch.streaming import live
@@ -449,6 +449,26 @@ def query_sample(spark, sf_dir):
     return workload.sample_queries(catalog, list(range(2, 11)), 10)
 
 
+def answer_requests(spark, sf_dir):
+    """Sampled trips sent as JSON requests of both kinds; the answers read back from their bodies."""
+    points = trip_points(spark, sf_dir)
+    sample = durable(workload.sample_queries(trip_ops.trip_catalog(points), [3, 4, 5], 2), "requests-sample")
+    paths = points.join(sample.select("trip_id", "n", "pick"), "trip_id").groupBy("trip_id", "n", "pick", "day").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))).alias("path"))
+    as_object, odd = F.col("pick") == 1, F.col("n") % 2 == 1
+    sent = durable(paths.select(
+        F.col("trip_id").alias("req_id"), F.when(as_object, "p").otherwise("t").alias("kind"),
+        F.when(as_object, requests.object_body(F.col("path"))).otherwise(requests.array_body(F.col("path"))).alias("body"),
+        F.when(odd, F.col("day")).alias("day"), F.lit(3).alias("k"),
+    ), "requests")
+    answers_found = answers.answer_requests(points, sent, density(spark, sf_dir))
+    read = F.from_json("body", "trip_id string, points array<array<double>>")
+    return answers_found.withColumn("read", read).select(
+        "req_id", "rank", F.col("read.trip_id").alias("trip_id"), F.round("sim", 9).alias("sim"), F.size("read.points").cast("bigint").alias("n"),
+        F.round(F.col("read.points")[0][0], 6).alias("first_lng"),
+    )
+
+
 def kbct_accuracy(spark, sf_dir):
     points = trip_points(spark, sf_dir)
     queries = durable(workload.queries_from_sample(points, query_sample(spark, sf_dir), 10, 8), "workload")
@@ -498,7 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, range_indexed, knn_indexed, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,
-        ordered_bounds, query_sample, kbct_accuracy, stream_trip_summary, stream_numbering, stream_index,
+        ordered_bounds, query_sample, kbct_accuracy, answer_requests, stream_trip_summary, stream_numbering, stream_index,
     )
 } | {
     "sim_ordered": _measure("ordered"),
