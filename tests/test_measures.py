@@ -116,9 +116,9 @@ def test_walks_that_are_ended_early_never_belong_to_the_answer(make_points):
         got = [(r["trip_id"], r["value"]) for r in edit.nearest_by_edit(points, query, 3, trip_block, query_block).collect()]
         assert [t for t, _ in got] == [t for t, _ in want]
     # and some are in fact ended early
-    asked, wide, _ = ordered.query_blocks(points, query, 4)
+    asked, wide, _, start = ordered.query_blocks(points, query, 4)
     blocks, most = ordered.trip_blocks(points, 5)
-    assert edit._distances(blocks, most, asked, wide, 3, want[-1][1] + 1e-8).count() < len(trips)
+    assert edit._distances(blocks, most, asked, wide, start, 3, want[-1][1] + 1e-8).count() < len(trips)
 
 
 def test_the_plan_does_not_grow_with_the_query(make_points):

@@ -91,7 +91,9 @@ def _walk(path, i, end, more, query, j, qend, qmore, r, s, cost, done, ceiling)
         live = live[ready(live)]
 
 
-def _walk_batches(wide: int, ceiling: float):
+def _walk_batches(wide: int, ceiling: float, first: tuple[list[float], list[float]] | None = None):
+    """Walks its rows: the first blocks of trips against the first block of the query, or those joined with the blocks they wait for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -103,13 +105,17 @@ def _walk_batches(wide: int, ceiling: float):
                 return np.stack([batch.column(x).flatten().to_numpy(), batch.column(y).flatten().to_numpy()]), np.concatenate(([0], ends[:-1])), ends
 
             path, begin, end = laid_out("xs", "ys")
-            query, qbegin, qend = laid_out("qx", "qy")
-            i, j, fresh = get("i").copy(), get("j").copy(), get("a") < 0
-            r = np.where(fresh, path[:, begin], np.stack([get("rx"), get("ry")]))
-            s = np.where(fresh, query[:, qbegin], np.stack([get("sx"), get("sy")]))
-            a, b = begin + np.where(fresh, 1, get("a")), qbegin + np.where(fresh, 1, get("b"))
+            i, done = get("i").copy(), np.zeros(batch.num_rows, dtype=bool)
+            if first is not None:
+                query, qbegin, qend = np.array(first), np.zeros_like(begin), np.full_like(end, len(first[0]))
+                j, cost, r, s = np.zeros_like(i), np.zeros(len(i)), path[:, begin], query[:, qbegin]
+                a, b = begin + 1, qbegin + 1
+            else:
+                query, qbegin, qend = laid_out("qx", "qy")
+                j, cost = get("j").copy(), get("cost").copy()
+                r, s = np.stack([get("rx"), get("ry")]), np.stack([get("sx"), get("sy")])
+                a, b = begin + get("a"), qbegin + get("b")
             more, qmore = i + 1 < get("blocks"), j + 1 < wide
-            cost, done = get("cost").copy(), np.zeros(len(i), dtype=bool)
             _walk(path, a, end, more, query, b, qend, qmore, r, s, cost, done, ceiling)
             over, qover = (a == end) & more, (b == qend) & qmore
             kept = pa.array(done | (cost <= ceiling))
@@ -129,18 +135,18 @@ def _least(values: DataFrame, k: int) -> float:
     return found[-1] + 1e-8 if len(found) == k else math.inf
 
 
-def _distances(blocks: DataFrame, most: int, asked: DataFrame, wide: int, k: int | None = None, ceiling: float = math.inf) -> DataFrame:
-    nothing = F.lit(0.0)
-    state = blocks.where("i = 0").select("trip_id").withColumns({
-        "i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "a": F.lit(-1), "b": F.lit(-1),
-        **{c: nothing for c in ("rx", "ry", "sx", "sy", "cost")},
-    })
+def _distances(
+    blocks: DataFrame, most: int, asked: DataFrame, wide: int, first: tuple[list[float], list[float]], k: int | None = None, ceiling: float = math.inf
+) -> DataFrame:
+    state = None
     finished: list[DataFrame] = []
     while True:
-        # the first round reads the first blocks as they are; later ones join each trip with the block it waits for
-        held = blocks if finished else blocks.where("i = 0")
-        fed = state.join(held.drop("n"), ["trip_id", "i"]).join(asked, "j")
-        state = fed.mapInArrow(_walk_batches(wide, ceiling), _STATE)
+        # the first round reads the first blocks as they are; later ones join each trip with the blocks it waits for
+        if state is None:
+            state = blocks.where("i = 0").mapInArrow(_walk_batches(wide, ceiling, first), _STATE)
+        else:
+            fed = state.join(blocks.drop("n"), ["trip_id", "i"]).join(asked, "j")
+            state = fed.mapInArrow(_walk_batches(wide, ceiling), _STATE)
         if most > 1 or wide > 1:
             state = durable(state, "edit-state")
         finished.append(state.where("done").select("trip_id", F.col("cost").alias("value")))
@@ -159,12 +165,12 @@ def edit_distances(
     points: DataFrame, query: list[tuple[float, float]] | DataFrame, block_points: int = BLOCK_POINTS, query_block: int = BLOCK_POINTS
 ) -> DataFrame:
     """(trip_id, value): EDwP of every trip to the query, a list or a table (qseq, qlng, qlat) of any length."""
-    asked, wide, m = query_blocks(points, query, query_block)
+    asked, wide, m, start = query_blocks(points, query, query_block)
     if not m:
         return points.select("trip_id").distinct().withColumn("value", F.lit(float("inf")))
     ship(points.sparkSession)
     blocks, most = trip_blocks(points, block_points)
-    return _distances(blocks, most, asked, wide)
+    return _distances(blocks, most, asked, wide, start)
 
 
 def nearest_by_edit(
@@ -175,15 +181,14 @@ def nearest_by_edit(
     Where walks take more than one round, the trips that begin nearest to the query are walked first; the k-th cost among them, and then the k-th of all that have
     ended, is a ceiling that ends every dearer walk. Ties with the ceiling go on, so the answer is exact.
     """
-    asked, wide, m = query_blocks(points, query, query_block)
+    asked, wide, m, start = query_blocks(points, query, query_block)
     if not m or k <= 0:
         return top_trips(points.select("trip_id").distinct().withColumn("value", F.lit(float("inf"))), max(k, 0), "value", False)
     ship(points.sparkSession)
     blocks, most = trip_blocks(points, block_points)
     if most <= 1 and wide <= 1:  # one round: there is no later block to save
-        return top_trips(_distances(blocks, most, asked, wide), k, "value", False)
-    x, y = asked.where("j = 0").select(F.col("qx")[0], F.col("qy")[0]).first()
-    start = geo.degrees_apart(F.col("xs")[0], F.col("ys")[0], F.lit(x), F.lit(y))
-    first = durable(blocks.where("i = 0").select("trip_id", start.alias("d")).orderBy("d", "trip_id").limit(SEED_FACTOR * k).select("trip_id"), "edit-seeds")
-    ceiling = _least(_distances(blocks.join(first, "trip_id", "left_semi"), most, asked, wide), k)
-    return top_trips(_distances(blocks, most, asked, wide, k, ceiling), k, "value", False)
+        return top_trips(_distances(blocks, most, asked, wide, start), k, "value", False)
+    away = geo.degrees_apart(F.col("xs")[0], F.col("ys")[0], F.lit(start[0][0]), F.lit(start[1][0]))
+    first = durable(blocks.where("i = 0").select("trip_id", away.alias("d")).orderBy("d", "trip_id").limit(SEED_FACTOR * k).select("trip_id"), "edit-seeds")
+    ceiling = _least(_distances(blocks.join(first, "trip_id", "left_semi"), most, asked, wide, start), k)
+    return top_trips(_distances(blocks, most, asked, wide, start, k, ceiling), k, "value", False)

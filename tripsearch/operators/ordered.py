@@ -41,8 +41,8 @@ _BORDERS = "trip_id string, i bigint, j bigint, blocks bigint, n bigint, bottom
 
 def query_blocks(
     points: DataFrame, query: list[tuple[float, float]] | DataFrame, size: int, skip_first: bool = False
-) -> tuple[DataFrame, int, int]:
-    """(j, qx, qy): the query in blocks numbered without gaps, with the number of blocks and of points left."""
+) -> tuple[DataFrame, int, int, tuple[list[float], list[float]]]:
+    """(j, qx, qy): the query in blocks numbered without gaps, with the number of blocks and of points left, and the first block itself."""
     if not isinstance(query, DataFrame):  # a list is at hand, so it is cut here
         left = [(float(x), float(y)) for x, y in query][int(skip_first) :]
         cut = [left[i : i + size] for i in range(0, len(left), size)]
@@ -50,7 +50,8 @@ def query_blocks(
         doubles = pa.list_(pa.float64())
         # an Arrow table becomes a local relation, whose size Spark knows
         held = pa.table([pa.array(range(len(cut)), pa.int64()), *[pa.array(c, doubles) for c in columns]], ["j", "qx", "qy"])
-        return points.sparkSession.createDataFrame(held), len(cut), len(left)
+        first = cut[0] if cut else []
+        return points.sparkSession.createDataFrame(held), len(cut), len(left), ([x for x, _ in first], [y for _, y in first])
     query = query.select(F.col("qseq").cast("bigint").alias("qseq"), "qlng", "qlat")
     path = F.array_sort(F.collect_list(F.struct("qseq", "qlng", "qlat")))
     if skip_first:
@@ -59,7 +60,8 @@ def query_blocks(
     numbered = blocks.withColumn("j", F.row_number().over(Window.orderBy("at")).cast("bigint") - 1)
     held = durable(numbered.select("j", F.col("path")["qlng"].alias("qx"), F.col("path")["qlat"].alias("qy")), "query-blocks")
     count, total = held.agg(F.count("*"), F.coalesce(F.sum(F.size("qx")), F.lit(0))).first()
-    return held, count, total
+    first = held.where("j = 0").first()
+    return held, count, total, (list(first["qx"]), list(first["qy"])) if first else ([], [])
 
 
 def trip_blocks(points: DataFrame, size: int, last: int | None = None) -> tuple[DataFrame, int]:
@@ -130,18 +132,23 @@ def _start(measure: str, j: int, width: int) -> np.ndarray:
     return np.zeros(width)
 
 
-def _tiles(measure: str, threshold: float, joined: bool):
+def _tiles(measure: str, threshold: float, first: tuple[list[float], list[float]] | None = None):
+    """Solves the tiles of its rows: those of the first query block and of every trip's first block, or those joined with their borders."""
+    joined = first is None
+    own = None if joined else tuple(np.array(v) for v in first)
     before = 0.0 if measure in ("ordered", "lcss") else _NEVER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {n: (batch.column(n).offsets.to_numpy(), batch.column(n).flatten().to_numpy()) for n in ("xs", "ys", "qx", "qy")}
+            lists = {n: (batch.column(n).offsets.to_numpy(), batch.column(n).flatten().to_numpy()) for n in ("xs", "ys", *(("qx", "qy") if joined else ()))}
             part = lambda n, r: lists[n][1][lists[n][0][r] - lists[n][0][0] : lists[n][0][r + 1] - lists[n][0][0]]
-            i, j = batch.column("i").to_pylist(), batch.column("j").to_pylist()
+            i = batch.column("i").to_pylist()
+            j = batch.column("j").to_pylist() if joined else [0] * batch.num_rows
             tops, lefts, corners = (batch.column(n) if joined else None for n in ("top", "left", "corner"))
             bottoms, rights, nexts = [], [], []
             for r in range(batch.num_rows):
-                xs, ys, qx, qy = (part(n, r) for n in ("xs", "ys", "qx", "qy"))
+                xs, ys = part("xs", r), part("ys", r)
+                qx, qy = (part("qx", r), part("qy", r)) if joined else own
                 if measure == "ordered_dp" and i[r] == 0:
                     xs, ys = xs[1:], ys[1:]
                 top = _start(measure, j[r], len(qx)) if i[r] == 0 else tops[r].values.to_numpy()
@@ -152,7 +159,7 @@ def _tiles(measure: str, threshold: float, joined: bool):
                 rights.append(right)
                 nexts.append(top[-1])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("trip_id", "i", "j", "blocks", "n")], pa.array(bottoms, pa.list_(pa.float64())),
+                [batch.column("trip_id"), batch.column("i"), pa.array(j, pa.int64()), batch.column("blocks"), batch.column("n"), pa.array(bottoms, pa.list_(pa.float64())),
                  pa.array(rights, pa.list_(pa.float64())), pa.array(nexts, pa.float64())],
                 [c.split()[0] for c in _BORDERS.split(", ")],
             )
@@ -172,14 +179,13 @@ def ordered_scores(
     """(trip_id, n, value) of every trip; for ``lcss`` the value is a distance. ``query`` is a list or a table (qseq, qlng, qlat)."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
-    asked, wide, m = query_blocks(points, query, query_block, measure == "ordered_dp")
+    asked, wide, m, first = query_blocks(points, query, query_block, measure == "ordered_dp")
     if not m:
         return points.groupBy("trip_id").agg(F.count("*").alias("n")).withColumn("value", F.lit(0.0))
     ship(points.sparkSession)
     blocks, most = trip_blocks(points, block_points, last)
     # the first tile of every trip
-    state = blocks.where("i = 0").withColumn("j", F.lit(0).cast("bigint")).join(asked, "j")
-    state = state.mapInArrow(_tiles(measure, threshold, False), _BORDERS)
+    state = blocks.where("i = 0").mapInArrow(_tiles(measure, threshold, first), _BORDERS)
 
     def ended(tiles: DataFrame) -> DataFrame:
         last = tiles.where((F.col("j") == wide - 1) & (F.col("i") == F.col("blocks") - 1))
@@ -192,7 +198,7 @@ def ordered_scores(
         below = state.select("trip_id", (F.col("i") + 1).alias("i"), "j", F.col("bottom").alias("top"))
         beside = state.select("trip_id", "i", (F.col("j") + 1).alias("j"), F.col("right").alias("left"), "corner")
         borders = below.join(beside, ["trip_id", "i", "j"], "full")
-        state = blocks.join(borders, ["trip_id", "i"]).join(asked, "j").mapInArrow(_tiles(measure, threshold, True), _BORDERS)
+        state = blocks.join(borders, ["trip_id", "i"]).join(asked, "j").mapInArrow(_tiles(measure, threshold), _BORDERS)
     done.append(ended(state))
     best = reduce(DataFrame.unionByName, done)
     if measure == "ordered_dp":
