@@ -16,16 +16,15 @@ from tripsearch.sources import positions, requests, tables
 from tripsearch.storage import durable, new_folder
 from tripsearch.streaming import live
 
-# Literal query batch: (qid, points, day, k).
+# Query batch over the area of the derived log: (qid, points, day, k). The third query begins inside it and leads out of it.
 BATCH = [
-    (1, [(121.359331, 31.184999), (121.360705, 31.287742), (121.50284, 31.294784)], None, 2),
-    (2, [(121.449803, 31.225391), (121.446351, 31.231352)], "2024-01-10", 3),
-    (3, [(121.420210, 30.940452), (120.889590, 30.911189), (120.268870, 30.562625)], "2024-01-02", 4),
-    (4, [(121.449803, 31.225391), (121.446351, 31.231352)], None, 5),
+    (1, [(121.25, 31.1), (121.4, 31.25), (121.6, 31.35)], None, 2),
+    (2, [(121.3, 31.0), (121.32, 31.05)], "2024-01-10", 3),
+    (3, [(121.7, 30.95), (121.1, 30.9), (120.5, 30.6)], "2024-01-02", 4),
+    (4, [(121.3, 31.0), (121.32, 31.05)], None, 5),
 ]
 SPLIT_BATCH = [
-    (5, [(120.666481, 31.291738), (120.642091, 31.331085), (120.551929, 31.367378), (120.485923, 31.470893),
-         (120.337090, 31.627510), (120.252312, 31.692899), (120.129056, 31.738499), (120.046136, 31.754994)],
+    (5, [(121.05, 30.85), (121.15, 30.95), (121.25, 31.0), (121.35, 31.1), (121.45, 31.2), (121.55, 31.25), (121.65, 31.35), (121.75, 31.45)],
      None, 3),
     (6, [(121.3, 31.2), (121.4, 31.3), (121.35, 31.25), (121.5, 31.1)], None, 5),
 ]
