@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripsearch.llm import decontam, hmm, impact, jaccard, kneser, merkle, raking, recompress, repair, suffix, toxic, urls, warc
+from tripsearch.llm.sessions import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.deduplicate(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+    return suffix.deduplicate(_table(small_batches(spark), sf_dir, "documents")).drop("kept", "spans")
 
 
 def op4_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_classes(_table(spark, sf_dir, "documents"))
+    return jaccard.join_classes(_table(small_batches(spark), sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
