@@ -32,7 +32,8 @@ from tripsearch.ship import ship
 WINDOW = 50
 GRAM = 12
 CHUNK = 512 << 10
-#: Shards per task of the exchange.
+#: Bytes of text per task of the exchange, and shards per task.
+TEXT_PER_TASK = 6 << 20
 SHARDS = 2
 BASE = blocks.ROOT * 5 % 2**64 | 1
 
@@ -227,7 +228,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     if window < 2 * GRAM:
         raise ValueError(f"windows of at least {2 * GRAM} bytes")
     rows = windows.tagged(docs, key, text)
-    return rows, windows.removed_runs(rows, partial(pieces, window=window), CHUNK, partial(settle, window=window))
+    return rows, windows.removed_runs(rows, partial(pieces, window=window), CHUNK, partial(settle, window=window), TEXT_PER_TASK)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

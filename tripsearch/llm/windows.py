@@ -173,17 +173,19 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
     return packed.repartition(tasks, "target").mapInArrow(run, RUNS)
 
 
-def number_of_tasks(rows: DataFrame) -> int:
-    return max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // TEXT_PER_TASK))
+def number_of_tasks(rows: DataFrame, per_task: int = TEXT_PER_TASK) -> int:
+    return max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // per_task))
 
 
-def removed_runs(rows: DataFrame, kernel: Kernel, chunk: int, settle: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def removed_runs(
+    rows: DataFrame, kernel: Kernel, chunk: int, settle: Callable[[DataFrame, int], DataFrame], per_task: int = TEXT_PER_TASK
+) -> DataFrame:
     """doc_id, tag, runs (first, number): what ``settle`` and the exchange remove, by row.
 
     ``settle`` gets (doc_id, tag, text, runs with their anchors) of the open windows and returns doc_id, tag, first, number.
     """
     ship(rows.sparkSession)
-    tasks = number_of_tasks(rows)
+    tasks = number_of_tasks(rows, per_task)
     runs = durable(meet(emit(rows, kernel, tasks * FINE, chunk), tasks), "runs")
     opened = runs.filter("open").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "number", "anchor")).alias("runs"))
     ids = durable(runs.filter("open").select("doc_id").distinct(), "open-ids")
