@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import plain
-from tripsearch.operators import bounds, nearest, similarity
+from tripsearch.operators import bounds, enclosed, nearest, similarity
 from tripsearch.operators.ordered import ordered_bounds
-from tripsearch.plans import search, workload
+from tripsearch.plans import search, similar, workload
 from tripsearch.storage import durable
 
 DAYS = ["2024-01-01", "2024-01-02"]
@@ -168,6 +168,78 @@ def test_bounds_enclose_the_similarity(spark, world):
                 assert plain.similarity(path, query) <= unseen[qid] + 1e-9
 
 
+@pytest.mark.parametrize("lam,block", [(1, 512), (6, 3), (400, 64)])
+def test_bounds_enclose_the_ordered_measure(spark, world, lam, block):
+    """Both bounds, on queries in every order and trips that are reached only here and there."""
+    trips, _, points = world
+    rng = random.Random(lam)
+    batch = [(i, [(121 + rng.random() * 0.4, 31 + rng.random() * 0.4) for _ in range(1 + i % 4)], None, 2) for i in range(8)]
+    batch.append((8, [trips["HOT"][100], trips["HOT"][50], trips["HOT"][2]], None, 2))  # against the trip's order
+    asked = durable(table(spark, batch).withColumn("lam", F.lit(lam)))
+    found = durable(nearest.nearest_points(points, asked))
+    got = enclosed.enclosing_bounds(found, asked, block).collect()
+    assert {(r["qid"], r["trip_id"]) for r in got} == {(r["qid"], r["trip_id"]) for r in found.select("qid", "trip_id").distinct().collect()}
+    for r in got:
+        query = batch[r["qid"]][1]
+        value = ordered_by_rows(trips[r["trip_id"]], query)
+        assert r["lb"] - 1e-9 <= value <= r["ub"] + 1e-9
+        if lam == 400:  # all points of the trips but the long one's are reached
+            assert r["lb"] == pytest.approx(value, abs=1e-9) or r["trip_id"] == "HOT"
+
+
+def ordered_by_rows(trip, query):
+    best = [0.0] + [float("-inf")] * len(query)
+    for p in trip:
+        for j, q in enumerate(query, 1):
+            best[j] = max(best[j], best[j - 1] + plain.gain(p, q))
+    return best[-1]
+
+
+def test_published_upper_bound_can_fall_short(spark, make_points):
+    """The trip's nearest points lie against the query's order, and one that fits its order is not reached."""
+    trip = [(121.1, 31.0), (121.5, 31.0), (121.11, 31.0)]
+    points = durable(make_points({"T": trip, "U": [(123.0, 32.0)]}))
+    query = [(121.5, 31.0), (121.09, 31.0)]
+    asked = durable(table(spark, [(1, query, None, 1)]).withColumn("lam", F.lit(1)))
+    found = durable(nearest.nearest_points(points, asked))
+    value = ordered_by_rows(trip, query)
+    (published,) = ordered_bounds(found, asked).collect()
+    assert published["ub"] < value - 0.1
+    (r,) = enclosed.enclosing_bounds(found, asked).collect()
+    assert r["lb"] - 1e-9 <= value <= r["ub"] + 1e-9
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_exact_scores_of_pairs(spark, world, block):
+    trips, _, points = world
+    asked = durable(table(spark, BATCH[:3]))
+    pairs = durable(asked.select("qid").distinct().crossJoin(points.select("trip_id").distinct()))
+    got = {(r["qid"], r["trip_id"]): r["value"] for r in enclosed.exact_scores(points, pairs, asked, block).collect()}
+    want = {(qid, t): ordered_by_rows(p, q) for qid, q, _, _ in BATCH[:3] for t, p in trips.items()}
+    assert got == {key: pytest.approx(value, abs=1e-9) for key, value in want.items()}
+
+
+def test_best_ordered_batch(spark, world):
+    trips, day, points = world
+    got = [(r["qid"], r["rank"], r["trip_id"]) for r in similar.best_ordered_batch(points, table(spark, BATCH)).collect()]
+    want = []
+    for qid, query, d, k in BATCH:
+        scores = {t: ordered_by_rows(p, query) for t, p in trips.items() if d is None or day[t] == d}
+        want += [(qid, i + 1, t) for i, (t, _) in enumerate(plain.top(scores, k))]
+    assert sorted(got) == sorted(want)
+    assert similar.best_ordered_batch(points, table(spark, BATCH[4:])).count() == 0  # no trip that day
+
+
+def test_best_ordered_batch_walks_few_trips(spark, world, monkeypatch):
+    """Only trips whose upper bound reaches the k-th lower bound are walked whole."""
+    _, _, points = world
+    asked = []
+    whole = enclosed.exact_scores
+    monkeypatch.setattr(enclosed, "exact_scores", lambda p, pairs, q: (asked.append(pairs.count()), whole(p, pairs, q))[1])
+    similar.best_ordered_batch(points, table(spark, [(1, [(121.2, 31.2), (121.2, 31.2)], None, 1)])).collect()
+    assert asked[0] <= 10
+
+
 def test_next_budgets_share_out_the_growth(spark):
     state = spark.createDataFrame([(1, 0, 2, 2, 0), (1, 1, 2, 2, 0)], "qid int, qseq int, k int, lam int, prev int")
     looks = spark.createDataFrame([(1, 0, 0.5, 2), (1, 1, 0.5, 2)], "qid int, qseq int, r double, returned bigint")

@@ -174,6 +174,23 @@ scanned as (select qid, qseq, trip_id, min(d) as d from close group by all),
 radii as (select qid, qseq, max(d) as r, count(*) as returned from close group by all)"""
 
 
+def _chain(name: str, steps: str) -> str:
+    """``{name}``(qid, trip_id, best): best sum over non-decreasing choices of a step (by ``pos``) per query point."""
+    over = "(partition by qid, trip_id order by pos rows unbounded preceding)"
+    return f"""
+{name}_chain as (
+  select qid, trip_id, pos, qseq, max(gain) over {over} as best from {steps} where qseq = 0
+  union all
+  select qid, trip_id, pos, qseq, max(total) over {over}
+  from (select s.qid, s.trip_id, s.pos, s.qseq, s.gain + c.best as total
+        from {name}_chain c join {steps} s on s.qid = c.qid and s.trip_id = c.trip_id and s.pos = c.pos and s.qseq = c.qseq + 1)
+),
+{name} as (
+  select c.qid, c.trip_id, max(best) as best from {name}_chain c
+  join (select qid, max(qseq) as last from queries group by qid) z on z.qid = c.qid and z.last = c.qseq group by all
+)"""
+
+
 def _line(px, py, ax, ay, bx, by) -> str:
     return (
         f"case when {ax} = {bx} and {ay} = {by} then {_apart(px, py, ax, ay)} else "
@@ -510,6 +527,31 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             from lows l join radii r on r.qid = l.qid
             left join scanned s on s.qid = l.qid and s.qseq = r.qseq and s.trip_id = l.trip_id
             group by l.qid, l.trip_id, l.lb""",
+        "ordered_enclosed": f"""{asked},
+            reached as (select c.qid, c.trip_id, c.seq, c.lng, c.lat from close c group by all),
+            known as (
+              select f.qid, f.trip_id, 2 * f.seq + 1 as pos, q.qseq, exp(-{_apart('f.lng', 'f.lat', 'q.qlng', 'q.qlat')}) as gain
+              from reached f join queries q using (qid)
+            ),
+            places as (
+              select qid, trip_id, 2 * seq as pos from (
+                select *, lag(seq, 1, -1) over (partition by qid, trip_id order by seq) as before from reached)
+              where seq > before + 1
+              union all select qid, trip_id, 2 * max(seq) + 2 from reached group by all
+            ),
+            thought as (
+              select * from known
+              union all select p.qid, p.trip_id, p.pos, r.qseq, exp(-r.r) from places p join radii r on r.qid = p.qid
+            ),{_chain('lows', 'known')},{_chain('highs', 'thought')}
+            select l.qid, l.trip_id, round(l.best, 9) as lb, round(h.best, 9) as ub from lows l join highs h using (qid, trip_id)""",
+        "ordered_batch": f"""{day}, {rows},
+            steps as (
+              select q.qid, p.trip_id, p.seq as pos, q.qseq, exp(-{_D}) as gain from queries q join pts p on q.day is null or q.day = p.day
+            ),{_chain('scored', 'steps')},
+            best as (select qid, trip_id, round(best, 9) as value from scored)
+            select qid, rank, trip_id, value
+            from (select *, row_number() over (partition by qid order by value desc, trip_id) as rank from best)
+            join (select distinct qid, k from queries) using (qid) where rank <= k""",
         "lcss": f"{day}{_LCSS} select trip_id, round(value, 9) as value from lcss",
         "lcss_topk": f"""{day}{_LCSS} select trip_id, round(value, 9) as value from lcss order by 2, 1 limit 20""",
         "edwp": f"{edge_day}{_EDWP} select trip_id, round(value, 9) as value from edited",

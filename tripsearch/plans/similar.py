@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsearch.operators import edit, ordered, outline, similarity
+from tripsearch.operators import bounds, edit, enclosed, nearest, ordered, outline, similarity
 from tripsearch.plans import search
 from tripsearch.storage import durable
 
@@ -109,3 +111,37 @@ def best_connected_to_trip(
         ), "query-trip",
     )
     return search.best_connected_batch(points, query, counts=counts).orderBy("rank").select("trip_id", "sim")
+
+
+def best_ordered_batch(points: DataFrame, queries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, trip_id, value): exact k best trips by the ``ordered`` measure of a table of queries, each with its own day and k.
+
+    Nothing but the nearest points of the query points is looked at until the answer is enclosed: their trips have bounds on
+    both sides, and a trip that no query point has reached earns at most the sum of the tails. A query is through when its
+    k-th lower bound reaches that sum or when it has seen all points; the others look further. Only trips whose
+    upper bound reaches the k-th lower bound are walked whole.
+    """
+    queries = durable(queries, "queries")
+    if counts is None:
+        counts = durable(nearest.cell_counts(points), "cell-counts")
+    points = search.on_asked_days(points, queries)
+    batch = queries.select("qid", "k").distinct()
+    largest = batch.agg(F.max("k")).first()[0] or 0
+    asked = queries.withColumn("lam", (F.col("k") * SEED_FACTOR).cast("bigint"))
+    kept = []
+    while not asked.isEmpty():
+        found = durable(nearest.nearest_points(points, asked, counts), "near")
+        asked = asked.join(found.select("qid").distinct(), "qid", "left_semi")  # the others have no point to find
+        looks = bounds.look_radii(found).join(asked.select("qid", "qseq", "lam"), ["qid", "qseq"])
+        looks = looks.withColumn("all_seen", F.col("returned") < F.col("lam"))
+        limits = durable(enclosed.enclosing_bounds(found, asked), "enclosed")
+        settled = durable(bounds.settled_queries(looks, bounds.kth_lower_bound(limits, batch, largest)), "settled")
+        kept.append(bounds.refine_survivors(limits.join(settled.select("qid"), "qid", "left_semi"), settled))
+        further = asked.join(settled, "qid", "left_anti").withColumn("lam", F.col("lam") * SEED_FACTOR)
+        asked = durable(further, "asked")
+    if not kept:
+        return batch.where(F.lit(False)).select("qid", F.lit(0).alias("rank"), F.lit("").alias("trip_id"), F.lit(0.0).alias("value"))
+    survivors = durable(reduce(DataFrame.unionByName, kept), "survivors")
+    scored = enclosed.exact_scores(points, survivors, queries).join(batch, "qid")
+    ranked = similarity.rank_within(scored, ["qid"], "value", limit=largest)
+    return ranked.where(F.col("rank") <= F.col("k")).select("qid", "rank", "trip_id", "value")

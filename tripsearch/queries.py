@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripsearch.operators import bounds as B
-from tripsearch.operators import curve, features, nearest, ordered, outline, pages, similarity
+from tripsearch.operators import curve, enclosed, features, nearest, ordered, outline, pages, similarity
 from tripsearch.operators import trips as trip_ops
 from tripsearch.oracle import DAY_GAP, DELAYED, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import answers, ingest, search, similar, workload
@@ -440,6 +440,18 @@ def ordered_bounds(spark, sf_dir):
     return low_high.select("qid", "trip_id", F.round("lb", 9).alias("lb"), F.round("ub", 9).alias("ub"))
 
 
+def ordered_enclosed(spark, sf_dir):
+    """Bounds that always enclose the ordered measure of the trips reached."""
+    limits = enclosed.enclosing_bounds(_near(spark, sf_dir), _asked(spark, NEIGHBOURS))
+    return limits.select("qid", "trip_id", F.round("lb", 9).alias("lb"), F.round("ub", 9).alias("ub"))
+
+
+def ordered_batch(spark, sf_dir):
+    """The k best trips by the ordered measure of every query of the batch, found from the trips near its points."""
+    queries = _asked(spark).drop("lam", "prev")
+    return similar.best_ordered_batch(trip_points(spark, sf_dir), queries, density(spark, sf_dir))
+
+
 # --- workloads and streams ----------------------------------------------------------------------
 
 
@@ -517,7 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, range_indexed, knn_indexed, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,
-        ordered_bounds, query_sample, kbct_accuracy, answer_requests, stream_trip_summary, stream_numbering, stream_index,
+        ordered_bounds, ordered_enclosed, ordered_batch, query_sample, kbct_accuracy, answer_requests, stream_trip_summary, stream_numbering, stream_index,
     )
 } | {
     "sim_ordered": _measure("ordered"),
