@@ -28,6 +28,43 @@ def test_raw_log(spark, folder):
     assert [r["obd_id"] for r in clean_positions(log).collect()] == ["P1"]
 
 
+def test_raw_log_keeps_its_order_over_files_and_splits(spark, folder):
+    """Splits of a file are dealt to tasks by size, and small files share a task; numbers still ascend as the log does."""
+    os.makedirs(f"{folder}/two words")
+    want = []
+    for name, lines in (("a", 3000), ("b", 7), ("c d", 900), ("e", 0)):
+        with open(f"{folder}/two words/{name}.txt", "w") as f:
+            for i in range(lines):
+                want.append(f"{name}{i}")
+                f.write(f"1,x,{name}{i},121.40,31.20,0,0,0,2015-04-01 00:00:10\n" + "\n" * (i % 3))
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        log = positions.read_raw_log(spark, f"{folder}/two words")
+        rows = log.collect()
+        tasks = log.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+    assert tasks > 5
+    assert len({r["event_id"] for r in rows}) == len(want)
+    assert [r["obd_id"] for r in sorted(rows, key=lambda r: r["event_id"])] == want
+
+
+def test_rejected_lines(spark, folder):
+    with open(f"{folder}/log.txt", "w") as f:
+        f.write("1,x,P1,121.40,31.20,0,0,0,2015-04-01 00:00:10\n\n")
+        f.write("2,x,,bad,31.20,0,0,0,2015-04-01 00:00:20\n")
+        f.write("3,x,P2,bad,31.20,0,0,0,2015-04-01 00:00:20\n")
+        f.write("4,x,P2,NaN,39.90,0,0,0,2015-04-01 00:00:20\n")
+        f.write("5,x,P3\n")
+        f.write("6,x,P3,121.40,31.20,0,0,0,2015-04-01 25:00:20\n")
+    rows = sorted(positions.rejected_lines(spark, folder).collect(), key=lambda r: r["event_id"])
+    assert [(r["fields"][0], r["reason"]) for r in rows] == [
+        ("2", "user"), ("3", "coordinates"), ("4", "coordinates"), ("5", "coordinates"), ("6", "time")
+    ]
+    assert positions.read_raw_log(spark, folder).count() == 1
+
+
 def test_country_and_city_box_reach_the_scan(spark, folder):
     spark.createDataFrame(
         [("A", 1, "2015-04-01 00:00:00", 121.4, 31.2)], "obd_id string, event_id bigint, ts string, lng double, lat double"

@@ -424,6 +424,12 @@ def oracle_sql(batch, split_batch) -> dict[str, str]:
             count(distinct obd_id) as users from kept group by all""",
         "raw_csv_scan": f"""with {_GCJ} select obd_id, epoch(date_trunc('second', ts))::bigint as epoch, wlng as lng, wlat as lat
             from raw""",
+        "raw_log_rejects": f"""with {_GCJ},
+            judged as (
+              select event_id, case event_id % 25 when 0 then 'user' when 5 then 'coordinates' when 10 then 'coordinates'
+                when 15 then 'time' when 20 then 'time' end as reason from raw
+            )
+            select reason, count(*) as lines, min(event_id) as first_event, max(event_id) as last_event from judged group by reason""",
         "request_decode": f"""{day} select trip_id || '#' || (seq // 75) as req_id, seq % 75 as qseq, lng as qlng, lat as qlat
             from pts""",
         "trip_length_hist": f"""{day} select n, count(*) as trips from (select trip_id, count(*) as n from pts group by all) group by n""",

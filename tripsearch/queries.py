@@ -213,17 +213,32 @@ def point_index(spark, sf_dir):
     return tables.read_day(spark, path).groupBy("day", "cx", "cy").agg(F.count("*").alias("n"))
 
 
+def _write_raw_log(spark, sf_dir, path, spoil: bool = False) -> None:
+    """The derived log as headerless CSV; spoilt, every fifth event lacks a field or has an unreadable one."""
+    field = {"user": F.col("obd_id"), "lng": F.col("lng").cast("string"), "time": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    if spoil:
+        turn = F.col("event_id") % 25
+        field["user"] = F.when(turn != 0, field["user"])
+        field["lng"] = F.when(turn == 5, "12l.4").when(turn != 10, field["lng"])
+        field["time"] = F.when(turn == 15, F.concat(F.lit("at "), field["time"])).when(turn != 20, field["time"])
+    filler = F.lit("0")
+    positions.read_events_log(spark, sf_dir).select(
+        F.col("event_id"), filler, field["user"], field["lng"], F.col("lat"), filler, filler, filler, field["time"],
+    ).toDF(*[f"c{i}" for i in range(9)]).write.csv(path)
+
+
 def raw_csv_scan(spark, sf_dir):
-    def write(path):
-        filler = F.lit("0")
-        log = positions.read_events_log(spark, sf_dir)
-        log.select(
-            F.col("event_id"), filler, F.col("obd_id"), F.col("lng"), F.col("lat"), filler, filler, filler,
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-        ).toDF(*[f"c{i}" for i in range(9)]).write.csv(path)
+    path = _scratch(spark, sf_dir, "raw-log", lambda p: _write_raw_log(spark, sf_dir, p))
+    return positions.read_raw_log(spark, path).select("obd_id", F.unix_timestamp("ts").alias("epoch"), "lng", "lat")
 
-    scanned = positions.read_raw_log(spark, _scratch(spark, sf_dir, "raw-log", write))
-    return scanned.select("obd_id", F.unix_timestamp("ts").alias("epoch"), "lng", "lat")
+
+def raw_log_rejects(spark, sf_dir):
+    """Lines of a spoilt log by what is wrong with them (null: nothing), with the first and the last event."""
+    path = _scratch(spark, sf_dir, "spoilt-log", lambda p: _write_raw_log(spark, sf_dir, p, spoil=True))
+    event = F.get("fields", F.lit(0)).cast("bigint")
+    return positions.read_raw_lines(spark, path).groupBy("reason").agg(
+        F.count("*").alias("lines"), F.min(event).alias("first_event"), F.max(event).alias("last_event")
+    )
 
 
 def request_decode(spark, sf_dir):
@@ -525,7 +540,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gcj_clean, country_filter, trips, trips_short_gap, trip_catalog, trip_day, known_users, user_trips,
-        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, ingest_two_months, kbct_ingested, point_index, raw_csv_scan,
+        trip_fetch, trip_polylines, kept_by_month, simplified_by_day, ingest_two_cities, ingest_two_months, kbct_ingested, point_index, raw_csv_scan, raw_log_rejects,
         request_decode, path_length, headings, segment_weights, ts_simplify, ts_simplify_intended, dp_simplify, trip_length_hist,
         trip_similarity, kbct, kbct_batch, kbct_pruned, kbct_lambda, kbct_raw_points, kbct_split, kbct_by_trip, knn_points,
         range_join, range_indexed, knn_indexed, candidates, lower_bound, upper_bound, kth_lower_bound, ub_unscanned, lambda_budget,

@@ -8,28 +8,63 @@ from pyspark.sql import types as T
 
 from tripsearch.functions import geo
 from tripsearch.functions.folds import evaluate_once
+from tripsearch.storage import durable
 
 # Positions of the fields in a raw log line.
 RAW_FIELDS = {"obd_id": 2, "lng": 3, "lat": 4, "time": 8}
+# Bits of an ``event_id`` that hold the place in a file (16 TiB); the others hold the file's rank.
+FILE_BITS = 44
 
 
-def read_raw_log(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless CSV position log -> (obd_id, event_id, ts, lng, lat), WGS-84.
+def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a headerless CSV position log -> (obd_id, event_id, ts, lng, lat, fields, reason), WGS-84.
+
+    ``event_id`` ascends in the order of the log: by file name, then by place in the file. It is put together from the
+    file's rank, the byte at which the line's split starts and the line's number in its task. Every task reads at most as
+    many bytes as a split has, and a line has more than one, so these numbers never reach into the next split;
+    no line has to be moved or counted for it.
 
-    ``event_id`` is the order inside the log and only breaks ties of equal time. Lines
-    with unreadable coordinates or time are dropped.
+    ``reason`` is null for readable lines; else it names the first of ``user``, ``coordinates`` and ``time`` that is
+    missing or cannot be read. Blank lines are no lines.
     """
     width = max(RAW_FIELDS.values()) + 1
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.schema(schema).csv(path, header=False, mode="PERMISSIVE")
+    # files as rows, none of them opened
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    ranks = durable(listed.withColumn("rank", F.row_number().over(Window.orderBy("file")).cast("bigint") - 1), "log-files")
+    if ranks.count() > 1 << 63 - FILE_BITS:
+        raise ValueError("too many files for one log: read it in parts")
     field = {name: F.col(f"c{i}") for name, i in RAW_FIELDS.items()}
-    return raw.select(
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = raw.select(
         field["obd_id"].alias("obd_id"),
-        F.monotonically_increasing_id().alias("event_id"),
+        (F.col("_metadata.file_block_start") + in_task).alias("place"),
+        F.col("_metadata.file_path").alias("file"),
         geo.parse_time(field["time"]).alias("ts"),
         field["lng"].try_cast("double").alias("lng"),
         field["lat"].try_cast("double").alias("lat"),
-    ).dropna()
+        F.array(*schema.names).alias("fields"),
+    )
+    unreadable = lambda name: F.col(name).isNull() | F.isnan(name)
+    reason = (
+        F.when(F.col("obd_id").isNull(), "user")
+        .when(unreadable("lng") | unreadable("lat"), "coordinates")
+        .when(F.col("ts").isNull(), "time")
+    )
+    return lines.join(ranks, "file").select(
+        "obd_id", (F.shiftleft("rank", FILE_BITS) + F.col("place")).alias("event_id"), "ts", "lng", "lat", "fields", reason.alias("reason")
+    )
+
+
+def read_raw_log(spark: SparkSession, path: str) -> DataFrame:
+    """The readable lines of a position log -> (obd_id, event_id, ts, lng, lat). ``event_id`` breaks ties of equal time."""
+    return read_raw_lines(spark, path).where(F.col("reason").isNull()).select("obd_id", "event_id", "ts", "lng", "lat")
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The other lines -> (event_id, reason, fields), to be kept beside the log or counted by reason."""
+    return read_raw_lines(spark, path).where(F.col("reason").isNotNull()).select("event_id", "reason", "fields")
 
 
 def read_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
