@@ -1,7 +1,7 @@
 import pytest
 
 from tests import plain
-from tripsearch.operators import edit, ordered
+from tripsearch.operators import edit, ordered, tripcells
 from tripsearch.operators.edit import edit_distances
 from tripsearch.plans import similar
 
@@ -128,3 +128,29 @@ def test_the_plan_does_not_grow_with_the_query(make_points):
         for m in (3, 300)
     ]
     assert abs(len(plans[0]) - len(plans[1])) < 20
+
+
+@pytest.mark.parametrize("measure", ["ordered", "lcss"])
+@pytest.mark.parametrize("width", [0.02, 0.5])
+def test_cells_bound_the_measures_and_answers_stay(make_points, measure, width):
+    trips = plain.random_trips(25, 9, seed=12) | {"far": [(125.0, 35.0)] * 3, "one": [QUERY[0]]}
+    points = make_points(trips)
+    cells = tripcells.trip_cells(points, width)
+    assert {r["trip_id"]: r["n"] for r in cells.groupBy("trip_id").agg({"n": "sum"}).toDF("trip_id", "n").collect()} == {t: len(p) for t, p in trips.items()}
+    best = {r["trip_id"]: r["value"] for r in tripcells.best_possible(cells, QUERY, measure).collect()}
+    scores = {t: PLAIN[measure](p, QUERY) for t, p in trips.items()}
+    assert best.keys() == scores.keys()
+    for t, value in scores.items():
+        assert best[t] >= value - 1e-9 if measure == "ordered" else best[t] <= value + 1e-9
+    got = [(r["trip_id"], r["value"]) for r in similar.top_by_measure(points, QUERY, 3, measure, cells).collect()]
+    assert got == [(t, pytest.approx(v)) for t, v in plain.top(scores, 3, measure == "ordered")]
+
+
+def test_only_trips_that_can_win_are_walked(make_points, monkeypatch):
+    near = {f"n{i:02}": [(121.1 + i * 1e-4, 31.1), (121.3, 31.3), (121.2, 31.05), (121.35, 31.2)] for i in range(12)}
+    points = make_points(near | {f"f{i:03}": [(124.0, 33.0 + i * 1e-3)] for i in range(200)})
+    asked = []
+    whole = similar.scores
+    monkeypatch.setattr(similar, "scores", lambda p, *rest: (asked.append(p.select("trip_id").distinct().count()), whole(p, *rest))[1])
+    got = similar.top_by_measure(points, QUERY, 2, "ordered", tripcells.trip_cells(points)).collect()
+    assert [r["trip_id"] for r in got] == ["n00", "n01"] and sum(asked) <= len(near)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsearch.operators import bounds, edit, enclosed, nearest, ordered, outline, similarity
+from tripsearch.operators import bounds, edit, enclosed, nearest, ordered, outline, similarity, tripcells
 from tripsearch.plans import search
 from tripsearch.storage import durable
 
@@ -66,34 +66,38 @@ def top_by_trip(points: DataFrame, trip_id: str, k: int, measure: str = "ordered
 
 
 def top_by_measure(
-    points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered"
+    points: DataFrame, query: list[tuple[float, float]], k: int, measure: str = "ordered", cells: DataFrame | None = None
 ) -> DataFrame:
     """The k best trips by a measure: nearest first for distances, most similar first otherwise.
 
     For ``ordered`` and ``lcss`` the array walk is kept to trips that can still make it: the
     k-th score among the most promising trips rules out every trip whose best possible score
-    is worse. Ties stay in, so the answer is exact.
+    is worse. Ties stay in, so the answer is exact. With ``cells``, the index of ``tripcells``, best possible scores are
+    read from the index, and points are read of the walked trips only.
     """
     largest = measure not in DISTANCES
     if measure == "edwp" and query:
         return edit.nearest_by_edit(points, query, k)
     if measure not in ("ordered", "lcss") or not query or len(query) > search.WIDE_POINTS:
         return similarity.top_trips(scores(points, query, measure), k, "value", largest)
-    hopes = durable(best_possible(points, query, measure), "best-possible")
+    hopes = best_possible(points, query, measure) if cells is None else tripcells.best_possible(cells, query, measure)
+    hopes = durable(hopes, "best-possible")
     last = hopes.agg(F.max("last")).first()[0]
-    first = similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest)
+    first = durable(similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest).select("trip_id"), "most-promising")
 
     def walked(trips: DataFrame) -> DataFrame:
         return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure, last)
 
-    floor = similarity.top_trips(walked(first), k, "value", largest).agg(
+    seeds = durable(walked(first), "seed-scores")
+    floor = similarity.top_trips(seeds, k, "value", largest).agg(
         F.count("*").alias("n"), (F.min("value") if largest else F.max("value")).alias("value")
     ).first()
     if floor["n"] == k:
         slack = 1e-8
         keep = F.col("value") >= floor["value"] - slack if largest else F.col("value") <= floor["value"] + slack
         hopes = hopes.where(keep)
-    return similarity.top_trips(walked(hopes), k, "value", largest)
+    rest = hopes.join(first, "trip_id", "left_anti")
+    return similarity.top_trips(seeds.unionByName(walked(rest)), k, "value", largest)
 
 
 def best_connected_to_trip(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripsearch.operators import bounds as B
-from tripsearch.operators import curve, enclosed, features, nearest, ordered, outline, pages, similarity
+from tripsearch.operators import curve, enclosed, features, nearest, ordered, outline, pages, similarity, tripcells
 from tripsearch.operators import trips as trip_ops
 from tripsearch.oracle import DAY_GAP, DELAYED, MONTH_SHIFT, THREE_POINTS, TWO_DAY_GAP
 from tripsearch.plans import answers, ingest, search, similar, workload
@@ -430,11 +430,15 @@ def _measure(measure: str):
     return query
 
 
+def trip_cells(spark, sf_dir) -> DataFrame:
+    """Cells of every trip, kept beside the points."""
+    return _once(spark, ("trip-cells", sf_dir), lambda: durable(tripcells.trip_cells(trip_points(spark, sf_dir)), "trip-cells"))
+
+
 def _top(measure: str):
     def query(spark, sf_dir):
-        return similar.top_by_measure(
-            trip_points(spark, sf_dir), THREE_POINTS, 20, measure
-        )
+        cells = None if measure == "edwp" else trip_cells(spark, sf_dir)
+        return similar.top_by_measure(trip_points(spark, sf_dir), THREE_POINTS, 20, measure, cells)
 
     return query
 
