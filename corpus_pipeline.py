@@ -22,8 +22,8 @@ from tripsearch.llm import decontam, jaccard, kneser, raking, suffix
 from tripsearch.llm.byids import semi
 from tripsearch.storage import durable
 
-#: Bytes of the shortest passage that stage 3 cuts out.
-PASSAGE = 150
+#: Bytes of the shortest passage that stage 3 cuts out: any passage of over 50 words has as many.
+PASSAGE = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -83,7 +83,7 @@ def top_by_measure(
     hopes = best_possible(points, query, measure) if cells is None else tripcells.best_possible(cells, query, measure)
     hopes = durable(hopes, "best-possible")
     last = hopes.agg(F.max("last")).first()[0]
-    first = durable(similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest).select("trip_id"), "most-promising")
+    first = similarity.top_trips(hopes, SEED_FACTOR * k, "value", largest).select("trip_id")
 
     def walked(trips: DataFrame) -> DataFrame:
         return scores(points.join(trips.select("trip_id"), "trip_id", "left_semi"), query, measure, last)
