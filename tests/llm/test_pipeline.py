@@ -59,6 +59,26 @@ def test_stages_take_odd_rows_and_none(spark, odd_rows, no_docs):
     assert left.filter("doc_id is null").count() <= 1  # the last stage samples
 
 
+def test_repeated_passages_against_plain(spark):
+    """Stage 3 on whole texts: every byte under a passage that a smaller id holds too goes, whatever it overlaps."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in pipeline.repeated_passages(spark, docs, SF_DIR).collect()}
+    size, least, want = pipeline.PASSAGE, {}, {}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
+    for doc, text in rows:
+        raw = text.encode()
+        for a in range(len(raw) - size + 1):
+            least.setdefault(raw[a : a + size], doc)
+    for doc, text in rows:
+        raw, gone = text.encode(), set()
+        for a in range(len(raw) - size + 1):
+            if least[raw[a : a + size]] < doc:
+                gone.update(range(a, a + size))
+        want[doc] = bytes(b for i, b in enumerate(raw) if i not in gone).decode("utf-8", "ignore")
+    assert {d: t or "" for d, t in got.items()} == want
+    assert any(want[d] != t for d, t in rows)
+
+
 def test_native_plans(spark):
     for name in ("op1_mixing", "op9_decontamination"):
         plan = queries.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
