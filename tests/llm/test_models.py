@@ -162,6 +162,43 @@ def test_toxicity_with_one_kind_of_label(labelled):
     assert all(r.score < 1e-9 for r in toxic.toxicity(docs, labels.filter("toxic = 0")).collect())
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All toxic documents are over 200 kB; their word is in their last piece."""
+    long = "the an er " * 20_500
+    rows = [(i, f"{long} moronic") for i in range(40)] + [(100 + i, "the an er " * (1 + i % 9)) for i in range(200)]
+    rows += [(300 + i, long) for i in range(10)]
+    rows += [(400, "an er moronic"), (401, "an er"), (402, long), (403, f"{long} moronic {long}")]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i < 400], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxic.toxicity(make_docs(spark, rows), labels).filter("doc_id >= 400").collect()}
+    assert min(got[400], got[403]) > 0.5 > max(got[401], got[402])
+
+
+def test_toxicity_learns_from_every_row_in_any_layout(spark, labelled, monkeypatch):
+    """More rows than the 4000 clean ones that a sample once held; several shards; the same network however rows lie."""
+    rng = random.Random(9)
+    rows = [(i, f"w{rng.randrange(50)} clean{i}") for i in range(4500)] + [(5000 + i, "moronic") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i, _ in rows], "doc_id long, toxic int")
+    seen, count = toxic.count_words(toxic.encode(make_docs(spark, rows), labels))
+    assert count.tolist() == [4500, 40]
+    assert seen[1].sum() == 2 * 40  # the word and the padding
+    monkeypatch.setattr(toxic, "SHARD_WORDS", 2000)
+    docs, labels = labelled
+    one, _, every = toxic.fit(docs, labels)
+    other, _, same = toxic.fit(docs.repartition(7, "text"), labels)
+    assert (one.state() == other.state()).all() and (one.slope, one.shift, every) == (other.slope, other.shift, same)
+
+
+def test_peaks_of_pieces(monkeypatch):
+    network = toxic.Network()
+    flat = np.concatenate([np.random.default_rng(1).integers(1, toxic.BUCKETS, 500), np.zeros(2 * toxic.PAD, int)]).astype(np.int32)
+    offsets = np.array([0, 500 + toxic.PAD])
+    whole = network.peaks(flat, offsets)
+    for piece in (1, 7, 500, 502):
+        monkeypatch.setattr(toxic, "PIECE", piece)
+        top, place = network.peaks(flat, offsets)
+        assert np.allclose(top, whole[0]) and (place == whole[1]).all()
+
+
 def test_windows_stay_in_their_document():
     network = toxic.Network()
     table = network.tables()
