@@ -1,5 +1,6 @@
 """Jaccard join, both substring operators and decontamination against plain versions."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import plain
-from tests.llm.conftest import make_docs
+from tests.llm.conftest import make_docs, sentence
 from tripsearch.llm import decontam, induce, jaccard, links, recompress, suffix
 
 
@@ -32,6 +33,32 @@ def test_random_small_sets_lose_no_link(spark):
     assert got == want
 
 
+def test_only_sets_that_can_link_get_signatures(spark, monkeypatch):
+    """A family whose members share a part of 60 to 70 % and no more: no links, so no rows and no pairs; blocks of any size agree."""
+    rng = random.Random(11)
+    base = sentence(rng, 300, 10**6).split(" ")
+    rows = []
+    for i in range(40):
+        cut = 190 + rng.randrange(20)
+        rows.append((i, " ".join(base[:cut] + sentence(rng, 300 - cut, 10**6).split(" "))))
+    rows += [(100 + i, " ".join(base[: 300 - 5 * i])) for i in range(6)]  # links: one ends before the other
+    rows += [(200 + i, sentence(rng, 80, 10**6)) for i in range(20)] + [(200, rows[-1][1]), (None, rows[0][1]), (300, None)]
+    docs = make_docs(spark, rows)
+    sets = [(i, {tuple(t.split(" ")[j : j + 5]) for j in range(len(t.split(" ")) - 4)}) for i, t in rows if i is not None and t]
+    uses = Counter(x for _, s in sets for x in s)
+    want = Counter((i, len(s)) for i, s in sets if 100 * sum(uses[x] > 1 for x in s) >= 75 * len(s))
+    assert 0 < sum(want.values()) < 20
+    for block in (1, 700, 10**6):
+        monkeypatch.setattr(jaccard, "PER_BLOCK", block)
+        got = jaccard.linkable(docs, 3, 75, "doc_id", "text").collect()
+        assert Counter((r.doc_id, r.n_shingles) for r in got) == want
+    asked = []
+    monkeypatch.setattr(jaccard, "emit", lambda d, *a, real=jaccard.emit: asked.append(d) or real(d, *a))
+    found = {r.doc_id: r.component_id for r in jaccard.join_classes(docs).collect()}
+    assert {found[100 + i] for i in range(6)} == {100} and all(found[i] == i for i in range(40))
+    assert asked and asked[0].filter("doc_id < 40").count() == 0
+
+
 def test_repeated_id_stands_for_a_class_of_its_own(spark):
     """An id that is a copy by one text and the smallest of its class by another keeps the links of both."""
     words = [f"b{i}" for i in range(100)]

@@ -7,6 +7,10 @@ H = floor(2 n / 7) tokens, n the larger size, so of any H + 1 segments of the la
 whole. A segment whose one-deletion neighbourhood is indexed too counts twice, as it still agrees
 when one token differs.
 
+Before that, sets that cannot link go: a link's shared tokens are at least 75 % of the larger set, and no
+more than the tokens that some other set holds too. Blocks send each token once to the task that counts it and learn which
+are theirs alone. Sets with over a quarter of such tokens, in most corpora nearly all, get no signatures.
+
 Allocation by cost: a set indexes, of its segments, those with the most tokens that are rare
 around it; if these are too few it adds the one-deletion neighbourhoods of the band's designated
 segments, and only then segments of common tokens alone. Sets that cannot cover H + 1 make the
@@ -57,6 +61,8 @@ PER_BLOCK = 300_000
 #: Bands of up to so many segments have the one-deletion neighbourhoods of all of them.
 SMALL = 40
 FINE = 5  # targets per task: evens out how rows are dealt
+#: Instead of a row: several rows of the block hold the token.
+SEVERAL = 0xFFFFFFFF
 
 
 def set_block(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,6 +109,126 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, byte by byte: the upper bytes are alike and compress to nothing."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return wide.view("<u8").ravel()
+
+
+def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> DataFrame:
+    """doc_id, n_shingles of the rows that may link: other rows hold ``least`` percent of their tokens or more.
+
+    ``docs`` holds a row of every distinct set; further copies only make it keep more. Tokens are
+    compared by 40 bits and their task, so hashes that meet keep more too.
+    """
+    targets = tasks * FINE
+    parts_schema = "target int, tokens binary, block long, rows binary, ids binary, sizes binary, parts int"
+    names = [x.split()[0] for x in parts_schema.split(", ")]
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], number: int) -> pa.RecordBatch:
+        ids, tokens, sizes = (np.concatenate(x) for x in zip(*held))
+        value = blocks.mix(tokens ^ np.uint64(0xB10C))
+        order = np.argsort(value, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+        alone = np.diff(np.append(starts, len(order))) == 1
+        row = np.where(alone, np.repeat(np.arange(len(ids)), sizes)[order[starts]], SEVERAL)
+        value = value[order[starts]]
+        target = ((value >> np.uint64(40)) % np.uint64(targets)).astype(np.int64)
+        order = np.lexsort((row, target))
+        target, row, value = target[order], row[order], value[order]
+        cuts = np.flatnonzero(np.diff(target, prepend=-1))
+        ends = np.append(cuts[1:], len(target))
+        # a retried task that met other rows gives its block another name
+        place = np.array([TaskContext.get().partitionId() + 1, number + 1], np.uint64)
+        name = blocks.mix(blocks.mix(place * np.uint64(blocks.ROOT)).cumsum()[-1:] + value.sum() + blocks.mix(ids.view(np.uint64)).sum()).view(np.int64)[0]
+        first = lambda x: [x] + [None] * (len(cuts) - 1)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(target[cuts].astype(np.int32)),
+                pa.array([planes(value[a:b], 5) for a, b in zip(cuts, ends)], pa.binary()),
+                pa.array(np.full(len(cuts), name)),
+                # rows ascend: steps compress
+                pa.array([planes(np.diff(row[a:b], prepend=0), 4) for a, b in zip(cuts, ends)], pa.binary()),
+                pa.array(first(planes(ids.view(np.uint64), 8)), pa.binary()),
+                pa.array(first(planes(sizes, 4)), pa.binary()),
+                pa.array(first(len(cuts)), pa.int32()),
+            ],
+            names,
+        )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, last, tokens, offsets in set_block(batch.column(1)):
+                held.append((ids[first:last], tokens, np.diff(offsets)))
+                size += len(tokens)
+                if size >= PER_BLOCK:
+                    yield pack(held, number)
+                    held, size, number = [], 0, number + 1
+        if size:
+            yield pack(held, number)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For every block, the rows of its tokens that no other block holds."""
+        tokens, rows, heads = [], [], []
+        for batch in batches:
+            for target, raw, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3)):
+                tokens.append(from_planes(raw.as_py(), 5) | np.uint64(target << 40))
+                rows.append(np.cumsum(from_planes(row.as_py(), 4)).astype(np.uint32))
+            heads.append(batch.select([2, 4, 5, 6]))
+        if not tokens:
+            return
+        part = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        tokens, rows = np.concatenate(tokens), np.concatenate(rows)
+        order = np.argsort(tokens)
+        ordered = tokens[order]
+        other = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+        lone = np.sort(order[other[1:] & other[:-1]])  # parts and rows ascend as they came
+        lone = lone[rows[lone] != SEVERAL]
+        at = np.searchsorted(part[lone], np.arange(part[-1] + 2))
+        found = pa.array([planes(np.diff(rows[lone[a:b]].astype(np.int64), prepend=0), 4) for a, b in zip(at[:-1], at[1:])], pa.binary())
+        del tokens, ordered, order, other
+        done = 0
+        for head in heads:
+            yield pa.RecordBatch.from_arrays([head.column(0), found.slice(done, head.num_rows), *[head.column(i) for i in (1, 2, 3)]], names[2:])
+            done += head.num_rows
+        blocks.give_back()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lone, parts, heads = {}, {}, {}
+        for batch in batches:
+            for name, rows, ids, sizes, n in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3, 4)]):
+                count = np.bincount(np.cumsum(from_planes(rows.as_py(), 4)).astype(np.int64))
+                before = lone.get(name, count[:0])
+                short, long = sorted((count, before), key=len)
+                lone[name] = long = long.copy()
+                long[: len(short)] += short
+                parts[name] = parts.get(name, 0) + 1
+                if n.is_valid:
+                    heads[name] = from_planes(ids.as_py(), 8).view(np.int64), from_planes(sizes.as_py(), 4).astype(np.int64), n.as_py()
+        for name, count in lone.items():
+            if name not in heads or heads[name][2] != parts[name]:
+                raise RuntimeError("a repeated task met its rows in another order; run the join again")
+            ids, sizes, _ = heads[name]
+            shared = sizes.copy()
+            shared[: len(count)] -= count
+            keep = (sizes > 0) & (100 * shared >= least * sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(sizes[keep])], ["doc_id", "n_shingles"])
+        blocks.give_back()
+
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).filter("doc_id is not null")
+    dealt = rows.mapInArrow(deal, parts_schema).repartition(tasks, "target")
+    answers = dealt.mapInArrow(answer, parts_schema.split("binary, ", 1)[1])
+    return answers.repartition(tasks, "block").mapInArrow(decide, "doc_id long, n_shingles long")
+
+
 class Segmented:
     """The signatures of a block of sets in their own band (``step`` 0) or the next (1)."""
 
@@ -326,6 +452,10 @@ def groups(packed: DataFrame, tasks: int) -> DataFrame:
     return packed.repartition(tasks, "target").mapInArrow(gather, "g long, doc_id long, least int, times long")
 
 
+def tasks_for(tokens: int | None) -> int:
+    return max(1, -(-(tokens or 0) // PER_TASK))
+
+
 def token_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, tokens (packed) of the chosen ids."""
 
@@ -372,23 +502,28 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     sets = durable(describe(docs, key, text), "sets")
     totals = sets.agg(F.sum("n_shingles").alias("tokens"), F.max("n_shingles").alias("largest")).first()
     ends = bands(totals["largest"] or 1)
-    tasks = max(1, -(-(totals["tokens"] or 0) // PER_TASK))
     classes = durable(
         sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes",
     )
-    fineness = 1
-    while True:
-        shared = durable(groups(emit(docs, ends, fineness, tasks * FINE, key, text), tasks), "groups")
-        if not shared.filter("g is null").limit(1).count():
-            break
-        fineness *= 2
     # copies: every id under its class's smallest id, so that groups are groups of classes
     member = sets.filter("n_shingles > 0 and doc_id is not null").join(classes.filter("copies > 1"), ["n_shingles", "f1", "f2"])
     copies = durable(member.select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
     # an id that repeats may stand for a class of its own beside: its signatures count for that node too
     own = copies.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     nodes = durable(copies.unionByName(own.select("doc_id", F.col("doc_id").alias("rep"))), "nodes")
+    # one row of each class is enough to index, unless its id repeats
+    spare = durable(copies.select("doc_id").distinct().join(own, "doc_id", "left_anti"), "spare")
+    single = semi(docs.withColumn("doc_id", F.col(key).cast("long")), spare, "doc_id", "left_anti")
+    alive = durable(linkable(single, tasks_for(totals["tokens"]), least, "doc_id", text), "linkable")
+    tasks = tasks_for(alive.agg(F.sum("n_shingles").alias("n")).first()["n"])
+    some = semi(single, durable(alive.select("doc_id").distinct(), "linkable-ids"), "doc_id")
+    fineness = 1
+    while True:
+        shared = durable(groups(emit(some, ends, fineness, tasks * FINE, "doc_id", text), tasks), "groups")
+        if not shared.filter("g is null").limit(1).count():
+            break
+        fineness *= 2
     sizes = classes.select(F.col("rep").alias("of_rep"), F.col("n_shingles").alias("n")).groupBy("of_rep").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"))
     # of a class, the members of a group count once; any of its documents' bounds holds
     rows = durable(
