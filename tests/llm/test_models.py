@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import make_docs
-from tripsearch.llm import kneser, raking, toxic
+from tripsearch.llm import kneser, raking, toxic, wordgrams
 
 
 def syllables(rng, n):
@@ -199,6 +199,20 @@ def test_peaks_of_pieces(monkeypatch):
         assert np.allclose(top, whole[0]) and (place == whole[1]).all()
 
 
+def test_trigrams_travel_as_three_tokens(spark):
+    """Keys made after the counts are those that texts are scored by."""
+    texts = ["a b a b", "", "z", "a b!"]
+    counted = wordgrams.count_trigrams(make_docs(spark, list(enumerate(texts))))
+    assert counted.columns == ["k0", "c2", "k1", "n"]
+    got = Counter({(r.k3, r.c3, r.k2, r.c2, r.k1): r.n for r in wordgrams.with_keys(counted).collect()})
+    want = Counter()
+    for t in texts:
+        _, _, one, two, three, foretold = wordgrams.positions(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        one, two, three = (x.view(np.int64).tolist() for x in (one, two, three))
+        want.update((three[i], two[i - 1], two[i], one[i - 1], one[i]) for i in np.flatnonzero(foretold))
+    assert got == want
+
+
 def test_windows_stay_in_their_document():
     network = toxic.Network()
     table = network.tables()

@@ -147,7 +147,7 @@ def perplexities(docs: DataFrame, learnt: DataFrame, key: str = "doc_id", text:
     """doc_id, lang, n_bytes, perplexity by byte (null without bytes), by the model of ``learnt`` (its column ``text``)."""
     ship(docs.sparkSession)
     spell = speller(log_model(durable(count_grams(learnt), "gram-counts")))
-    grams, log_spare = wordgrams.model(wordgrams.count_trigrams(learnt, spell), discounts)
+    grams, log_spare = wordgrams.model(wordgrams.count_trigrams(learnt), wordgrams.spellings(learnt, spell), discounts)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     return wordgrams.perplexities(rows, grams, log_spare, spell)
 

@@ -55,6 +55,19 @@ def token_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(start), n)
 
 
+def single_keys(tokens: np.ndarray) -> np.ndarray:
+    return blocks.mix(tokens * np.uint64(blocks.ROOT) + np.uint64(1))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return blocks.mix(first * np.uint64(blocks.ROOT * 3 % 2**64) + second + np.uint64(2))
+
+
+def triple_keys(front: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """By the keys of its first two and its last two tokens."""
+    return blocks.mix(front * np.uint64(blocks.ROOT * 5 % 2**64) + back + np.uint64(3))
+
+
 def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all places of texts that are not empty, the second of the beginning first: row, its token (-1 without), the keys of
     the grams of one, two and three tokens that end there, and whether a token is foretold there."""
@@ -68,10 +81,10 @@ def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     place = np.repeat(first[:-1] + 2 - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(len(words))
     seq[place], token[place] = words, np.arange(len(words))
     seq[first[1:] - 1] = END
-    one = blocks.mix(seq * np.uint64(blocks.ROOT) + np.uint64(1))
+    one = single_keys(seq)
     two, three = one.copy(), one.copy()
-    two[1:] = blocks.mix(one[:-1] * np.uint64(blocks.ROOT * 3 % 2**64) + one[1:] + np.uint64(2))
-    three[1:] = blocks.mix(two[:-1] * np.uint64(blocks.ROOT * 5 % 2**64) + two[1:] + np.uint64(3))
+    two[1:] = pair_keys(one[:-1], one[1:])
+    three[1:] = triple_keys(two[:-1], two[1:])
     row = np.repeat(rows, count + 3)
     foretold = np.ones(len(seq), bool)
     foretold[first[:-1]] = foretold[first[:-1] + 1] = False
@@ -87,31 +100,61 @@ def spelt(data: np.ndarray, offsets: np.ndarray, token: np.ndarray, spelling: Sp
     return values[token]
 
 
-def count_trigrams(docs: DataFrame, spelling: Spelling) -> DataFrame:
-    """k3, c3 (its first two), k2 (its last two), c2, k1 (the second, the last token), spelling, n over every text."""
+def count_trigrams(docs: DataFrame) -> DataFrame:
+    """k0, c2, k1 (the keys of its tokens), n of every gram of three tokens over every text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = single_keys(np.array([BEGIN]))[0]
         for batch in batches:
             for _, _, data, offsets in blocks.chunks(batch.column(0), 4 << 20):
-                _, token, one, two, three, foretold = positions(data, offsets)
+                _, _, one, _, three, foretold = positions(data, offsets)
                 seen = np.flatnonzero(foretold)
-                keys, first, n = np.unique(three[seen], return_index=True, return_counts=True)
+                _, first, n = np.unique(three[seen], return_index=True, return_counts=True)
                 at = seen[first]
-                signed = [pa.array(x.view(np.int64)) for x in (keys, two[at - 1], two[at], one[at - 1], one[at])]
-                yield pa.RecordBatch.from_arrays([*signed, pa.array(spelt(data, offsets, token[at], spelling)), pa.array(n)], names)
+                # of a text's first gram, the first token is the beginning that positions leave out
+                keys = np.where(foretold[at - 1], one[at - 2], begin), one[at - 1], one[at]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in keys], pa.array(n)], ["k0", "c2", "k1", "n"])
+
+    found = docs.select("text").mapInArrow(count, "k0 long, c2 long, k1 long, n long")
+    return found.groupBy("k0", "c2", "k1").agg(F.sum("n").alias("n"))
+
+
+def spellings(docs: DataFrame, spelling: Spelling) -> DataFrame:
+    """k1, spelling of every token."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks.chunks(batch.column(0), 4 << 20):
+                _, token, one, *_, foretold = positions(data, offsets)
+                seen = np.flatnonzero(foretold)
+                keys, first = np.unique(one[seen], return_index=True)
+                values = spelt(data, offsets, token[seen[first]], spelling)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values)], ["k1", "spelling"])
+
+    found = docs.select("text").mapInArrow(spell, "k1 long, spelling double")
+    return found.groupBy("k1").agg(F.first("spelling").alias("spelling"))
+
+
+def with_keys(trigrams: DataFrame) -> DataFrame:
+    """k3, c3 (its first two), k2 (its last two), c2, k1 (the second, the last token), n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, c = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            front, back = pair_keys(a, b), pair_keys(b, c)
+            keys = [pa.array(x.view(np.int64)) for x in (triple_keys(front, back), front, back)]
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(1), batch.column(2), batch.column(3)], ["k3", "c3", "k2", "c2", "k1", "n"])
 
-    names = ["k3", "c3", "k2", "c2", "k1", "spelling", "n"]
-    found = docs.select("text").mapInArrow(count, "k3 long, c3 long, k2 long, c2 long, k1 long, spelling double, n long")
-    return found.groupBy("k3").agg(*[F.first(x).alias(x) for x in names[1:-1]], F.sum("n").alias("n"))
+    return trigrams.select("k0", "c2", "k1", "n").mapInArrow(run, "k3 long, c3 long, k2 long, c2 long, k1 long, n long")
 
 
-def model(trigrams: DataFrame, discounts: Callable[[DataFrame], list[float]]) -> tuple[DataFrame, float]:
+def model(trigrams: DataFrame, spelt_tokens: DataFrame, discounts: Callable[[DataFrame], list[float]]) -> tuple[DataFrame, float]:
     """(key, value) of every gram and context, and the log spare of the order without context."""
-    three = durable(trigrams, "grams-3")
+    three = with_keys(durable(trigrams, "grams-3"))  # only the tokens travel and are kept
     first = lambda *names: [F.first(x).alias(x) for x in names]
     # lower orders count the tokens seen before a gram, not its uses
-    two = durable(three.groupBy("k2").agg(*first("c2", "k1", "spelling"), F.count("*").alias("n")), "grams-2")
-    one = durable(two.groupBy("k1").agg(*first("spelling"), F.count("*").alias("n")), "grams-1")
+    two = durable(three.groupBy("k2").agg(*first("c2", "k1"), F.count("*").alias("n")), "grams-2")
+    one = durable(two.groupBy("k1").agg(F.count("*").alias("n")).join(spelt_tokens, "k1"), "grams-1")
 
     def cut(counts: DataFrame) -> DataFrame:
         d1, d2, d3 = discounts(counts)
