@@ -59,6 +59,40 @@ def test_only_sets_that_can_link_get_signatures(spark, monkeypatch):
     assert asked and asked[0].filter("doc_id < 40").count() == 0
 
 
+def test_sketches_never_hide_a_common_token():
+    rng = np.random.default_rng(4)
+    for sizes in ([3, 5, 1], [140, 150, 160], [4000, 5000, 4500]):
+        sets = [rng.choice(int(1.5 * max(sizes)), n, replace=False) for n in sizes]
+        place = rng.integers(0, jaccard.CELLS, int(1.5 * max(sizes)))
+        held = np.bincount(np.concatenate(sets))
+        codes = [i * jaccard.CELLS + place[x] for i, x in enumerate(sets)]
+        lone = [i * jaccard.CELLS + place[x[held[x] == 1]] for i, x in enumerate(sets)]
+        bits, over = jaccard.sketch(np.concatenate(codes), np.concatenate(lone), len(sets))
+        for i in range(3):
+            for j in range(i):
+                most = sum(int(v).bit_count() for v in (bits[i] & bits[j]).view(np.uint64)) + min(over[i], over[j])
+                assert len(np.intersect1d(sets[i], sets[j])) <= most <= min(held[x].__gt__(1).sum() for x in (sets[i], sets[j]))
+
+
+def test_near_copies_that_cannot_link_are_not_compared(spark, monkeypatch):
+    """Of one group of near copies only few pairs are compared, and no link is lost."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):  # about one base text, which is not there; every tenth text has a partner
+        words = [f"b{j}" for j in range(150)]
+        for at in rng.sample(range(4, 146), 4):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((100 + i, " ".join(["before", *words])))
+    asked = []
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a, real=jaccard.verified: asked.append(pairs.count()) or real(pairs, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.join_classes(make_docs(spark, rows)).collect()}
+    assert got == plain.classes(rows)
+    assert {got[100 + i] == got[i] for i in range(0, 60, 10)} == {True}
+    assert sum(asked) < 5 * len(rows)
+
+
 def test_repeated_id_stands_for_a_class_of_its_own(spark):
     """An id that is a copy by one text and the smallest of its class by another keeps the links of both."""
     words = [f"b{i}" for i in range(100)]

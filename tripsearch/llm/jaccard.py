@@ -22,7 +22,8 @@ Signatures travel packed, grouped by target, one binary row per block and target
 one are deduplicated by their members. Equal sets are one class from the start. Every group is
 first linked as a star around its smallest id, then around other members while that joins what is
 apart; what still lies in different components is compared pair by pair: no link between different texts is
-lost, and no pairs are formed within a component.
+lost, and no pairs are formed within a component. Before their tokens are fetched, pairs meet by sketches of the tokens that
+other open sets hold too, counted by cell: a pair that by its cells cannot share enough is none.
 
 Defined results: null and empty texts and texts without words have the empty set and link with
 nothing. Rows without an id have no component and link with nothing. Rows that repeat an id are
@@ -63,6 +64,9 @@ SMALL = 40
 FINE = 5  # targets per task: evens out how rows are dealt
 #: Instead of a row: several rows of the block hold the token.
 SEVERAL = 0xFFFFFFFF
+#: Cells that a sketch counts tokens in, up to so many in a cell; four bits of a long each.
+CELLS, DEEP = 256, 4
+LONGS = CELLS * DEEP // 64
 
 
 def set_block(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,20 +124,43 @@ def from_planes(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> DataFrame:
+def sketch(codes: np.ndarray, lone: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row, tokens by cell as bits from the lowest, and how many more there are than bits.
+
+    ``codes`` are row * CELLS + cell of all tokens, ``lone`` those of the tokens that do not count. Two rows have at most
+    as many tokens in common as bits, and the smaller number of what is over.
+    """
+    codes, count = np.unique(codes, return_counts=True)
+    count -= np.bincount(np.searchsorted(codes, lone), minlength=len(codes))
+    row, cell = np.divmod(codes, CELLS)
+    deep = np.minimum(count, DEEP)
+    bits = np.zeros((rows, LONGS), np.uint64)
+    place = DEEP * cell
+    np.bitwise_or.at(bits, (row, place // 64), ((1 << deep) - 1).astype(np.uint64) << (place % 64).astype(np.uint64))
+    return bits.view(np.int64), np.bincount(row, count - deep, rows).astype(np.int64)
+
+
+def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str, sketched: bool = False) -> DataFrame:
     """doc_id, n_shingles of the rows that may link: other rows hold ``least`` percent of their tokens or more.
 
     ``docs`` holds a row of every distinct set; further copies only make it keep more. Tokens are
-    compared by 40 bits and their task, so hashes that meet keep more too.
+    compared by 40 bits and their task, so hashes that meet keep more too. ``sketched`` adds the sketch of
+    the tokens that other rows hold: s0, s1, .., over.
     """
     targets = tasks * FINE
-    parts_schema = "target int, tokens binary, block long, rows binary, ids binary, sizes binary, parts int"
+    cells = CELLS if sketched else 1
+    parts_schema = "target int, tokens binary, block long, rows binary, ids binary, sizes binary, codes binary, parts int"
     names = [x.split()[0] for x in parts_schema.split(", ")]
+    sketch_names = [*[f"s{i}" for i in range(LONGS)], "over"] if sketched else []
+
+    def cell_of(value: np.ndarray) -> np.ndarray:
+        return (value & np.uint64(cells - 1)).astype(np.int64)
 
     def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], number: int) -> pa.RecordBatch:
         ids, tokens, sizes = (np.concatenate(x) for x in zip(*held))
         value = blocks.mix(tokens ^ np.uint64(0xB10C))
         order = np.argsort(value, kind="stable")
+        codes = np.sort(np.repeat(np.arange(len(ids)), sizes) * cells + cell_of(value)) if sketched else np.zeros(0, np.int64)
         starts = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
         alone = np.diff(np.append(starts, len(order))) == 1
         row = np.where(alone, np.repeat(np.arange(len(ids)), sizes)[order[starts]], SEVERAL)
@@ -156,6 +183,7 @@ def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> Da
                 pa.array([planes(np.diff(row[a:b], prepend=0), 4) for a, b in zip(cuts, ends)], pa.binary()),
                 pa.array(first(planes(ids.view(np.uint64), 8)), pa.binary()),
                 pa.array(first(planes(sizes, 4)), pa.binary()),
+                pa.array(first(planes(np.diff(codes, prepend=0), 8)), pa.binary()),
                 pa.array(first(len(cuts)), pa.int32()),
             ],
             names,
@@ -181,7 +209,7 @@ def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> Da
             for target, raw, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3)):
                 tokens.append(from_planes(raw.as_py(), 5) | np.uint64(target << 40))
                 rows.append(np.cumsum(from_planes(row.as_py(), 4)).astype(np.uint32))
-            heads.append(batch.select([2, 4, 5, 6]))
+            heads.append(batch.select([2, 4, 5, 6, 7]))
         if not tokens:
             return
         part = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
@@ -192,19 +220,23 @@ def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> Da
         lone = np.sort(order[other[1:] & other[:-1]])  # parts and rows ascend as they came
         lone = lone[rows[lone] != SEVERAL]
         at = np.searchsorted(part[lone], np.arange(part[-1] + 2))
-        found = pa.array([planes(np.diff(rows[lone[a:b]].astype(np.int64), prepend=0), 4) for a, b in zip(at[:-1], at[1:])], pa.binary())
+        codes = rows[lone].astype(np.int64) * cells + cell_of(tokens[lone])
+        found = pa.array([planes(np.diff(np.sort(codes[a:b]), prepend=0), 8 if sketched else 4) for a, b in zip(at[:-1], at[1:])], pa.binary())
         del tokens, ordered, order, other
         done = 0
         for head in heads:
-            yield pa.RecordBatch.from_arrays([head.column(0), found.slice(done, head.num_rows), *[head.column(i) for i in (1, 2, 3)]], names[2:])
+            yield pa.RecordBatch.from_arrays([head.column(0), found.slice(done, head.num_rows), *[head.column(i) for i in (1, 2, 3, 4)]], names[2:])
             done += head.num_rows
         blocks.give_back()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lone, parts, heads = {}, {}, {}
+        lone, parts, heads, marked = {}, {}, {}, {}
         for batch in batches:
-            for name, rows, ids, sizes, n in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3, 4)]):
-                count = np.bincount(np.cumsum(from_planes(rows.as_py(), 4)).astype(np.int64))
+            for name, rows, ids, sizes, codes, n in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3, 4, 5)]):
+                at = np.cumsum(from_planes(rows.as_py(), 8 if sketched else 4)).astype(np.int64)
+                if sketched:
+                    marked.setdefault(name, []).append(at)
+                count = np.bincount(at // cells)
                 before = lone.get(name, count[:0])
                 short, long = sorted((count, before), key=len)
                 lone[name] = long = long.copy()
@@ -212,21 +244,26 @@ def linkable(docs: DataFrame, tasks: int, least: int, key: str, text: str) -> Da
                 parts[name] = parts.get(name, 0) + 1
                 if n.is_valid:
                     heads[name] = from_planes(ids.as_py(), 8).view(np.int64), from_planes(sizes.as_py(), 4).astype(np.int64), n.as_py()
+                    heads[name] += (np.cumsum(from_planes(codes.as_py(), 8)).astype(np.int64),)
         for name, count in lone.items():
             if name not in heads or heads[name][2] != parts[name]:
                 raise RuntimeError("a repeated task met its rows in another order; run the join again")
-            ids, sizes, _ = heads[name]
+            ids, sizes, _, codes = heads[name]
             shared = sizes.copy()
             shared[: len(count)] -= count
             keep = (sizes > 0) & (100 * shared >= least * sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(sizes[keep])], ["doc_id", "n_shingles"])
+            more = []
+            if sketched:
+                bits, over = sketch(codes, np.concatenate(marked[name]), len(ids))
+                more = [pa.array(x[keep]) for x in (*bits.T, over)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(sizes[keep]), *more], ["doc_id", "n_shingles", *sketch_names])
         blocks.give_back()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text).filter("doc_id is not null")
     dealt = rows.mapInArrow(deal, parts_schema).repartition(tasks, "target")
     answers = dealt.mapInArrow(answer, parts_schema.split("binary, ", 1)[1])
-    return answers.repartition(tasks, "block").mapInArrow(decide, "doc_id long, n_shingles long")
+    return answers.repartition(tasks, "block").mapInArrow(decide, ", ".join(f"{x} long" for x in ("doc_id", "n_shingles", *sketch_names)))
 
 
 class Segmented:
@@ -487,8 +524,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: int)
             keep = pa.array(hold, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sides = [pairs.select(F.col(side).alias("doc_id")).distinct() for side in "ab"]
-    ids = durable(sides[0].unionByName(sides[1]).distinct(), "verify-ids")
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
     sets = durable(token_sets(docs, ids, key, text), "verify-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
@@ -575,26 +611,34 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         best = votes.groupBy("salt", "x").agg(F.max(F.struct("votes", (-F.col("y")).alias("back"))).alias("p")).select("x", (-F.col("p.back")).alias("y"))
         fresh = durable(best.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         joined = durable(verified(fresh, docs, key, text, least), "found")
-        tried, found, number = tried.unionByName(fresh), found.unionByName(joined), number + 1
+        tried, number = tried.unionByName(fresh), number + 1
         gained, asked = joined.count(), fresh.count()
         if gained:
-            label = components(found.unionByName(same))
+            label = components(joined.unionByName(label.toDF("a", "b")))
+        # a group within one component stays so
+        rows = open_rows.drop("component")
         if gained * 5 < asked or not asked:
             labelled = durable(rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
             mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
             open_rows = durable(labelled.join(mixed, "g", "left_semi"), "open")
             break
-    # then: what shares enough signatures across components, but for pairs already compared
-    left = side(open_rows.filter("least > 0"), "x", "least", "times", F.col("component").alias("cx"))
-    right = side(open_rows, "y", F.col("component").alias("cy"))
-    pairs = left.join(right, "g").filter((F.col("cx") != F.col("cy")) & size_fits("x", "y")).groupBy("x", "y").agg(
+    # then: what shares enough signatures across components, and by the sketches can share enough tokens, but for pairs already compared
+    ids = durable(open_rows.select(F.col("node").alias("doc_id")).distinct(), "open-ids")
+    marks = linkable(semi(single, ids, "doc_id"), tasks, least, "doc_id", text, sketched=True)
+    marks = marks.groupBy(F.col("doc_id").alias("node")).agg(*[F.bit_or(f"s{i}").alias(f"s{i}") for i in range(LONGS)], F.max("over").alias("over"))
+    open_rows = open_rows.join(durable(marks, "sketches"), "node")
+    sketch_of = lambda name: [*[F.col(f"s{i}").alias(f"{name}{i}") for i in range(LONGS)], F.col("over").alias(f"{name}_over")]
+    common = sum((F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(LONGS)), F.least("x_over", "y_over"))
+    enough = common * (100 + least) >= (F.col("x_least") + F.col("y_least")) * least
+    left = side(open_rows.filter("least > 0"), "x", "least", "times", F.col("component").alias("cx"), *sketch_of("x"))
+    right = side(open_rows, "y", F.col("component").alias("cy"), *sketch_of("y"))
+    pairs = left.join(right, "g").filter((F.col("cx") != F.col("cy")) & size_fits("x", "y") & enough).groupBy("x", "y").agg(
         F.sum("times").alias("shared"), F.min("least").alias("least")
     ).filter("shared >= least").select(*ordered).distinct()
     rest = durable(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = found.unionByName(same)
     if rest.limit(1).count():
-        links = links.unionByName(durable(verified(rest, docs, key, text, least), "found"))
-        label = components(links)
+        joined = durable(verified(rest, docs, key, text, least), "found")
+        label = components(joined.unionByName(label.toDF("a", "b")))
     label = label.select(F.col("node").alias("of_node"), "component")
     return (
         sets.join(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
