@@ -1,6 +1,7 @@
 """Quality, toxicity and mixing."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import make_docs
+from tripsearch import storage
 from tripsearch.llm import kneser, raking, toxic, wordgrams
 
 
@@ -213,6 +215,22 @@ def test_trigrams_travel_as_three_tokens(spark):
     assert got == want
 
 
+def test_tables_that_nothing_reads_go(spark, monkeypatch):
+    """Grams, shares and sums by part are deleted once the next step is written; the values do not depend on the parts."""
+    monkeypatch.setattr(storage, "new_folder", lambda s, name, real=storage.new_folder: made.append((name, real(s, name))) or made[-1][1])
+    rng = np.random.default_rng(6)
+    docs = make_docs(spark, [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, 12))) for i in range(20)])
+    found = []
+    for parts in (1, 3):
+        made = []
+        monkeypatch.setattr(wordgrams, "MODEL_PARTS", parts)
+        monkeypatch.setattr(wordgrams, "TEXT_PARTS", parts)
+        found.append({r.doc_id: r.perplexity for r in kneser.perplexities(docs, docs.filter("doc_id < 9")).collect()})
+        left = Counter(name for name, path in made if os.path.exists(path))
+        assert not left["grams-3"] and not left["grams-2"] and not left["shares-3"] and left["added"] == 1
+    assert found[0] == {i: pytest.approx(p, rel=1e-6) for i, p in found[1].items()}
+
+
 def test_windows_stay_in_their_document():
     network = toxic.Network()
     table = network.tables()

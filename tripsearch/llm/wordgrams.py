@@ -22,15 +22,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripsearch.llm import blocks
-from tripsearch.storage import durable
+from tripsearch.storage import durable, release
 
 BEGIN, END = np.uint64(0xB0), np.uint64(0xE0)
 #: Bits of the map of the model's grams: at least this and at most that power of two.
 LEAST_BITS, MOST_BITS = 15, 28
+#: Parts by key in which grams get their shares and values, and in which texts' grams meet the model: one
+#: part travels at a time, and what it has sent goes before the next.
+MODEL_PARTS, TEXT_PARTS = 4, 8
 Spelling = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -135,53 +138,89 @@ def spellings(docs: DataFrame, spelling: Spelling) -> DataFrame:
     return found.groupBy("k1").agg(F.first("spelling").alias("spelling"))
 
 
-def with_keys(trigrams: DataFrame) -> DataFrame:
-    """k3, c3 (its first two), k2 (its last two), c2, k1 (the second, the last token), n."""
+def in_part(key: Column, part: int, parts: int) -> Column:
+    return F.shiftrightunsigned(key, 40) % parts == part
+
+
+def with_keys(trigrams: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """k3, c3 (its first two), k2 (its last two), c2, k1 (the second, the last token), n, of the grams whose c3 is in the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, c = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
-            front, back = pair_keys(a, b), pair_keys(b, c)
-            keys = [pa.array(x.view(np.int64)) for x in (triple_keys(front, back), front, back)]
-            yield pa.RecordBatch.from_arrays([*keys, batch.column(1), batch.column(2), batch.column(3)], ["k3", "c3", "k2", "c2", "k1", "n"])
+            front = pair_keys(a, b)
+            use = (front >> np.uint64(40)) % np.uint64(parts) == part
+            front, b, c = front[use], b[use], c[use]
+            back = pair_keys(b, c)
+            keys = [pa.array(x.view(np.int64)) for x in (triple_keys(front, back), front, back, b, c)]
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(3).filter(pa.array(use))], ["k3", "c3", "k2", "c2", "k1", "n"])
 
     return trigrams.select("k0", "c2", "k1", "n").mapInArrow(run, "k3 long, c3 long, k2 long, c2 long, k1 long, n long")
 
 
+def with_pair_key(pairs: DataFrame, part: int, parts: int) -> DataFrame:
+    """k2 of c2, k1 beside n, where k2 is in the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = pair_keys(*(batch.column(i).to_numpy().view(np.uint64) for i in range(2)))
+            out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["k2", "c2", "k1", "n"])
+            yield out.filter(pa.array((key >> np.uint64(40)) % np.uint64(parts) == part))
+
+    return pairs.select("c2", "k1", "n").mapInArrow(run, "k2 long, c2 long, k1 long, n long")
+
+
 def model(trigrams: DataFrame, spelt_tokens: DataFrame, discounts: Callable[[DataFrame], list[float]]) -> tuple[DataFrame, float]:
     """(key, value) of every gram and context, and the log spare of the order without context."""
-    three = with_keys(durable(trigrams, "grams-3"))  # only the tokens travel and are kept
-    first = lambda *names: [F.first(x).alias(x) for x in names]
+    three = durable(trigrams, "grams-3")  # only the tokens travel and are kept
     # lower orders count the tokens seen before a gram, not its uses
-    two = durable(three.groupBy("k2").agg(*first("c2", "k1"), F.count("*").alias("n")), "grams-2")
+    two = durable(three.groupBy("c2", "k1").agg(F.count("*").alias("n")), "grams-2")
     one = durable(two.groupBy("k1").agg(F.count("*").alias("n")).join(spelt_tokens, "k1"), "grams-1")
 
-    def cut(counts: DataFrame) -> DataFrame:
+    def cutter(counts: DataFrame) -> Callable[[DataFrame], DataFrame]:
         d1, d2, d3 = discounts(counts)
-        return counts.withColumn("cut", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        return lambda rows: rows.withColumn("cut", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
 
     def contexts(counts: DataFrame, by: str) -> DataFrame:
         sums = counts.groupBy(by).agg(F.sum("n").alias("total"), F.sum("cut").alias("taken"))
         return durable(sums.select(F.col(by).alias("of"), "total", (F.col("taken") / F.col("total")).alias("spare")), "contexts")
 
-    one, two, three = (cut(x) for x in (one, two, three))
+    one, cut_two, cut_three = cutter(one)(one), cutter(two), cutter(three)
     sums = one.agg(F.sum("n").alias("total"), F.sum("cut").alias("taken")).first()  # one row
     if not sums["total"]:
         return one.select(F.col("k1").alias("key"), F.lit(0.0).alias("value")), 0.0
     spare = sums["taken"] / sums["total"]
     p = (F.col("n") - F.col("cut")) / F.lit(float(sums["total"])) + F.lit(spare) * F.exp("spelling")
     one = durable(one.select("k1", "spelling", p.alias("p1")), "model-1")
-    p = lambda lower: (F.col("n") - F.col("cut")) / F.col("total") + F.col("spare") * F.col(lower)
-    of_two, of_three = contexts(two, "c2"), contexts(three, "c3")
-    two = two.select("k2", "c2", "k1", "n", "cut").join(of_two, F.col("c2") == F.col("of")).join(one.select("k1", "p1"), "k1")
-    two = durable(two.select("k2", p("p1").alias("p2"), (F.log(p("p1")) - F.log("p1") - F.log("spare")).alias("value")), "model-2")
-    three = three.select("k3", "c3", "k2", "n", "cut").join(of_three, F.col("c3") == F.col("of")).join(two.select("k2", "p2"), "k2")
-    three = three.select("k3", (F.log(p("p2")) - F.log("p2") - F.log("spare")).alias("value"))
+    of_two = contexts(cut_two(two), "c2")
+    share = ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")
+    p = lambda lower: F.col("share") + F.col("spare") * F.col(lower)
+    value = lambda lower: (F.log(p(lower)) - F.log(lower) - F.log("spare")).cast("float").alias("value")
+    pairs = []
+    for part in range(MODEL_PARTS):
+        rows = cut_two(with_pair_key(two, part, MODEL_PARTS)).join(of_two, F.col("c2") == F.col("of")).select("k2", "k1", share, "spare")
+        pairs.append(durable(rows.join(one.select("k1", "p1"), "k1").select("k2", p("p1").alias("p2"), value("p1")), "model-2"))
+    release(two)
+    of_three, shares = [], []
+    for part in range(MODEL_PARTS):
+        rows = cut_three(with_keys(three, part, MODEL_PARTS).select("k3", "c3", "k2", "n"))
+        of_three.append(contexts(rows, "c3"))
+        joined = rows.join(of_three[-1], F.col("c3") == F.col("of")).select("k3", "k2", share, "spare")
+        shares.append(durable(joined, "shares-3"))
+    release(three)
+    triples = []
+    for part in range(MODEL_PARTS):
+        mine = reduce(DataFrame.unionByName, shares).filter(in_part(F.col("k2"), part, MODEL_PARTS))
+        met = mine.join(pairs[part].select("k2", "p2"), "k2")
+        triples.append(durable(met.select("k3", value("p2")), "model-3"))
+    release(*shares)
     parts = [
         one.select("k1", F.log("p1") - F.log(F.lit(spare)) - F.col("spelling")),
-        two.select("k2", "value"), three, of_two.select("of", F.log("spare")), of_three.select("of", F.log("spare")),
+        *[x.select("k2", F.col("value").cast("double")) for x in pairs],
+        *[x.select("k3", F.col("value").cast("double")) for x in triples],
+        *[x.select("of", F.log("spare")) for x in (of_two, *of_three)],
     ]
-    return durable(reduce(DataFrame.unionByName, [x.toDF("key", "value") for x in parts]), "gram-model"), float(np.log(spare))
+    return reduce(DataFrame.unionByName, [x.toDF("key", "value") for x in parts]), float(np.log(spare))
 
 
 def bit_map(keys: DataFrame) -> np.ndarray:
@@ -208,7 +247,7 @@ def perplexities(docs: DataFrame, grams: DataFrame, log_spare: float, spelling:
                 values = np.bincount(row, spelt(data, offsets, token, spelling) + log_spare, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, last - first) for i in range(3)], pa.array(np.diff(offsets)), pa.array(values)], names)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         mask = np.uint64(len(held) * 8 - 1)
         for batch in batches:
             prints = batch.column(0).to_numpy().view(np.uint64)
@@ -217,7 +256,8 @@ def perplexities(docs: DataFrame, grams: DataFrame, log_spare: float, spelling:
                 keys = np.concatenate([one, two, three[foretold]])
                 text = prints[first:last][np.concatenate([row, row, row[foretold]])]
                 slot = keys & mask
-                there = (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                there = (keys >> np.uint64(40)) % np.uint64(TEXT_PARTS) == part
+                there &= (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 keys, text = keys[there], text[there]
                 _, at, n = np.unique(blocks.mix(text + blocks.mix(keys)), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(text[at].view(np.int64)), pa.array(n.astype(np.int32))], ["key", "print", "n"])
@@ -225,9 +265,14 @@ def perplexities(docs: DataFrame, grams: DataFrame, log_spare: float, spelling:
     names = ["doc_id", "lang", "print", "n_bytes", "begun"]
     rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("print"), "text")
     begun = durable(rows.mapInArrow(begin, "doc_id long, lang string, print long, n_bytes long, begun double"), "spelt")
-    used = rows.select("print", "text").mapInArrow(emit, "key long, print long, n int")
-    added = used.join(grams, "key").groupBy("print").agg(F.sum(F.col("n") * F.col("value")).alias("added"))
+    sums = []
+    for part in range(TEXT_PARTS):
+        used = rows.select("print", "text").mapInArrow(lambda batches, part=part: emit(batches, part), "key long, print long, n int")
+        met = used.join(grams.filter(in_part(F.col("key"), part, TEXT_PARTS)), "key")
+        sums.append(durable(met.groupBy("print").agg(F.sum(F.col("n") * F.col("value")).alias("added")), "added"))
+    added = reduce(DataFrame.unionByName, sums).groupBy("print").agg(F.sum("added").alias("added"))
     copies = begun.groupBy("print").agg(F.count("*").alias("copies"))
     added = durable(added.join(copies, "print").select("print", (F.col("added") / F.col("copies")).alias("added")), "added")
     mean = (F.col("begun") + F.coalesce("added", F.lit(0.0))) / F.col("n_bytes")
+    release(*sums)
     return begun.join(added, "print", "left").select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-mean)).alias("perplexity"))

@@ -57,6 +57,17 @@ def durable(df: DataFrame, name: str = "step", partition_by: tuple[str, ...] = (
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"{shared_folder(spark)}/tripsearch/{spark.sparkContext.applicationId}/".split(":", 1)[-1]
+        for folder in {x.rpartition("/")[0] for x in table.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of ``df`` if there are at most ``limit``, else None. Reads limit+1 rows."""
     rows = df.limit(limit + 1).collect()
