@@ -162,6 +162,36 @@ def test_without_repeats(odd_docs, odd_rows):
     assert all(r.n_chars == len(r.text or "") for r in got)
 
 
+def test_sides_agree_where_windows_do():
+    """Pieces with a common window agree on a code; 36 common bytes (31 were enough) do not make two pieces agree."""
+    rng = np.random.default_rng(4)
+    for trial in range(200):
+        common = 36 if trial % 2 else 50 + trial // 10
+        shared = rng.integers(97, 123, common)
+        texts = [np.concatenate([rng.integers(97, 123, rng.integers(20, 60)), shared, rng.integers(97, 123, rng.integers(20, 60))]) for _ in range(2)]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        row, anchor, _, first, number, sides = suffix.pieces(np.concatenate(texts).astype(np.uint8), offsets)
+        agree = set()
+        for i in np.flatnonzero(row == 0):
+            for j in np.flatnonzero((row == 1) & (anchor == anchor[i])):
+                codes = [(int(sides[i]) >> s & 0xFFFF, int(sides[j]) >> s & 0xFFFF) for s in (0, 16, 32)]
+                if any(a == b > 0 for a, b in codes):
+                    agree |= {(int(i), int(j))}
+        at = [next(k for k in range(len(t)) if (t[k : k + common] == shared).all()) for t in texts]
+        for k in range(common - 49):  # every common window lies in pieces that agree
+            i, j = (int(np.flatnonzero((row == r) & (first <= at[r] + k) & (at[r] + k < first + number))[0]) for r in (0, 1))
+            assert (i, j) in agree
+        assert common >= 50 or not agree
+
+
+def test_ranks():
+    rng = np.random.default_rng(5)
+    for top in (3, 1000, 2**62):  # beyond a word's room, places are sorted instead
+        values = rng.integers(0, top, 500)
+        assert (induce.ranks(values) == np.unique(values, return_inverse=True)[1] + 1).all()
+    assert len(induce.ranks(values[:0])) == 0
+
+
 @pytest.mark.parametrize("memory", [3, 40, 10**6])
 def test_suffix_order(memory):
     """Queues that spill at once and queues that never do give the same order."""

@@ -121,25 +121,23 @@ def induce(text: np.ndarray, s_type: np.ndarray, seeds: Queues, memory: int, onl
         while waiting.sizes[letter]:  # a run of one letter feeds its own queue
             for batch in waiting.take(letter):
                 l_side.put(letter, batch)
-                before = batch[batch > 0] - 1
-                spread(waiting, text, before[~s_type[before]])
+                before = batch - 1
+                spread(waiting, text, before[(before >= 0) & ~s_type[before]])
         for batch in seeds.take(letter):
-            before = batch[batch > 0] - 1
-            spread(waiting, text, before[~s_type[before]])
+            before = batch - 1
+            spread(waiting, text, before[(before >= 0) & ~s_type[before]])
     for letter in reversed(range(letters)):
         while s_side.sizes[letter]:
             for batch in s_side.take(letter):
                 before = batch - 1
-                inner = batch > 0
-                stars = inner & ~s_type[np.where(inner, before, 0)]
-                yield batch[stars] if only_stars else batch
-                before = before[inner]
-                spread(s_side, text, before[s_type[before]])
+                rising = s_type[before]
+                yield batch[(before >= 0) & ~rising] if only_stars else batch
+                spread(s_side, text, before[(before >= 0) & rising])
         for batch in l_side.backwards(letter):
             if not only_stars:
                 yield batch
-            before = batch[batch > 0] - 1
-            spread(s_side, text, before[s_type[before]])
+            before = batch - 1
+            spread(s_side, text, before[(before >= 0) & s_type[before]])
     if not only_stars:
         yield np.array([len(text) - 1])  # the last sentinel: nothing follows that induces it
 
@@ -158,6 +156,22 @@ def same_substrings(text: np.ndarray, one: np.ndarray, two: np.ndarray, length_o
     return same
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The rank of every number among the distinct ones, from 1."""
+    place = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + place < 64:
+        # number and place in one word: sorting words is far quicker than sorting places
+        packed = values << place | np.arange(len(values))
+        packed.sort()
+        order, ordered = packed & (1 << place) - 1, packed >> place
+    else:
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return out
+
+
 def star_order(text: np.ndarray, s_type: np.ndarray, depth: int, memory: int) -> np.ndarray:
     """The S* suffixes, sorted by at least their first ``depth`` letters."""
     stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
@@ -169,10 +183,15 @@ def star_order(text: np.ndarray, s_type: np.ndarray, depth: int, memory: int) ->
     for batch in induce(text, s_type, seeds, memory, only_stars=True):
         order[end - len(batch) : end] = batch[::-1]
         end -= len(batch)
+    number_at = vector(len(text), np.int32 if len(text) < 2**31 else np.int64, memory)
+    number_at[stars] = np.arange(len(stars))
     # the last sentinel is S*, but nothing follows that could induce it: it comes first
     if end:
-        order[:end] = np.setdiff1d(stars, order[end:], assume_unique=True)
-    number = np.searchsorted(stars, order)
+        induced = np.zeros(len(stars), bool)
+        induced[number_at[order[end:]]] = True
+        order[:end] = stars[~induced]
+    number = number_at[order]
+    del number_at
     length = np.diff(np.append(stars, len(text) - 1)) + 1
     length[-1] = max(1, len(text) - stars[-1])
     differs = np.ones(len(order), bool)
@@ -183,7 +202,7 @@ def star_order(text: np.ndarray, s_type: np.ndarray, depth: int, memory: int) ->
     while names.max(initial=0) < len(names) and (stars[ahead:] - stars[: len(stars) - ahead]).min(initial=depth) < depth:
         pair = names * (len(names) + 1)
         pair[:-ahead] += names[ahead:]
-        names = np.unique(pair, return_inverse=True)[1] + 1
+        names = ranks(pair)
         ahead *= 2
     return stars[np.argsort(names, kind="stable")]
 

@@ -32,6 +32,8 @@ from tripsearch.ship import ship
 WINDOW = 50
 GRAM = 12
 CHUNK = 512 << 10
+#: Parts of an anchor's windows, by its place in them; each has a code of its own.
+PARTS = 3
 #: Bytes of text per task of the exchange, and shards per task.
 TEXT_PER_TASK = 6 << 20
 SHARDS = 2
@@ -79,14 +81,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: in
     row = np.searchsorted(offsets, first, "right") - 1
     number = end - first
 
-    def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        inside = (a >= offsets[row]) & (b <= offsets[row + 1])
-        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
-        # 0 stands for a text that ends before: no common window reaches there
-        return np.where(inside, blocks.mix((sums[b] - sums[a]) * back[a]) % np.uint64(65535) + np.uint64(1), np.uint64(0))
-
-    reach = (window - gram) // 2
-    sides = code(place - reach, place) | code(place + gram, place + gram + reach) << np.uint64(16)
+    # windows by how many bytes lie left of the anchor: common windows lie alike, so their pieces share what all of a part cover
+    sides, left, begin, finish = np.zeros(len(first), np.uint64), place - first, offsets[row], offsets[row + 1]
+    edges = np.linspace(0, wide, PARTS + 1).astype(np.int64)
+    for part, (least_left, end_left) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        a, b = place - least_left, place + window - end_left + 1
+        # 0: no window of the piece is of that part, or the text ends before
+        use = np.flatnonzero((left >= least_left) & (left - number < end_left - 1) & (a >= begin) & (b <= finish))
+        a, b = a[use], b[use]
+        code = blocks.mix((sums[b] - sums[a]) * back[a]) >> np.uint64(48)
+        sides[use] |= np.maximum(code, np.uint64(1)) << np.uint64(16 * part)
     stop = first + number + window - 1
     prints = blocks.mix((sums[stop] - sums[first]) * back[first] + number.astype(np.uint64))
     return row, least[first], prints, first - offsets[row], number, sides
@@ -141,13 +145,16 @@ def repeated_windows(
         out_piece.append(owner[hit])
         out_first.append(at[hit] - offsets[owner[hit]])
 
+    # the letters from every place on, as many as a word holds; a shorter window goes letter by letter
+    per = 8 // pieces.itemsize if min(window, len(pieces)) * pieces.itemsize >= 8 else 1
+    words = pieces if per == 1 else np.ndarray(len(pieces) - per + 1, np.uint64, pieces, strides=(pieces.itemsize,))
+
     def agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Whether the common prefix reaches the window, compared a stretch at a time."""
+        """Whether the common prefix reaches the window, compared a word at a time."""
         left = np.arange(len(one))
-        for step in range(0, window, 10):
-            span = np.arange(step, min(window, step + 10))
-            same = (pieces[one[left][:, None] + span] == pieces[two[left][:, None] + span]).all(axis=1)
-            left = left[same]
+        for step in range(0, window, per):
+            step = min(step, window - per)
+            left = left[words[one[left] + step] == words[two[left] + step]]
         out = np.zeros(len(one), bool)
         out[left] = True
         return out

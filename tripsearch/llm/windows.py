@@ -7,7 +7,7 @@ pieces meet by anchor, packed, one binary row per block and target. Where they m
 - a piece whose content also occurs in a document with a smaller id is removed whole;
 - the first piece of each content stays *open* if its anchor comes with several contents: some of its
   windows may still occur in a smaller document. Only these windows are compared one by one. A kernel
-  may give *sides*, two codes of 16 bits: pieces of one anchor that agree on neither share no
+  may give *sides*, three codes of 16 bits: pieces of one anchor that agree on none of them share no
   window and do not stay open for each other; code 0 agrees with none.
 
 A content that one task meets many times is sent on once, from its smallest document; the others are
@@ -35,7 +35,7 @@ PER_BLOCK = 200_000
 TEXT_PER_TASK = 12 << 20
 FINE = 5
 #: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows, sides.
-PLANES = (5, 6, 8, 4, 4, 4, 4)
+PLANES = (5, 6, 8, 4, 4, 4, 6)
 RUNS = "doc_id long, tag long, first long, number long, anchor long, open boolean"
 
 
@@ -153,12 +153,18 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
         several = np.repeat(np.add.reduceat(new_content.astype(np.int64), starts) > 1, sizes)
         several &= np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), sizes)
         near = np.zeros(len(anchor), bool)
-        for code in (sides & np.uint64(0xFFFF), sides >> np.uint64(16)):
-            order = np.lexsort((code, anchor))
-            a, c = anchor[order], code[order]
-            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-            two = np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts)
-            near[order] |= np.repeat(two, np.diff(np.append(starts, len(a)))) & (c > 0)
+        group = np.cumsum(new_anchor).astype(np.uint64) << np.uint64(16)
+        for shift in range(0, 48, 16):
+            code = sides >> np.uint64(shift) & np.uint64(0xFFFF)
+            use = np.flatnonzero(several & (code > 0))
+            if not len(use):
+                continue
+            both = group[use] | code[use]
+            order = np.argsort(both)
+            both, use = both[order], use[order]
+            starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            two = np.minimum.reduceat(doc[use], starts) < np.maximum.reduceat(doc[use], starts)
+            near[use] |= np.repeat(two, np.diff(np.append(starts, len(use))))
         opened = ~removed & several & near
         use = removed | opened
         yield answer(doc[use], tag[use], first[use], number[use], anchor[use], opened[use])
