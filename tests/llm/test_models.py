@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,27 @@ def test_trigrams_travel_as_three_tokens(spark):
     assert got == want
 
 
+def test_grams_travel_packed():
+    """Columns come back as they went, and a block's grams meet the model's, one of which has two values."""
+    rng = np.random.default_rng(8)
+    columns = rng.integers(0, 2**63, 30).astype(np.uint64), np.zeros(0, np.uint32), rng.integers(0, 9, 7).astype(np.uint32)
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(columns, wordgrams.unpacked(wordgrams.packed(*columns))))
+    every = rng.integers(0, 2**63, 20).astype(np.uint64)
+    row, prints = np.sort(rng.integers(0, 6, 300)), rng.integers(0, 2**62, 6).astype(np.uint64)
+    keys = every[rng.integers(0, 20, 300)]
+    value = dict(zip(every[:15].tolist(), rng.random(15)))
+    known = np.array(list(value), np.uint64)
+    model = wordgrams.packed(np.append(known, known[0]), np.append([value[k] for k in value], 5.0))
+    value[int(known[0])] += 5.0
+    sent = list(wordgrams.pack_grams(keys, row, prints, 3))
+    assert len({t for t, _ in sent}) == len(sent) <= 3
+    names = ["target", "model", "grams"]
+    batch = pa.RecordBatch.from_arrays([pa.array([*[t for t, _ in sent], 0]), pa.array([False] * len(sent) + [True]), pa.array([*[x for _, x in sent], model])], names)
+    got = {p: a for out in wordgrams.add_up(iter([batch])) for p, a in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    want = {int(prints[r]): sum(value.get(int(k), 0.0) for k in keys[row == r]) for r in set(row.tolist())}
+    assert got == {p: pytest.approx(a) for p, a in want.items()}
+
+
 def test_tables_that_nothing_reads_go(spark, monkeypatch):
     """Grams, shares and sums by part are deleted once the next step is written; the values do not depend on the parts."""
     monkeypatch.setattr(storage, "new_folder", lambda s, name, real=storage.new_folder: made.append((name, real(s, name))) or made[-1][1])

@@ -11,8 +11,9 @@ add to the order below, so a text's is the sum over its spelling and over those
 - a gram adds log p(w | context) - log p(w | shorter context) - log spare(context),
 - a context adds log spare(context), whichever token follows.
 
-Grams of texts are added up per block, meet the model in one join by gram, and are added up per text. Grams that no
-bit of a map of fixed size names are not sent; a map too small for the model only sends more.
+Grams of texts are counted per block and travel packed, one binary row per block and target: every gram once, and the texts
+of the block that hold it. The model's grams go to the same targets, where they meet and are added up per text. Grams
+that no bit of a map of fixed size names are not sent; a map too small for the model only sends more.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ BEGIN, END = np.uint64(0xB0), np.uint64(0xE0)
 LEAST_BITS, MOST_BITS = 15, 28
 #: Parts by key in which grams get their shares and values, and in which texts' grams meet the model: one
 #: part travels at a time, and what it has sent goes before the next.
-MODEL_PARTS, TEXT_PARTS = 4, 8
+MODEL_PARTS, TEXT_PARTS = 4, 3
+#: Grams of the model and bytes of text per target, and bytes of text per block.
+GRAMS_PER_TARGET, TEXT_PER_TARGET, BLOCK = 1_000_000, 12 << 20, 4 << 20
+#: Keys that one partial map of bits takes in at least.
+KEYS_PER_MAP = 2_000_000
 Spelling = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -223,21 +228,98 @@ def model(trigrams: DataFrame, spelt_tokens: DataFrame, discounts: Callable[[Dat
     return reduce(DataFrame.unionByName, [x.toDF("key", "value") for x in parts]), float(np.log(spare))
 
 
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit for every key, by its last bits; at most ``2 ** MOST_BITS`` of them for any model."""
+def bit_map(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for every key, by its last bits (at most ``2 ** MOST_BITS`` of them for any model), and the number of keys."""
     n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
     slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    pages = keys.groupBy(F.shiftright(slot, 15).cast("int").alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("held"))
+    # few tasks: each sends a map of its own
+    rows = keys.coalesce(1 + n // KEYS_PER_MAP)
+    pages = rows.groupBy(F.shiftright(slot, 15).cast("int").alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("held"))
+    pages = durable(pages, "bits")
     out = np.zeros((1 << bits - 15, 4096), np.uint8)
     for page, held in pages.collect():  # at most 2 ** (MOST_BITS - 15) rows
         out[page] = np.frombuffer(held, np.uint8)
-    return out.ravel()
+    release(pages)
+    return out.ravel(), n
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8 or 4 bytes, their lengths first, each as planes of like bytes: those compress."""
+    lengths = np.array([len(columns), *[len(c) for c in columns], *[c.itemsize for c in columns]], np.uint32)
+    return b"".join([lengths.tobytes(), *[np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns]])
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    """The columns, as unsigned numbers."""
+    count = int(np.frombuffer(raw, np.uint32, 1)[0])
+    head = np.frombuffer(raw, np.uint32, 2 * count, 4).tolist()
+    out, at = [], 4 + 8 * count
+    for length, width in zip(head[:count], head[count:]):
+        planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += length * width
+    return out
+
+
+def targets_of(keys: np.ndarray, targets: int) -> np.ndarray:
+    """Ascends with the key."""
+    return ((keys >> np.uint64(40)) * np.uint64(targets) >> np.uint64(24)).astype(np.int32)
+
+
+def is_in(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (keys >> np.uint64(30)) % np.uint64(parts) == part
+
+
+def pack_grams(keys: np.ndarray, row: np.ndarray, prints: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """(target, grams, number of rows that hold each, rows, uses, prints of the rows); ``row`` ascends among equal keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    pair = np.flatnonzero(new_key | np.concatenate([[True], row[1:] != row[:-1]]))
+    uses, new_key, keys, row = np.diff(np.append(pair, len(keys))), new_key[pair], keys[pair], row[pair]
+    target = targets_of(keys, targets)
+    cuts = np.flatnonzero(np.diff(target, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+        first = np.flatnonzero(new_key[a:b])
+        held, place = np.unique(row[a:b], return_inverse=True)
+        small = lambda x: x.astype(np.uint32)
+        yield int(target[a]), packed(keys[a:b][first], small(np.diff(np.append(first, b - a))), small(place), small(uses[a:b]), prints[held])
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """print, added: what the model's grams of a target's rows add to its texts."""
+    texts, keys, values = [], [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for batch in batches:
+        for model, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
+            if model:
+                more = unpacked(raw.as_py())
+                keys.append(more[0])
+                values.append(more[1].view(np.float64))
+            else:
+                texts.append(raw.as_py())
+    # a key is there as a gram and as a context
+    keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+    values = np.bincount(place, np.concatenate(values), len(keys))
+    if not len(keys):
+        return
+    prints, sums = [], []
+    for raw in texts:
+        asked, rows, place, uses, own = unpacked(raw)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        value = np.where(keys[at] == asked, values[at], 0.0)
+        prints.append(own)
+        sums.append(np.bincount(place, np.repeat(value, rows) * uses, len(own)))
+    if prints:
+        one, place = np.unique(np.concatenate(prints), return_inverse=True)
+        added = np.bincount(place, np.concatenate(sums), len(one))
+        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(added)], ["print", "added"])
+    blocks.give_back()
 
 
 def perplexities(docs: DataFrame, grams: DataFrame, log_spare: float, spelling: Spelling) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (null without bytes) of (doc_id, lang, text). Equal texts are scored together."""
-    held = bit_map(grams.select("key"))
+    held, n_grams = bit_map(grams.select("key"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,29 +329,50 @@ def perplexities(docs: DataFrame, grams: DataFrame, log_spare: float, spelling:
                 values = np.bincount(row, spelt(data, offsets, token, spelling) + log_spare, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, last - first) for i in range(3)], pa.array(np.diff(offsets)), pa.array(values)], names)
 
-    def emit(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    def sent(rows: list[tuple[int, bytes]], model: bool) -> pa.RecordBatch:
+        target, raw = [x for x, _ in rows], [x for _, x in rows]
+        return pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([model] * len(rows)), pa.array(raw, pa.binary())], ["target", "model", "grams"])
+
+    def emit(batches: Iterator[pa.RecordBatch], part: int, targets: int) -> Iterator[pa.RecordBatch]:
         mask = np.uint64(len(held) * 8 - 1)
         for batch in batches:
             prints = batch.column(0).to_numpy().view(np.uint64)
-            for first, last, data, offsets in blocks.chunks(batch.column(1)):
+            for first, last, data, offsets in blocks.chunks(batch.column(1), BLOCK):
                 row, _, one, two, three, foretold = positions(data, offsets)
-                keys = np.concatenate([one, two, three[foretold]])
-                text = prints[first:last][np.concatenate([row, row, row[foretold]])]
-                slot = keys & mask
-                there = (keys >> np.uint64(40)) % np.uint64(TEXT_PARTS) == part
-                there &= (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                keys, text = keys[there], text[there]
-                _, at, n = np.unique(blocks.mix(text + blocks.mix(keys)), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(text[at].view(np.int64)), pa.array(n.astype(np.int32))], ["key", "print", "n"])
+                keys, text = [], []
+                for keys_of, row_of in ((one, row), (two, row), (three[foretold], row[foretold])):
+                    slot = keys_of & mask
+                    there = is_in(keys_of, part, TEXT_PARTS)
+                    there &= (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    keys.append(keys_of[there])
+                    text.append(row_of[there])
+                keys, text = np.concatenate(keys), np.concatenate(text)
+                if len(keys):
+                    yield sent(list(pack_grams(keys, text, prints[first:last], targets)), False)
+
+    def emit_model(batches: Iterator[pa.RecordBatch], part: int, targets: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            use = is_in(keys, part, TEXT_PARTS)
+            keys, values = keys[use], values[use]
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            target = targets_of(keys, targets)
+            cuts = np.flatnonzero(np.diff(target, prepend=-1)).tolist()
+            if cuts:
+                yield sent([(int(target[a]), packed(keys[a:b], values[a:b])) for a, b in zip(cuts, [*cuts[1:], len(keys)])], True)
 
     names = ["doc_id", "lang", "print", "n_bytes", "begun"]
     rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("print"), "text")
     begun = durable(rows.mapInArrow(begin, "doc_id long, lang string, print long, n_bytes long, begun double"), "spelt")
-    sums = []
+    n_bytes = begun.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    targets = 1 + max(n_grams // GRAMS_PER_TARGET, n_bytes // TEXT_PER_TARGET)
+    sums, schema = [], "target int, model boolean, grams binary"
     for part in range(TEXT_PARTS):
-        used = rows.select("print", "text").mapInArrow(lambda batches, part=part: emit(batches, part), "key long, print long, n int")
-        met = used.join(grams.filter(in_part(F.col("key"), part, TEXT_PARTS)), "key")
-        sums.append(durable(met.groupBy("print").agg(F.sum(F.col("n") * F.col("value")).alias("added")), "added"))
+        used = rows.select("print", "text").mapInArrow(lambda batches, part=part: emit(batches, part, targets), schema)
+        model_part = grams.mapInArrow(lambda batches, part=part: emit_model(batches, part, targets), schema)
+        met = used.unionByName(model_part).repartition(targets, "target").mapInArrow(add_up, "print long, added double")
+        sums.append(durable(met.groupBy("print").agg(F.sum("added").alias("added")), "added"))
     added = reduce(DataFrame.unionByName, sums).groupBy("print").agg(F.sum("added").alias("added"))
     copies = begun.groupBy("print").agg(F.count("*").alias("copies"))
     added = durable(added.join(copies, "print").select("print", (F.col("added") / F.col("copies")).alias("added")), "added")
