@@ -1,6 +1,7 @@
 """Jaccard join, both substring operators and decontamination against plain versions."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from tests.llm import plain
 from tests.llm.conftest import make_docs, sentence
-from tripsearch.llm import decontam, induce, jaccard, links, recompress, suffix
+from tripsearch.llm import decontam, induce, jaccard, links, recompress, suffix, windows
 
 
 def test_classes(odd_docs, odd_rows):
@@ -246,6 +247,73 @@ def test_bytes_removed_with_shards_on_disk(monkeypatch):
     assert got == Counter((doc, base + i) for doc, base, t in held for i in range(len(t) - 23) if least[t[i : i + 24]] < doc)
 
 
+class Kernel:
+    """Stands for a DataFrame: what ``mapInArrow`` is to run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_cut_texts_are_let_go():
+    """A worker cuts the texts of task after task; nothing of a batch may stay when its pieces have left."""
+    runs = pa.array([[{"first": 40 * i, "number": 30, "anchor": i} for i in range(500)]] * 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([0] * 20), pa.array(["abcdefghij" * 5000] * 20), runs], ["doc_id", "tag", "text", "runs"])
+    run = suffix.cut_pieces(Kernel(), 50)
+    want = [bytes(b"abcdefghij" * 9)[:79]] * 500
+    assert [x for out in run(iter([batch.slice(0, 1)])) for x in out.column(4).to_pylist()] == want
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for _ in range(5) for out in run(iter([batch]))) == 50_000
+        assert tracemalloc.get_traced_memory()[0] < 500_000  # of 5 MB of texts
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_shard_does_not_grow_with_its_letters(monkeypatch):
+    """Pieces that share a line, with different text around it: four times as many take little more memory to sort."""
+    monkeypatch.setattr(induce, "MEMORY", 20_000)
+    monkeypatch.setattr(induce, "BATCH", 10_000)
+    rng = np.random.default_rng(2)
+    line = bytes(rng.integers(97, 105, 40).astype(np.uint8))
+    peaks = []
+    for count in (4000, 12000):
+        around = rng.integers(97, 105, (count, 40)).astype(np.uint8)
+        texts = [bytes(x[:20]) + line + bytes(x[20:]) for x in around]
+        numbers = [pa.array(x) for x in (np.zeros(count, int), np.arange(count), np.zeros(count, int), np.full(count, 5))]
+        rows = pa.RecordBatch.from_arrays([*numbers, pa.array(texts, pa.binary())], ["anchor", "doc_id", "tag", "first", "piece"])
+        tracemalloc.start()
+        try:
+            found = list(suffix.sort_shard(iter([rows]), 40))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+        least = {}
+        for i, t in reversed(list(enumerate(texts))):
+            least.update((t[j : j + 40], i) for j in range(41))
+        got = Counter()
+        for out in found:
+            for doc, _, first, number in zip(*(c.to_pylist() for c in out.columns)):
+                got.update((doc, first + i) for i in range(number))
+        assert got == Counter((i, 5 + j) for i, t in enumerate(texts) for j in range(41) if least[t[j : j + 40]] < i)
+        assert len(got) >= count - 1
+    assert peaks[1] - peaks[0] < 4 * 8000 * 81  # less than four bytes for each further letter
+
+
+def test_every_task_meets_as_many_targets(spark):
+    """The pieces are dealt by target, not by a hash of it that gives one task several times the share of another."""
+
+    def row(target):
+        two = np.array([1, 2])
+        same = np.zeros(2, np.int64)
+        return target, False, windows.planes(same + 7, same + 9, two + 10 * target, same, same + 3, same + 4, same + 1).T.tobytes()
+
+    tasks = 12
+    packed = spark.createDataFrame([row(t) for t in range(tasks * windows.FINE)], "target int, settled boolean, pieces binary")
+    got = windows.meet(packed, tasks).selectExpr("*", "spark_partition_id() as task").collect()
+    assert Counter((r.doc_id, r.tag, r.first, r.number, r.open) for r in got) == Counter((10 * t + 2, 0, 3, 4, False) for t in range(tasks * windows.FINE))
+    assert set(Counter(r.task for r in got).values()) == {windows.FINE}
+
+
 @pytest.mark.parametrize("most", [0, 1, 7])
 def test_long_groups_settled_in_parts(monkeypatch, most):
     """A window at several places of a document that a smaller document follows in a later batch."""

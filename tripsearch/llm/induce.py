@@ -6,8 +6,9 @@ names' own suffixes are ranked by doubling until they span the depth that matter
 induction then brings every suffix in order. An induction keeps one queue of suffix tuples per first
 letter; tuples are taken by ascending (L) or descending (S) letter, and each puts its predecessor
 in the queue of the letter before it. Queues beyond ``MEMORY`` tuples go to an unnamed file that
-ends with the task; the text, the types and the owners of a large shard are mapped from such files too. The
-S* suffixes with their names and ranks (``star_order``) are in memory: they bound the shard a task can take.
+ends with the task; whatever else has an entry per letter or S* suffix is mapped from such files too once
+it is far larger than ``MEMORY``, and is worked on a stretch at a time. So a task's memory does not grow with its
+shard, but for the columns of the pieces and a group of more than ``BATCH`` S* suffixes with one rank.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that the queues of an induction hold in memory together.
-MEMORY = 4_000_000
+MEMORY = 1_000_000
 BATCH = 500_000
 
 
@@ -61,7 +62,9 @@ class Queues:
                 self.file.seek(at + 8 * a)
                 yield np.frombuffer(self.file.read(8 * min(BATCH, count - a)), np.int64)
         if arrays:
-            yield np.concatenate(arrays)
+            flat = np.concatenate(arrays)
+            for a in range(0, len(flat), BATCH):
+                yield flat[a : a + BATCH]
 
     def backwards(self, letter: int) -> Iterator[np.ndarray]:
         """The same from the last to the first."""
@@ -70,7 +73,9 @@ class Queues:
         self.inside -= sum(map(len, arrays))
         self.sizes[letter] = 0
         if arrays:
-            yield np.concatenate(arrays)[::-1]
+            flat = np.concatenate(arrays)[::-1]
+            for a in range(0, len(flat), BATCH):
+                yield flat[a : a + BATCH]
         for at, count in reversed(parts):
             for a in reversed(range(0, count, BATCH)):
                 self.file.seek(at + 8 * a)
@@ -156,55 +161,117 @@ def same_substrings(text: np.ndarray, one: np.ndarray, two: np.ndarray, length_o
     return same
 
 
-def ranks(values: np.ndarray) -> np.ndarray:
-    """The rank of every number among the distinct ones, from 1."""
+def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the numbers in ascending order, and the numbers in that order."""
     place = len(values).bit_length()
     if int(values.max(initial=0)).bit_length() + place < 64:
         # number and place in one word: sorting words is far quicker than sorting places
         packed = values << place | np.arange(len(values))
         packed.sort()
-        order, ordered = packed & (1 << place) - 1, packed >> place
-    else:
-        order = np.argsort(values, kind="stable")
-        ordered = values[order]
+        return packed & (1 << place) - 1, packed >> place
+    order = np.argsort(values, kind="stable")
+    return order, values[order]
+
+
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The rank of every number among the distinct ones, from 1."""
+    order, ordered = in_order(values)
     out = np.empty(len(values), np.int64)
     out[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return out
 
 
+def stretches(size: int) -> Iterator[tuple[int, int]]:
+    for a in range(0, size, BATCH):
+        yield a, min(size, a + BATCH)
+
+
+def star_places(s_type: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the S* suffixes, a stretch at a time."""
+    for a, b in stretches(len(s_type) - 1):
+        part = s_type[a : b + 1]
+        yield np.flatnonzero(part[1:] & ~part[:-1]) + (a + 1)
+
+
+def refine(order: np.ndarray, first: np.ndarray, rank: np.ndarray, ahead: int) -> None:
+    """Order what shares a rank by the rank of the star ``ahead`` stars further on; nothing there comes first.
+
+    ``order`` has the stars by rank, ``first`` where a rank begins, ``rank`` every star's: the place where it begins. So a
+    rank stays comparable when others are refined before it.
+    """
+    total, begin = len(order), 0
+    while begin < total:
+        end = min(total, begin + BATCH)
+        while end < total and not first[end]:  # a rank is refined as a whole
+            more = np.flatnonzero(first[end : end + BATCH])
+            end = end + int(more[0]) if len(more) else min(total, end + BATCH)
+        starts = np.flatnonzero(first[begin:end])
+        size = np.diff(np.append(starts, end - begin))
+        use = np.flatnonzero(np.repeat(size > 1, size)) + begin
+        if len(use):
+            star = order[use].astype(np.int64)
+            key = np.zeros(len(use), np.int64)
+            there = np.flatnonzero(star + ahead < total)
+            key[there] = rank[star[there] + ahead] + 1
+            key += np.repeat(np.arange(np.count_nonzero(size > 1)), size[size > 1]) * (total + 1)
+            place, key = in_order(key)
+            star, new = star[place], np.concatenate([[True], key[1:] != key[:-1]])
+            order[use], first[use] = star, new
+            began = np.flatnonzero(new)
+            rank[star] = np.repeat(use[began], np.diff(np.append(began, len(use))))
+        begin = end
+
+
 def star_order(text: np.ndarray, s_type: np.ndarray, depth: int, memory: int) -> np.ndarray:
     """The S* suffixes, sorted by at least their first ``depth`` letters."""
-    stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    letters = int(text.max(initial=0)) + 1
-    seeds = Queues(letters, memory)
-    spread(seeds, text, stars)
-    order = vector(len(stars), np.int64, memory)
-    end = len(order)
+    letters, n = int(text.max(initial=0)) + 1, len(text)
+    total, kind = sum(map(len, star_places(s_type))), np.int32 if n < 2**31 else np.int64
+    seeds, stars, end = Queues(letters, memory), vector(total, kind, memory), 0
+    for places in star_places(s_type):
+        stars[end : end + len(places)] = places
+        end += len(places)
+        spread(seeds, text, places)
+    order = vector(total, kind, memory)
     for batch in induce(text, s_type, seeds, memory, only_stars=True):
         order[end - len(batch) : end] = batch[::-1]
         end -= len(batch)
-    number_at = vector(len(text), np.int32 if len(text) < 2**31 else np.int64, memory)
-    number_at[stars] = np.arange(len(stars))
+    # from here on stars go by their number; that of a place:
+    number_at = vector(n, kind, memory)
+    for a, b in stretches(total):
+        number_at[stars[a:b]] = np.arange(a, b)
+    for a, b in stretches(total - end):
+        order[end + a : end + b] = number_at[order[end + a : end + b]]
+    del number_at
     # the last sentinel is S*, but nothing follows that could induce it: it comes first
     if end:
-        induced = np.zeros(len(stars), bool)
-        induced[number_at[order[end:]]] = True
-        order[:end] = stars[~induced]
-    number = number_at[order]
-    del number_at
-    length = np.diff(np.append(stars, len(text) - 1)) + 1
-    length[-1] = max(1, len(text) - stars[-1])
-    differs = np.ones(len(order), bool)
-    differs[1:] = ~same_substrings(text, order[1:], order[:-1], length[number[1:]], length[number[:-1]])
-    names = np.empty(len(stars), np.int64)
-    names[number] = np.cumsum(differs)
+        induced = np.zeros(total, bool)
+        induced[order[end:]] = True
+        order[:end] = np.flatnonzero(~induced)
+
+    def length(star: np.ndarray) -> np.ndarray:
+        out = stars[np.minimum(star + 1, total - 1)].astype(np.int64) - stars[star] + 1
+        out[star == total - 1] = max(1, n - int(stars[-1]))
+        return out
+
+    first, rank, began = vector(total, bool, memory), vector(total, kind, memory), 0
+    first[:1] = True
+    for a, b in stretches(total):
+        one, two = order[max(1, a) : b].astype(np.int64), order[max(1, a) - 1 : b - 1].astype(np.int64)
+        first[max(1, a) : b] = ~same_substrings(text, stars[one].astype(np.int64), stars[two].astype(np.int64), length(one), length(two))
+        place = np.maximum.accumulate(np.where(first[a:b], np.arange(a, b), began))
+        rank[order[a:b]], began = place, int(place[-1])
+
+    def span(ahead: int) -> int:
+        """The fewest letters that so many stars take, or ``depth``."""
+        return min((int((stars[a + ahead : b + ahead] - stars[a:b]).min()) for a, b in stretches(total - ahead)), default=depth)
+
     ahead = 1
-    while names.max(initial=0) < len(names) and (stars[ahead:] - stars[: len(stars) - ahead]).min(initial=depth) < depth:
-        pair = names * (len(names) + 1)
-        pair[:-ahead] += names[ahead:]
-        names = ranks(pair)
+    while np.count_nonzero(first) < total and span(ahead) < depth:
+        refine(order, first, rank, ahead)
         ahead *= 2
-    return stars[np.argsort(names, kind="stable")]
+    for a, b in stretches(total):
+        order[a:b] = stars[order[a:b]]
+    return order
 
 
 def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[np.ndarray]:
@@ -215,7 +282,8 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Itera
     seeds = Queues(int(text.max()) + 1, memory)
     order = star_order(text, s_type, depth, memory)
     for a in range(0, len(order), BATCH):
-        spread(seeds, text, order[a : a + BATCH])
+        spread(seeds, text, order[a : a + BATCH].astype(np.int64))
+    del order
     held, size = [], 0
     for batch in induce(text, s_type, seeds, memory, only_stars=False):
         held.append(batch)

@@ -106,7 +106,7 @@ def cut_pieces(texts: DataFrame, window: int) -> DataFrame:
             runs = batch.column(3)
             flat, row = runs.flatten(), np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
             first, number = flat.field("first").to_numpy(), flat.field("number").to_numpy()
-            start, raw = offsets[row] + first, memoryview(data.tobytes())
+            start, raw = offsets[row] + first, data.tobytes()  # Arrow never lets go of a memoryview it is given
             size = number + window - 1
             for a in range(0, len(row), 20_000):
                 part = slice(a, a + 20_000)
@@ -121,29 +121,27 @@ def cut_pieces(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, doc_id long, tag long, first long, piece binary")
 
 
-def repeated_windows(
+def marked_windows(
     pieces: np.ndarray, offsets: np.ndarray, doc: np.ndarray, window: int, memory: int = induce.MEMORY, most: int = induce.BATCH
-) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window in it) of every window that also starts in a piece of a smaller document.
+) -> np.ndarray:
+    """Whether a window starts at each letter that also starts in a piece of a smaller document.
 
     ``pieces`` holds the letters (bytes + 1) of all pieces, a 0 after each; ``offsets`` has their starts and the end.
     Of equal windows that go on over batches, more than ``most`` places are settled in parts; that changes no result.
     """
     size = np.diff(offsets) - 1
-    piece_of = induce.vector(len(pieces), np.int32, memory)
-    for a in range(0, len(size), induce.BATCH):
-        b = min(len(size), a + induce.BATCH)
+    piece_of, marked = induce.vector(len(pieces), np.int32, memory), induce.vector(len(pieces), bool, memory)
+    few = max(1, induce.BATCH // (2 * window))  # pieces of a stretch: none is as long as two windows
+    for a in range(0, len(size), few):
+        b = min(len(size), a + few)
         piece_of[offsets[a] : offsets[b]] = np.repeat(np.arange(a, b, dtype=np.int32), size[a:b] + 1)
-    out_piece, out_first = [], []
+        marked[offsets[a] : offsets[b]] = False
 
     def settle(at: np.ndarray, same: np.ndarray) -> None:
         group = np.cumsum(~same) - 1
-        owner = piece_of[at]
-        starts = np.flatnonzero(~same)
-        least = np.minimum.reduceat(doc[owner], starts)
-        hit = doc[owner] > least[group]
-        out_piece.append(owner[hit])
-        out_first.append(at[hit] - offsets[owner[hit]])
+        owner = doc[piece_of[at]]
+        least = np.minimum.reduceat(owner, np.flatnonzero(~same))
+        marked[at[owner > least[group]]] = True
 
     # the letters from every place on, as many as a word holds; a shorter window goes letter by letter
     per = 8 // pieces.itemsize if min(window, len(pieces)) * pieces.itemsize >= 8 else 1
@@ -178,9 +176,21 @@ def repeated_windows(
             rest = rest[owners == owners.min()]
     if len(rest):
         settle(rest, np.concatenate([[False], np.ones(len(rest) - 1, bool)]))
-    if not out_piece:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_piece), np.concatenate(out_first)
+    return marked
+
+
+def repeated_windows(pieces: np.ndarray, offsets: np.ndarray, *more) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, window in it) of every window that ``marked_windows`` marks."""
+    at = np.flatnonzero(marked_windows(pieces, offsets, *more))
+    piece = np.searchsorted(offsets, at, "right") - 1
+    return piece, at - offsets[piece]
+
+
+def marked_runs(marked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, number) of every run of marked places, a stretch at a time; a run that goes on over stretches comes in parts."""
+    for a in range(0, len(marked), induce.BATCH):
+        edges = np.flatnonzero(np.diff(marked[a : a + induce.BATCH].astype(np.int8), prepend=0, append=0))
+        yield a + edges[::2], edges[1::2] - edges[::2]
 
 
 def sort_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +199,7 @@ def sort_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
     most = 4 * induce.MEMORY
     columns, sizes, file, total = [], [], tempfile.SpooledTemporaryFile(np.dtype(np.uint16).itemsize * most), 0
     for batch in batches:
-        for begin, end, data, offsets in blocks.chunks(batch.column(4)):
+        for begin, end, data, offsets in blocks.chunks(batch.column(4), CHUNK // 2):
             columns.append([c.to_numpy()[begin:end].copy() for c in batch.columns[1:4]])  # a view would hold the batch
             count = len(offsets) - 1
             letters = np.zeros(len(data) + count, np.uint16)
@@ -209,17 +219,16 @@ def sort_shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         file.seek(0)
         shard = np.frombuffer(file.read(), np.uint16)
     file.close()
-    piece, inside = repeated_windows(shard, offsets, doc, window, induce.MEMORY)
-    # neighbouring windows of a piece leave as one run
-    order = np.lexsort((inside, piece))
-    piece, inside = piece[order], inside[order]
-    new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (inside[1:] != inside[:-1] + 1)]) if len(piece) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[piece[starts]]), pa.array(tag[piece[starts]]), pa.array(first[piece[starts]] + inside[starts]), pa.array(np.diff(np.append(starts, len(piece))))],
-        ["doc_id", "tag", "first", "number"],
-    )
-    del shard, piece, inside, order, new
+    marked = marked_windows(shard, offsets, doc, window, induce.MEMORY)
+    # neighbouring windows of a piece leave as one run; the 0 after a piece ends its last one
+    for at, number in marked_runs(marked):
+        if len(at):
+            piece = np.searchsorted(offsets, at, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[piece]), pa.array(tag[piece]), pa.array(first[piece] + at - offsets[piece]), pa.array(number)],
+                ["doc_id", "tag", "first", "number"],
+            )
+    del shard, marked
     blocks.give_back()
 
 

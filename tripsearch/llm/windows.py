@@ -32,6 +32,9 @@ from tripsearch.storage import durable
 
 #: Pieces that one block packs, and bytes of text per task of the exchange.
 PER_BLOCK = 200_000
+#: Bytes of packed rows that are worked on together, and runs per batch of the answer.
+TOGETHER = 4 << 20
+PER_ANSWER = 100_000
 TEXT_PER_TASK = 12 << 20
 FINE = 5
 #: Planes (bytes) of a packed piece: anchor, print, id, tag, first window, number of windows, sides.
@@ -57,15 +60,33 @@ def planes(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(rows, axis=1)
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
-    table = np.frombuffer(raw, np.uint8).reshape(sum(PLANES), -1)
-    out, at = [], 0
-    for i, k in enumerate(PLANES):
-        wide = np.zeros((table.shape[1], 8), np.uint8)
-        wide[:, :k] = table[at : at + k].T
-        out.append(wide.view("<i8" if i == 2 else "<u8").ravel())
-        at += k
-    return out
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(settled, target of every piece, planes) of the packed rows that come, small ones put together."""
+    width, held, size = sum(PLANES), ([], []), [0, 0]
+
+    def together(part: bool) -> tuple[bool, np.ndarray, np.ndarray]:
+        targets, raws = zip(*held[part])
+        held[part].clear()
+        size[part] = 0
+        table = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1) for x in raws], axis=1)
+        return part, np.repeat(np.array(targets, np.uint64), [len(x) // width for x in raws]), table
+
+    for batch in batches:
+        for target, part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            held[part].append((target, raw))
+            size[part] += len(raw)
+            if size[part] >= TOGETHER:
+                yield together(part)
+    for part in (False, True):
+        if held[part]:
+            yield together(part)
+
+
+def unpacked(table: np.ndarray, column: int) -> np.ndarray:
+    at, k = sum(PLANES[:column]), PLANES[column]
+    wide = np.zeros((table.shape[1], 8), np.uint8)
+    wide[:, :k] = table[at : at + k].T
+    return wide.view("<i8" if column == 2 else "<u8").ravel()
 
 
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
@@ -121,29 +142,32 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
     """doc_id, tag, first, number, anchor, open: runs of windows that are removed, or still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for target, settled, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                anchor, content, doc, tag, first, number, sides = unpacked(raw.as_py())
-                if settled:
-                    yield answer(doc, tag, first, number, anchor, np.zeros(len(doc), bool))
-                else:
-                    # the target stands for the bits of the anchor that were not sent
-                    held.append((anchor | np.uint64(target << 40), content, doc, tag, first, number, sides))
-        if not held:
+        # pieces stay packed, but for what is needed to see which of them meet
+        tables, anchors = [], []
+        for settled, target, table in gathered(batches):
+            if settled:
+                yield from answer(unpacked(table, 2), table, unpacked(table, 0), np.zeros(table.shape[1], bool))
+            else:
+                tables.append(table)
+                # the target stands for the bits of the anchor that were not sent
+                anchors.append(unpacked(table, 0) | target << np.uint64(40))
+        if not tables:
             return
-        anchor = np.concatenate([x[0] for x in held])
-        order = np.argsort(anchor)
-        ordered = anchor[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        size = np.diff(np.append(np.flatnonzero(new), len(new)))
-        order = order[np.repeat(size > 1, size)]
-        anchor, content, doc, tag, first, number, sides = (np.concatenate(x)[order] for x in zip(*held))
-        del held
-        if not len(anchor):
+        ordered = np.concatenate(anchors)
+        ordered.sort()
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        if not len(twice):
             return
+        for i, one in enumerate(anchors):
+            use = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, one), len(twice) - 1)] == one)
+            anchors[i], tables[i] = one[use], tables[i][:, use]
+        anchor, table = np.concatenate(anchors), np.concatenate(tables, axis=1)
+        del anchors, tables, twice
+        content, doc = unpacked(table, 1), unpacked(table, 2)
         order = np.lexsort((doc, content, anchor))
-        anchor, content, doc, tag, first, number, sides = (x[order] for x in (anchor, content, doc, tag, first, number, sides))
+        anchor, content, doc, table = anchor[order], content[order], doc[order], table[:, order]
+        sides = unpacked(table, 6)
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_content = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
         at = np.arange(len(anchor))
@@ -166,17 +190,21 @@ def meet(packed: DataFrame, tasks: int) -> DataFrame:
             two = np.minimum.reduceat(doc[use], starts) < np.maximum.reduceat(doc[use], starts)
             near[use] |= np.repeat(two, np.diff(np.append(starts, len(use))))
         opened = ~removed & several & near
-        use = removed | opened
-        yield answer(doc[use], tag[use], first[use], number[use], anchor[use], opened[use])
-        del anchor, content, doc, tag, first, number, sides, order
+        del content, sides, order, several, near, group
+        use = np.flatnonzero(removed | opened)
+        yield from answer(doc[use], table[:, use], anchor[use], opened[use])
+        del anchor, doc, table, removed, opened
         blocks.give_back()
 
-    def answer(doc, tag, first, number, anchor, opened) -> pa.RecordBatch:
-        signed = lambda x: pa.array(x.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(doc), signed(tag), signed(first), signed(number), signed(anchor), pa.array(opened)], names)
+    def answer(doc: np.ndarray, table: np.ndarray, anchor: np.ndarray, opened: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(doc), PER_ANSWER):
+            part = slice(a, a + PER_ANSWER)
+            tag, first, number = (pa.array(unpacked(table[:, part], i).view(np.int64)) for i in (3, 4, 5))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), tag, first, number, pa.array(anchor[part].view(np.int64)), pa.array(opened[part])], names)
 
     names = [x.split()[0] for x in RUNS.split(", ")]
-    return packed.repartition(tasks, "target").mapInArrow(run, RUNS)
+    # as many targets to every task: dealt by a hash, one task got three times the pieces of the others
+    return packed.repartitionById(tasks, F.col("target") % tasks).mapInArrow(run, RUNS)
 
 
 def number_of_tasks(rows: DataFrame, per_task: int = TEXT_PER_TASK) -> int:
